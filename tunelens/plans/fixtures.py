@@ -179,3 +179,46 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     ):
         lines = lines.unionByName(part)
     return tag_events(lines.selectExpr("concat('app-', app) AS app_id", "ord", "value"))
+
+
+def metrics(spark: SparkSession, sf_dir: str, batches: int = 20) -> DataFrame:
+    """Per-batch metrics (fractions) of nine configurations by 32 hyper-parameter sets."""
+    p, r = "round(0.5 + 3 * avg(l_discount), 6)", "round(0.95 - 4 * avg(l_tax), 6)"
+    grouped = table(spark, sf_dir, "lineitem").groupBy(
+        F.expr("CAST(l_suppkey % 9 + 1 AS INT) AS exp"),
+        F.expr("CAST(l_partkey % 32 AS INT) AS hp_idx"),
+        F.expr(f"l_orderkey % {batches} AS batch"),
+    )
+    return grouped.agg(
+        F.expr("CAST(sum(l_quantity) AS BIGINT) AS instances"),
+        F.expr("round(0.5 + 4 * avg(l_discount), 6) AS accuracy"),
+        F.expr(f"{r} AS recall"),
+        F.expr(f"{p} AS precision"),
+    ).withColumn("f1", F.expr("round(2 * precision * recall / (precision + recall), 6)"))
+
+
+def percent(metrics_df: DataFrame) -> DataFrame:
+    scaled = {m: F.round(F.col(m) * 100, 6) for m in ("accuracy", "recall", "precision", "f1")}
+    return metrics_df.withColumns(scaled)
+
+
+def times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Job and task counts and times of the same runs."""
+    grouped = table(spark, sf_dir, "lineitem").groupBy(
+        F.expr("CAST(l_suppkey % 9 + 1 AS INT) AS exp"), F.expr("CAST(l_partkey % 32 AS INT) AS hp_idx")
+    )
+    return grouped.agg(
+        F.expr("count(DISTINCT l_orderkey % 20) AS jobs"),
+        F.expr("CAST(sum(l_quantity) * 10 AS BIGINT) AS job_ms"),
+        F.expr("count(*) AS tasks"),
+        F.expr("CAST(round(sum(l_extendedprice) / 100) AS BIGINT) AS task_ms"),
+    )
+
+
+def depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tree depth of the same runs."""
+    return (
+        table(spark, sf_dir, "lineitem")
+        .groupBy(F.expr("CAST(l_suppkey % 9 + 1 AS INT) AS exp"), F.expr("CAST(l_partkey % 32 AS INT) AS hp_idx"))
+        .agg(F.expr("CAST(max(l_linenumber) AS INT) AS depth"))
+    )

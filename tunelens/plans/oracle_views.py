@@ -24,3 +24,54 @@ ex AS (SELECT 'app-' || app AS app_id, CAST(x AS VARCHAR) AS executor_id, 'h' ||
   CAST(1 + x % 4 AS BIGINT) AS cores, start AS start_ms, CASE WHEN x = 7 THEN start + 60000 END AS remove_ms,
   CASE WHEN x = 7 THEN 'lost' END AS remove_reason FROM ap, range(8) r(x))
 """
+
+
+def metrics(name: str = "m", batches: int = 20) -> str:
+    """Per-batch metrics in percent."""
+    return f"""
+{name}_f AS (SELECT CAST(l_suppkey % 9 + 1 AS INTEGER) AS exp, CAST(l_partkey % 32 AS INTEGER) AS hp_idx,
+  l_orderkey % {batches} AS batch, CAST(sum(l_quantity) AS BIGINT) AS instances,
+  round(0.5 + 4 * avg(l_discount), 6) AS accuracy, round(0.95 - 4 * avg(l_tax), 6) AS recall,
+  round(0.5 + 3 * avg(l_discount), 6) AS precision FROM lineitem GROUP BY 1, 2, 3),
+{name} AS (SELECT exp, hp_idx, batch, instances, round(accuracy * 100, 6) AS accuracy,
+  round(recall * 100, 6) AS recall, round(precision * 100, 6) AS precision,
+  round(round(2 * precision * recall / (precision + recall), 6) * 100, 6) AS f1 FROM {name}_f)"""
+
+
+TIMES = """
+t AS (SELECT CAST(l_suppkey % 9 + 1 AS INTEGER) AS exp, CAST(l_partkey % 32 AS INTEGER) AS hp_idx,
+  count(DISTINCT l_orderkey % 20) AS jobs, CAST(sum(l_quantity) * 10 AS BIGINT) AS job_ms, count(*) AS tasks,
+  CAST(round(sum(l_extendedprice) / 100) AS BIGINT) AS task_ms, CAST(max(l_linenumber) AS INTEGER) AS depth
+  FROM lineitem GROUP BY 1, 2)"""
+
+SUMMARY = """
+s AS (SELECT exp, hp_idx, CAST(sum(instances) AS BIGINT) AS instances, round(avg(accuracy), 6) AS accuracy,
+  round(avg(recall), 6) AS recall, round(avg(precision), 6) AS precision, round(avg(f1), 6) AS f1
+  FROM m GROUP BY 1, 2)"""
+
+CUBE = """
+c AS (SELECT s.*, jobs, job_ms, tasks, task_ms, round(1000.0::DOUBLE * instances / job_ms, 6) AS throughput,
+  round(2.0::DOUBLE * task_ms / tasks, 6) AS latency FROM s JOIN t USING (exp, hp_idx))"""
+
+
+def norm(column: str, smaller: bool = False, over: str = "OVER ()") -> str:
+    low, high = f"min({column}) {over}", f"max({column}) {over}"
+    part = f"({high} - {column})" if smaller else f"({column} - {low})"
+    return f"{part} / nullif(CAST({high} - {low} AS DOUBLE), 0) * 100 AS norm_{column}"
+
+
+NORM_CUBE = f"""
+n0 AS (SELECT *, {", ".join(norm(c) for c in ("accuracy", "recall", "precision", "f1", "throughput"))},
+  {", ".join(norm(c, True) for c in ("job_ms", "task_ms", "latency"))} FROM c),
+n AS (SELECT *, (norm_job_ms + norm_task_ms) / 2 AS norm_joined_time FROM n0)"""
+
+LAST_HALF = """
+lh0 AS (SELECT exp, hp_idx, accuracy, row_number() OVER (PARTITION BY exp, hp_idx ORDER BY batch) AS no,
+  count(*) OVER (PARTITION BY exp, hp_idx) AS n FROM m),
+lh AS (SELECT exp, hp_idx, round(avg(accuracy) FILTER (no > n // 2), 6) AS last_half_accuracy
+  FROM lh0 GROUP BY 1, 2)"""
+
+SINGLE = """
+r AS (SELECT exp, hp_idx, oa AS overall_accuracy, f1, last_half_accuracy AS accuracy,
+  round(CAST(job_ms AS DOUBLE) / jobs, 6) AS job_ms, round(CAST(task_ms AS DOUBLE) / tasks, 2) AS task_ms, depth
+  FROM (SELECT exp, hp_idx, accuracy AS oa, f1 FROM s) JOIN lh USING (exp, hp_idx) JOIN t USING (exp, hp_idx))"""

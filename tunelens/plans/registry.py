@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tunelens.plans import queries_eventlog
+from tunelens.plans import queries_eventlog, queries_experiments
 
-_MODULES = [queries_eventlog]
+_MODULES = [queries_eventlog, queries_experiments]
 
 
 def _in_utc(query):
