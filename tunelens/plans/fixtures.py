@@ -209,7 +209,7 @@ def times(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return grouped.agg(
         F.expr("count(DISTINCT l_orderkey % 20) AS jobs"),
-        F.expr("CAST(sum(l_quantity) * 10 AS BIGINT) AS job_ms"),
+        F.expr("CAST(sum(l_quantity * (8 + l_linenumber % 5)) AS BIGINT) AS job_ms"),
         F.expr("count(*) AS tasks"),
         F.expr("CAST(round(sum(l_extendedprice) / 100) AS BIGINT) AS task_ms"),
     )

@@ -146,8 +146,9 @@ ORACLES = {
         (SELECT count(*) FROM jb WHERE jb.app = ap.app) AS jobs, (SELECT count(*) FROM ev WHERE ev.app = ap.app)
         AS tasks, CAST(8 AS BIGINT) AS executors, CAST(9 AS BIGINT) AS block_managers FROM ap""",
     "evlog_avg_times": f"""{_W}, a AS (SELECT app_id, round(avg(end_ms - submission_ms), 6) AS avg_job_ms
-        FROM jo GROUP BY app_id), b AS (SELECT app_id, round(avg({_RUN}) FILTER (end_reason = 'Success'), 2)
-        AS avg_task_ms FROM tk GROUP BY app_id) SELECT * FROM a LEFT JOIN b USING (app_id)""",
+        FROM jo GROUP BY app_id), b AS (SELECT app_id, CAST(sum({_RUN}) AS BIGINT) AS s, count(*) AS n
+        FROM tk WHERE end_reason = 'Success' GROUP BY app_id) SELECT app_id, avg_job_ms,
+        CAST((200 * s + n) // (2 * n) AS DOUBLE) / 100 AS avg_task_ms FROM a LEFT JOIN b USING (app_id)""",
     "evlog_kept_jobs": f"{_W} SELECT * FROM jo WHERE NOT ({_IGNORED_JOBS})",
     "evlog_cluster_times": f"""{_W}, a AS (SELECT app_id, count(*) AS jobs, CAST(sum(end_ms - submission_ms)
         AS BIGINT) AS job_ms FROM jo WHERE NOT ({_IGNORED_JOBS}) GROUP BY app_id),
