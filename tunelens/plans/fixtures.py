@@ -222,3 +222,69 @@ def depths(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy(F.expr("CAST(l_suppkey % 9 + 1 AS INT) AS exp"), F.expr("CAST(l_partkey % 32 AS INT) AS hp_idx"))
         .agg(F.expr("CAST(max(l_linenumber) AS INT) AS depth"))
     )
+
+
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+INSTANCE_FEATURES = ["f_value", "f_hour", "f_user", "f_k", "f_type"]
+
+
+def instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled instances: four numeric features, one nominal, a learnable binary label with 10 % noise."""
+    return table(spark, sf_dir, "events").selectExpr(
+        "event_id AS id",
+        "value AS f_value",
+        "CAST(hour(ts) AS DOUBLE) AS f_hour",
+        "CAST(user_id % 10 AS DOUBLE) AS f_user",
+        "CAST(get_json_object(props, '$.k') AS DOUBLE) AS f_k",
+        "event_type AS f_type",
+    ).selectExpr(
+        "*",
+        "CAST((f_value + f_k > 100) <> (id % 10 = 0) AS INT) AS label",
+        "CASE WHEN f_value + f_k < 60 THEN 0 WHEN f_value + f_k < 120 THEN 1 ELSE 2 END AS label3",
+    )
+
+
+def relation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The instances as a relation: id, features and class, with the nominal domains declared."""
+    from tunelens.sources.arff import with_domains
+
+    rows = instances(spark, sf_dir).select("id", *INSTANCE_FEATURES, "label")
+    return with_domains(rows, {"f_type": EVENT_TYPES, "label": ["0", "1"]})
+
+
+def tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled texts with author counters; some texts gain a hashtag, a user name or a link."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return docs.join(labels, "doc_id").selectExpr(
+        "doc_id AS id",
+        """concat(if(doc_id % 4 = 0, 'RT @user ', ''), text, if(doc_id % 3 = 0, concat(' #topic', doc_id % 10), ''),
+             if(doc_id % 5 = 0, concat(' SEE https://example.org/', doc_id), '')) AS text""",
+        "n_chars AS cntPosts",
+        "doc_id % 7 AS cntLists",
+        "doc_id % 1000 AS cntFollowers",
+        "doc_id % 300 AS cntFriends",
+        "doc_id % 3650 AS accountAge",
+        "CASE WHEN toxic = 1 THEN 'abusive' WHEN quality = 0 THEN 'spam' ELSE 'normal' END AS class",
+    )
+
+
+# The fixture lexicon, frequent tokens of the texts under arbitrary tags.
+LEXICON_TAGS = {
+    "adjective": "the der die das le la les un en el los ein ist est is",
+    "adverb": "of de que und et y to on in as by at zu von auf",
+    "verb": "was be are er es ou oi re it for with from an this that",
+    "swear": "rewh orre thatin inoran ononst orantion hehely ci vi pa tre ble tion ment eau",
+}
+
+
+def lexicon_rows() -> list[tuple[str, str, float | None]]:
+    rows = []
+    for tag, words in LEXICON_TAGS.items():
+        for i, word in enumerate(words.split()):
+            score = {0: 1.5, 1: -0.5, 2: None}[i % 3] if tag != "swear" else -2.0
+            rows.append((word, tag, score))
+    return rows
+
+
+def lexicon(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(lexicon_rows(), "token string, tag string, score double")

@@ -75,3 +75,19 @@ SINGLE = """
 r AS (SELECT exp, hp_idx, oa AS overall_accuracy, f1, last_half_accuracy AS accuracy,
   round(CAST(job_ms AS DOUBLE) / jobs, 6) AS job_ms, CAST((200 * task_ms + tasks) // (2 * tasks) AS DOUBLE) / 100 AS task_ms, depth
   FROM (SELECT exp, hp_idx, accuracy AS oa, f1 FROM s) JOIN lh USING (exp, hp_idx) JOIN t USING (exp, hp_idx))"""
+
+INSTANCES = """
+i0 AS (SELECT event_id AS id, value AS f_value, CAST(hour(ts) AS DOUBLE) AS f_hour,
+  CAST(user_id % 10 AS DOUBLE) AS f_user, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS f_k,
+  event_type AS f_type FROM events),
+i AS (SELECT *, CAST((f_value + f_k > 100) <> (id % 10 = 0) AS INTEGER) AS label,
+  CASE WHEN f_value + f_k < 60 THEN 0 WHEN f_value + f_k < 120 THEN 1 ELSE 2 END AS label3 FROM i0)"""
+
+TWEETS = """
+w AS (SELECT doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN 'RT @user ' ELSE '' END || text
+  || CASE WHEN doc_id % 3 = 0 THEN ' #topic' || doc_id % 10 ELSE '' END
+  || CASE WHEN doc_id % 5 = 0 THEN ' SEE https://example.org/' || doc_id ELSE '' END AS text,
+  n_chars AS cntPosts, doc_id % 7 AS cntLists, doc_id % 1000 AS cntFollowers, doc_id % 300 AS cntFriends,
+  doc_id % 3650 AS accountAge,
+  CASE WHEN toxic = 1 THEN 'abusive' WHEN quality = 0 THEN 'spam' ELSE 'normal' END AS class
+  FROM documents JOIN labels USING (doc_id))"""

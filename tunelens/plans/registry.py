@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tunelens.plans import queries_eventlog, queries_experiments
+from tunelens.plans import queries_eventlog, queries_experiments, queries_instances
 
-_MODULES = [queries_eventlog, queries_experiments]
+_MODULES = [queries_eventlog, queries_experiments, queries_instances]
 
 
 def _in_utc(query):
