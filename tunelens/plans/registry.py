@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tunelens.plans import queries_eventlog, queries_experiments, queries_instances
+from tunelens.plans import queries_eventlog, queries_experiments, queries_instances, queries_streaming
 
-_MODULES = [queries_eventlog, queries_experiments, queries_instances]
+_MODULES = [queries_eventlog, queries_experiments, queries_instances, queries_streaming]
 
 
 def _in_utc(query):
