@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -48,46 +49,53 @@ class LinearLearner:
     def load(self, state: dict) -> None:
         self.weights = {(name, c): w for name, c, w in state["weights"]}
 
-    def score(self, name: str, cls: int) -> Column:
-        *slopes, bias = self.weights[name, cls]
-        total = F.lit(bias)
-        for feature, w in zip(self.features, slopes):
-            total = total + F.lit(w) * F.col(feature)
-        return total
-
-    def _predicted(self, scores: Column) -> Column:
-        if self.classes is None:
-            return (scores[0] > 0).cast("int")
-        return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
+    def _models(self, names: list[str]) -> Column:
+        """(member, loss, w) of the named models; ``w`` holds slopes and bias by class. One literal, so that the
+        generated code stays the same from batch to batch."""
+        table = [
+            {"member": n, "loss": self.options[n].loss, "w": [self.weights[n, c] for c in range(self.classes or 1)]}
+            for n in names
+        ]
+        schema = "array<struct<member: string, loss: string, w: array<array<double>>>>"
+        return F.from_json(F.lit(json.dumps(table)), schema)
+
+    def _score(self, cls: int) -> str:
+        terms = [f"w[{cls}][{len(self.features)}]"]
+        terms += [f"w[{cls}][{i}] * `{f}`" for i, f in enumerate(self.features)]
+        return " + ".join(terms)
+
+    def _scored(self, batch: DataFrame, names: list[str]) -> DataFrame:
+        """One row per (row, model) with the scores by class and the prediction."""
+        scores = ", ".join(self._score(c) for c in range(self.classes or 1))
+        guess = "scores[0] > 0" if self.classes is None else "array_position(scores, array_max(scores)) - 1"
+        return (
+            batch.select("*", F.inline(self._models(names)))
+            .withColumn("scores", F.expr(f"array({scores})"))
+            .withColumn("prediction", F.expr(f"CAST({guess} AS INT)"))
+            .drop("w")
+        )
 
     def predict(self, df: DataFrame, name: str) -> DataFrame:
-        scores = F.array(*[self.score(name, c) for c in range(self.classes or 1)])
-        return df.withColumn("prediction", self._predicted(scores))
+        return self._scored(df, [name]).select(*df.columns, "prediction")
 
     def step(self, batch: DataFrame) -> list[tuple[str, int, int, int]]:
         """Predict with the current weights, count (name, label, prediction, n), then train.
 
         Scores, counts and gradient sums of all models come from one aggregation.
         """
-        members = F.array(
-            *[
-                F.struct(
-                    F.lit(name).alias("member"),
-                    F.lit(o.loss).alias("loss"),
-                    F.array(*[self.score(name, c) for c in range(self.classes or 1)]).alias("scores"),
-                )
-                for name, o in self.options.items()
-            ]
-        )
-        scored = batch.select(*self.features, "label", F.inline(members)).withColumn(
-            "prediction", self._predicted(F.col("scores"))
-        )
-        each = scored.select("*", F.posexplode("scores").alias("cls", "s")).drop("scores")
-        target = F.col("label") if self.classes is None else (F.col("label") == F.col("cls"))
-        each = each.withColumn("y", target.cast("double")).withColumn("slope", _slope())
-        sums = each.groupBy("member", "cls", "label", "prediction").agg(
-            F.count("*").alias("n"),
-            F.array(*[F.sum(F.col("slope") * F.col(f)) for f in self.features], F.sum("slope")).alias("gradient"),
+        rows = self._scored(batch.select(*self.features, "label"), list(self.options))
+        if self.classes is None:
+            each = rows.selectExpr("*", "0 AS cls", "scores[0] AS s", "CAST(label AS DOUBLE) AS y")
+        else:
+            each = rows.selectExpr("*", "posexplode(scores) AS (cls, s)").selectExpr("*", "CAST(label = cls AS DOUBLE) AS y")
+        sums = (
+            each.drop("scores")
+            .withColumn("slope", F.expr(SLOPE))
+            .groupBy("member", "cls", "label", "prediction")
+            .agg(
+                F.count("*").alias("n"),
+                F.expr(f"array({', '.join(f'sum(slope * `{f}`)' for f in self.features)}, sum(slope)) AS gradient"),
+            )
         )
         return self._learn(sums.collect())  # at most members * classes^3 rows
 
@@ -107,16 +115,11 @@ class LinearLearner:
         return [(*key, n) for key, n in counts.items()]
 
 
-def _slope() -> Column:
-    """Derivative of the loss by the score, per row."""
-    s, y = F.col("s"), F.col("y")
-    sign = 2 * y - 1
-    return (
-        F.when(F.col("loss") == "LogisticLoss", F.lit(1.0) / (F.lit(1.0) + F.exp(-s)) - y)
-        .when(F.col("loss") == "SquaredLoss", s - sign)
-        .when(F.col("loss") == "HingeLoss", F.when(sign * s < 1, -sign).otherwise(0.0))
-        .otherwise(F.when(sign * s <= 0, -sign).otherwise(0.0))
-    )
+# Derivative of the loss by the score, per row.
+SLOPE = """CASE loss WHEN 'LogisticLoss' THEN 1.0D / (1.0D + exp(-s)) - y
+    WHEN 'SquaredLoss' THEN s - (2 * y - 1)
+    WHEN 'HingeLoss' THEN IF((2 * y - 1) * s < 1, 1 - 2 * y, 0.0D)
+    ELSE IF((2 * y - 1) * s <= 0, 1 - 2 * y, 0.0D) END"""
 
 
 def _descend(weights: list[float], gradient: list[float], o: LinearOptions) -> list[float]:

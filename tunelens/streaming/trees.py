@@ -6,6 +6,7 @@ built from the trees, predicted, counted and reduced to new leaf sums, for all t
 
 from __future__ import annotations
 
+import json
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
@@ -103,11 +104,9 @@ class Tree:
 
     # Routing -----------------------------------------------------------------------------------------------------
 
-    def route(self) -> Column:
-        """Node number of the leaf a row falls into. NULL and unknown values take the last branch."""
-        if len(self.leaves()) <= CASE_LEAVES:
-            return F.expr(self._case(0))
-        return F.expr(self._walk())
+    def route(self) -> str:
+        """SQL for the node number of the leaf a row falls into. NULL and unknown values take the last branch."""
+        return self._case(0) if len(self.leaves()) <= CASE_LEAVES else self._walk()
 
     def _case(self, at: int) -> str:
         node = self.nodes[at]
@@ -153,13 +152,6 @@ class Tree:
         node = self.nodes[at]
         return np.asarray(node.inherited) + node.sums["n"]
 
-    def by_leaf(self, value) -> Column:
-        """Constant per leaf, looked up by node number."""
-        table = {i: value(i) for i in self.leaves()}
-        filler = next(iter(table.values()))
-        cells = [table.get(i, filler) for i in range(len(self.nodes))]
-        return F.expr(f"array({', '.join(f'{c!r}D' if isinstance(c, float) else str(c) for c in cells)})")
-
     def majority(self, at: int) -> int:
         return int(np.argmax(self.class_mass(at)))
 
@@ -174,29 +166,33 @@ class Tree:
             return False
         return o.leaf_kind == 1 or node.right_bayes > node.right_majority
 
-    def bayes_row(self, at: int) -> tuple:
-        """(priors by class; per feature and class: mean, deviation; per nominal feature, class and value: log share)."""
+    def bayes_model(self, at: int) -> dict | None:
+        """Log priors by class; per feature mean and deviation by class, or log shares by class and value."""
+        if not self.options.leaf_kind or self.nodes[at].sums["n"].sum() == 0:
+            return None
         sums, c = self.nodes[at].sums, self.classes
         n = sums["n"]
-        prior = [float(np.log(v / n.sum())) if v > 0 else NO_CHANCE for v in n]
-        means, deviations, shares = [], [], []
+        model = {
+            "trusted": self.uses_bayes(at),
+            "prior": [float(np.log(v / n.sum())) if v > 0 else NO_CHANCE for v in n],
+            "mean": [], "deviation": [], "share": [],
+        }
         for i, f in enumerate(self.features):
             s = sums.get(i)
-            if s is None or f.values:
-                means.append([0.0] * c)
-                deviations.append([0.0] * c)
-            else:
-                count = np.maximum(s["n"], 1e-300)
-                mean = np.where(s["n"] > 0, s["sum"] / count, 0.0)
-                sd = np.sqrt(np.maximum(np.where(s["n"] > 0, s["sq"] / count, 0.0) - mean * mean, 0.0))
-                means.append([float(v) for v in mean])
-                deviations.append([float(v) for v in np.maximum(sd, SD_FLOOR)])
+            mean, sd, shares = [0.0] * c, [0.0] * c, []
             if s is not None and f.values:
-                smooth = (s["values"] + 1.0) / (s["values"].sum(axis=0) + f.values)
-                shares.append([[float(v) for v in np.log(smooth[:, k])] for k in range(c)])
-            else:
-                shares.append([])
-        return prior, means, deviations, shares
+                smooth = np.log((s["values"] + 1.0) / (s["values"].sum(axis=0) + f.values))
+                shares = smooth.T.tolist()
+            elif s is not None:
+                count = np.maximum(s["n"], 1e-300)
+                centre = np.where(s["n"] > 0, s["sum"] / count, 0.0)
+                spread = np.where(s["n"] > 0, s["sq"] / count, 0.0) - centre * centre
+                mean = centre.tolist()
+                sd = np.maximum(np.sqrt(np.maximum(spread, 0.0)), SD_FLOOR).tolist()
+            model["mean"].append(mean)
+            model["deviation"].append(sd)
+            model["share"].append(shares)
+        return model
 
     # Learning ----------------------------------------------------------------------------------------------------
 
@@ -306,7 +302,7 @@ _SPAN = 2**31
 
 
 def mix_int(value: int, salt: int) -> int:
-    """Integer mix below 2^31; the same steps as :func:`mix`."""
+    """Integer mix below 2^31; the same steps as :func:`mix_sql`."""
     a = (value % _SPAN * 1103515245 + (value // _SPAN) % _SPAN * 69069 + (salt + 1) * 12345) % _SPAN
     a ^= a >> 15
     a = (a * 1664525 + (salt + 1) * 1013904223) % _SPAN
@@ -314,15 +310,14 @@ def mix_int(value: int, salt: int) -> int:
     return (a * 22695477 + 1) % _SPAN
 
 
-def mix(value: Column, salt: int) -> Column:
-    """Repeatable integer mix of a row number, below 2^31."""
-    span = F.lit(_SPAN).cast("bigint")
-    low, high = F.pmod(value, span), F.pmod(F.floor(value / span), span)
-    a = F.pmod(low * 1103515245 + high * 69069 + F.lit((salt + 1) * 12345), span)
-    a = a.bitwiseXOR(F.shiftright(a, 15))
-    a = F.pmod(a * 1664525 + F.lit((salt + 1) * 1013904223).cast("bigint"), span)
-    a = a.bitwiseXOR(F.shiftright(a, 13))
-    return F.pmod(a * 22695477 + 1, span)
+def mix_sql(value: str, salt: str) -> str:
+    """SQL for a repeatable integer mix of a row number, below 2^31."""
+    first = (
+        f"pmod(pmod({value}, {_SPAN}L) * 1103515245L + pmod({value} div {_SPAN}L, {_SPAN}L) * 69069L "
+        f"+ ({salt} + 1) * 12345L, {_SPAN}L)"
+    )
+    second = f"pmod(({first} ^ shiftright({first}, 15)) * 1664525L + ({salt} + 1) * 1013904223L, {_SPAN}L)"
+    return f"pmod(({second} ^ shiftright({second}, 13)) * 22695477L + 1L, {_SPAN}L)"
 
 
 def poisson_steps(rate: float) -> list[int]:
@@ -336,11 +331,11 @@ def poisson_steps(rate: float) -> list[int]:
     return steps
 
 
-def poisson_weight(key: Column, rate: float, salt: int) -> Column:
-    """Poisson draw fixed by the row and the tree: inverse distribution function of the mixed key."""
-    steps = F.array(*[F.lit(s).cast("bigint") for s in poisson_steps(rate)])
-    drawn = mix(key, salt)
-    return F.size(F.filter(steps, lambda s: s <= drawn)).cast("double")
+def poisson_sql(drawn: str, rate: float) -> str:
+    """SQL for a Poisson draw: the inverse distribution function of a mixed number."""
+    steps = poisson_steps(rate)
+    whens = " ".join(f"WHEN {drawn} < {step}L THEN {k}.0D" for k, step in enumerate(steps))
+    return f"CASE {whens} ELSE {len(steps)}.0D END"
 
 
 # Ensembles -----------------------------------------------------------------------------------------------------------
@@ -350,6 +345,7 @@ class TreeLearner:
     """Named trees trained side by side, each predicting for itself: one tree, a grid of settings, or ablations."""
 
     votes = False
+    key = None
 
     def __init__(
         self,
@@ -375,111 +371,115 @@ class TreeLearner:
         for name, nodes in state.items():
             self.trees[name].load(nodes)
 
-    def target(self, name: str) -> Column:
-        return F.col("label")
+    def _target(self) -> str:
+        """SQL for the class a tree learns; ``m`` is the number of the tree."""
+        return "label"
 
-    def weight(self, name: str) -> Column:
-        return F.lit(1.0)
+    def _weight(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("w", F.lit(1.0))
 
-    def _vote(self, leaves: dict[str, Column]) -> Column:
+    def _vote(self) -> str:
+        """SQL for the votes by class, from ``shares``: class shares by tree."""
         raise NotImplementedError
 
-    def _spread(self, batch: DataFrame) -> DataFrame:
-        """One row per (row, tree): leaf, target, weight and the majority prediction."""
-        routed = batch.withColumns({f"_leaf_{k}": t.route() for k, t in enumerate(self.trees.values())})
-        leaves = {name: F.col(f"_leaf_{k}") for k, name in enumerate(self.trees)}
-        vote = self._vote(leaves) if self.votes else F.lit(None).cast("int")
-        members = F.array(
-            *[
-                F.struct(
-                    F.lit(name).alias("member"),
-                    leaf.alias("leaf"),
-                    self.target(name).cast("int").alias("y"),
-                    self.weight(name).alias("w"),
-                    self.trees[name].by_leaf(self.trees[name].majority)[leaf].alias("majority"),
-                )
-                for name, leaf in leaves.items()
-            ]
-        )
-        names = [f.name for f in self.features]
-        return routed.withColumn("vote", vote).select(*names, "label", "vote", F.inline(members))
-
-    def _bayes(self, rows: DataFrame) -> DataFrame:
-        """Add the naive Bayes prediction, and which of the two the leaf trusts."""
+    def _models(self, spark) -> DataFrame:
+        """One row per leaf: what it predicts. Built from one literal, sized by the model and never by the data."""
         table = []
-        for name, tree in self.trees.items():
-            for at in tree.leaves():
-                if tree.options.leaf_kind and tree.nodes[at].sums["n"].sum() > 0:
-                    table.append((name, at, tree.uses_bayes(at), *tree.bayes_row(at)))
-        if not table:
-            return rows.withColumn("bayes", F.lit(None).cast("int")).withColumn("trusts_bayes", F.lit(False))
+        for m, t in enumerate(self.trees.values()):
+            for at in t.leaves():
+                table.append({"m": m, "leaf": at, "majority": t.majority(at), "model": t.bayes_model(at)})
         schema = (
-            "member string, leaf int, trusts_bayes boolean, prior array<double>, mean array<array<double>>, "
-            "deviation array<array<double>>, share array<array<array<double>>>"
+            "array<struct<m: int, leaf: int, majority: int, model: struct<trusted: boolean, prior: array<double>, "
+            "mean: array<array<double>>, deviation: array<array<double>>, share: array<array<array<double>>>>>>"
         )
-        models = rows.sparkSession.createDataFrame(table, schema)
-        if len(table) <= BROADCAST_LEAVES:
-            models = F.broadcast(models)
-        joined = rows.join(models, ["member", "leaf"], "left")
-        scores = F.array(*[self._log_likelihood(c) for c in range(self.classes)])
-        joined = joined.withColumn("_scores", scores)
-        guess = (F.array_position("_scores", F.array_max("_scores")) - 1).cast("int")
-        return joined.withColumn("bayes", F.when(F.col("prior").isNotNull(), guess)).drop(
-            "prior", "mean", "deviation", "share", "_scores"
+        models = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(table)), schema)))
+        return F.broadcast(models) if len(table) <= BROADCAST_LEAVES else models
+
+    def _shares(self) -> Column:
+        """Class shares of the leaves each row falls into, one array per tree."""
+        table = [
+            [[t.share(i, c) for c in range(t.classes)] if n.is_leaf else None for i, n in enumerate(t.nodes)]
+            for t in self.trees.values()
+        ]
+        known = F.from_json(F.lit(json.dumps(table)), "array<array<array<double>>>")
+        leaves = F.array(*[F.col(f"leaf_{k}") for k in range(len(self.trees))])
+        return F.transform(leaves, lambda leaf, k: known[k][leaf])
+
+    def _spread(self, batch: DataFrame) -> DataFrame:
+        """One row per (row, tree): its leaf, target and weight, and what the leaf predicts."""
+        kept = [f.name for f in self.features] + ["label"] + ([self.key] if self.key else [])
+        leaves = [f"leaf_{k}" for k in range(len(self.trees))]
+        routed = batch.selectExpr(*kept, *[f"{t.route()} AS {c}" for c, t in zip(leaves, self.trees.values())])
+        if self.votes:
+            routed = routed.withColumn("shares", self._shares()).withColumn("votes", F.expr(self._vote()))
+            vote = "CAST(array_position(votes, array_max(votes)) - 1 AS INT) AS vote"
+            routed = routed.selectExpr(*kept, *leaves, vote)
+        else:
+            routed = routed.selectExpr(*kept, *leaves, "CAST(NULL AS INT) AS vote")
+        rows = routed.selectExpr(*kept, "vote", f"posexplode(array({', '.join(leaves)})) AS (m, leaf)")
+        rows = rows.withColumn("y", F.expr(f"CAST({self._target()} AS INT)"))
+        return self._weight(rows)
+
+    def _predicted(self, rows: DataFrame) -> DataFrame:
+        """Add the majority and the naive Bayes prediction of each leaf (NULL where it has none), and the one used."""
+        classes = range(next(iter(self.trees.values())).classes)
+        scores = f"array({', '.join(self._log_likelihood(c) for c in classes)})"
+        own = "IF(coalesce(model.trusted, false), bayes, majority)"
+        return (
+            rows.join(self._models(rows.sparkSession), ["m", "leaf"])
+            .withColumn("scores", F.expr(f"IF(model IS NULL, NULL, {scores})"))
+            .withColumn("bayes", F.expr("CAST(array_position(scores, array_max(scores)) - 1 AS INT)"))
+            .withColumn("prediction", F.expr("vote" if self.votes else own))
+            .drop("model", "scores")
         )
 
-    def _log_likelihood(self, c: int) -> Column:
-        total = F.col("prior")[c]
+    def _log_likelihood(self, c: int) -> str:
+        terms = [f"model.prior[{c}]"]
         for i, f in enumerate(self.features):
-            x = F.col(f.name)
+            x = f"`{f.name}`"
             if f.values:
-                known = (F.size(F.col("share")[i]) > 0) & (x >= 0) & (x < f.values)
-                term = F.when(known, F.col("share")[i][c][x.cast("int")])
+                known = f"size(model.share[{i}]) > 0 AND {x} >= 0 AND {x} < {f.values}"
+                term = f"IF({known}, model.share[{i}][{c}][CAST({x} AS INT)], 0.0D)"
             else:
-                sd, gap = F.col("deviation")[i][c], x - F.col("mean")[i][c]
-                term = F.when(sd > 0, -F.log(sd) - gap * gap / (2 * sd * sd))
-            total = total + F.coalesce(term, F.lit(0.0))
-        return total
+                sd, gap = f"model.deviation[{i}][{c}]", f"({x} - model.mean[{i}][{c}])"
+                term = f"IF({sd} > 0, -ln({sd}) - {gap} * {gap} / (2 * {sd} * {sd}), 0.0D)"
+            terms.append(f"coalesce({term}, 0.0D)")
+        return " + ".join(terms)
 
     def step(self, batch: DataFrame) -> list[tuple[str, int, int, int]]:
         """Predict with the trees as they are, count (name, label, prediction, n), then train and try splits."""
-        rows = self._bayes(self._spread(batch))
-        own = F.when(F.coalesce("trusts_bayes", F.lit(False)), F.coalesce("bayes", "majority")).otherwise(
-            F.col("majority")
-        )
-        rows = rows.withColumn("prediction", F.col("vote") if self.votes else own)
-        groups = rows.groupBy("member", "leaf", "y", "label", "prediction", "majority", "bayes").agg(
+        rows = self._predicted(self._spread(batch))
+        groups = rows.groupBy("m", "leaf", "y", "label", "prediction", "majority", "bayes").agg(
             F.count("*").alias("rows"), F.sum("w").alias("w"), *self._sums()
         )
         # Bounded by the model: leaves times class combinations.
         return self._learn(groups.collect())
 
     def _sums(self) -> list[Column]:
-        w, out = F.col("w"), []
+        out = []
         for i, f in enumerate(self.features):
-            x = F.col(f.name)
+            x = f"`{f.name}`"
             if f.values:
-                hits = [F.sum(F.when(x == v, w).otherwise(0.0)) for v in range(f.values)]
-                out.append(F.array(*hits).alias(f"v_{i}"))
+                hits = ", ".join(f"sum(IF({x} = {v}, w, 0.0D))" for v in range(f.values))
+                out.append(f"array({hits}) AS v_{i}")
             else:
-                known = F.when(x.isNotNull(), w)
-                counted = F.when(w > 0, x)
                 out += [
-                    F.sum(known).alias(f"n_{i}"),
-                    F.sum(w * x).alias(f"s_{i}"),
-                    F.sum(w * x * x).alias(f"q_{i}"),
-                    F.min(counted).alias(f"a_{i}"),
-                    F.max(counted).alias(f"b_{i}"),
+                    f"sum(IF({x} IS NULL, NULL, w)) AS n_{i}",
+                    f"sum(w * {x}) AS s_{i}",
+                    f"sum(w * {x} * {x}) AS q_{i}",
+                    f"min(IF(w > 0, {x}, NULL)) AS a_{i}",
+                    f"max(IF(w > 0, {x}, NULL)) AS b_{i}",
                 ]
-        return out
+        return [F.expr(e) for e in out]
 
     def _learn(self, groups) -> list[tuple[str, int, int, int]]:
         counts: dict[tuple[str, int, int], int] = {}
-        order = ("member", "leaf", "y", "label", "prediction", "majority")
+        names = list(self.trees)
+        order = ("m", "leaf", "y", "label", "prediction", "majority")
         for g in sorted(groups, key=lambda g: tuple(g[k] for k in order) + (g["bayes"] is None, g["bayes"] or 0)):
-            tree, at = self.trees[g["member"]], g["leaf"]
-            if not self.votes or g["member"] == next(iter(self.trees)):
-                name = "ensemble" if self.votes else g["member"]
+            tree, at = self.trees[names[g["m"]]], g["leaf"]
+            if not self.votes or g["m"] == 0:
+                name = "ensemble" if self.votes else names[g["m"]]
                 key = (name, g["label"], g["prediction"])
                 counts[key] = counts.get(key, 0) + g["rows"]
             if g["w"] > 0:
@@ -500,16 +500,11 @@ class OneVsRestTrees(TreeLearner):
     def __init__(self, features: list[Feature], classes: int, options: TreeOptions):
         super().__init__(features, 2, {str(c): options for c in range(classes)})
 
-    def target(self, name: str) -> Column:
-        return F.col("label") == int(name)
+    def _target(self) -> str:
+        return "label = m"
 
-    def _vote(self, leaves: dict[str, Column]) -> Column:
-        scores = []
-        for name, leaf in leaves.items():
-            tree = self.trees[name]
-            scores.append(tree.by_leaf(lambda at, tree=tree: tree.share(at, 1))[leaf])
-        scores = F.array(*scores)
-        return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
+    def _vote(self) -> str:
+        return "transform(shares, s -> s[1])"
 
 
 class Forest(TreeLearner):
@@ -538,19 +533,13 @@ class Forest(TreeLearner):
         for k, tree in enumerate(self.trees.values()):
             tree.subset, tree.seed = drawn, k
 
-    def weight(self, name: str) -> Column:
-        return poisson_weight(F.col(self.key), self.rate, int(name))
+    def _weight(self, rows: DataFrame) -> DataFrame:
+        drawn = rows.withColumn("drawn", F.expr(mix_sql(f"`{self.key}`", "m")))
+        return drawn.withColumn("w", F.expr(poisson_sql("drawn", self.rate))).drop("drawn")
 
-    def _vote(self, leaves: dict[str, Column]) -> Column:
-        totals = []
-        for c in range(self.classes):
-            total = F.lit(0.0)
-            for name, leaf in leaves.items():
-                tree = self.trees[name]
-                total = total + tree.by_leaf(lambda at, tree=tree, c=c: tree.share(at, c))[leaf]
-            totals.append(total)
-        totals = F.array(*totals)
-        return (F.array_position(totals, F.array_max(totals)) - 1).cast("int")
+    def _vote(self) -> str:
+        none = f"array_repeat(0.0D, {self.classes})"
+        return f"aggregate(shares, {none}, (total, s) -> zip_with(total, s, (a, b) -> a + b))"
 
 
 # Statistics as tables ------------------------------------------------------------------------------------------------
@@ -561,7 +550,7 @@ def leaf_statistics(learner: TreeLearner, batch: DataFrame) -> DataFrame:
 
     A numeric attribute has one row per leaf and class, a nominal one a row per value.
     """
-    groups = learner._spread(batch).groupBy("member", "leaf", "y").agg(F.sum("w").alias("w"), *learner._sums())
+    groups = learner._spread(batch).groupBy("m", "leaf", "y").agg(F.sum("w").alias("w"), *learner._sums())
     none = F.lit(None).cast("double")
     cells = []
     for i, f in enumerate(learner.features):
@@ -582,7 +571,8 @@ def leaf_statistics(learner: TreeLearner, batch: DataFrame) -> DataFrame:
                     F.col(f"a_{i}").alias("min"), F.col(f"b_{i}").alias("max"),
                 )
             )
-    return groups.select("member", "leaf", "y", F.inline(F.array(*cells)))
+    member = F.element_at(F.array(*map(F.lit, learner.trees)), F.col("m") + 1).alias("member")
+    return groups.select(member, "leaf", "y", F.inline(F.array(*cells)))
 
 
 def split_scores(stats: DataFrame, classes: int, options: TreeOptions) -> DataFrame:
