@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tunelens.operators import features as feats
 from tunelens.operators import profile
 from tunelens.plans import fixtures, grids
-from tunelens.plans import oracle_views as v
+from tunelens.plans.oracle_streaming import ORACLES  # noqa: F401
 from tunelens.session import scratch_path
 from tunelens.sources import replay
 from tunelens.streaming import evaluate
@@ -211,5 +211,3 @@ QUERIES = {
     "outlier_prequential": _outliers,
     "stream_prequential": _stream,
 }
-
-ORACLES = {}
