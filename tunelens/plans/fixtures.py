@@ -55,128 +55,108 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     apps = stages.groupBy("app").agg(F.min("first").alias("start"), F.max("last").alias("last"))
 
-    task_start = rows.selectExpr(
-        "app",
-        "event_id * 100 AS ord",
-        """to_json(named_struct('Event', 'SparkListenerTaskStart', 'Stage ID', stage, 'Stage Attempt ID', 0,
-             'Task Info', named_struct('Task ID', event_id, 'Index', event_id % 100, 'Executor ID', executor,
-               'Launch Time', launch, 'Locality', if(k % 3 = 0, 'NODE_LOCAL', 'PROCESS_LOCAL'),
-               'Speculative', false, 'Finish Time', 0, 'Failed', false))) AS value""",
+    def line(ord_: str, event: str, fields: str, when: str = "true") -> str:
+        text = f"to_json(named_struct('Event', 'SparkListener{event}'{', ' + fields if fields else ''}))"
+        return f"IF({when}, named_struct('ord', {ord_}, 'value', {text}), NULL)"
+
+    def spread(source: DataFrame, *lines: str) -> DataFrame:
+        # One pass over the source for all its lines.
+        return source.selectExpr("app", f"inline(array_compact(array({', '.join(lines)})))")
+
+    task_lines = spread(
+        rows,
+        line(
+            "event_id * 100",
+            "TaskStart",
+            """'Stage ID', stage, 'Stage Attempt ID', 0,
+            'Task Info', named_struct('Task ID', event_id, 'Index', event_id % 100, 'Executor ID', executor,
+              'Launch Time', launch, 'Locality', if(k % 3 = 0, 'NODE_LOCAL', 'PROCESS_LOCAL'),
+              'Speculative', false, 'Finish Time', 0, 'Failed', false)""",
+        ),
+        line(
+            "event_id * 100 + 1",
+            "TaskEnd",
+            """'Stage ID', stage, 'Task Type', 'ResultTask',
+            'Task End Reason', named_struct('Reason', if(event_type = 'error', 'ExceptionFailure', 'Success')),
+            'Task Info', named_struct('Task ID', event_id, 'Index', event_id % 100, 'Failed', event_type = 'error',
+              'Finish Time', finish, 'Getting Result Time', 0),
+            'Task Metrics', named_struct('Disk Bytes Spilled', 0, 'Memory Bytes Spilled', 1024 * k,
+              'Executor Deserialize Time', k % 7, 'Executor Run Time', finish - launch - k % 5,
+              'JVM GC Time', k % 3, 'Result Serialization Time', 1, 'Result Size', 10 * k)""",
+            "event_id % 97 <> 0",
+        ),
     )
-    task_end = rows.where("event_id % 97 <> 0").selectExpr(
-        "app",
-        "event_id * 100 + 1 AS ord",
-        """to_json(named_struct('Event', 'SparkListenerTaskEnd', 'Stage ID', stage, 'Task Type', 'ResultTask',
-             'Task End Reason', named_struct('Reason', if(event_type = 'error', 'ExceptionFailure', 'Success')),
-             'Task Info', named_struct('Task ID', event_id, 'Index', event_id % 100, 'Failed', event_type = 'error',
-               'Finish Time', finish, 'Getting Result Time', 0),
-             'Task Metrics', named_struct('Disk Bytes Spilled', 0, 'Memory Bytes Spilled', 1024 * k,
-               'Executor Deserialize Time', k % 7, 'Executor Run Time', finish - launch - k % 5,
-               'JVM GC Time', k % 3, 'Result Serialization Time', 1, 'Result Size', 10 * k))) AS value""",
-    )
-    stage_info = """transform(parts, p -> named_struct('Stage ID', p.stage, 'Stage Attempt ID', 0,
+    infos = """transform(parts, p -> named_struct('Stage ID', p.stage, 'Stage Attempt ID', 0,
         'Stage Name', concat('stage ', p.stage), 'Number of Tasks',
         if(p.stage % 2 = 1 AND job % 11 = 0, 0, p.n), 'Details', concat('details ', p.stage),
         'RDD Info', array(named_struct('RDD ID', p.stage, 'Name', if(job % 13 = 0, 'Receiver 0', 'MapPartitionsRDD'),
           'Storage Level', named_struct('Use Disk', false, 'Replication', 1 + p.stage % 2),
           'Number of Partitions', 4, 'Memory Size', 1000 * p.stage, 'Disk Size', 0))))"""
-    job_start = jobs.selectExpr(
-        "app",
-        "job * 10000 - 50 AS ord",
-        f"""to_json(named_struct('Event', 'SparkListenerJobStart', 'Job ID', job, 'Submission Time', submission,
-              'Stage Infos', {stage_info})) AS value""",
-    )
-    job_restart = jobs.where("job % 19 = 0").selectExpr(
-        "app",
-        "(job + 1) * 10000 - 60 AS ord",
-        f"""to_json(named_struct('Event', 'SparkListenerJobStart', 'Job ID', job, 'Submission Time', submission + 5,
-              'Stage Infos', {stage_info})) AS value""",
-    )
-    job_end = jobs.selectExpr(
-        "app",
-        "(job + 1) * 10000 - 70 AS ord",
-        """to_json(named_struct('Event', 'SparkListenerJobEnd', 'Job ID', job,
-             'Completion Time', submission + 1000 + 7 * (job % 50),
-             'Job Result', named_struct('Result', if(job % 17 = 0, 'JobFailed', 'JobSucceeded')))) AS value""",
+    job_lines = spread(
+        jobs.withColumn("infos", F.expr(infos)),
+        line("job * 10000 - 50", "JobStart", "'Job ID', job, 'Submission Time', submission, 'Stage Infos', infos"),
+        line(
+            "(job + 1) * 10000 - 60",
+            "JobStart",
+            "'Job ID', job, 'Submission Time', submission + 5, 'Stage Infos', infos",
+            "job % 19 = 0",
+        ),
+        line(
+            "(job + 1) * 10000 - 70",
+            "JobEnd",
+            """'Job ID', job, 'Completion Time', submission + 1000 + 7 * (job % 50),
+            'Job Result', named_struct('Result', if(job % 17 = 0, 'JobFailed', 'JobSucceeded'))""",
+        ),
     )
-    completion = """to_json(named_struct('Event', 'SparkListenerStageCompleted', 'Stage Info',
-        named_struct('Stage ID', stage, 'Submission Time', {sub}, 'Completion Time', {done}))) AS value"""
-    stage_done = stages.selectExpr(
-        "app", "(job + 1) * 10000 - 80 + stage % 2 AS ord", completion.format(sub="first", done="last")
-    )
-    stage_early = stages.where("job % 23 = 0").selectExpr(
-        "app", "(job + 1) * 10000 - 90 + stage % 2 AS ord", completion.format(sub="0", done="0")
+    info = "'Stage Info', named_struct('Stage ID', stage, 'Submission Time', {}, 'Completion Time', {})"
+    stage_lines = spread(
+        stages,
+        line("(job + 1) * 10000 - 80 + stage % 2", "StageCompleted", info.format("first", "last")),
+        line("(job + 1) * 10000 - 90 + stage % 2", "StageCompleted", info.format("0L", "0L"), "job % 23 = 0"),
     )
     head = apps.selectExpr("app", "app * 500000 - 1000 AS base", "start", "last")
-    log_start = head.selectExpr(
-        "app",
-        "base AS ord",
-        "to_json(named_struct('Event', 'SparkListenerLogStart', 'Spark Version', '4.1.2')) AS value",
-    )
-    environment = head.selectExpr(
-        "app",
-        "base + 1 AS ord",
-        """to_json(named_struct('Event', 'SparkListenerEnvironmentUpdate',
-             'JVM Information', named_struct('Java Version', '17'),
-             'Spark Properties', named_struct('spark.app.name', 'fixture', 'spark.app.id', concat('app-', app),
-               'spark.executor.memory', if(app % 2 = 1, NULL, '1g')),
-             'System Properties', named_struct('sun.java.command', 'fixture'))) AS value""",
-    )
-    app_start = head.selectExpr(
-        "app",
-        "base + 2 AS ord",
-        "to_json(named_struct('Event', 'SparkListenerApplicationStart', 'Timestamp', start)) AS value",
-    )
-    app_end = head.where("app > 0").selectExpr(
-        "app",
-        "(app + 1) * 500000 - 2000 AS ord",
-        "to_json(named_struct('Event', 'SparkListenerApplicationEnd', 'Timestamp', last + 1000)) AS value",
-    )
-    per_executor = head.selectExpr("app", "base", "start", "explode(sequence(0, 7)) AS x")
-    added = per_executor.selectExpr(
-        "app",
-        "base + 10 + x AS ord",
-        """to_json(named_struct('Event', 'SparkListenerExecutorAdded', 'Timestamp', start,
-             'Executor ID', CAST(x AS STRING),
-             'Executor Info', named_struct('Host', concat('h', x), 'Total Cores', 1 + x % 4))) AS value""",
-    )
-    managers = per_executor.selectExpr(
-        "app",
-        "base + 30 + x AS ord",
-        """to_json(named_struct('Event', 'SparkListenerBlockManagerAdded',
-             'Block Manager ID', named_struct('Executor ID', CAST(x AS STRING), 'Host', concat('h', x)),
-             'Maximum Memory', 100000000 * CAST(x + 1 AS BIGINT), 'Timestamp', start)) AS value""",
-    )
-    driver = head.selectExpr(
-        "app",
-        "base + 40 AS ord",
-        """to_json(named_struct('Event', 'SparkListenerBlockManagerAdded',
-             'Block Manager ID', named_struct('Executor ID', 'driver', 'Host', 'h'),
-             'Maximum Memory', 50000000, 'Timestamp', start)) AS value""",
+    app_lines = spread(
+        head,
+        line("base", "LogStart", "'Spark Version', '4.1.2'"),
+        line(
+            "base + 1",
+            "EnvironmentUpdate",
+            """'JVM Information', named_struct('Java Version', '17'),
+            'Spark Properties', named_struct('spark.app.name', 'fixture', 'spark.app.id', concat('app-', app),
+              'spark.executor.memory', if(app % 2 = 1, NULL, '1g')),
+            'System Properties', named_struct('sun.java.command', 'fixture')""",
+        ),
+        line("base + 2", "ApplicationStart", "'Timestamp', start"),
+        line("(app + 1) * 500000 - 2000", "ApplicationEnd", "'Timestamp', last + 1000", "app > 0"),
+        line(
+            "base + 40",
+            "BlockManagerAdded",
+            """'Block Manager ID', named_struct('Executor ID', 'driver', 'Host', 'h'),
+            'Maximum Memory', 50000000L, 'Timestamp', start""",
+        ),
+        line(
+            "(app + 1) * 500000 - 3000",
+            "ExecutorRemoved",
+            "'Timestamp', start + 60000, 'Executor ID', '7', 'Removed Reason', 'lost'",
+        ),
     )
-    removed = head.selectExpr(
-        "app",
-        "(app + 1) * 500000 - 3000 AS ord",
-        """to_json(named_struct('Event', 'SparkListenerExecutorRemoved', 'Timestamp', start + 60000,
-             'Executor ID', '7', 'Removed Reason', 'lost')) AS value""",
+    executor_lines = spread(
+        head.selectExpr("app", "base", "start", "explode(sequence(0, 7)) AS x"),
+        line(
+            "base + 10 + x",
+            "ExecutorAdded",
+            """'Timestamp', start, 'Executor ID', CAST(x AS STRING),
+            'Executor Info', named_struct('Host', concat('h', x), 'Total Cores', 1 + x % 4)""",
+        ),
+        line(
+            "base + 30 + x",
+            "BlockManagerAdded",
+            """'Block Manager ID', named_struct('Executor ID', CAST(x AS STRING), 'Host', concat('h', x)),
+            'Maximum Memory', 100000000 * CAST(x + 1 AS BIGINT), 'Timestamp', start""",
+        ),
     )
-    lines = task_start
-    for part in (
-        task_end,
-        job_start,
-        job_restart,
-        job_end,
-        stage_done,
-        stage_early,
-        log_start,
-        environment,
-        app_start,
-        app_end,
-        added,
-        managers,
-        driver,
-        removed,
-    ):
+    lines = task_lines
+    for part in (job_lines, stage_lines, app_lines, executor_lines):
         lines = lines.unionByName(part)
     return tag_events(lines.selectExpr("concat('app-', app) AS app_id", "ord", "value"))
 

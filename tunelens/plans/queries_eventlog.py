@@ -8,6 +8,7 @@ from tunelens.functions.scalars import ms_to_ts, sizeof_fmt
 from tunelens.operators import eventstats, eventtables
 from tunelens.operators.report import event_report
 from tunelens.plans.fixtures import event_log, event_store
+from tunelens.plans.oracle_report import REPORT
 from tunelens.plans.oracle_views import EVENTS
 from tunelens.session import scratch_path
 from tunelens.sources.eventlog import latest_event_log, read_event_log, route_events
@@ -160,3 +161,4 @@ ORACLES = {
         SELECT *, CASE WHEN max_memory < 1048576 THEN printf('%3.1fKiB', max_memory / 1024.0)
         ELSE printf('%3.1fMiB', max_memory / 1048576.0) END AS size FROM m""",
 }
+ORACLES["evlog_report"] = REPORT

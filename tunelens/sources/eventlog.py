@@ -121,7 +121,7 @@ def parsed(log: DataFrame, *kinds: str) -> DataFrame:
     return log.where(is_kind(*kinds)).select(
         "app_id",
         "ord",
-        F.regexp_replace("event", f"^{PREFIX}", "").alias("kind"),
+        F.substring("event", len(PREFIX) + 1, 100).alias("kind"),
         F.from_json("value", schema, {"mode": "FAILFAST"}).alias("e"),
     )
 

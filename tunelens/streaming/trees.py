@@ -421,7 +421,12 @@ class TreeLearner:
         return self._weight(rows)
 
     def _predicted(self, rows: DataFrame) -> DataFrame:
-        """Add the majority and the naive Bayes prediction of each leaf (NULL where it has none), and the one used."""
+        """Add the majority and the naive Bayes prediction of each leaf (NULL where it has none), and the one used.
+
+        Ensembles vote by class shares, so their leaves need neither.
+        """
+        if self.votes:
+            return rows.selectExpr("*", "CAST(NULL AS INT) AS majority", "CAST(NULL AS INT) AS bayes", "vote AS prediction")
         classes = range(next(iter(self.trees.values())).classes)
         scores = f"array({', '.join(self._log_likelihood(c) for c in classes)})"
         own = "IF(coalesce(model.trusted, false), bayes, majority)"
@@ -429,7 +434,7 @@ class TreeLearner:
             rows.join(self._models(rows.sparkSession), ["m", "leaf"])
             .withColumn("scores", F.expr(f"IF(model IS NULL, NULL, {scores})"))
             .withColumn("bayes", F.expr("CAST(array_position(scores, array_max(scores)) - 1 AS INT)"))
-            .withColumn("prediction", F.expr("vote" if self.votes else own))
+            .withColumn("prediction", F.expr(own))
             .drop("model", "scores")
         )
 
@@ -475,8 +480,8 @@ class TreeLearner:
     def _learn(self, groups) -> list[tuple[str, int, int, int]]:
         counts: dict[tuple[str, int, int], int] = {}
         names = list(self.trees)
-        order = ("m", "leaf", "y", "label", "prediction", "majority")
-        for g in sorted(groups, key=lambda g: tuple(g[k] for k in order) + (g["bayes"] is None, g["bayes"] or 0)):
+        order = ("m", "leaf", "y", "label", "prediction", "majority", "bayes")
+        for g in sorted(groups, key=lambda g: tuple(-1 if g[k] is None else g[k] for k in order)):
             tree, at = self.trees[names[g["m"]]], g["leaf"]
             if not self.votes or g["m"] == 0:
                 name = "ensemble" if self.votes else names[g["m"]]
