@@ -1,4 +1,7 @@
-"""Aggregates over the event-log tables."""
+"""Aggregates over the event-log tables.
+
+Where several aggregates are wanted, build the task table once (``tunelens.session.stored``) and pass it as ``tasks``.
+"""
 
 from __future__ import annotations
 
@@ -13,11 +16,15 @@ def _run():
     return run_time_ms(F.col("launch_ms"), F.col("finish_ms"))
 
 
-def task_summary(log: DataFrame) -> DataFrame:
+def _tasks(log: DataFrame, tasks: DataFrame | None) -> DataFrame:
+    return tables.tasks(log) if tasks is None else tasks
+
+
+def task_summary(log: DataFrame, tasks: DataFrame | None = None) -> DataFrame:
     """Task counts, and run-time statistics over successful tasks. Anything but ``Success`` is a failure."""
     success = F.coalesce(F.col("end_reason") == "Success", F.lit(False))
     good = F.when(success, _run())
-    return tables.tasks(log).groupBy("app_id").agg(
+    return _tasks(log, tasks).groupBy("app_id").agg(
         F.count("*").alias("tasks"),
         F.count_if(success).alias("successes"),
         F.count_if(~success).alias("failures"),
@@ -28,9 +35,9 @@ def task_summary(log: DataFrame) -> DataFrame:
     )
 
 
-def executor_summary(log: DataFrame) -> DataFrame:
+def executor_summary(log: DataFrame, tasks: DataFrame | None = None) -> DataFrame:
     """Per executor: block managers, tasks and run-time statistics over every finished task."""
-    task_stats = tables.tasks(log).groupBy("app_id", "executor_id").agg(
+    task_stats = _tasks(log, tasks).groupBy("app_id", "executor_id").agg(
         F.count("*").alias("tasks"),
         F.round(F.avg(_run()), 6).alias("avg_ms"),
         F.round(F.stddev_pop(_run()), 6).alias("std_ms"),
@@ -81,18 +88,18 @@ def job_summary(log: DataFrame) -> DataFrame:
     )
 
 
-def _tasks_by_stage(log: DataFrame) -> DataFrame:
+def _tasks_by_stage(log: DataFrame, tasks: DataFrame | None = None) -> DataFrame:
     # Tasks are reduced to one row per stage before they meet the jobs that list the stage.
-    return tables.tasks(log).groupBy("app_id", "stage_id").agg(
+    return _tasks(log, tasks).groupBy("app_id", "stage_id").agg(
         F.count("*").alias("stage_tasks"), F.sum(_run()).alias("stage_task_ms")
     )
 
 
-def stage_summary(log: DataFrame) -> DataFrame:
+def stage_summary(log: DataFrame, tasks: DataFrame | None = None) -> DataFrame:
     """Declared and executed tasks of every (job, stage); a stage listed by several jobs counts for each."""
     return (
         tables.job_stages(log)
-        .join(_tasks_by_stage(log), ["app_id", "stage_id"], "left")
+        .join(_tasks_by_stage(log, tasks), ["app_id", "stage_id"], "left")
         .select(
             "app_id",
             "job_id",
@@ -105,11 +112,11 @@ def stage_summary(log: DataFrame) -> DataFrame:
     )
 
 
-def entity_counts(log: DataFrame) -> DataFrame:
+def entity_counts(log: DataFrame, tasks: DataFrame | None = None) -> DataFrame:
     """Jobs, tasks, executors and block managers of each application."""
     parts = [
         tables.jobs(log).select("app_id", F.lit("jobs").alias("entity")),
-        tables.tasks(log).select("app_id", F.lit("tasks").alias("entity")),
+        _tasks(log, tasks).select("app_id", F.lit("tasks").alias("entity")),
         tables.executors(log).select("app_id", F.lit("executors").alias("entity")),
         tables.block_managers(log).select("app_id", F.lit("block_managers").alias("entity")),
     ]
@@ -120,42 +127,40 @@ def entity_counts(log: DataFrame) -> DataFrame:
     return stacked.groupBy("app_id").agg(*[F.count_if(F.col("entity") == n).alias(n) for n in names])
 
 
-def avg_times(log: DataFrame) -> DataFrame:
+def avg_times(log: DataFrame, tasks: DataFrame | None = None) -> DataFrame:
     """Single-node view: mean run time of all jobs, mean run time of successful tasks to 2 decimals."""
     job_ms = tables.jobs(log).groupBy("app_id").agg(
         F.round(F.avg(run_time_ms(F.col("submission_ms"), F.col("end_ms"))), 6).alias("avg_job_ms")
     )
     good = F.when(F.col("end_reason") == "Success", _run())
-    task_ms = tables.tasks(log).groupBy("app_id").agg(F.round(F.avg(good), 2).alias("avg_task_ms"))
+    task_ms = _tasks(log, tasks).groupBy("app_id").agg(F.round(F.avg(good), 2).alias("avg_task_ms"))
     return job_ms.join(task_ms, "app_id", "left")
 
 
+def _ignored_starts(log: DataFrame) -> DataFrame:
+    receiver = "exists(s.`RDD Info`, r -> startswith(r.Name, 'Receiver'))"
+    return tables.job_starts(log).where(F.expr(f"exists(stages, s -> s.`Number of Tasks` = 0 OR {receiver})"))
+
+
 def ignored_jobs(log: DataFrame) -> DataFrame:
     """Jobs with a stage of zero tasks, or with an RDD whose name begins with ``Receiver``."""
-    empty = tables.job_stages(log).where(F.col("num_tasks") == 0).select("app_id", "job_id")
-    receiver = tables.stage_rdds(log).where(F.col("name").startswith("Receiver")).select("app_id", "job_id")
-    return empty.unionByName(receiver).distinct()
+    return _ignored_starts(log).select("app_id", "job_id")
 
 
 def drop_receiver_and_empty_jobs(log: DataFrame) -> DataFrame:
     return tables.jobs(log).join(ignored_jobs(log), ["app_id", "job_id"], "left_anti")
 
 
-def cluster_times(log: DataFrame) -> DataFrame:
+def cluster_times(log: DataFrame, tasks: DataFrame | None = None) -> DataFrame:
     """Cluster view: counts and summed times over kept jobs, and over tasks outside the stages of ignored jobs."""
     job_side = (
         drop_receiver_and_empty_jobs(log)
         .groupBy("app_id")
         .agg(F.count("*").alias("jobs"), F.sum(run_time_ms(F.col("submission_ms"), F.col("end_ms"))).alias("job_ms"))
     )
-    ignored_stages = (
-        tables.job_stages(log)
-        .select("app_id", "job_id", "stage_id")
-        .join(ignored_jobs(log), ["app_id", "job_id"], "left_semi")
-        .select("app_id", "stage_id")
-    )
+    ignored_stages = _ignored_starts(log).select("app_id", F.explode("stages.`Stage ID`").alias("stage_id"))
     task_side = (
-        _tasks_by_stage(log)
+        _tasks_by_stage(log, tasks)
         .join(ignored_stages, ["app_id", "stage_id"], "left_anti")
         .groupBy("app_id")
         .agg(F.sum("stage_tasks").alias("tasks"), F.sum("stage_task_ms").alias("task_ms"))

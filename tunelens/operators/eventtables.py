@@ -68,17 +68,21 @@ def jobs(log: DataFrame) -> DataFrame:
     )
 
 
-def _listed_stages(log: DataFrame) -> DataFrame:
-    """Stages as listed by the first start of each job, with their position in the list."""
+def job_starts(log: DataFrame) -> DataFrame:
+    """The first start of each job with its stage list as logged: (app_id, job_id, start_ord, stages)."""
     starts = parsed(log, "JobStart").select(
         "app_id", "ord", F.col("e.`Job ID`").alias("job_id"), F.col("e.`Stage Infos`").alias("stages")
     )
-    first = starts.groupBy("app_id", "job_id").agg(
+    return starts.groupBy("app_id", "job_id").agg(
         F.min("ord").alias("start_ord"), F.min_by("stages", "ord").alias("stages")
     )
-    return first.select("app_id", "job_id", "start_ord", F.posexplode("stages").alias("stage_pos", "s")).select(
-        "app_id", "job_id", "start_ord", "stage_pos", F.col("s.`Stage ID`").alias("stage_id"), "s"
-    )
+
+
+def _listed_stages(log: DataFrame) -> DataFrame:
+    """Stages as listed by the first start of each job, with their position in the list."""
+    return job_starts(log).select(
+        "app_id", "job_id", "start_ord", F.posexplode("stages").alias("stage_pos", "s")
+    ).select("app_id", "job_id", "start_ord", "stage_pos", F.col("s.`Stage ID`").alias("stage_id"), "s")
 
 
 def job_stages(log: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tunelens.functions.scalars import ms_to_ts, sizeof_fmt
 from tunelens.operators import eventstats
 from tunelens.operators import eventtables as tables
+from tunelens.session import stored
 
 SORT_KEYS = ["app_id", "section", "item", "stage_pos", "rdd_pos", "line"]
 
@@ -49,10 +50,11 @@ def event_report(log: DataFrame) -> DataFrame:
     2 tasks, 3 executors, 4 block managers. Sorting by those keys gives the text of each application."""
     # The wording of the report lines.
     c = F.col
+    tasks = stored(tables.tasks(log), "tasks")  # read by four of the sections
     heads = (
         tables.applications(log)
-        .join(eventstats.entity_counts(log), "app_id", "left")
-        .join(eventstats.task_summary(log).drop("tasks"), "app_id", "left")
+        .join(eventstats.entity_counts(log, tasks), "app_id", "left")
+        .join(eventstats.task_summary(log, tasks).drop("tasks"), "app_id", "left")
     )
     first = F.lit(-1)
     rows = _lines(
@@ -90,7 +92,7 @@ def event_report(log: DataFrame) -> DataFrame:
             ],
         )
     )
-    stages = eventstats.stage_summary(log).join(
+    stages = eventstats.stage_summary(log, tasks).join(
         tables.job_stages(log).select("app_id", "job_id", "stage_id", "stage_pos"), ["app_id", "job_id", "stage_id"]
     )
     rows = rows.unionByName(
@@ -144,7 +146,7 @@ def event_report(log: DataFrame) -> DataFrame:
 
     rows = rows.unionByName(
         _lines(
-            tables.tasks(log),
+            tasks,
             2,
             c("task_id"),
             [
@@ -179,7 +181,7 @@ def event_report(log: DataFrame) -> DataFrame:
     )
     rows = rows.unionByName(
         _lines(
-            eventstats.executor_summary(log),
+            eventstats.executor_summary(log, tasks),
             3,
             c("executor_id").try_cast("bigint"),
             [
