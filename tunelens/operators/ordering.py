@@ -102,16 +102,24 @@ def running_sums(df: DataFrame, keys: list[str], order: str, sums: dict[str, Col
 
 
 def quartiles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Exact quartiles with linear interpolation, picked by row number instead of gathering a group's values."""
-    rows = number_rows(df.where(F.col(value).isNotNull()).select(*keys, value), keys, [value])
-    sizes = rows.groupBy(*keys).agg(F.max("rn").alias("n"))
-    placed = rows.join(sizes, keys)
+    """Exact quartiles with linear interpolation, picked by rank instead of gathering a group's values.
+
+    Equal values are counted before they are ordered, so that a frequent value is one row and never one large
+    partition.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    ranked = in_order(counts, *keys, value).numbered("_row")
+    # Positions of a value inside its key: [_end - _c, _end).
+    placed = running_sums(ranked, keys, "_row", {"_end": F.col("_c")})
+    sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("n"))
+    placed = placed.join(sizes, keys)
     picks = []
     for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
         at = (F.col("n") - 1) * F.lit(p)
-        row = F.col("rn") - 1
-        low = F.max(F.when(row == F.floor(at), F.col(value)))
-        high = F.max(F.when(row == F.ceil(at), F.col(value)))
-        share = F.max(at - F.floor(at))
-        picks.append((low + (high - low) * share).alias(name))
+
+        def value_at(position: Column) -> Column:
+            return F.max(F.when((F.col("_end") - F.col("_c") <= position) & (position < F.col("_end")), F.col(value)))
+
+        low, high = value_at(F.floor(at)), value_at(F.ceil(at))
+        picks.append((low + (high - low) * F.max(at - F.floor(at))).alias(name))
     return placed.groupBy(*keys).agg(F.max("n").alias("n"), *picks)

@@ -99,14 +99,13 @@ def read_event_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def latest_event_log(spark: SparkSession, path: str) -> DataFrame:
-    """Newest ``app*`` log under ``path`` by modification time, ties to the later name."""
-    files = spark.read.option("recursiveFileLookup", "true").text(path).select(
-        F.col("_metadata.file_path").alias("path"),
-        F.regexp_extract("_metadata.file_path", r"(?:^|[/=])(app[^/]*)(?:/[^/]*)?$", 1).alias("log"),
-        F.col("_metadata.file_modification_time").alias("modified"),
-    )
-    return files.where(F.col("log") != "").agg(
-        F.max_by("log", F.struct("modified", "log")).alias("log"), F.max("modified").alias("modified")
+    """Newest ``app*`` log under ``path`` by modification time, ties to the later name. Reads no file contents."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    log = F.regexp_extract("path", r"(?:^|[/=])(app[^/]*)(?:/[^/]*)?$", 1)
+    return (
+        files.select(log.alias("log"), F.col("modificationTime").alias("modified"))
+        .where(F.col("log") != "")
+        .agg(F.max_by("log", F.struct("modified", "log")).alias("log"), F.max("modified").alias("modified"))
     )
 
 

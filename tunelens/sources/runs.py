@@ -45,9 +45,12 @@ def read_metrics_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def write_metrics_csv(metrics: DataFrame, path: str) -> None:
-    """One CSV with a header per run, fractions as the learners emit them."""
+    """CSV files with a header in one folder per run, fractions as the learners emit them.
+
+    Rows are cut by range: a long run spreads over several files whose names follow the batch order.
+    """
     (
-        metrics.repartition("exp", "hp")
+        metrics.repartitionByRange("exp", "hp", "batch")
         .sortWithinPartitions("exp", "hp", "batch")
         .select("exp", "hp", F.col("batch").alias("batch_time"), "instances", "accuracy", "recall", "precision", "f1")
         .write.partitionBy("exp", "hp")
