@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tunelens.functions.text import tokens
+from tunelens.operators.ordering import bounded
 
 
 def token_counts(docs: DataFrame, normal: str, batch: str = "chunk_id", text: str = "text", label: str = "class"):
@@ -38,7 +39,7 @@ def adaptive_vocabulary(
     exceeds ``ratio`` times its rate in the normal class. Running counts are per token, over at most one row per
     batch.
     """
-    totals = doc_counts(docs, normal, batch)
+    totals = bounded(doc_counts(docs, normal, batch))
     last = totals.agg(F.max(batch)).scalar()
     counts = token_counts(docs, normal, batch)
     along = Window.partitionBy("token").orderBy(batch)

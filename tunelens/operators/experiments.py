@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tunelens.functions.scalars import inverse_minmax, minmax
-from tunelens.operators.ordering import in_order, quartiles, running_sums
+from tunelens.operators.ordering import bounded, in_order, quartiles, running_sums
 from tunelens.plans.grids import BASELINE_CONFIG
 
 RUN = ["exp", "hp_idx"]
@@ -38,13 +38,11 @@ def learning_curve(metrics: DataFrame, keys: list[str] = RUN) -> DataFrame:
 
 def last_half_mean(metrics: DataFrame, keys: list[str] = RUN) -> DataFrame:
     """Mean accuracy over the batches from index floor(n / 2) on."""
-    numbered = running_sums(metrics.select(*keys, "batch", "accuracy"), keys, "batch", {"no": F.lit(1).cast("bigint")})
-    sizes = metrics.groupBy(*keys).agg(F.count("*").alias("n"))
-    late = F.col("no") > F.floor(F.col("n") / 2)
-    return (
-        numbered.join(sizes, keys)
-        .groupBy(*keys)
-        .agg(F.round(F.avg(F.when(late, F.col("accuracy"))), 6).alias("last_half_accuracy"))
+    rows = metrics.select(*keys, "batch", "accuracy")
+    numbered = running_sums(rows, keys, "batch", {"no": F.lit(1).cast("bigint")}, totals=True)
+    late = F.col("no") > F.floor(F.col("no_total") / 2)
+    return numbered.groupBy(*keys).agg(
+        F.round(F.avg(F.when(late, F.col("accuracy"))), 6).alias("last_half_accuracy")
     )
 
 
@@ -225,7 +223,7 @@ def box_fliers(points: DataFrame, keys: list[str], value: str = "value") -> Data
 
 
 def _with_fences(points: DataFrame, keys: list[str], value: str) -> DataFrame:
-    boxes = quartiles(points, keys, value)
+    boxes = bounded(quartiles(points, keys, value))
     reach = (F.col("q3") - F.col("q1")) * F.lit(1.5)
     outside = (F.col(value) < F.col("q1") - reach) | (F.col(value) > F.col("q3") + reach)
     return points.where(F.col(value).isNotNull()).join(boxes, keys).withColumn("_out", outside)

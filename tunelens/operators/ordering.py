@@ -71,26 +71,51 @@ def in_order(df: DataFrame, *order: str | Column) -> Ordered:
 
 
 def number_rows(df: DataFrame, keys: list[str], order: list[str], name: str = "rn") -> DataFrame:
-    """Row number from 1 inside each key, in ``order``. A key may span any number of partitions."""
-    rows = in_order(df, *keys, *order).numbered("_row")
-    if not keys:
-        return rows.withColumnRenamed("_row", name)
-    first = rows.groupBy(*keys).agg(F.min("_row").alias("_first"))
-    return rows.join(first, keys).withColumn(name, F.col("_row") - F.col("_first") + 1).drop("_row", "_first")
-
+    """Row number from 1 inside each key, in ``order``. A key may span any number of partitions.
 
-def running_sums(df: DataFrame, keys: list[str], order: str, sums: dict[str, Column], bucket: int = BUCKET) -> DataFrame:
-    """Running totals along the integer column ``order``, unique inside each key.
+    After the sort a key is a run of segments, one per sorted partition. The rows before each segment are summed over
+    the segments alone; rows meet that number on (partition, key), so a frequent key never gathers anywhere.
+    """
+    ordered = in_order(df, *keys, *order)
+    if not keys:
+        return ordered.numbered(name)
+    part = F.shiftright("pos_id", _POSITION_BITS)
+    rows = ordered.table.withColumn("_part", part)
+    segments = rows.groupBy("_part", *keys).agg(F.min("pos_id").alias("_first"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    segments = segments.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    same = (F.col("r._part") == F.col("s._part")) & _all([F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys])
+    joined = rows.alias("r").join(segments.alias("s"), same)
+    number = F.col("pos_id") - F.col("_first") + F.col("_before") + 1
+    return joined.select(*[f"r.{c}" for c in df.columns], number.alias(name))
+
+
+def _all(conditions: list[Column]) -> Column:
+    total = conditions[0]
+    for c in conditions[1:]:
+        total = total & c
+    return total
+
+
+def running_sums(
+    df: DataFrame, keys: list[str], order: str, sums: dict[str, Column], bucket: int = BUCKET, totals: bool = False
+) -> DataFrame:
+    """Running totals along the integer column ``order``, unique inside each key; with ``totals`` also the sum over
+    the whole key as ``<name>_total``.
 
     Two levels: a window inside buckets of at most ``bucket`` rows, and running offsets over the bucket totals.
     """
     rows = df.withColumn("_bucket", F.floor(F.col(order) / F.lit(bucket)))
     for name, value in sums.items():
         rows = rows.withColumn(f"_v_{name}", value)
-    totals = rows.groupBy(*keys, "_bucket").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys, "_bucket", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums]
+    per_bucket = rows.groupBy(*keys, "_bucket").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_bucket.select(
+        *keys,
+        "_bucket",
+        *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums],
+        *[F.sum(f"_t_{n}").over(whole).alias(f"{n}_total") for n in sums if totals],
     )
     inside = Window.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     for name in sums:
@@ -98,7 +123,15 @@ def running_sums(df: DataFrame, keys: list[str], order: str, sums: dict[str, Col
     joined = rows.join(offsets, [*keys, "_bucket"])
     for name in sums:
         joined = joined.withColumn(name, F.col(f"_r_{name}") + F.col(f"_o_{name}"))
-    return joined.select(*df.columns, *sums)
+    return joined.select(*df.columns, *sums, *[f"{n}_total" for n in sums if totals])
+
+
+def bounded(df: DataFrame, limit: int = 10_000) -> DataFrame:
+    """``df`` ready to be broadcast if it has at most ``limit`` rows, else ``df`` itself, to be joined by shuffle."""
+    rows = df.take(limit + 1)
+    if len(rows) > limit:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
 def quartiles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -110,9 +143,7 @@ def quartiles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
     ranked = in_order(counts, *keys, value).numbered("_row")
     # Positions of a value inside its key: [_end - _c, _end).
-    placed = running_sums(ranked, keys, "_row", {"_end": F.col("_c")})
-    sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("n"))
-    placed = placed.join(sizes, keys)
+    placed = running_sums(ranked, keys, "_row", {"_end": F.col("_c")}, totals=True).withColumnRenamed("_end_total", "n")
     picks = []
     for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
         at = (F.col("n") - 1) * F.lit(p)

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable
 from math import gcd
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tunelens.functions.scalars import ratio_or_zero
-from tunelens.operators.ordering import number_rows
+from tunelens.operators.ordering import number_rows, running_sums
 
 CONFUSION = ["label", "prediction", "n"]
 
@@ -103,29 +103,24 @@ def sampled_metrics(
         .groupBy(*keys, "block", "label", "prediction")
         .agg(F.count("*").alias("n"))
     )
-    sizes = blocks.groupBy(*keys).agg(F.sum("n").alias("_rows"))
-    blocks = blocks.join(sizes, keys) if keys else blocks.withColumn("_rows", sizes.scalar())
     # Block b covers rows (b * block, (b + 1) * block]; sample k looks back from row k * frequency.
-    last_sample = F.floor(F.col("_rows") / frequency)
     first_view = F.ceil((F.col("block") + 1) * block / F.lit(frequency))
-    last_view = F.least(F.floor((F.col("block") * block + width) / F.lit(frequency)), last_sample)
+    last_view = F.floor((F.col("block") * block + width) / F.lit(frequency))
     sliding = (
         blocks.where(first_view <= last_view)
         .select(*keys, F.explode(F.sequence(first_view, last_view)).alias("sample"), *CONFUSION)
-        .groupBy(*keys, "sample", "label", "prediction")
-        .agg(F.sum("n").alias("n"))
+        .groupBy(*keys, "sample")
+        .agg(*_tallies(positive))
     )
-    per_sample = (
-        blocks.where(first_view <= last_sample)
-        .groupBy(*keys, first_view.alias("sample"))
-        .agg(*_tallies(positive, counted=True))
-    )
-    so_far = Window.partitionBy(*keys).orderBy("sample").rowsBetween(Window.unboundedPreceding, 0)  # row per sample
-    running = per_sample.select(*keys, "sample", *[F.sum(c).over(so_far).alias(c) for c in TALLIES])
-    window = sliding.groupBy(*keys, "sample").agg(*_tallies(positive, counted=True))
+    per_sample = blocks.groupBy(*keys, first_view.alias("sample")).agg(*_tallies(positive))
+    running = running_sums(per_sample.withColumnsRenamed({c: f"own_{c}" for c in TALLIES}), keys, "sample", {
+        c: F.col(f"own_{c}") for c in TALLIES
+    })
+    # A sample past the end of its stream has seen too few rows.
+    complete = running.where(F.col("t_n") == F.col("sample") * frequency)
     return (
-        _from_tallies(running, keys, "_all")
-        .join(_from_tallies(window, keys, "_last"), [*keys, "sample"])
+        _from_tallies(complete, keys, "_all")
+        .join(_from_tallies(sliding, keys, "_last"), [*keys, "sample"])
         .withColumn("rows", F.col("sample") * frequency)
     )
 
@@ -133,15 +128,13 @@ def sampled_metrics(
 TALLIES = ["t_n", "t_right", "t_tp", "t_p", "t_pp"]
 
 
-def _tallies(positive: int, counted: bool) -> list[Column]:
-    weight = F.col("n") if counted else F.lit(1)
-
+def _tallies(positive: int) -> list[Column]:
     def total(condition: Column) -> Column:
-        return F.sum(F.when(condition, weight).otherwise(F.lit(0)))
+        return F.sum(F.when(condition, F.col("n")).otherwise(F.lit(0)))
 
     is_true, is_predicted = F.col("label") == positive, F.col("prediction") == positive
     return [
-        F.sum(weight).alias("t_n"),
+        F.sum("n").alias("t_n"),
         total(F.col("label") == F.col("prediction")).alias("t_right"),
         total(is_true & is_predicted).alias("t_tp"),
         total(is_true).alias("t_p"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tunelens.operators.ordering import bounded
+
 
 def flag_outliers(df: DataFrame, features: list[str], batch: str = "chunk_id", limit: float = 3.0) -> DataFrame:
     """``df`` with ``outlier``: some feature lies more than ``limit`` deviations from its mean over earlier batches.
@@ -19,7 +21,7 @@ def flag_outliers(df: DataFrame, features: list[str], batch: str = "chunk_id", l
     )
     earlier = Window.orderBy(batch).rowsBetween(Window.unboundedPreceding, -1)  # one row per batch
     past = sums.select(batch, *[F.sum(c).over(earlier).alias(c) for c in sums.columns if c != batch])
-    joined = df.join(past, batch)
+    joined = df.join(bounded(past), batch)
     far = F.lit(False)
     for f in features:
         mean = F.col(f"_s_{f}") / F.col("_n")
