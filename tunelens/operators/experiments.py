@@ -13,6 +13,8 @@ RUN = ["exp", "hp_idx"]
 METRICS = ["accuracy", "recall", "precision", "f1"]
 LARGER_IS_BETTER = ["accuracy", "recall", "precision", "f1", "throughput"]
 SMALLER_IS_BETTER = ["job_ms", "task_ms", "latency"]
+# Means keep more digits than the metrics they average: sums in another order must not change a best pick.
+MEAN_DIGITS = 9
 
 
 def metric_summary(metrics: DataFrame, weighted: bool = False, keys: list[str] = RUN) -> DataFrame:
@@ -24,7 +26,7 @@ def metric_summary(metrics: DataFrame, weighted: bool = False, keys: list[str] =
         return F.avg(name)
 
     return metrics.groupBy(*keys).agg(
-        F.sum("instances").alias("instances"), *[F.round(mean(m), 6).alias(m) for m in METRICS]
+        F.sum("instances").alias("instances"), *[F.round(mean(m), MEAN_DIGITS).alias(m) for m in METRICS]
     )
 
 
@@ -42,7 +44,7 @@ def last_half_mean(metrics: DataFrame, keys: list[str] = RUN) -> DataFrame:
     numbered = running_sums(rows, keys, "batch", {"no": F.lit(1).cast("bigint")}, totals=True)
     late = F.col("no") > F.floor(F.col("no_total") / 2)
     return numbered.groupBy(*keys).agg(
-        F.round(F.avg(F.when(late, F.col("accuracy"))), 6).alias("last_half_accuracy")
+        F.round(F.avg(F.when(late, F.col("accuracy"))), MEAN_DIGITS).alias("last_half_accuracy")
     )
 
 
@@ -247,7 +249,7 @@ def compare_runs(runs: dict[str, DataFrame]) -> DataFrame:
 def single_node_results(metrics: DataFrame, times: DataFrame, depths: DataFrame) -> DataFrame:
     """Last-half and overall accuracy, F1, mean job and task times and tree depth of each run."""
     means = metrics.groupBy(*RUN).agg(
-        F.round(F.avg("accuracy"), 6).alias("overall_accuracy"), F.round(F.avg("f1"), 6).alias("f1")
+        F.round(F.avg("accuracy"), MEAN_DIGITS).alias("overall_accuracy"), F.round(F.avg("f1"), MEAN_DIGITS).alias("f1")
     )
     return (
         means.join(last_half_mean(metrics), RUN)

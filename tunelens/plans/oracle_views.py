@@ -45,8 +45,8 @@ t AS (SELECT CAST(l_suppkey % 9 + 1 AS INTEGER) AS exp, CAST(l_partkey % 32 AS I
   FROM lineitem GROUP BY 1, 2)"""
 
 SUMMARY = """
-s AS (SELECT exp, hp_idx, CAST(sum(instances) AS BIGINT) AS instances, round(avg(accuracy), 6) AS accuracy,
-  round(avg(recall), 6) AS recall, round(avg(precision), 6) AS precision, round(avg(f1), 6) AS f1
+s AS (SELECT exp, hp_idx, CAST(sum(instances) AS BIGINT) AS instances, round(avg(accuracy), 9) AS accuracy,
+  round(avg(recall), 9) AS recall, round(avg(precision), 9) AS precision, round(avg(f1), 9) AS f1
   FROM m GROUP BY 1, 2)"""
 
 CUBE = """
@@ -68,7 +68,7 @@ n AS (SELECT *, (norm_job_ms + norm_task_ms) / 2 AS norm_joined_time FROM n0)"""
 LAST_HALF = """
 lh0 AS (SELECT exp, hp_idx, accuracy, row_number() OVER (PARTITION BY exp, hp_idx ORDER BY batch) AS no,
   count(*) OVER (PARTITION BY exp, hp_idx) AS n FROM m),
-lh AS (SELECT exp, hp_idx, round(avg(accuracy) FILTER (no > n // 2), 6) AS last_half_accuracy
+lh AS (SELECT exp, hp_idx, round(avg(accuracy) FILTER (no > n // 2), 9) AS last_half_accuracy
   FROM lh0 GROUP BY 1, 2)"""
 
 SINGLE = """

@@ -87,9 +87,9 @@ _RUN = "finish_ms - launch_ms"
 _KINDS = f"""{_W}, kinds AS (
   SELECT 'TaskStart' AS kind, count(*) AS events FROM ev
   UNION ALL SELECT 'TaskEnd', count(*) FROM ev WHERE event_id % 97 <> 0
-  UNION ALL SELECT 'JobStart', count(*) + count_if(job % 19 = 0) FROM jb
+  UNION ALL SELECT 'JobStart', count(*) + count(*) FILTER (job % 19 = 0) FROM jb
   UNION ALL SELECT 'JobEnd', count(*) FROM jb
-  UNION ALL SELECT 'StageCompleted', count(*) + count_if(job % 23 = 0) FROM st
+  UNION ALL SELECT 'StageCompleted', count(*) + count(*) FILTER (job % 23 = 0) FROM st
   UNION ALL SELECT 'LogStart', count(*) FROM ap
   UNION ALL SELECT 'EnvironmentUpdate', count(*) FROM ap
   UNION ALL SELECT 'ApplicationStart', count(*) FROM ap
@@ -126,8 +126,8 @@ ORACLES = {
         AS max_memory, start_ms AS add_ms, host, cores FROM ex""",
     "evlog_route": f"{_KINDS} SELECT * FROM kinds WHERE events > 0",
     "evlog_read_files": f"{_KINDS} SELECT 'SparkListener' || kind AS event, events FROM kinds WHERE events > 0",
-    "evlog_task_summary": f"""{_W} SELECT app_id, count(*) AS tasks, count_if(end_reason = 'Success') AS successes,
-        count_if(coalesce(end_reason, '') <> 'Success') AS failures,
+    "evlog_task_summary": f"""{_W} SELECT app_id, count(*) AS tasks, count(*) FILTER (end_reason = 'Success') AS successes,
+        count(*) FILTER (coalesce(end_reason, '') <> 'Success') AS failures,
         round(avg({_RUN}) FILTER (end_reason = 'Success'), 6) AS avg_ms,
         round(stddev_pop({_RUN}) FILTER (end_reason = 'Success'), 6) AS std_ms,
         min({_RUN}) FILTER (end_reason = 'Success') AS min_ms,

@@ -393,7 +393,7 @@ ORACLES = {
         recall, precision, f1 FROM o JOIN g USING (hp_idx)""",
     "metrics_summary": f"WITH {_M}, {v.SUMMARY} SELECT * FROM s",
     "metrics_summary_weighted": f"""WITH {_M} SELECT exp, hp_idx, CAST(sum(instances) AS BIGINT) AS instances,
-        {", ".join(f"round(sum({c} * instances) / sum(instances), 6) AS {c}" for c in x.METRICS)}
+        {", ".join(f"round(sum({c} * instances) / sum(instances), 9) AS {c}" for c in x.METRICS)}
         FROM m GROUP BY 1, 2""",
     "metrics_last_half": f"WITH {_M}, {v.LAST_HALF} SELECT * FROM lh",
     "learning_curve": f"""WITH {_M}, {v.LAST_HALF} SELECT m.*, last_half_accuracy, CAST(sum(instances) OVER w AS BIGINT)
@@ -424,7 +424,7 @@ ORACLES = {
         for m in ("job_ms", "task_ms", "depth") for c in CONFS)} FROM r GROUP BY hp_idx""",
     "box_stats": f"""{_BOX_POINTS}, b AS (SELECT measure, exp, any_value(n) AS n, any_value(q1) AS q1,
         any_value(median) AS median, any_value(q3) AS q3, min(value) FILTER (NOT out) AS whisker_low,
-        max(value) FILTER (NOT out) AS whisker_high, count_if(out) AS fliers FROM o GROUP BY 1, 2)
+        max(value) FILTER (NOT out) AS whisker_high, count(*) FILTER (out) AS fliers FROM o GROUP BY 1, 2)
         SELECT measure, exp, n, fliers, {_ROUND5} FROM b""",
     "box_fliers": f"{_BOX_POINTS} SELECT measure, exp, hp_idx, value FROM o WHERE out",
     "series_by_hp": f"{_CUBE} {_STACK.format(src='c')}",
@@ -441,7 +441,7 @@ _TABLE = f"""{_SINGLE}, a AS (SELECT *, {v.norm("accuracy")}, {v.norm("overall_a
 ORACLES["experiment_results_table"] = (
     f"{_TABLE} SELECT * EXCLUDE ({', '.join(_TABLE_NORMS)}), {_round_list(_TABLE_NORMS)} FROM tb"
 )
-_BACK = ["accuracy", "overall_accuracy", "f1", "job_ms", "task_ms", "depth", *_TABLE_NORMS]
+_BACK = ["accuracy", "overall_accuracy", "f1", "job_ms", "task_ms", *_TABLE_NORMS]
 ORACLES["results_read"] = f"""{_TABLE}, g AS ({_grid_sql("ht", "tweets")})
-    SELECT exp, c, t, g, s, d, {_round_list(_BACK)}
+    SELECT exp, c, t, g, s, d, CAST(depth AS DOUBLE) AS depth, {_round_list(_BACK)}
     FROM (SELECT * EXCLUDE (hp_idx), hp_idx AS h FROM tb) JOIN (SELECT hp_idx AS h, c, t, g, s, d FROM g) USING (h)"""

@@ -186,10 +186,10 @@ def _numeric_sql():
 
 def _nominal_sql():
     parts = [
-        f"SELECT 'f_type' AS name, 5 AS pos, '{e}' AS value, {j} AS value_pos, count_if(f_type = '{e}') AS n FROM i"
+        f"SELECT 'f_type' AS name, 5 AS pos, '{e}' AS value, {j} AS value_pos, count(*) FILTER (f_type = '{e}') AS n FROM i"
         for j, e in enumerate(fixtures.EVENT_TYPES)
     ] + [
-        f"SELECT 'label' AS name, 6 AS pos, '{e}' AS value, {e} AS value_pos, count_if(label = {e}) AS n FROM i"
+        f"SELECT 'label' AS name, 6 AS pos, '{e}' AS value, {e} AS value_pos, count(*) FILTER (label = {e}) AS n FROM i"
         for e in (0, 1)
     ]
     return f"po AS ({' UNION ALL '.join(parts)})"
@@ -260,7 +260,7 @@ def _lexicon_sql():
     rows = ", ".join(
         f"('{w}', '{tag}', {'NULL' if s is None else s})" for w, tag, s in fixtures.lexicon_rows()
     )
-    counts = ", ".join(f"count_if(tag = '{tag}') AS {n}" for n, tag in features.LEXICON_COUNTS.items())
+    counts = ", ".join(f"count(*) FILTER (tag = '{tag}') AS {n}" for n, tag in features.LEXICON_COUNTS.items())
     return f"""{_T}, l(token, tag, score) AS (VALUES {rows}),
         k AS (SELECT id, unnest({_TOKENS}) AS token FROM w),
         h AS (SELECT id, tag, CAST(score AS DOUBLE) AS score FROM k JOIN l USING (token)),
