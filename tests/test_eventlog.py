@@ -8,8 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tunelens.operators import eventstats, eventtables
+from tunelens.operators.experiments import experiment_cube
 from tunelens.operators.report import SORT_KEYS, event_report, write_report
 from tunelens.sources.eventlog import (
+    app_of,
     latest_event_log,
     open_event_store,
     read_event_log,
@@ -224,3 +226,26 @@ def test_log_of_a_real_run(spark, tmp_path):
     assert summary.successes == counts.tasks and summary.failures == 0
     starts = log.where("event = 'SparkListenerTaskStart'").count()
     assert starts == counts.tasks
+
+
+def test_logs_kept_by_experiment(spark, tmp_path):
+    hps = ["spark_ht_c0.01_t0.05", "spark_ht_c0.1_t0.05"]
+    for exp in ("s1", "s10"):
+        for hp in hps:
+            (tmp_path / exp).mkdir(exist_ok=True)
+            (tmp_path / exp / hp).write_text("\n".join(GOLDEN) + "\n")
+    got = eventstats.experiment_times(read_event_log(spark, str(tmp_path))).cache()
+    metrics = spark.createDataFrame(
+        [(1, hps[0], 0, 500, 80.0, 1.0, 1.0, 1.0), (10, hps[1], 0, 700, 90.0, 1.0, 1.0, 1.0)],
+        "exp int, hp string, batch bigint, instances bigint, accuracy double, recall double, precision double, f1 double")
+    cube = experiment_cube(metrics, got, ["exp", "hp"])
+    assert rows(cube, "exp", "hp", "throughput", "latency") == [(1, hps[0], 500.0, 300.0), (10, hps[1], 700.0, 300.0)]
+    assert rows(got, "exp", "hp", "jobs", "tasks") == sorted((e, h, 2, 4) for e in (1, 10) for h in hps)
+
+
+def test_application_keys(spark):
+    paths = {"file:/x/app-1.zstd": "app-1", "file:/x/eventlog_v2_app-2/events_1_app-2.zstd": "app-2",
+             "file:/x/s3/spark_sgd_l0.1": "s3/spark_sgd_l0.1", "file:/x/app_id=app-4/part-0.txt": "app-4",
+             "file:/x/local-1.lz4.inprogress": "local-1"}
+    df = spark.createDataFrame(list(paths.items()), "p string, want string").select("want", app_of(F.col("p")).alias("got"))
+    assert all(r.want == r.got for r in df.collect())

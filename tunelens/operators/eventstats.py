@@ -151,6 +151,19 @@ def drop_receiver_and_empty_jobs(log: DataFrame) -> DataFrame:
     return tables.jobs(log).join(ignored_jobs(log), ["app_id", "job_id"], "left_anti")
 
 
+def experiment_times(log: DataFrame) -> DataFrame:
+    """Cluster view by (exp, hp), for logs kept as ``s<k>/<hp>``: ready to join with the metrics of the runs."""
+    times = cluster_times(log)
+    return times.select(
+        F.regexp_extract("app_id", r"^s(\d+)/", 1).cast("int").alias("exp"),
+        F.regexp_extract("app_id", r"^s\d+/(.+)$", 1).alias("hp"),
+        "jobs",
+        "job_ms",
+        "tasks",
+        "task_ms",
+    )
+
+
 def cluster_times(log: DataFrame, tasks: DataFrame | None = None) -> DataFrame:
     """Cluster view: counts and summed times over kept jobs, and over tasks outside the stages of ignored jobs."""
     job_side = (

@@ -57,11 +57,14 @@ def latency(task_ms: Column, tasks: Column, factor: float = 2.0) -> Column:
     return F.try_divide(F.lit(factor) * task_ms, tasks)
 
 
-def experiment_cube(metrics: DataFrame, times: DataFrame) -> DataFrame:
-    """Metrics and run times of each run joined on their key, with throughput and latency."""
+def experiment_cube(metrics: DataFrame, times: DataFrame, keys: list[str] = RUN) -> DataFrame:
+    """Metrics and run times of each run joined on their key, with throughput and latency.
+
+    From files, the key is (exp, hp): ``read_metrics_csv`` and ``eventstats.experiment_times`` share it.
+    """
     return (
-        metric_summary(metrics)
-        .join(times, RUN)
+        metric_summary(metrics, keys=keys)
+        .join(times, keys)
         .withColumn("throughput", F.round(throughput(F.col("instances"), F.col("job_ms")), 6))
         .withColumn("latency", F.round(latency(F.col("task_ms"), F.col("tasks")), 6))
     )

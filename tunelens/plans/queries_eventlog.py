@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tunelens.functions.scalars import ms_to_ts, sizeof_fmt
 from tunelens.operators import eventstats, eventtables
 from tunelens.operators.report import event_report
-from tunelens.plans.fixtures import event_log, event_store
+from tunelens.plans.fixtures import event_store
 from tunelens.plans.oracle_report import REPORT
 from tunelens.plans.oracle_views import EVENTS
 from tunelens.session import scratch_path
@@ -44,11 +44,18 @@ def _event_counts(log):
 
 def _write_log(spark, sf_dir):
     path = scratch_path(spark, "eventlog")
-    log = event_log(spark, sf_dir)
-    log.sortWithinPartitions("app_id", "ord").select("app_id", "value").write.partitionBy("app_id").text(path)
+    log = event_store(spark, sf_dir)
+    # By range: the files of an application follow the line order by name, and a long log spreads over several.
+    ordered = log.repartitionByRange("app_id", "ord").sortWithinPartitions("app_id", "ord")
+    ordered.select("app_id", "value").write.partitionBy("app_id").text(path)
     return path
 
 
+def _times_from_files(spark, sf_dir):
+    """The cluster view of every application, read back from text files."""
+    return eventstats.cluster_times(read_event_log(spark, _write_log(spark, sf_dir)))
+
+
 def _from_files(spark, sf_dir):
     """Event counts per kind after a round trip through text files."""
     log = read_event_log(spark, _write_log(spark, sf_dir))
@@ -69,6 +76,7 @@ QUERIES = {
     "evlog_block_managers": _on_log(lambda log: eventtables.executor_block_managers(log).drop("ord")),
     "evlog_route": _on_log(_event_counts),
     "evlog_read_files": _from_files,
+    "evlog_files_cluster_times": _times_from_files,
     "evlog_task_summary": _on_log(eventstats.task_summary),
     "evlog_executor_summary": _on_log(eventstats.executor_summary),
     "evlog_job_summary": _on_log(eventstats.job_summary),
@@ -162,3 +170,4 @@ ORACLES = {
         ELSE printf('%3.1fMiB', max_memory / 1048576.0) END AS size FROM m""",
 }
 ORACLES["evlog_report"] = REPORT
+ORACLES["evlog_files_cluster_times"] = ORACLES["evlog_cluster_times"]

@@ -71,24 +71,31 @@ def tag_events(lines: DataFrame) -> DataFrame:
     return lines.select("app_id", "ord", parsed.alias("event"), "value")
 
 
+def app_of(path: Column) -> Column:
+    """Application key of a log path: the rolled or partitioned folder if there is one, else the file name without a
+    compression suffix, after the configuration folder ``s<k>/`` where logs are kept by experiment."""
+    folder = F.regexp_extract(path, r"/(?:eventlog_v2_|app_id=)([^/]+)/[^/]+$", 1)
+    name = F.regexp_extract(path, r"/((?:s\d+/)?[^/]+?)(?:\.inprogress|\.zstd|\.zst|\.lz4|\.lzf|\.snappy|\.gz)*$", 1)
+    return F.when(folder != "", folder).otherwise(name)
+
+
 def read_event_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Read any number of logs as (app_id, ord, event, value).
 
     Takes single files, directories and the rolled, compressed layout. ``ord`` reproduces the line order inside one
-    application: rolled part number, then byte offset of the split, then position in the split. All three are the
-    same on every attempt of a task.
+    application: rolled part number, file name, byte offset of the split, position in the split. All are the same on
+    every attempt of a task.
     """
     raw = spark.read.option("recursiveFileLookup", "true").text(path)
-    where = F.col("_metadata.file_path")
     name = F.col("_metadata.file_name")
-    rolled = F.regexp_extract(where, r"eventlog_v2_([^/]+)/", 1)
     lines = (
         raw.where(~name.startswith("appstatus_"))
         .where(F.trim("value") != "")
         .select(
-            F.when(rolled != "", rolled).otherwise(F.regexp_extract(name, r"^([^.]+)", 1)).alias("app_id"),
+            app_of(F.col("_metadata.file_path")).alias("app_id"),
             F.struct(
                 F.coalesce(F.regexp_extract(name, r"^events_(\d+)_", 1).try_cast("bigint"), F.lit(0)).alias("part"),
+                name.alias("name"),
                 F.col("_metadata.file_block_start").alias("offset"),
                 F.monotonically_increasing_id().alias("row"),
             ).alias("ord"),
