@@ -183,3 +183,8 @@ def test_sizes(spark):
     values = [0, 1023, 1024, 1508062003, -2048, 5 * 1024**6]
     df = spark.createDataFrame([(v,) for v in values], "v bigint").select(sizeof_fmt(F.col("v")).alias("s"))
     assert [r.s for r in df.collect()] == ["0.0B", "1023.0B", "1.0KiB", "1.4GiB", "-2.0KiB", "5.0EiB"]
+
+
+def test_configurations_sort_by_number(spark):
+    df = spark.createDataFrame([("s10",), ("s9",), ("s1",)], "c string")
+    assert [r.c for r in df.orderBy(grids.config_order(F.col("c"))).collect()] == ["s1", "s9", "s10"]

@@ -191,14 +191,14 @@ def _front(spark, sf_dir):
     return x.pareto_front(cube, "accuracy", "throughput").select("exp", "hp_idx", "accuracy", "throughput")
 
 
-def _best(operator, keys):
+def _best(operator):
+    """Best runs by last-half and by overall accuracy."""
+
     def run(spark, sf_dir):
-        results = stored(_results(spark, sf_dir), "results").drop("f1", "job_ms", "task_ms", "depth")
-        half = operator(results, "accuracy").select("exp", "hp_idx", "accuracy").alias("h")
-        overall = operator(results, "overall_accuracy").select("exp", "hp_idx", "overall_accuracy").alias("o")
+        results = stored(_results(spark, sf_dir), "results").select("exp", "hp_idx", "accuracy", "overall_accuracy")
         parts = [
-            half.select(F.lit("last_half").alias("by"), "exp", "hp_idx", F.col("accuracy").alias("best")),
-            overall.select(F.lit("overall").alias("by"), "exp", "hp_idx", F.col("overall_accuracy").alias("best")),
+            operator(results, measure).select(F.lit(by).alias("by"), "exp", "hp_idx", F.col(measure).alias("best"))
+            for by, measure in (("last_half", "accuracy"), ("overall", "overall_accuracy"))
         ]
         return parts[0].unionByName(parts[1])
 
@@ -286,9 +286,9 @@ QUERIES = {
     "score_weighted": _scores,
     "score_pareto_distance": _distances,
     "pareto_front": _front,
-    "best_conf_per_hp": _best(x.best_conf_per_hp, ["hp_idx"]),
-    "best_hp_per_conf": _best(x.best_hp_per_conf, ["exp"]),
-    "best_overall": _best(x.best_overall, []),
+    "best_conf_per_hp": _best(x.best_conf_per_hp),
+    "best_hp_per_conf": _best(x.best_hp_per_conf),
+    "best_overall": _best(x.best_overall),
     "best_hp_marked": _marked,
     "time_matrix": _time_matrix,
     "box_stats": _boxes,
