@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tunelens.llm import exact, mixing
+from tunelens.llm import exact, idfile, mixing, packing, tokencount
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.section_counts(_table(spark, sf_dir, "documents"))
+
+
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idfile.round_trip(_table(spark, sf_dir, "documents")).drop("token_ids")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -19,8 +27,15 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.selection(_table(spark, sf_dir, "documents"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), keep_ids=False).drop("token_ids")
+
+
+_QUERIES = (op2_token_counts, op4_token_ids, op8_exact_dedup, op9_mixing, op10_packing)
+
+
 def queries():
-    return {f.__name__: f for f in (op8_exact_dedup, op9_mixing)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql():
