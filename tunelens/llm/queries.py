@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tunelens.llm import exact, idfile, mixing, packing, simhash, substring, tokencount
+from tunelens.llm import embedding, exact, idfile, mixing, packing, simhash, substring, tokencount
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(_table(spark, sf_dir, "documents"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.parse(_table(spark, sf_dir, "documents")).drop("first_words", "end_words", "sources")
 
@@ -39,7 +43,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), keep_ids=False).drop("token_ids")
 
 
-_QUERIES = (op2_token_counts, op4_token_ids, op5_simhash, op7_substring_dedup, op8_exact_dedup, op9_mixing, op10_packing)
+_QUERIES = (op2_token_counts, op4_token_ids, op5_simhash, op6_embedding_dedup, op7_substring_dedup, op8_exact_dedup, op9_mixing, op10_packing)
 
 
 def queries():
