@@ -20,6 +20,7 @@ from tunelens.llm.tables import WORD, written
 #: documents of the one slice that holds the cut are ordered, so no leaf, however large, is sorted in one task.
 SLICES = 4096
 LEAF = ["domain", "lang", "source"]
+LEAVES_BROADCAST = 50_000
 _HEX = 8  # digits of the md5 that order documents: 32 bits
 
 
@@ -157,10 +158,10 @@ def _sliced(rows: DataFrame, seed: int) -> DataFrame:
     return rows.withColumn("_slice", F.floor(F.col("_draw") / F.lit(2 ** 32 // SLICES)).cast("bigint"))
 
 
-def _meet(rows: DataFrame, leaves: DataFrame, keys: list[str], limit: int = 50_000, salts: int = 64) -> DataFrame:
-    """Rows beside the entries of their leaf. The leaves are counted: up to ``limit`` of them are broadcast, so that no
+def _meet(rows: DataFrame, leaves: DataFrame, keys: list[str], salts: int = 64) -> DataFrame:
+    """Rows beside the entries of their leaf. The leaves are counted: up to LEAVES_BROADCAST are broadcast, so that no
     row moves; beyond it rows meet them on (leaf, salt), which spreads a source with a third of all rows."""
-    if leaves.count() <= limit:
+    if leaves.count() <= LEAVES_BROADCAST:
         return rows.join(F.broadcast(leaves), keys)
     copies = leaves.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")

@@ -4,17 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tunelens.llm import embedding, exact, idfile, mixing, packing, simhash, substring, tokencount
+from tunelens.llm import embedding, exact, idfile, langid, mixing, packing, simhash, substring, tokencount, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.section_counts(_table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_id(_table(spark, sf_dir, "documents"))
+
+
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfile.round_trip(_table(spark, sf_dir, "documents")).drop("token_ids")
 
@@ -43,7 +52,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), keep_ids=False).drop("token_ids")
 
 
-_QUERIES = (op2_token_counts, op4_token_ids, op5_simhash, op6_embedding_dedup, op7_substring_dedup, op8_exact_dedup, op9_mixing, op10_packing)
+_QUERIES = (
+    op1_toxicity, op2_token_counts, op3_language_id, op4_token_ids, op5_simhash, op6_embedding_dedup,
+    op7_substring_dedup, op8_exact_dedup, op9_mixing, op10_packing)
 
 
 def queries():
