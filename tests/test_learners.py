@@ -236,14 +236,49 @@ def test_tree_against_a_loop(data, criterion, leaf_kind):
     assert shape(tree) == plain_shape(plain.root) and tree.depth >= 1
 
 
-def test_both_routings_agree(data):
+def branch(tree, row, at=0):
+    """The leaf of one row, walked in Python."""
+    node = tree.nodes[at]
+    if node.is_leaf:
+        return at
+    x, last = row[tree.features[node.attr].name], len(node.children) - 1
+    if node.kind == "numeric":
+        k = 0 if x is not None and x <= node.value else 1
+    elif node.kind == "one":
+        k = 0 if x == node.value else 1
+    else:
+        k = int(x) if x is not None and x in range(last) else last
+    return branch(tree, row, node.children[k])
+
+
+def test_routing(data):
     learner = TreeLearner(FEATURES, 2, {"t": TreeOptions(grace=20, confidence=0.3, tie=0.5)})
     for _, batch in replay.replay_file(data, "id", 80, None):
         learner.step(batch)
     tree = learner.trees["t"]
     strange = data.unionByName(data.limit(3).withColumn("c", F.lit(9.0))).unionByName(data.limit(3).withColumn("a", F.lit(None).cast("double")))
-    both = strange.selectExpr(f"{tree._case(0)} AS x", f"{tree._walk()} AS y")
-    assert both.where("NOT (x <=> y)").count() == 0 and both.select("x").distinct().count() > 2
+    strange = strange.unionByName(data.limit(3).withColumn("c", F.lit(1.5)))
+    routed = strange.withColumn("leaf", F.expr(tree.route())).collect()
+    assert all(r.leaf == branch(tree, r) for r in routed) and len({r.leaf for r in routed}) > 2
+
+
+def test_prefix_of_a_stream(spark, data):
+    """The metrics of the first chunks do not depend on how many rows follow."""
+    def run(n):
+        learner = TreeLearner(FEATURES, 2, {"t": TreeOptions(grace=5, confidence=0.9, tie=0.9)})
+        table = prequential(spark, replay.replay_file(data.where(f"id < {n}"), "id", 20), learner)
+        return learner, sorted(tuple(r) for r in table.where("batch < 5").collect())
+
+    (_, few), (_, many) = run(100), run(400)
+    assert few == many
+
+
+def test_poisson_rate():
+    from tunelens.streaming.trees import poisson_steps
+
+    assert poisson_steps(1.0)[-1] <= 2**31 and len(poisson_steps(400.0)) > 400
+    with pytest.raises(ValueError):
+        poisson_steps(800.0)
 
 
 def test_splits():
@@ -391,6 +426,21 @@ def test_stream_equals_replay_and_restarts(spark, data, tmp_path):
     assert sorted(tuple(x) for x in store.metrics().select("batch", "accuracy", "f1").collect()) == want
 
 
+def test_repeated_first_batch_and_lost_model(spark, data, tmp_path):
+    store, learner = ModelStore(spark, str(tmp_path / "store")), make_learner()
+    train_batch(store, learner, data, 0)
+    once = store.metrics().collect()
+    again = ModelStore(spark, str(tmp_path / "store"))
+    again.done = lambda batch: False  # its metrics were lost: the batch is redone in the same process
+    train_batch(again, learner, data, 0)
+    assert store.metrics().collect() == once
+    fresh = make_learner()
+    again.load_model(fresh, 0)
+    assert fresh.state() == learner.state()
+    with pytest.raises(FileNotFoundError):
+        train_batch(store, learner, data, 7)
+
+
 def test_paced_stream(spark, data, tmp_path):
     data.where("id < 100").write.parquet(str(tmp_path / "in"))
     store = ModelStore(spark, str(tmp_path / "store"))

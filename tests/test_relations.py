@@ -120,16 +120,27 @@ def test_text(spark):
     assert cleaned.wordsPerSentence == pytest.approx(10 / 4)
 
 
-def test_lexicon_paths_agree(spark, monkeypatch):
-    df = spark.createDataFrame([(1, "Bad bad good run, quickly"), (2, "none"), (3, "good")], "id int, text string")
+def test_words_of_any_script(spark):
+    row = spark.createDataFrame([("einütz Ñga ÄÖ @jürgen #größe",)], "text string").select(
+        t.words(F.col("text")).alias("w"), t.tokens(F.col("text")).alias("k"), t.upper_words(F.col("text")).alias("u"),
+        t.letters(F.col("text")).alias("n"), t.preprocess_text(F.col("text")).alias("c")).first()
+    assert row.w == ["einütz", "Ñga", "ÄÖ", "jürgen", "größe"] and row.k[1] == "ñga" and row.u == 1 and row.n == 22
+    assert row.c == "einütz Ñga ÄÖ größe"
+
+
+@pytest.mark.parametrize("broadcast", [0, 100])
+def test_lexicon(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(features, "LEXICON_BROADCAST", broadcast)
+    df = spark.createDataFrame(
+        [(1, "Bad bad good run, quickly"), (2, "none"), (3, "good"), (4, None), (5, "like")], "id int, text string")
     lexicon = spark.createDataFrame(
-        [("bad", "swear", -2.0), ("good", "adjective", 1.5), ("run", "verb", None), ("quickly", "adverb", 0.5)],
+        [("bad", "swear", -2.0), ("good", "adjective", 1.5), ("run", "verb", None), ("quickly", "adverb", 0.5),
+         ("like", "adjective", 1.0), ("like", "verb", 2.0)],
         "token string, tag string, score double")
-    by_expression = sorted(features.lexicon_features(df, lexicon).collect())
-    monkeypatch.setattr(features, "LEXICON_LIMIT", 2)
-    by_join = sorted(features.lexicon_features(df, lexicon).select(*features.lexicon_features(df, lexicon).columns).collect())
-    assert [r.asDict() for r in by_expression] == [r.asDict() for r in by_join]
-    first = by_expression[0]
+    rows = features.lexicon_features(df, lexicon).orderBy("id").collect()
+    first = rows[0]
+    assert (rows[3].cntVerbs, rows[3].sentimentScorePos) == (0, 0.0)
+    assert (rows[4].cntAdjective, rows[4].cntVerbs, rows[4].sentimentScorePos) == (1, 1, 3.0)
     assert (first.cntSwearWords, first.cntAdjective, first.cntVerbs, first.cntAdverbs) == (2, 1, 1, 1)
     assert (first.sentimentScorePos, first.sentimentScoreNeg) == (2.0, -4.0)
 
@@ -176,6 +187,6 @@ def test_replay_and_partitions(spark):
     r = replay.replay_file(df, "id", chunk=10, limit=42)
     assert [[x.id for x in sorted(b.collect())] for _, b in r] == [list(range(i, min(i + 10, 42))) for i in range(0, 42, 10)]
     assert {(x.id, x.chunk_id) for x in r.table().collect()} == {(i, i // 10) for i in range(42)}
-    parts = replay.dir_partitions(df, "id", max_count=20, rate_limit=2).collect()
-    assert {(x.id, x.partition_id, x.second_id) for x in parts} == {(i, i // 20, i // 40) for i in range(95)}
-    assert replay.chunk_size(50_000) == 5000 and replay.chunk_size(500) == 1000
+    assert replay.replay_file(df, "id", chunk=10).rows == 95  # all rows unless a limit is set
+    parts = replay.dir_partitions(df, "id", max_count=20).collect()
+    assert {(x.id, x.partition_id) for x in parts} == {(i, i // 20) for i in range(95)}

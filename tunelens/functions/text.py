@@ -1,4 +1,4 @@
-"""Short-text cleaning and counting. Patterns keep to ASCII classes so that they mean the same in any engine."""
+"""Short-text cleaning and counting. Letters are those of any script."""
 
 from __future__ import annotations
 
@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 # The patterns of the text features.
 SPACE = r"[ \t\n\f\r]"
 URL = r"https?://[^ \t\n\f\r]+"
-USER = r"@[A-Za-z0-9_]+"
+USER = r"@[\p{L}0-9_]+"
 RETWEET = r"(^|[ \t\n\f\r])RT([ \t\n\f\r]|$)"
 DIGITS = r"[0-9]+"
 PUNCTUATION = r"[\"#$%&'()*+,/:;<=>@\[\\\]^_`{|}~-]"
-HASHTAG = r"#[A-Za-z0-9_]+"
-WORD = r"[A-Za-z]+"
-UPPER_WORD = r"^[A-Z][A-Z]+$"
+HASHTAG = r"#[\p{L}0-9_]+"
+WORD = r"\p{L}+"
+UPPER_WORD = r"^\p{Lu}\p{Lu}+$"
 SENTENCE_END = r"[.!?]+"
-TOKEN = r"[a-z]+"
+TOKEN = r"\p{L}+"
 
 
 def preprocess_text(text: Column) -> Column:
@@ -49,4 +49,4 @@ def sentences(text: Column) -> Column:
 
 
 def letters(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, r"[^A-Za-z]", ""))
+    return F.length(F.regexp_replace(text, r"[^\p{L}]", ""))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tunelens.functions import text as t
+from tunelens.operators.ordering import bounded
 
 # The text feature groups.
 FEATURE_GROUPS = {
@@ -17,7 +18,6 @@ FEATURE_GROUPS = {
     "network": ["cntFollowers", "cntFriends"],
     "bow": ["cntSwearWords"],
 }
-LEXICON_LIMIT = 10_000
 
 
 def to_binary(label: Column, normal: str, other: str = "other") -> Column:
@@ -99,6 +99,9 @@ def user_features(df: DataFrame, today: Column | None = None) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c).cast("bigint"), F.lit(0)) for c in counters})
 
 
+#: Rows of the largest lexicon that is broadcast: a few megabytes.
+LEXICON_BROADCAST = 100_000
+
 # Feature name by lexicon tag.
 LEXICON_COUNTS = {
     "cntAdjective": "adjective",
@@ -109,49 +112,17 @@ LEXICON_COUNTS = {
 
 
 def lexicon_features(df: DataFrame, lexicon: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """Tag counts and sentiment sums of each text against a (token, tag, score) lexicon, one row per token.
+    """Tag counts and sentiment sums of each text against a (token, tag, score) lexicon.
 
-    A lexicon of at most ``LEXICON_LIMIT`` tokens becomes part of the row expression: no join and no shuffle.
-    A larger one is joined to the exploded tokens.
+    A token listed twice counts under each of its entries; a NULL text has none. Tokens are counted inside each document
+    before they meet the lexicon, which is broadcast if its counted rows are few and joined by shuffle otherwise.
     """
-    entries = lexicon.select("token", "tag", "score").take(LEXICON_LIMIT + 1)
-    if len(entries) > LEXICON_LIMIT:
-        return _lexicon_by_join(df, lexicon, key, text)
-    rows = df.withColumn("_tokens", t.tokens(F.col(text)))
-    counts = {}
-    for name, tag in LEXICON_COUNTS.items():
-        counts[name] = _count_members("_tokens", [e["token"] for e in entries if e["tag"] == tag])
-    scored = {e["token"]: float(e["score"]) for e in entries if e["score"] is not None}
-    counts["sentimentScorePos"] = _sum_scores("_tokens", {k: s for k, s in scored.items() if s > 0})
-    counts["sentimentScoreNeg"] = _sum_scores("_tokens", {k: s for k, s in scored.items() if s < 0})
-    return rows.withColumns(counts).drop("_tokens")
-
-
-def _count_members(tokens: str, members: list[str]) -> Column:
-    return F.size(F.filter(tokens, lambda token: token.isin(members))).cast("bigint")
-
-
-def _sum_scores(tokens: str, scores: dict[str, float]) -> Column:
-    if not scores:
-        return F.lit(0.0)
-    table = F.create_map(*[F.lit(v) for pair in scores.items() for v in pair])
-    return F.aggregate(
-        tokens, F.lit(0.0), lambda total, token: total + F.coalesce(F.try_element_at(table, token), F.lit(0.0))
-    )
-
-
-def _lexicon_by_join(df: DataFrame, lexicon: DataFrame, key: str, text: str) -> DataFrame:
-    hits = (
-        df.select(key, F.explode(t.tokens(F.col(text))).alias("token"))
-        .groupBy(key, "token")
-        .agg(F.count("*").alias("n"))
-        .join(lexicon.select("token", "tag", "score"), "token")
-        .groupBy(key)
-        .agg(
-            *[F.sum(F.when(F.col("tag") == tag, F.col("n"))).alias(name) for name, tag in LEXICON_COUNTS.items()],
-            F.sum(F.when(F.col("score") > 0, F.col("score") * F.col("n"))).alias("sentimentScorePos"),
-            F.sum(F.when(F.col("score") < 0, F.col("score") * F.col("n"))).alias("sentimentScoreNeg"),
-        )
+    held = df.select(key, F.explode(t.tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
+    found = held.join(bounded(lexicon.select("token", "tag", "score"), LEXICON_BROADCAST), "token")
+    hits = found.groupBy(key).agg(
+        *[F.sum(F.when(F.col("tag") == tag, F.col("n"))).alias(name) for name, tag in LEXICON_COUNTS.items()],
+        F.sum(F.when(F.col("score") > 0, F.col("score") * F.col("n"))).alias("sentimentScorePos"),
+        F.sum(F.when(F.col("score") < 0, F.col("score") * F.col("n"))).alias("sentimentScoreNeg"),
     )
     names = [*LEXICON_COUNTS, "sentimentScorePos", "sentimentScoreNeg"]
     return df.join(hits, key, "left").withColumns(

@@ -233,9 +233,9 @@ def relation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled texts with author counters; some texts gain a hashtag, a user name or a link."""
+    """All texts with author counters, and a class where they are labelled; some gain a hashtag, a user name or a link."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return docs.join(labels, "doc_id").selectExpr(
+    return docs.join(labels, "doc_id", "left").selectExpr(
         "doc_id AS id",
         """concat(if(doc_id % 4 = 0, 'RT @user ', ''), text, if(doc_id % 3 = 0, concat(' #topic', doc_id % 10), ''),
              if(doc_id % 5 = 0, concat(' SEE https://example.org/', doc_id), '')) AS text""",
@@ -244,7 +244,7 @@ def tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id % 1000 AS cntFollowers",
         "doc_id % 300 AS cntFriends",
         "doc_id % 3650 AS accountAge",
-        "CASE WHEN toxic = 1 THEN 'abusive' WHEN quality = 0 THEN 'spam' ELSE 'normal' END AS class",
+        "CASE WHEN toxic = 1 THEN 'abusive' WHEN quality = 0 THEN 'spam' WHEN toxic = 0 THEN 'normal' END AS class",
     )
 
 

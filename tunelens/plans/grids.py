@@ -97,7 +97,8 @@ def encode_hp(model: str, keys: list[str]) -> Column:
 
 def decode_hp(hp: Column) -> Column:
     """Map of key to value; a key is the leading letters of each part after the model name."""
-    parts = F.slice(F.split(hp, "_"), 3, 100)
+    parts = F.split(hp, "_")
+    parts = F.slice(parts, 3, F.greatest(F.size(parts) - 2, F.lit(0)))
     keys = F.transform(parts, lambda p: F.regexp_extract(p, r"^([a-z]+)(.*)$", 1))
     values = F.transform(parts, lambda p: F.regexp_extract(p, r"^([a-z]+)(.*)$", 2))
     return F.map_from_arrays(keys, values)

@@ -89,5 +89,5 @@ w AS (SELECT doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN 'RT @user ' ELSE '' END
   || CASE WHEN doc_id % 5 = 0 THEN ' SEE https://example.org/' || doc_id ELSE '' END AS text,
   n_chars AS cntPosts, doc_id % 7 AS cntLists, doc_id % 1000 AS cntFollowers, doc_id % 300 AS cntFriends,
   doc_id % 3650 AS accountAge,
-  CASE WHEN toxic = 1 THEN 'abusive' WHEN quality = 0 THEN 'spam' ELSE 'normal' END AS class
-  FROM documents JOIN labels USING (doc_id))"""
+  CASE WHEN toxic = 1 THEN 'abusive' WHEN quality = 0 THEN 'spam' WHEN toxic = 0 THEN 'normal' END AS class
+  FROM documents LEFT JOIN labels USING (doc_id))"""

@@ -123,8 +123,8 @@ def _lexicon_features(spark, sf_dir):
 
 
 def _tweet_replay(spark, sf_dir):
-    rows = fixtures.tweets(spark, sf_dir).select("id", "text", "class")
-    return replay.replay_file(rows, "id", chunk=None, limit=None, least=1).table()
+    rows = fixtures.tweets(spark, sf_dir).where("class IS NOT NULL").select("id", "text", "class")
+    return replay.replay_file(rows, "id", chunk=100).table()
 
 
 def _vocabulary(spark, sf_dir):
@@ -137,12 +137,12 @@ def _adaptive_bow(spark, sf_dir):
 
 def _replay_chunks(spark, sf_dir):
     rows = fixtures.instances(spark, sf_dir).select("id", "f_value", "label")
-    return replay.replay_file(rows, "id", chunk=None, limit=None).table()
+    return replay.replay_file(rows, "id", chunk=2_000).table()
 
 
 def _dir_partitions(spark, sf_dir):
     rows = fixtures.instances(spark, sf_dir).select("id", "label")
-    return replay.dir_partitions(rows, "id", max_count=100, rate_limit=16)
+    return replay.dir_partitions(rows, "id", max_count=100)
 
 
 QUERIES = {
@@ -227,10 +227,23 @@ def _drop_sql():
     return f"{_I} SELECT id, {out}, variant FROM i, (VALUES {names}) x(variant)"
 
 
+# The patterns of the text features as SQL has them, stated apart from those of the code under test.
+SQL_SPACE = r"[ \t\n\f\r]"
+SQL_URL = r"https?://[^ \t\n\f\r]+"
+SQL_USER = r"@[\p{L}0-9_]+"
+SQL_RETWEET = r"(^|[ \t\n\f\r])RT([ \t\n\f\r]|$)"
+SQL_DIGITS = r"[0-9]+"
+SQL_PUNCTUATION = r"[\"#$%&'()*+,/:;<=>@\[\\\]^_`{|}~-]"
+SQL_HASHTAG = r"#[\p{L}0-9_]+"
+SQL_WORD = r"\p{L}+"
+SQL_UPPER_WORD = r"^\p{Lu}\p{Lu}+$"
+SQL_SENTENCE_END = r"[.!?]+"
+
+
 def _clean_sql(text="text"):
-    for pattern in (t.URL, t.USER, t.RETWEET, t.DIGITS, t.PUNCTUATION):
+    for pattern in (SQL_URL, SQL_USER, SQL_RETWEET, SQL_DIGITS, SQL_PUNCTUATION):
         text = f"regexp_replace({text}, '{_q(pattern)}', ' ', 'g')"
-    return f"trim(regexp_replace({text}, '{_q(t.SPACE)}+', ' ', 'g'))"
+    return f"trim(regexp_replace({text}, '{_q(SQL_SPACE)}+', ' ', 'g'))"
 
 
 def _q(pattern):
@@ -244,16 +257,16 @@ def _count_sql(text, pattern):
 def _text_sql(clean):
     body = _clean_sql() if clean else "text"
     return f"""{_T}, q AS (SELECT *, {body} AS body FROM w),
-        r AS (SELECT *, regexp_extract_all(body, '{t.WORD}') AS ws,
-        len(list_filter(string_split_regex(body, '{t.SENTENCE_END}'), lambda s: regexp_matches(s, '[^ \\t\\n\\f\\r]')))
-        AS n_sent, length(regexp_replace(body, '[^A-Za-z]', '', 'g')) AS n_let FROM q)
-        SELECT id, {_count_sql("text", t.HASHTAG)} AS numHashtags, {_count_sql("text", t.URL)} AS numUrls,
-        CAST(len(list_filter(regexp_extract_all(text, '{t.WORD}'), lambda x: regexp_matches(x, '{t.UPPER_WORD}')))
+        r AS (SELECT *, regexp_extract_all(body, '{SQL_WORD}') AS ws,
+        len(list_filter(string_split_regex(body, '{SQL_SENTENCE_END}'), lambda s: regexp_matches(s, '[^ \\t\\n\\f\\r]')))
+        AS n_sent, length(regexp_replace(body, '[^\\p{{L}}]', '', 'g')) AS n_let FROM q)
+        SELECT id, {_count_sql("text", SQL_HASHTAG)} AS numHashtags, {_count_sql("text", SQL_URL)} AS numUrls,
+        CAST(len(list_filter(regexp_extract_all(text, '{SQL_WORD}'), lambda x: regexp_matches(x, '{SQL_UPPER_WORD}')))
         AS INTEGER) AS numUpperCases, round(len(ws) / CAST(greatest(n_sent, 1) AS DOUBLE), 6) AS wordsPerSentence,
         round(coalesce(n_let / CAST(nullif(len(ws), 0) AS DOUBLE), 0), 6) AS meanWordLength FROM r"""
 
 
-_TOKENS = f"regexp_extract_all(lower(text), '{t.TOKEN}')"
+_TOKENS = f"regexp_extract_all(lower(text), '{SQL_WORD}')"
 
 
 def _lexicon_sql():
@@ -271,7 +284,7 @@ def _lexicon_sql():
 
 
 _CHUNKED_TWEETS = f"""{_T}, d AS (SELECT id, text, class, (row_number() OVER (ORDER BY id) - 1)
-    // greatest(1, CAST(ceil(count(*) OVER () / 10.0) AS BIGINT)) AS chunk_id FROM w),
+    // 100 AS chunk_id FROM w WHERE class IS NOT NULL),
     tc AS (SELECT chunk_id, token, count_if(class = 'normal') AS n, count_if(class <> 'normal') AS o FROM
     (SELECT chunk_id, class, unnest(list_distinct({_TOKENS})) AS token FROM d) GROUP BY 1, 2),
     cl AS (SELECT chunk_id AS c, count_if(class = 'normal') AS n, count_if(class <> 'normal') AS o FROM d GROUP BY 1),
@@ -314,7 +327,7 @@ ORACLES = {
         h AS (SELECT id, count(*) AS bow FROM k JOIN vo USING (chunk_id, token) GROUP BY id)
         SELECT d.id, chunk_id, class, coalesce(bow, 0) AS bow FROM d LEFT JOIN h ON d.id = h.id""",
     "replay_chunks": f"""{_I} SELECT id, f_value, label, (row_number() OVER (ORDER BY id) - 1)
-        // greatest(1000, CAST(ceil(count(*) OVER () / 10.0) AS BIGINT)) AS chunk_id FROM i""",
+        // 2000 AS chunk_id FROM i""",
     "dir_partitions": f"""{_I}, p AS (SELECT id, label, (row_number() OVER (ORDER BY id) - 1) // 100
-        AS partition_id FROM i) SELECT *, partition_id // 16 AS second_id FROM p""",
+        AS partition_id FROM i) SELECT * FROM p""",
 }

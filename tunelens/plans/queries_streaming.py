@@ -82,8 +82,13 @@ def _tree_rows(spark, sf_dir, three=False):
     return rows.select("id", *fixtures.INSTANCE_FEATURES, F.col(label).alias("label"))
 
 
-def _replay(rows):
-    return replay.replay_file(rows, "id", chunk=None, limit=None)
+CHUNK = 2_000
+TREE_CHUNK = 10_000  # a tree only changes after hundreds of rows in a leaf
+TEXT_CHUNK = 1_000
+
+
+def _replay(rows, chunk=CHUNK):
+    return replay.replay_file(rows, "id", chunk)
 
 
 def _sgd(loss):
@@ -116,13 +121,13 @@ def _split_scores(spark, sf_dir):
 
 def _ht(spark, sf_dir):
     learner = TreeLearner(TREE_FEATURES, 2, {"ht": TREE})
-    return prequential(spark, _replay(_tree_rows(spark, sf_dir)), learner)
+    return prequential(spark, _replay(_tree_rows(spark, sf_dir), TREE_CHUNK), learner)
 
 
 def _ht_grid(spark, sf_dir):
     """All 32 settings of the tree grid in one pass per batch."""
     settings = [r.asDict() for r in grids.grid(spark, "ht", "tweets").collect()]
-    return prequential(spark, _replay(_tree_rows(spark, sf_dir)), tree_grid(TREE_FEATURES, 2, settings))
+    return prequential(spark, _replay(_tree_rows(spark, sf_dir), TREE_CHUNK), tree_grid(TREE_FEATURES, 2, settings))
 
 
 def _mc(spark, sf_dir):
@@ -133,16 +138,17 @@ def _mc(spark, sf_dir):
 
 def _mc_trees(spark, sf_dir):
     learner = OneVsRestTrees(TREE_FEATURES, 3, TREE)
-    return prequential(spark, _replay(_tree_rows(spark, sf_dir, True)), learner, "extended")
+    return prequential(spark, _replay(_tree_rows(spark, sf_dir, True), TREE_CHUNK), learner, "extended")
 
 
 def _rf(spark, sf_dir):
     learner = Forest(TREE_FEATURES, 2, TREE, size=10, feature_mode=0, subset=2)
-    return prequential(spark, _replay(_tree_rows(spark, sf_dir)), learner)
+    return prequential(spark, _replay(_tree_rows(spark, sf_dir), TREE_CHUNK), learner)
 
 
 def _tweet_features(spark, sf_dir):
-    rows = feats.text_features(fixtures.tweets(spark, sf_dir), preprocess=True)
+    labelled = fixtures.tweets(spark, sf_dir).where("class IS NOT NULL")
+    rows = feats.text_features(labelled, preprocess=True)
     rows = feats.lexicon_features(feats.user_features(rows), fixtures.lexicon(spark))
     names = [n for group in feats.FEATURE_GROUPS.values() for n in group]
     is_normal = feats.to_binary(F.col("class"), "normal") == "normal"
@@ -157,7 +163,7 @@ def _ablation(spark, sf_dir):
     without |= {f"no_{n}": [n] for n in names}
     options = TreeOptions(confidence=0.01, grace=50)
     learner = TreeLearner([Feature(n) for n in names], 2, {m: options for m in without}, without)
-    rows = replay.replay_file(_tweet_features(spark, sf_dir), "id", chunk=None, limit=None, least=1)
+    rows = replay.replay_file(_tweet_features(spark, sf_dir), "id", TEXT_CHUNK)
     metrics = prequential(spark, rows, learner)
     base = metrics.where("member = 'all'").select("batch", F.col("f1").alias("f1_all"))
     return metrics.join(base, "batch").withColumn("f1_change", F.round(F.col("f1") - F.col("f1_all"), 6))

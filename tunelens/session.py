@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,16 +29,10 @@ def local_session(cores: int = 8, name: str = "tunelens", **conf: str) -> SparkS
 def shared_dir(spark: SparkSession) -> str:
     """Root of the folder every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local master, where driver and executors are one
-    process, may fall back to a temporary folder.
+    The cluster names it in ``spark.checkpoint.dir``; without it a folder of the session's warehouse is used.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tunelens-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    return (named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch").rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

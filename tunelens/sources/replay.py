@@ -1,4 +1,4 @@
-"""Tables replayed as streams: count-based chunks, and partitions released per second."""
+"""Tables replayed as streams of count-based chunks, and watched folders."""
 
 from __future__ import annotations
 
@@ -10,15 +10,9 @@ from pyspark.sql.streaming import DataStreamReader
 
 from tunelens.operators.ordering import Ordered, in_order
 
-INSTANCE_LIMIT = 100_000
 CHUNK_SIZE = 10_000
 
 
-def chunk_size(rows: int, least: int = 1000, chunks: int = 10) -> int:
-    """Chunk that keeps a replay near ``chunks`` batches at any scale."""
-    return max(least, ceil(rows / chunks), 1)
-
-
 class Replay:
     """Rows in order, cut into chunks of ``chunk`` records. ``limit`` ends the replay early; None replays all."""
 
@@ -43,23 +37,18 @@ class Replay:
         return rows.withColumn("chunk_id", F.floor((F.col("rn") - 1) / self.chunk)).drop("rn")
 
 
-def replay_file(
-    df: DataFrame, order: str, chunk: int | None = CHUNK_SIZE, limit: int | None = INSTANCE_LIMIT, least: int = 1000
-) -> Replay:
-    """Replay ``df`` in ``order``; without ``chunk`` the size follows the row count."""
-    ordered = in_order(df, order)
-    return Replay(ordered, chunk or chunk_size(ordered.count, least), limit)
+def replay_file(df: DataFrame, order: str, chunk: int = CHUNK_SIZE, limit: int | None = None) -> Replay:
+    """Replay ``df`` in ``order``, all of it unless the caller sets a ``limit``.
 
+    The chunk does not depend on the table: a stream's first chunks are the same however many follow.
+    """
+    return Replay(in_order(df, order), chunk, limit)
 
-def dir_partitions(df: DataFrame, order: str, max_count: int = 1000, rate_limit: int = 0) -> DataFrame:
-    """Records cut into partitions of at most ``max_count``, released ``rate_limit`` partitions per second.
 
-    A limit of 0 releases everything in the first second.
-    """
+def dir_partitions(df: DataFrame, order: str, max_count: int = 1000) -> DataFrame:
+    """Records cut into partitions of at most ``max_count``."""
     rows = in_order(df, order).numbered("rn")
-    rows = rows.withColumn("partition_id", F.floor((F.col("rn") - 1) / max_count)).drop("rn")
-    second = F.floor(F.col("partition_id") / rate_limit) if rate_limit else F.lit(0).cast("bigint")
-    return rows.withColumn("second_id", second)
+    return rows.withColumn("partition_id", F.floor((F.col("rn") - 1) / max_count)).drop("rn")
 
 
 def dir_stream(

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from tunelens.streaming.splits import CRITERIA, Split, best_split, hoeffding_bound
 
-CASE_LEAVES = 200
 BROADCAST_LEAVES = 20_000
 SD_FLOOR = 1e-9
 NO_CHANCE = -1e300
@@ -106,24 +105,10 @@ class Tree:
 
     def route(self) -> str:
         """SQL for the node number of the leaf a row falls into. NULL and unknown values take the last branch."""
-        return self._case(0) if len(self.leaves()) <= CASE_LEAVES else self._walk()
-
-    def _case(self, at: int) -> str:
-        node = self.nodes[at]
-        if node.is_leaf:
-            return str(at)
-        x = f"`{self.features[node.attr].name}`"
-        if node.kind == "numeric":
-            tests = [f"{x} <= {node.value!r}D"]
-        elif node.kind == "one":
-            tests = [f"{x} = {node.value!r}D"]
-        else:
-            tests = [f"{x} = {float(v)!r}D" for v in range(len(node.children) - 1)]
-        whens = " ".join(f"WHEN {test} THEN {self._case(c)}" for test, c in zip(tests, node.children))
-        return f"CASE {whens} ELSE {self._case(node.children[-1])} END"
+        return self._walk() if self.depth else "0"
 
     def _walk(self) -> str:
-        """Larger trees: step down constant node arrays, one step per level."""
+        """Step down constant node arrays, one step per level: the expression does not grow with the tree's shape."""
         kinds = {"": 0, "numeric": 1, "one": 2, "many": 3}
         arrays = {
             "attr": [n.attr for n in self.nodes],
@@ -138,7 +123,7 @@ class Tree:
         step = (
             f"CASE WHEN {lit['kind']} = 1 THEN IF({x} <= {lit['value']}, 0, 1) "
             f"WHEN {lit['kind']} = 2 THEN IF({x} = {lit['value']}, 0, 1) "
-            f"ELSE CAST(IF({x} >= 0 AND {x} < {last}, {x}, {last}) AS INT) END"
+            f"ELSE CAST(IF({x} >= 0 AND {x} < {last} AND {x} = floor({x}), {x}, {last}) AS INT) END"
         )
         return (
             f"aggregate(sequence(1, {self.depth}), 0, "
@@ -322,8 +307,10 @@ def mix_sql(value: str, salt: str) -> str:
 
 def poisson_steps(rate: float) -> list[int]:
     """Cumulative Poisson probabilities scaled to 2^31, until the tail is empty."""
+    if not 0 <= rate <= 500:  # beyond it exp(-rate) runs out of digits
+        raise ValueError("a Poisson rate lies between 0 and 500")
     p, total, k, steps = float(np.exp(-rate)), 0.0, 0, []
-    while total < 1 - 1e-9 and k < 1000:
+    while total < 1 - 1e-9:
         total += p
         steps.append(int(total * _SPAN))
         k += 1
