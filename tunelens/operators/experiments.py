@@ -191,6 +191,30 @@ def mark_baseline_best(df: DataFrame, measure: str, smallest: bool = False) -> D
     return df.withColumn("is_best", F.col("hp_idx") == best.scalar())
 
 
+def best_report(results: DataFrame, digits: int = 2) -> DataFrame:
+    """The best-settings report as rows of text (section, pos, line).
+
+    ``results``: exp, hp_idx, hp, accuracy, overall_accuracy. Sections: by last-half and by overall accuracy, the best
+    configuration of every setting, the best setting of every configuration, and the best run of all.
+    """
+    sections = []
+    for measure, said in (("accuracy", "last half"), ("overall_accuracy", "overall")):
+        value = F.format_string(f"%.{digits}f", F.col(measure))
+        conf, hp = F.concat(F.lit("s"), F.col("exp").cast("string")), F.col("hp")
+        for kind, best, pos, line in (
+            ("configuration per setting", best_conf_per_hp, F.col("hp_idx"), F.concat_ws(": ", hp, conf, value)),
+            ("setting per configuration", best_hp_per_conf, F.col("exp"), F.concat_ws(": ", conf, hp, value)),
+            ("best run", best_overall, F.lit(0), F.concat_ws(": ", conf, hp, value)),
+        ):
+            rows = best(results.select("exp", "hp_idx", "hp", "accuracy", "overall_accuracy"), measure)
+            section = F.lit(f"{kind} ({said})").alias("section")
+            sections.append(rows.select(section, pos.cast("bigint").alias("pos"), line.alias("line")))
+    total = sections[0]
+    for s in sections[1:]:
+        total = total.unionByName(s)
+    return total
+
+
 def conf_matrix(df: DataFrame, measures: list[str], confs: list[int]) -> DataFrame:
     """Hyper-parameter rows by configuration columns."""
     pivoted = df.groupBy("hp_idx").pivot("exp", confs).agg(*[F.first(m).alias(m) for m in measures])
@@ -234,15 +258,16 @@ def _with_fences(points: DataFrame, keys: list[str], value: str) -> DataFrame:
     return points.where(F.col(value).isNotNull()).join(boxes, keys).withColumn("_out", outside)
 
 
-def compare_runs(runs: dict[str, DataFrame]) -> DataFrame:
+def compare_runs(runs: dict[str, DataFrame], keys: list[str] | None = None) -> DataFrame:
     """Result sets stacked under their labels and normalised together.
 
-    Input columns: exp, hp_idx, accuracy, overall_accuracy, job_ms, task_ms.
+    Input columns: exp, the ``keys`` of a setting (hp_idx by default), accuracy, overall_accuracy, job_ms, task_ms.
     """
+    keys = keys or ["hp_idx"]
     stacked = None
     for label, df in runs.items():
         part = df.select(
-            F.lit(label).alias("run"), "exp", "hp_idx", "accuracy", "overall_accuracy", "job_ms", "task_ms"
+            F.lit(label).alias("run"), "exp", *keys, "accuracy", "overall_accuracy", "job_ms", "task_ms"
         )
         stacked = part if stacked is None else stacked.unionByName(part)
     scaled = normalize(stacked, ["accuracy", "overall_accuracy"], ["job_ms", "task_ms"])

@@ -12,6 +12,7 @@ from tunelens.sources import runs
 
 CONFS = list(range(1, 10))
 HT_KEYS = ["c", "t", "g", "s", "d"]
+SGD_KEYS = ["l", "o", "r", "p"]
 NORMS = [
     "norm_accuracy",
     "norm_recall",
@@ -139,6 +140,42 @@ def _results_round_trip(spark, sf_dir):
     return _rounded(back, [c for c in back.columns if c not in ("exp", *HT_KEYS)])
 
 
+def _results_read_sgd(spark, sf_dir):
+    table = _results_table(spark, sf_dir).join(grids.grid(spark, "sgd", "tweets").drop("hp"), "hp_idx")
+    path = scratch_path(spark, "results")
+    runs.write_results_csv(table, path, SGD_KEYS, "sgd")
+    back = runs.read_results_csv(spark, path)
+    return _rounded(back, [c for c in back.columns if c not in ("exp", *SGD_KEYS)])
+
+
+def _results_read_cluster(spark, sf_dir):
+    cube = _norm_cube(spark, sf_dir).join(grids.grid(spark, "ht", "tweets").drop("hp"), "hp_idx")
+    path = scratch_path(spark, "results")
+    runs.write_results_csv(cube, path, HT_KEYS, "cluster")
+    back = runs.read_results_csv(spark, path)
+    return _rounded(back, [c for c in back.columns if c not in ("exp", *HT_KEYS)])
+
+
+def _compare_files(spark, sf_dir):
+    """The runs of 20 and of 10 batches, each from its result file, one by titles and one by column numbers."""
+    names = grids.grid(spark, "ht", "tweets").drop("hp")
+    paths = []
+    for batches in (20, 10):
+        paths.append(scratch_path(spark, "results"))
+        runs.write_results_csv(_results_table(spark, sf_dir, batches).join(names, "hp_idx"), paths[-1], HT_KEYS)
+    sides = {
+        "20 batches": runs.read_results_csv(spark, paths[0]),
+        "10 batches": runs.read_results_columns(spark, paths[1], 5, 7, 9, 13, 15),
+    }
+    compared = x.compare_runs(sides, HT_KEYS)
+    return _rounded(compared, [c for c in compared.columns if c.startswith("norm_")])
+
+
+def _best_report(spark, sf_dir):
+    names = grids.grid(spark, "ht", "tweets").select("hp_idx", "hp")
+    return x.best_report(stored(_results(spark, sf_dir).join(names, "hp_idx"), "results"), digits=9)
+
+
 def _conf_read(spark, sf_dir):
     """Settings written one file per supplier nation, with comments and blank lines between them."""
     lines = fixtures.table(spark, sf_dir, "supplier").select(
@@ -275,6 +312,10 @@ QUERIES = {
     "metrics_last_half": _last_half,
     "learning_curve": lambda s, d: x.learning_curve(_metrics(s, d)),
     "results_read": _results_round_trip,
+    "results_read_sgd": _results_read_sgd,
+    "results_read_cluster": _results_read_cluster,
+    "compare_runs_files": _compare_files,
+    "best_report": _best_report,
     "conf_read": _conf_read,
     "tree_depth": _tree_depth,
     "experiment_cube": _cube,
@@ -445,3 +486,33 @@ _BACK = ["accuracy", "overall_accuracy", "f1", "job_ms", "task_ms", *_TABLE_NORM
 ORACLES["results_read"] = f"""{_TABLE}, g AS ({_grid_sql("ht", "tweets")})
     SELECT exp, c, t, g, s, d, CAST(depth AS DOUBLE) AS depth, {_round_list(_BACK)}
     FROM (SELECT * EXCLUDE (hp_idx), hp_idx AS h FROM tb) JOIN (SELECT hp_idx AS h, c, t, g, s, d FROM g) USING (h)"""
+ORACLES["results_read_sgd"] = f"""{_TABLE}, g AS ({_grid_sql("sgd", "tweets")})
+    SELECT exp, l, o, r, p, {_round_list(_BACK)}
+    FROM (SELECT * EXCLUDE (hp_idx), hp_idx AS h FROM tb) JOIN (SELECT hp_idx AS h, l, o, r, p FROM g) USING (h)"""
+_CLUSTER_BACK = ["instances", "accuracy", "norm_accuracy", "recall", "norm_recall", "precision", "norm_precision", "f1",
+                 "norm_f1", "jobs", "job_ms", "norm_job_ms", "tasks", "task_ms", "norm_task_ms", "norm_joined_time"]
+ORACLES["results_read_cluster"] = f"""{_NORM}, g AS ({_grid_sql("ht", "tweets")})
+    SELECT exp, c, t, g, s, d, {", ".join(f"round(CAST({c} AS DOUBLE), 6) + 0.0 AS {c}" for c in _CLUSTER_BACK)}
+    FROM (SELECT * EXCLUDE (hp_idx), hp_idx AS h FROM n) JOIN (SELECT hp_idx AS h, c, t, g, s, d FROM g) USING (h)"""
+ORACLES["compare_runs_files"] = f"""SELECT run, exp, c, t, g, s, d, accuracy, overall_accuracy, job_ms, task_ms,
+    norm_accuracy, norm_overall_accuracy, norm_job_ms, norm_task_ms, norm_joined_time
+    FROM (SELECT * EXCLUDE (hp_idx), hp_idx AS h FROM ({_compare_sql()}))
+    JOIN (SELECT hp_idx AS h, c, t, g, s, d FROM ({_grid_sql("ht", "tweets")})) USING (h)"""
+
+
+def _report_sql():
+    parts = []
+    for m, said in (("accuracy", "last half"), ("overall_accuracy", "overall")):
+        for kind, pos, over, order, line in (
+            ("configuration per setting", "hp_idx", "PARTITION BY hp_idx", "exp", "hp || ': s' || exp"),
+            ("setting per configuration", "exp", "PARTITION BY exp", "hp_idx", "'s' || exp || ': ' || hp"),
+            ("best run", "0", "", "hp_idx, exp", "'s' || exp || ': ' || hp"),
+        ):
+            parts.append(f"""SELECT * FROM (SELECT '{kind} ({said})' AS section, CAST({pos} AS BIGINT) AS pos,
+                {line} || ': ' || printf('%.9f', {m}) AS line FROM rh
+                QUALIFY row_number() OVER ({over} ORDER BY {m} DESC, {order}) = 1)""")
+    return f"""{_SINGLE}, g AS ({_grid_sql("ht", "tweets")}), rh AS (SELECT r.*, hp FROM r JOIN g USING (hp_idx))
+        {" UNION ALL ".join(parts)}"""
+
+
+ORACLES["best_report"] = _report_sql()

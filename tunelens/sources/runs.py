@@ -68,9 +68,9 @@ RESULT_TITLES = {
     "norm_overall_accuracy": "Normalized Overall Accuracy (%)",
     "f1": "F1-Score (%)",
     "norm_f1": "Normalized F1-Score (%)",
-    "job_ms": "Average Job Time (ms)",
+    "job_ms": "Average Job Time (sec)",
     "norm_job_ms": "Normalized Average Job Time (%)",
-    "task_ms": "Average Task Time (ms)",
+    "task_ms": "Average Task Time (sec)",
     "norm_task_ms": "Normalized Average Task Time (%)",
     "norm_joined_time": "Average Normalized Time Joined (%)",
 }
@@ -112,14 +112,31 @@ def write_results_csv(results: DataFrame, path: str, keys: list[str], model: str
     )
 
 
-def read_results_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Result columns picked by title: (exp, accuracy, overall_accuracy, job_ms, task_ms) and the key columns."""
+def read_results_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """A result file of any layout: the key columns as text, the others under our names, ``exp`` as a number.
+
+    The layout is told by its first title: ``ExpID`` with values like ``s1`` in cluster files, ``Configuration`` after
+    the keys in the others. Time titles may say ``(ms)`` or ``(sec)``.
+    """
     raw = spark.read.option("sep", ";").csv(path, header=True)
-    wanted = {t: c for c, t in RESULT_TITLES.items() if t in raw.columns}
-    keys = [c for c in raw.columns if c not in RESULT_TITLES.values()]
-    return raw.select(*keys, *[F.col(f"`{t}`").cast("double").alias(c) for t, c in wanted.items()]).withColumn(
-        "exp", F.col("exp").cast("int")
-    )
+    cluster = "ExpID" in raw.columns
+    titles = {t: c for c, t in (CLUSTER_TITLES if cluster else RESULT_TITLES).items()}
+    titles |= {t.replace("(sec)", "(ms)"): c for t, c in titles.items()}
+    wanted = {t: titles[t] for t in raw.columns if t in titles and titles[t] != "exp"}
+    exp = F.regexp_extract("ExpID", r"^s([0-9]+)$", 1) if cluster else F.col(RESULT_TITLES["exp"])
+    keys = [c for c in raw.columns if c not in titles and c != "ExpID"]
+    return raw.select(exp.cast("int").alias("exp"), *keys, *[F.col(f"`{t}`").cast("double").alias(c) for t, c in wanted.items()])
+
+
+def read_results_columns(
+    spark: SparkSession, path: str | list[str], conf: int, accuracy: int, overall_accuracy: int, job: int, task: int
+) -> DataFrame:
+    """A result file by column numbers from 0: the columns before ``conf`` are keys, as text."""
+    raw = spark.read.option("sep", ";").csv(path, header=True)
+    numbers = {"accuracy": accuracy, "overall_accuracy": overall_accuracy, "job_ms": job, "task_ms": task}
+    values = [F.col(f"`{raw.columns[i]}`").cast("double").alias(c) for c, i in numbers.items()]
+    exp = F.col(f"`{raw.columns[conf]}`").cast("int").alias("exp")
+    return raw.select(*raw.columns[:conf], exp, *values)
 
 
 def read_spark_conf(spark: SparkSession, path: str) -> DataFrame:
