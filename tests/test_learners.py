@@ -273,6 +273,26 @@ def test_prefix_of_a_stream(spark, data):
     assert few == many
 
 
+def test_missing_values(spark, data):
+    """Rows without a label change nothing; a missing feature is 0 to a linear model and no sum to a tree."""
+    from tunelens.streaming.clustering import StreamingKMeans
+    from tunelens.streaming.linear import LinearLearner, LinearOptions
+
+    gaps = data.withColumn("label", F.lit(None).cast("int"))
+    both = data.unionByName(gaps)
+    whole, more = make_learner(), make_learner()
+    assert sorted(whole.step(data)) == sorted(more.step(both)) and whole.state() == more.state()
+    holes = data.withColumn("a", F.when(F.col("id") % 3 > 0, F.col("a")))
+    filled = holes.fillna(0.0, ["a"])
+    one, two = (LinearLearner(["a"], {"m": LinearOptions(1, 0.5)}) for _ in range(2))
+    assert sorted(one.step(holes.unionByName(holes.withColumn("label", F.lit(None).cast("int"))))) == sorted(two.step(filled))
+    assert one.state() == two.state()
+    make_learner().step(holes)
+    model = StreamingKMeans(["a"], 2)
+    model.start(holes)
+    assert sum(n for _, n, *_ in model.step(holes)) == holes.where("a IS NOT NULL").count()
+
+
 def test_poisson_rate():
     from tunelens.streaming.trees import poisson_steps
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 DATA_MARK = "@data"
 ATTRIBUTE_MARK = "@attribute"
+MAX_COLUMNS = 100_000
 
 
 @dataclass(frozen=True)
@@ -35,16 +36,18 @@ def parse_attribute(line: str) -> Attribute:
     return Attribute(name, kind)
 
 
-def read_arff_header(spark: SparkSession, path: str | list[str], step: int = 1000) -> list[Attribute]:
-    """Attributes of the first file: reads only its first lines, in growing steps, up to the data mark."""
+def read_arff_header(spark: SparkSession, path: str | list[str]) -> list[Attribute]:
+    """Attributes of the first file: only lines with a mark reach the driver, no more than a relation may have columns.
+
+    A file without a data mark in its first block is an error.
+    """
     first = min(spark.read.text(path).inputFiles())
     lines = spark.read.text(first).where(F.col("_metadata.file_block_start") == 0)
-    while True:
-        head = [r["value"] for r in lines.take(step)]
-        end = next((i for i, line in enumerate(head) if DATA_MARK in line), None)
-        if end is not None or len(head) < step:
-            return [parse_attribute(line) for line in head[:end] if ATTRIBUTE_MARK in line]
-        step *= 10
+    head = [r["value"] for r in lines.where(F.ltrim("value").startswith("@")).take(MAX_COLUMNS + 2)]
+    end = next((i for i, line in enumerate(head) if DATA_MARK in line), None)
+    if end is None:
+        raise ValueError(f"no {DATA_MARK} among the first lines of {first}")
+    return [parse_attribute(line) for line in head[:end] if ATTRIBUTE_MARK in line]
 
 
 def is_data_line(value: Column) -> Column:
@@ -54,11 +57,13 @@ def is_data_line(value: Column) -> Column:
 def read_arff(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Rows typed by the first file's header; the domain of a nominal column is kept in its field metadata.
 
-    A cell that does not fit its declared type fails the job.
+    A cell that does not fit its declared type fails the job, and so does a row with too few or too many cells.
     """
     attributes = read_arff_header(spark, path)
     rows = spark.read.text(path).where(is_data_line(F.col("value")))
-    cells = rows.select(F.split(F.trim("value"), ",").alias("c"))
+    cells = F.split(F.trim("value"), ",")
+    wrong = F.raise_error(F.concat(F.lit(f"not {len(attributes)} cells: "), F.col("value")))
+    cells = rows.select(F.when(F.size(cells) == len(attributes), cells).otherwise(wrong).alias("c"))
     columns = []
     for i, a in enumerate(attributes):
         if a.nominal:

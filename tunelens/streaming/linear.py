@@ -81,9 +81,11 @@ class LinearLearner:
     def step(self, batch: DataFrame) -> list[tuple[str, int, int, int]]:
         """Predict with the current weights, count (name, label, prediction, n), then train.
 
-        Scores, counts and gradient sums of all models come from one aggregation.
+        Scores, counts and gradient sums of all models come from one aggregation. A NULL feature counts as 0; rows
+        without a label are left out.
         """
-        rows = self._scored(batch.select(*self.features, "label"), list(self.options))
+        known = batch.where("label IS NOT NULL").fillna(0.0, self.features)
+        rows = self._scored(known.select(*self.features, "label"), list(self.options))
         if self.classes is None:
             each = rows.selectExpr("*", "0 AS cls", "scores[0] AS s", "CAST(label AS DOUBLE) AS y")
         else:

@@ -439,8 +439,11 @@ class TreeLearner:
         return " + ".join(terms)
 
     def step(self, batch: DataFrame) -> list[tuple[str, int, int, int]]:
-        """Predict with the trees as they are, count (name, label, prediction, n), then train and try splits."""
-        rows = self._predicted(self._spread(batch))
+        """Predict with the trees as they are, count (name, label, prediction, n), then train and try splits.
+
+        Rows without a label are left out; a NULL feature takes the last branch and joins no sums.
+        """
+        rows = self._predicted(self._spread(batch.where("label IS NOT NULL")))
         groups = rows.groupBy("m", "leaf", "y", "label", "prediction", "majority", "bayes").agg(
             F.count("*").alias("rows"), F.sum("w").alias("w"), *self._sums()
         )
