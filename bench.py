@@ -36,6 +36,8 @@ HEADLINE = [
     "sgd_grid_prequential",
     "ht_prequential",
     "rf_prequential",
+    "ht_grid_prequential",
+    "feature_ablation",
     "kmeans_prequential",
     "outlier_prequential",
 ]

@@ -11,14 +11,17 @@ SF = "/root/testdata/sf0.001"
 SAMPLE = [
     "evlog_task_summary", "evlog_cluster_times", "hp_grid_ht", "experiment_normalized", "best_overall", "box_stats",
     "arff_head_read", "instances_norm2", "tweet_text_features_clean", "replay_chunks", "eval_extended",
-    "sgd_prequential_logistic", "ht_split_scores", "outlier_prequential",
+    "sgd_prequential_logistic", "ht_split_scores", "outlier_prequential", "tweet_read", "tweet_lexicon_features",
+    "tweet_adaptive_bow", "results_read_sgd", "results_read_cluster", "compare_runs_files", "best_report", "hp_decode",
+    "kmeans_prequential", "dir_partitions",
 ]
 
 
 def test_names_agree():
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries) and len(queries) > 90
-    assert set(queries) - set(sql) <= {
+    own = {n for n in queries if not n.startswith("op") and n != "pipeline"}
+    assert own - set(sql) <= {
         "evlog_latest_log", "ht_prequential", "ht_grid_prequential", "mc_trees_prequential", "rf_prequential",
         "feature_ablation"}
 

@@ -9,6 +9,9 @@ from tunelens.functions.text import tokens
 from tunelens.operators.ordering import bounded
 
 
+VOCABULARY_BROADCAST = 200_000
+
+
 def token_counts(docs: DataFrame, normal: str, batch: str = "chunk_id", text: str = "text", label: str = "class"):
     """(batch, token, normal_docs, other_docs): documents holding each token."""
     held = docs.select(
@@ -64,7 +67,8 @@ def adaptive_bow(
     docs: DataFrame, normal: str, ratio: float = 2.0, min_docs: int = 10, batch: str = "chunk_id", key: str = "id"
 ) -> DataFrame:
     """``docs`` with ``bow``: how many of its tokens are on the list in force."""
-    listed = adaptive_vocabulary(docs, normal, ratio, min_docs, batch)
+    # The list is counted: up to VOCABULARY_BROADCAST entries, common words never gather on their key.
+    listed = bounded(adaptive_vocabulary(docs, normal, ratio, min_docs, batch), VOCABULARY_BROADCAST)
     # Counting tokens inside each document first leaves one row per (document, token) to join.
     held = docs.select(batch, key, F.explode(tokens(F.col("text"))).alias("token")).groupBy(batch, key, "token").agg(
         F.count("*").alias("n")
