@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -93,6 +94,19 @@ def test_null_ids_and_empty(odd_docs, no_docs):
     assert simhash.drop_near(no_docs).count() == 0
 
 
+def test_estimate():
+    rng = random.Random(2)
+    for size, tolerance in ((60, 0.08), (3000, 0.09)):
+        base = [str(rng.random()).encode() for _ in range(size)]
+        for keep in (1.0, 0.9, 0.5, 0.0):
+            n = int(size * keep)
+            other = base[:n] + [str(rng.random()).encode() for _ in range(size - n)]
+            pair = [np.frombuffer(simhash.sketch(set(x)), np.uint8)[None] for x in (base, other)]
+            assert abs(float(simhash.estimated(*pair)[0]) - n / (2 * size - n)) < tolerance
+    empty = np.frombuffer(simhash.sketch(set()), np.uint8)[None]
+    assert float(simhash.estimated(empty, empty)[0]) == 1.0
+
+
 def jaccard(a, b):
     x, y = (set(zip(*[t.lower().split()[i:] for i in range(5)])) for t in (a, b))
     return len(x & y) / len(x | y)

@@ -8,6 +8,7 @@ fixes two segments, so groups of near copies stay apart in small buckets.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -88,6 +89,28 @@ def near(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     is equal and the next one differs in at most one bit. Of two segments that differ in one bit, one has the bit set:
     clearing set bits is all of the ball that has to be enumerated.
     """
+    tables, probes = _keys(radius)
+    table = nodes.select(F.col("fp").alias("other"), F.explode(tables).alias("key"))
+    probe = nodes.select("fp", F.explode(probes).alias("key"))
+    met = probe.join(table, "key").where(F.col("fp") != F.col("other"))
+    met = met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius)
+    return met.select(F.greatest("fp", "other").alias("a"), F.least("fp", "other").alias("b")).distinct()
+
+
+def _across(entries: DataFrame, radius: int) -> DataFrame:
+    """(a, b): pairs of nodes of different components whose fingerprints differ in at most ``radius`` bits, for entries
+    (node, fp, component)."""
+    tables, probes = _keys(radius)
+    table = entries.select(
+        F.col("node").alias("other_node"), F.col("fp").alias("other"), F.col("component").alias("others"), F.explode(tables).alias("key"))
+    probe = entries.select("node", "fp", "component", F.explode(probes).alias("key"))
+    met = probe.join(table, "key").where("component != others")
+    met = met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius)
+    return met.select(F.greatest("node", "other_node").alias("a"), F.least("node", "other_node").alias("b")).distinct()
+
+
+def _keys(radius: int) -> tuple[Column, Column]:
+    """The keys under which ``fp`` stands in the tables, and those it looks up."""
     segments = _segments(radius)
     tables, probes = [], []
     for i, exact in enumerate(segments):
@@ -98,11 +121,7 @@ def near(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
         for bit in range(probed[1]):
             one = F.lit(1 << bit).cast("bigint")
             probes.append(F.when(ball.bitwiseAND(one) != 0, _key(i, fixed, ball.bitwiseXOR(one))))
-    table = nodes.select(F.col("fp").alias("other"), F.explode(F.array(*tables)).alias("key"))
-    probe = nodes.select("fp", F.explode(F.array_compact(F.array(*probes))).alias("key"))
-    met = probe.join(table, "key").where(F.col("fp") != F.col("other"))
-    met = met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius)
-    return met.select(F.greatest("fp", "other").alias("a"), F.least("fp", "other").alias("b")).distinct()
+    return F.array(*tables), F.array_compact(F.array(*probes))
 
 
 def clusters(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -133,51 +152,74 @@ def digest(docs: DataFrame, width: int = 3) -> DataFrame:
     return clusters(docs, width).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Search fingerprints of near copies: single words, so that an edited word changes one hash and not five, and four
-#: bits, within which 98 % of the pairs with a similarity of 0.8 or more lay on the given documents.
-SEARCH_WIDTH, SEARCH_RADIUS = 1, 4
-_WIDE_BITS = 256
+#: Search fingerprints of near copies are SimHashes of words weighted by the root of their count, so that an edited word
+#: changes one hash and not ``width``, and frequent words do not make strangers alike. One in three or four of the pairs
+#: right at a similarity of 0.8 differs in more than four bits; three independent fingerprints miss few of them.
+SEARCH_PRINTS, SEARCH_RADIUS = 3, 4
+#: Shingles of a document are dealt into so many buckets, each of which keeps a byte of its smallest hash.
+BUCKETS = 256
+#: A similarity estimated this much below the threshold still counts.
+SLACK = 0.02
 
 
-def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, fp, wide): the search fingerprint, and 256 SimHash bits of the set of ``width``-word shingles."""
+def sketch(parts: set[bytes]) -> bytes:
+    """One byte per bucket: 0 if no shingle falls there, else 1 to 255 from the smallest hash."""
+    least = np.full(BUCKETS, np.iinfo(np.uint64).max, np.uint64)
+    if parts:
+        h = np.array([xxhash.xxh64_intdigest(p, 1) for p in parts], np.uint64)
+        np.minimum.at(least, (h % BUCKETS).astype(np.int64), h // np.uint64(BUCKETS))
+    empty = least == np.iinfo(np.uint64).max
+    return np.where(empty, 0, 1 + least % np.uint64(255)).astype(np.uint8).tobytes()
+
 
-    def wide(words: list[bytes]) -> bytes:
-        parts = set(shingles(words, width))
-        if not parts:
-            return bytes(_WIDE_BITS // 8)
-        raw = b"".join([xxhash.xxh3_128_digest(p, 1) + xxhash.xxh3_128_digest(p, 2) for p in parts])
-        return _majority(np.frombuffer(raw, np.uint8).reshape(-1, _WIDE_BITS // 8)).tobytes()
+def estimated(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Jaccard similarity of the shingle sets behind rows of sketches: buckets that agree among those not empty in both,
+    less what bytes agree by chance. Close to exact for documents with fewer shingles than buckets."""
+    used = ((a > 0) | (b > 0)).sum(1)
+    raw = ((a == b) & (a > 0)).sum(1) / np.maximum(used, 1)
+    return np.where(used == 0, 1.0, (raw - 1 / 255) / (1 - 1 / 255))
+
+
+def word_prints(words: list[bytes]) -> np.ndarray:
+    """``SEARCH_PRINTS`` SimHashes of the words, each weighted by the root of its count (in whole 16ths, so that sums
+    are exact)."""
+    if not words:
+        return np.zeros(SEARCH_PRINTS, np.int64)
+    counts = Counter(words)
+    weights = np.sqrt(np.fromiter(counts.values(), np.int64, len(counts)) * 256).astype(np.int64)
+    raw = b"".join([xxhash.xxh3_128_digest(w, 1) + xxhash.xxh3_64_digest(w, 2) for w in counts])
+    bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(len(counts), -1), axis=1)
+    ones = weights @ bits.astype(np.int64)
+    return np.packbits(2 * ones > weights.sum()).view(">u8").astype(np.uint64).view(np.int64)
+
+
+def sketches(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, f0, f1, f2, wide): the search fingerprints, and the sketch of the set of ``width``-word shingles."""
+    names = [f"f{i}" for i in range(SEARCH_PRINTS)]
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            texts = [t.as_py() or b"" for t in batch.column("text")]
-            fps = np.array([fingerprint(t, SEARCH_WIDTH) for t in texts], np.uint64).view(np.int64)
+            texts = [(t.as_py() or b"").lower().split() for t in batch.column("text")]
+            prints = np.array([word_prints(w) for w in texts], np.int64).reshape(-1, SEARCH_PRINTS)
+            wide = pa.array([sketch(set(shingles(w, width))) for w in texts], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(fps), pa.array([wide(t.lower().split()) for t in texts])],
-                ["doc_id", "fp", "wide"])
+                [batch.column("doc_id").cast(pa.int64()), *[pa.array(np.ascontiguousarray(c)) for c in prints.T], wide],
+                ["doc_id", *names, "wide"])
 
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, fp bigint, wide binary")
+    return rows.mapInArrow(run, "doc_id bigint, " + ", ".join(f"{n} bigint" for n in names) + ", wide binary")
 
 
-def wide_limit(similarity: float) -> int:
-    """Differing wide bits up to which two documents count as that similar.
-
-    Sets of like size with Jaccard similarity s have the cosine 2 s / (1 + s), and a bit differs with probability
-    angle / pi. One standard deviation is added, so that most pairs right at the threshold are found.
-    """
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(_WIDE_BITS * p + (_WIDE_BITS * p * (1 - p)) ** 0.5)
+def _verified(pairs: DataFrame, similarity: float) -> DataFrame:
+    """``pairs`` (a, b, wa, wb) without the sketches, and whether each is ``like``."""
 
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BUCKETS) for c in ("wa", "wb"))
+            like = pa.array(estimated(x, y) >= similarity - SLACK)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), like], ["a", "b", "like"])
 
-def _apart(a: str, b: str) -> Column:
-    """Differing bits of two 32-byte columns."""
-    total = F.lit(0)
-    for i in range(0, _WIDE_BITS // 4, 15):  # hex digits in pieces that fit a signed integer
-        x, y = (F.conv(F.substring(F.hex(c), i + 1, min(15, _WIDE_BITS // 4 - i)), 16, 10).cast("bigint") for c in (a, b))
-        total = total + F.bit_count(x.bitwiseXOR(y))
-    return total
+    return pairs.select("a", "b", "wa", "wb").mapInArrow(run, "a bigint, b bigint, like boolean")
 
 
 def without(docs: DataFrame, gone: DataFrame, limit: int = 1_000_000) -> DataFrame:
@@ -189,33 +231,50 @@ def without(docs: DataFrame, gone: DataFrame, limit: int = 1_000_000) -> DataFra
     return carried.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select("_row.*")
 
 
+def _heads(nodes: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """For nodes (node, fp, wide): links (a, b) of nodes to the smallest node with the same fingerprint, where they are
+    similar, and the nodes that stand for a fingerprint in the search: the smallest ones, and those not similar to them."""
+    heads = nodes.groupBy("fp").agg(F.min_by("wide", "node").alias("head_wide"), F.min("node").alias("head"), F.count("*").alias("n"))
+    heads = written(heads, "heads")
+    crowd = salted_lookup(nodes, heads.where("n > 1").drop("n"), "fp", "node", "inner").where("node != head")
+    held = crowd.select(F.col("node").alias("a"), F.col("head").alias("b"), F.col("wide").alias("wa"), F.col("head_wide").alias("wb"))
+    held = written(_verified(held, similarity), "held")
+    apart = nodes.select("node", "fp").join(held.where("NOT like").select(F.col("a").alias("node")), "node")
+    return held.where("like").select("a", "b"), heads.select(F.col("head").alias("node"), "fp").unionByName(apart)
+
+
 def drop_near(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document, that of the smallest doc_id, of each group of near copies; all columns kept.
 
-    Documents are near copies if their word SimHashes differ in at most ``SEARCH_RADIUS`` bits and their wide SimHashes
-    over ``width``-word shingles say ``similarity`` or more (``wide_limit``); groups are the connected components.
-    Documents with one search fingerprint are held against the one with the smallest doc_id first; those that are not
-    similar to it take part in the search as nodes of their own. Null and empty texts form one group. Rows that share a
-    doc_id stay or go together; rows with a null doc_id stay.
+    Documents are near copies if one of their search fingerprints differs in at most ``SEARCH_RADIUS`` bits and their
+    sets of ``width``-word shingles are estimated to have ``similarity`` or more; groups are the connected components.
+    First, documents with an equal fingerprint are held against the smallest of them, so that a large family of near
+    copies is one component before the search, which only looks for pairs of different components. Null and empty texts
+    form one group. Rows that share a doc_id stay or go together; rows with a null doc_id stay. An empty table gives no
+    rows.
     """
-    limit = wide_limit(similarity)
+    names = [f"f{i}" for i in range(SEARCH_PRINTS)]
     rows = written(sketches(docs, width).where("doc_id IS NOT NULL"), "sketches")
-    first = rows.groupBy("fp").agg(F.min_by("wide", "doc_id").alias("head_wide"), F.min("doc_id").alias("head"), F.count("*").alias("n"))
-    first = written(first, "heads")
-    crowd = salted_lookup(rows, first.where("n > 1").drop("n"), "fp", "doc_id", "inner").where("doc_id != head")
-    crowd = crowd.withColumn("like", _apart("wide", "head_wide") <= limit)
-    crowd = written(crowd.select("doc_id", "fp", "wide", "head", "like"), "crowd")
-    alone = crowd.where("NOT like").select("fp", "wide", F.col("doc_id").alias("node"))
-    alone = alone.groupBy("fp", "wide").agg(F.min("node").alias("node"))
-    twins = crowd.where("NOT like").join(alone, ["fp", "wide"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    nodes = first.select("fp", F.col("head_wide").alias("wide"), F.col("head").alias("node")).unionByName(alone)
-    nodes = written(nodes, "nodes")
-    pairs = near(first.select("fp"), SEARCH_RADIUS)
-    same = alone.select("fp").distinct().select(F.col("fp").alias("a"), F.col("fp").alias("b"))
-    pairs = written(pairs.unionByName(same), "near")
-    left, right = (nodes.select(F.col("fp").alias(c), F.col("wide").alias(f"w{c}"), F.col("node").alias(f"n{c}")) for c in "ab")
-    met = pairs.join(left, "a").join(right, "b").where(F.col("na") != F.col("nb")).where(_apart("wa", "wb") <= limit)
-    links = met.select(F.col("na").alias("a"), F.col("nb").alias("b"))
-    links = links.unionByName(twins).unionByName(crowd.where("like").select(F.col("doc_id").alias("a"), F.col("head").alias("b")))
-    gone = components(links).where("node != component").select(F.col("node").alias("_gone"))
+    whole = F.xxhash64(*names, "wide").alias("whole")
+    nodes = written(rows.groupBy(whole).agg(
+        F.min_by(F.struct(*names, "wide"), "doc_id").alias("s"), F.min("doc_id").alias("node"), F.count("*").alias("n")), "nodes")
+    twins = salted_lookup(rows.select("doc_id", whole), nodes.where("n > 1").select("whole", "node"), "whole", "doc_id", "inner")
+    links = twins.where("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    nodes = nodes.select("node", "s.*")
+    searched = []
+    for name in names:
+        alike, standing = _heads(nodes.select("node", F.col(name).alias("fp"), "wide"), similarity)
+        links = links.unionByName(alike)
+        searched.append(standing)
+    labels = written(components(links), "labels")
+    met = None
+    for standing in searched:
+        known = standing.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        pairs = _across(written(known, "standing"), SEARCH_RADIUS)
+        met = pairs if met is None else met.unionByName(pairs)
+    met = written(met.distinct(), "near")
+    left, right = (nodes.select(F.col("node").alias(c), F.col("wide").alias(f"w{c}")) for c in "ab")
+    more = _verified(met.join(left, "a").join(right, "b"), similarity).where("like").select("a", "b")
+    joined = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
+    gone = components(joined).where("node != component").select(F.col("node").alias("_gone"))
     return without(docs, written(gone, "gone"))
