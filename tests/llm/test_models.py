@@ -82,6 +82,26 @@ def test_toxicity_odd(spark, odd_docs, no_docs):
     assert {r.score for r in toxicity.scored(odd_docs, nothing).collect()} == {0.5}
 
 
+def test_toxicity_of_weaker_words(spark):
+    """Toxic texts hold five of 20 words that clean ones have too, a tenth as often, and no word or beginning marks them."""
+    rng = np.random.default_rng(5)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    plain = ["".join(rng.choice(letters, 7)) for _ in range(300)]
+    weak = ["".join(rng.choice(letters, 7)) for _ in range(20)]
+    made = []
+    for i in range(900):
+        toxic = i % 3 == 0
+        words = [*rng.choice(plain, 25), *rng.choice(weak, 5 if toxic else int(rng.integers(2)), replace=False)]
+        made.append((i, " ".join(rng.permutation(words)), int(toxic)))
+    table = spark.createDataFrame(made, "doc_id bigint, text string, toxic int")
+    docs = table.drop("toxic")
+    rows = toxicity.scored(docs, toxicity.train(docs, table.drop("text"))).collect()
+    judged = [r for r in rows if r.held_out]
+    assert all(r.evidence for r in judged)
+    assert sum(r.predicted for r in judged if r.doc_id % 3 == 0) >= 0.9 * sum(r.doc_id % 3 == 0 for r in judged)
+    assert sum(r.predicted for r in judged if r.doc_id % 3) <= 0.02 * sum(r.doc_id % 3 > 0 for r in judged)
+
+
 def test_features():
     at, counts = langid.features("Aé! aé")
     assert counts.sum() == 7 + 6 + 5 and (at < langid.DIMENSIONS).all()

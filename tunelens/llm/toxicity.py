@@ -1,8 +1,10 @@
 """Toxicity from the nearest labelled examples.
 
-Documents are TF-IDF vectors over marker terms: words, and beginnings of words, that are far likelier in toxic examples.
+Documents are TF-IDF vectors over all words of the examples, and over beginnings of words that are far likelier in toxic
+ones. Each term's idf, from the whole corpus, is multiplied by how far the term tells toxic from clean examples; no word
+has a weight of zero.
 The examples, a bounded sample of labelled rows, form an inverted index in blocks that know the largest weight of each
-term. A query adds up these maxima to bound every block, visits blocks from the highest bound down and stops when no
+term. A query adds up these maxima to bound every block, visits the highest bounds first and stops when no other
 block can hold a nearer example, so its neighbours by cosine are exact. They vote by distance; a logistic curve fitted
 to leave-one-out votes makes the vote a probability. The neighbours are returned as evidence.
 """
@@ -12,7 +14,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +25,18 @@ from tunelens.llm.tables import learning_row, written
 
 #: Labelled rows of each class that become examples; a bound of the fitting sample only.
 PER_CLASS = 3_000
-#: Marker terms: at most so many, in so many toxic examples at least and such a share of them (the words of a few near
-#: copies stay out), so many times likelier in toxic examples, and with such a chi-square statistic.
+#: Beginnings of words that are terms beside the words: at most so many, in so many toxic examples at least and such a share
+#: of them (the words of a few near copies stay out), so many times likelier in toxic examples, and with such a chi-square
+#: statistic.
 TERMS, LEAST_DOCS, LEAST_SHARE, LIKELIER, CHI2 = 2_048, 5, 0.015, 30.0, 15.0
+#: Relevance of a term: its log odds, after ``SMOOTH`` examples of average classes and shrunk where ``DOUBT`` exceeds their
+#: squared z-score, and ``LEAST`` for every term.
+SMOOTH, DOUBT, LEAST = 10.0, 9.0, 0.05
 PREFIXES = (4, 5, 6)
 NEIGHBOURS = 15
 BLOCK = 64
+#: Blocks visited before the others are held against the nearest examples found so far.
+FIRST = 4
 #: Added to a neighbour's distance, and weight of the prior in a vote.
 SOFTEN, PRIOR = 0.05, 1.0
 REJECT = 0.7
@@ -45,110 +53,113 @@ def words(text: str | None) -> list[str]:
     return _WORDS.findall(text.lower()) if text else []
 
 
-class Markers:
-    """Marker terms of texts as vectors."""
+class Terms:
+    """Terms of texts as vectors."""
 
     def __init__(self, terms: list[str]):
         self.number = {t: i for i, t in enumerate(terms)}
         self.known: dict[str, tuple[int, ...]] = {}
 
-    def counts(self, text: str | None) -> Counter:
-        every = words(text)
-        found = []
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers, counts) of the terms of the text, ascending."""
         if len(self.known) > _CACHE:
             self.known.clear()
-        for w in set(every):
+        found: list[int] = []
+        times: list[int] = []
+        for w, n in Counter(words(text)).items():
             at = self.known.get(w)
             if at is None:
                 at = self.known[w] = tuple(self.number[t] for t in word_terms(w) if t in self.number)
-            if at:
-                found.append((w, at))
-        total: Counter = Counter()
-        for w, at in found:
-            n = every.count(w)
-            for i in at:
-                total[i] += n
-        return total
-
-    def vector(self, text: str | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        counts = self.counts(text)
-        at = np.array(sorted(counts), np.int64)
-        x = (1 + np.log(np.array([counts[i] for i in at.tolist()], float))) * idf[at]
+            found += at
+            times += [n] * len(at)
+        at, back = np.unique(np.array(found, np.int64), return_inverse=True)
+        return at, np.bincount(back, weights=times, minlength=len(at))
+
+    def vector(self, text: str | None, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, counts = self.counts(text)
+        x = (1 + np.log(counts)) * weight[at]
         return at, x / max(float(np.sqrt(x @ x)), 1e-12)
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges (start, size), one after the other."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
+
+
 @dataclass
 class BlockMaxIndex:
     """Postings (example, weight) by term, cut at multiples of ``BLOCK`` examples, with each cut's largest weight."""
 
     size: int
-    examples: list[np.ndarray] = field(default_factory=list)
-    weights: list[np.ndarray] = field(default_factory=list)
-    blocks: list[np.ndarray] = field(default_factory=list)
-    cuts: list[np.ndarray] = field(default_factory=list)
-    largest: list[np.ndarray] = field(default_factory=list)
+    examples: np.ndarray  # of the postings, by term
+    weights: np.ndarray
+    begins: np.ndarray  # first cut of each term, and the end
+    blocks: np.ndarray  # of the cuts
+    cuts: np.ndarray  # first posting of each cut, and the end
+    largest: np.ndarray
 
     @staticmethod
     def of(vectors: list[tuple[np.ndarray, np.ndarray]], terms: int) -> BlockMaxIndex:
-        index = BlockMaxIndex(len(vectors))
         sizes = [len(at) for at, _ in vectors]
         term = np.concatenate([at for at, _ in vectors]) if vectors else np.zeros(0, np.int64)
         weight = np.concatenate([x for _, x in vectors]) if vectors else np.zeros(0)
-        example = np.repeat(np.arange(len(vectors)), sizes)
+        example = np.repeat(np.arange(len(vectors), dtype=np.int32), sizes)
         order = np.argsort(term, kind="stable")
-        ends = np.searchsorted(term[order], np.arange(terms + 1))
-        for t in range(terms):
-            own = order[ends[t] : ends[t + 1]]
-            docs, w = example[own], weight[own]
-            block, first = np.unique(docs // BLOCK, return_index=True)
-            index.examples.append(docs)
-            index.weights.append(w)
-            index.blocks.append(block)
-            index.cuts.append(np.append(first, len(docs)))
-            index.largest.append(np.maximum.reduceat(w, first) if len(w) else w)
-        return index
+        term, example, weight = term[order], example[order], weight[order]
+        block = example // BLOCK
+        first = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
+        return BlockMaxIndex(
+            len(vectors), example, weight, np.searchsorted(term[first], np.arange(terms + 1)), block[first],
+            np.append(first, len(term)), np.maximum.reduceat(weight, first) if len(first) else np.zeros(0))
 
     def nearest(self, at: np.ndarray, x: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the ``k`` nearest with a cosine above 0, nearest first, equal ones by number."""
-        bound = np.zeros((self.size + BLOCK - 1) // BLOCK + 1)
-        for t, q in zip(at.tolist(), x.tolist()):
-            bound[self.blocks[t]] += q * self.largest[t]
+        sizes = self.begins[at + 1] - self.begins[at]
+        cut, q = _ranges(self.begins[at], sizes), np.repeat(x, sizes)
+        block = self.blocks[cut]
+        bound = np.bincount(block, q * self.largest[cut], (self.size + BLOCK - 1) // BLOCK)
         order = np.argsort(-bound, kind="stable")
         found_at, found = np.zeros(0, np.int64), np.zeros(0)
-        least = 0.0
-        for b in order.tolist():
-            if bound[b] <= 0 or bound[b] < least - 1e-9:
+        least, seen = 0.0, 0
+        while seen < len(order):
+            # The highest bounds first, then all blocks that may still hold a nearer example.
+            upper = order[seen:] if seen else order[:FIRST]
+            visited = upper[(bound[upper] > 0) & (bound[upper] >= least - 1e-9)]
+            seen += len(upper)
+            if not len(visited):
                 break
-            score = np.zeros(BLOCK)
-            for t, q in zip(at.tolist(), x.tolist()):
-                j = int(np.searchsorted(self.blocks[t], b))
-                if j < len(self.blocks[t]) and self.blocks[t][j] == b:
-                    low, high = self.cuts[t][j], self.cuts[t][j + 1]
-                    score[self.examples[t][low:high] - b * BLOCK] += q * self.weights[t][low:high]
-            if 0 <= without - b * BLOCK < BLOCK:
-                score[without - b * BLOCK] = 0
+            chosen = np.zeros(len(bound), bool)
+            chosen[visited] = True
+            own = chosen[block]
+            starts = self.cuts[cut[own]]
+            n = self.cuts[cut[own] + 1] - starts
+            posting = _ranges(starts, n)
+            score = np.bincount(self.examples[posting], np.repeat(q[own], n) * self.weights[posting], self.size)
+            if without >= 0:
+                score[without] = 0
             hit = np.flatnonzero(score > 0)
-            found_at, found = np.append(found_at, hit + b * BLOCK), np.append(found, score[hit])
-            if len(found) > k:
-                top = np.lexsort((found_at, -np.round(found, 12)))[:k]
-                found_at, found = found_at[top], found[top]
+            if len(hit) > 4 * k:  # those that may be among the nearest, ties included
+                hit = hit[score[hit] >= np.partition(score[hit], -k)[-k] - 1e-9]
+            found_at, found = np.append(found_at, hit), np.append(found, score[hit])
+            top = np.lexsort((found_at, -np.round(found, 12)))[:k]
+            found_at, found = found_at[top], found[top]
             if len(found) == k:
                 least = float(found.min())
-        top = np.lexsort((found_at, -np.round(found, 12)))
-        return found_at[top], found[top]
+        return found_at, found
 
 
 @dataclass
 class Model:
     terms: list[str]
-    idf: np.ndarray
+    weight: np.ndarray
     index: BlockMaxIndex
     ids: np.ndarray
     labels: np.ndarray
     prior: float
     slope: float
     offset: float
-    unmarked: float  # score of a text without marker terms
+    unknown: float  # score of a text that shares no term with any example
 
     def vote(self, at: np.ndarray, x: np.ndarray, without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
         near, cos = self.index.nearest(at, x, NEIGHBOURS, without)
@@ -156,10 +167,10 @@ class Model:
         share = (w @ self.labels[near] + PRIOR * self.prior) / (w.sum() + PRIOR)
         return float(np.log(share / (1 - share))), near, cos
 
-    def score(self, text: str | None, markers: Markers) -> tuple[float, list[int], list[float]]:
-        at, x = markers.vector(text, self.idf)
+    def score(self, text: str | None, terms: Terms) -> tuple[float, list[int], list[float]]:
+        at, x = terms.vector(text, self.weight)
         if not len(at):
-            return self.unmarked, [], []
+            return self.unknown, [], []
         v, near, cos = self.vote(at, x)
         return float(1 / (1 + np.exp(-(self.slope * v + self.offset)))), self.ids[near].tolist(), cos.round(6).tolist()
 
@@ -196,8 +207,8 @@ def examples(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, f
     return rows, {c: counts[c] / max(1, held.get(c, 0)) for c in counts}
 
 
-def marker_terms(rows: DataFrame) -> list[str]:
-    """The terms that mark toxicity in the examples, strongest first."""
+def example_terms(rows: DataFrame) -> tuple[list[str], np.ndarray]:
+    """The terms of the examples, in order, and how far each tells toxic from clean examples."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,38 +226,51 @@ def marker_terms(rows: DataFrame) -> list[str]:
     a, b, n = F.col("a").cast("double"), F.col("b").cast("double"), float(n1 + n0)
     chi2 = n * F.pow(a * (n0 - b) - b * (n1 - a), F.lit(2)) / ((a + b) * (n - a - b) * float(max(1, n1 * n0)) + 1e-9)
     likelier = (a + 0.5) / (n1 + 1) >= LIKELIER * (b + 0.5) / (n0 + 1)
-    chosen = counted.withColumn("chi2", chi2).where((a >= max(LEAST_DOCS, LEAST_SHARE * n1)) & likelier & (F.col("chi2") >= CHI2))
-    return [r["term"] for r in chosen.orderBy(F.desc("chi2"), "term").limit(TERMS).collect()]
+    counted = written(counted.withColumn("chi2", chi2), "terms")
+    begins = F.col("term").endswith("~")
+    marking = counted.where(begins & (a >= max(LEAST_DOCS, LEAST_SHARE * n1)) & likelier & (F.col("chi2") >= CHI2))
+    marking = marking.orderBy(F.desc("chi2"), "term").limit(TERMS)
+    # Bounded by the examples. The order makes sums of weights, and so ties, the same in every run.
+    chosen = counted.where(~begins).unionByName(marking).orderBy("term").toArrow()
+    share = n1 / max(1, n1 + n0)
+    x = chosen.column("a").to_numpy().astype(float) + SMOOTH * share
+    y = chosen.column("b").to_numpy().astype(float) + SMOOTH * (1 - share)
+    if not n1 or not n0:
+        return chosen.column("term").to_pylist(), np.full(len(x), LEAST)
+    odds = np.log(x / n1) - np.log(y / n0)
+    z2 = odds**2 / (1 / x + 1 / y)
+    return chosen.column("term").to_pylist(), LEAST + np.abs(odds) * z2 / (z2 + DOUBT)
 
 
 def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[np.ndarray, int]:
     """Documents that hold each term, and documents in all, over the whole of ``docs``."""
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        markers, total = Markers(terms), np.zeros(len(terms) + 1, np.int64)
+        own, total = Terms(shared.value), np.zeros(len(shared.value) + 1, np.int64)
         for batch in rows:
             for t in batch.column("text"):
-                total[list(markers.counts(t.as_py()))] += 1
+                total[own.counts(t.as_py())[0]] += 1
                 total[-1] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["term", "n"])
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["term", "n"])
 
     out = np.zeros(len(terms) + 1, np.int64)
-    counted = docs.select("text").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-    for r in counted.collect():  # one row per marker term
-        out[r["term"]] = r["n"]
+    counted = docs.select("text").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out[counted.column("term").to_numpy()] = counted.column("n").to_numpy()  # one row per term of the examples
     return out[:-1], int(out[-1])
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """The model from documents and labels: labels of held-out rows are not read."""
     rows, stands_for = examples(docs, labels)
-    terms = marker_terms(rows)
+    terms, relevance = example_terms(rows)
     frequencies, n = document_frequencies(docs, terms)
-    idf = np.log((1 + n) / (1 + frequencies)) + 1
-    markers = Markers(terms)
+    weigh = (np.log((1 + n) / (1 + frequencies)) + 1) * relevance
+    own = Terms(terms)
     held, bare = [], {0: 0, 1: 0}
     for r in rows.toLocalIterator():  # at most about two times PER_CLASS rows
-        at, x = markers.vector(r["text"], idf)
+        at, x = own.vector(r["text"], weigh)
         if len(at):
             held.append((r["doc_id"], r["toxic"], at, x))
         else:
@@ -257,9 +281,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     known = weight.sum()
     prior = float((weight @ labels_of + 0.5) / (known + 1)) if len(held) else 0.5
     toxic, clean = (bare[c] * stands_for.get(c, 1.0) for c in (1, 0))
-    model = Model(terms, idf, BlockMaxIndex.of([(h[2], h[3]) for h in held], len(terms)),
+    model = Model(terms, weigh, BlockMaxIndex.of([(h[2], h[3]) for h in held], len(terms)),
                   np.array([h[0] for h in held], np.int64), labels_of, min(prior, 0.5), 1.0, 0.0,
-                  float(min(0.5, (toxic + 0.5) / (toxic + clean + 1))))
+                  float((toxic + min(prior, 0.5)) / (toxic + clean + 1)))
     votes = np.array([model.vote(h[2], h[3], i)[0] for i, h in enumerate(held)])
     model.slope, model.offset = logistic(votes, labels_of, weight / max(weight.mean(), 1e-12) if len(held) else weight)
     return model
@@ -272,16 +296,16 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out (no label was learned from it), score, predicted, evidence (doc_ids
     of the nearest examples, nearest first) and similarity (their cosines).
 
-    A text without marker terms, also a null or empty one, has the toxic share of such examples as its score and no
-    evidence. Rows that repeat a doc_id are scored one by one; a null doc_id stays null and is not held out. Without any
+    A text that shares no term with any example, also a null or empty one, has the toxic share of examples without words,
+    drawn to that of all examples, as its score and no evidence. Rows that repeat a doc_id are scored one by one; a null doc_id stays null and is not held out. Without any
     example every score is 0.5. Columns other than doc_id and text are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by PER_CLASS and TERMS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by PER_CLASS
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        markers = Markers(shared.value.terms)
+        terms = Terms(shared.value.terms)
         for batch in rows:
-            found = [shared.value.score(t.as_py(), markers) for t in batch.column("text")]
+            found = [shared.value.score(t.as_py(), terms) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), batch.column("held_out"),
                  pa.array([f[0] for f in found], pa.float64()),
@@ -298,9 +322,9 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        markers = Markers(shared.value.terms)
+        terms = Terms(shared.value.terms)
         for batch in rows:
-            keep = [shared.value.score(t.as_py(), markers)[0] < REJECT for t in batch.column("text")]
+            keep = [shared.value.score(t.as_py(), terms)[0] < REJECT for t in batch.column("text")]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
