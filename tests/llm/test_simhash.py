@@ -129,3 +129,27 @@ def test_drop_near(spark, odd_docs):
     left = odd.collect()
     assert sum(r.text is None or not r.text.split() for r in left if r.doc_id is not None) == 1
     assert sum(r.doc_id is None for r in left) == 2
+
+
+def chained(rng):
+    """Texts H, X, Y: X has the words of H in another order of passages, so the same search fingerprints, and Y is nearer to X
+    than to H. Passages are moved until X is like H and like Y, but H is not like Y."""
+    while True:
+        words = [f"v{rng.randrange(10**6)}" for _ in range(240)]
+        parts = [words[i : i + 20] for i in range(0, 240, 20)]
+        other = [parts[i] for i in (1, 0, 3, 2, *range(4, 12))]
+        last = [parts[i] for i in (1, 0, 3, 2, 4, 5, 7, 6, 9, 8, 10, 11)]
+        h, x, y = (" ".join(w for p in q for w in p) for q in (parts, other, last))
+        if jaccard(h, x) >= 0.8 and jaccard(x, y) >= 0.8 > jaccard(h, y) + 0.02:
+            return h, x, y
+
+
+def test_drop_near_through_other_members(spark):
+    """The copy that joins Y to the group is not the one that stands for its fingerprint."""
+    rng = random.Random(12)
+    texts = [t for _ in range(20) for t in chained(rng)]
+    docs = spark.createDataFrame([(100 + i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    pairs = [(a, b) for a in range(60) for b in range(a) if jaccard(texts[a], texts[b]) >= 0.8]
+    want = groups(range(60), pairs)
+    kept = {r.doc_id - 100 for r in simhash.drop_near(docs).collect()}
+    assert kept == {i for i in range(60) if want[i] == i} == set(range(0, 60, 3))

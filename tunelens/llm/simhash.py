@@ -98,15 +98,21 @@ def near(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def _across(entries: DataFrame, radius: int) -> DataFrame:
-    """(a, b): pairs of nodes of different components whose fingerprints differ in at most ``radius`` bits, for entries
-    (node, fp, component)."""
+    """(a, b, fa, fb, ca, cb): pairs of nodes, fingerprints and components for entries (node, fp, component) of different
+    components whose fingerprints differ in at most ``radius`` bits."""
     tables, probes = _keys(radius)
     table = entries.select(
         F.col("node").alias("other_node"), F.col("fp").alias("other"), F.col("component").alias("others"), F.explode(tables).alias("key"))
     probe = entries.select("node", "fp", "component", F.explode(probes).alias("key"))
     met = probe.join(table, "key").where("component != others")
     met = met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius)
-    return met.select(F.greatest("node", "other_node").alias("a"), F.least("node", "other_node").alias("b")).distinct()
+    here, there = F.struct("component", "fp", "node"), F.struct("others", "other", "other_node")
+    # A struct takes its field names from the first of the two.
+    there = there.cast("struct<component: bigint, fp: bigint, node: bigint>")
+    met = met.select(F.least(here, there).alias("x"), F.greatest(here, there).alias("y")).distinct()
+    return met.select(
+        F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.fp").alias("fa"), F.col("y.fp").alias("fb"),
+        F.col("x.component").alias("ca"), F.col("y.component").alias("cb"))
 
 
 def _keys(radius: int) -> tuple[Column, Column]:
@@ -210,16 +216,20 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, " + ", ".join(f"{n} bigint" for n in names) + ", wide binary")
 
 
-def _verified(pairs: DataFrame, similarity: float) -> DataFrame:
-    """``pairs`` (a, b, wa, wb) without the sketches, and whether each is ``like``."""
+def _verified(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) of ``nodes`` (node, wide) that are estimated to have ``similarity`` or more."""
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def loose(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BUCKETS) for c in ("wa", "wb"))
-            like = pa.array(estimated(x, y) >= similarity - SLACK)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), like], ["a", "b", "like"])
+            yield batch.select(["a", "b"]).filter(pa.array(estimated(x, y) >= similarity - SLACK))
+
+    def sided(rows: DataFrame, table: DataFrame, value: str, short: str) -> DataFrame:
+        for c in "ab":
+            rows = rows.join(table.select(F.col("node").alias(c), F.col(value).alias(short + c)), c)
+        return rows.select("a", "b", short + "a", short + "b")
 
-    return pairs.select("a", "b", "wa", "wb").mapInArrow(run, "a bigint, b bigint, like boolean")
+    return written(sided(pairs, nodes, "wide", "w").mapInArrow(loose, "a bigint, b bigint").distinct(), "alike")
 
 
 def without(docs: DataFrame, gone: DataFrame, limit: int = 1_000_000) -> DataFrame:
@@ -231,27 +241,37 @@ def without(docs: DataFrame, gone: DataFrame, limit: int = 1_000_000) -> DataFra
     return carried.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select("_row.*")
 
 
-def _heads(nodes: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """For nodes (node, fp, wide): links (a, b) of nodes to the smallest node with the same fingerprint, where they are
-    similar, and the nodes that stand for a fingerprint in the search: the smallest ones, and those not similar to them."""
-    heads = nodes.groupBy("fp").agg(F.min_by("wide", "node").alias("head_wide"), F.min("node").alias("head"), F.count("*").alias("n"))
-    heads = written(heads, "heads")
-    crowd = salted_lookup(nodes, heads.where("n > 1").drop("n"), "fp", "node", "inner").where("node != head")
-    held = crowd.select(F.col("node").alias("a"), F.col("head").alias("b"), F.col("wide").alias("wa"), F.col("head_wide").alias("wb"))
-    held = written(_verified(held, similarity), "held")
-    apart = nodes.select("node", "fp").join(held.where("NOT like").select(F.col("a").alias("node")), "node")
-    return held.where("like").select("a", "b"), heads.select(F.col("head").alias("node"), "fp").unionByName(apart)
+def _crowds(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each of ``nodes`` (node, fp) with the smallest one that has the same fingerprint."""
+    heads = nodes.groupBy("fp").agg(F.min("node").alias("head"), F.count("*").alias("n"))
+    crowd = salted_lookup(nodes, written(heads, "heads").where("n > 1").select("fp", "head"), "fp", "node", "inner")
+    return crowd.where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+
+
+def _members(met: DataFrame, known: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b) of all of ``known`` (node, fp, component) on either side of the met entries (a, b, fa, fb, ca, cb) whose
+    components are still two by ``labels``."""
+    for c in "ab":
+        now = labels.select(F.col("node").alias(f"c{c}"), F.col("component").alias(f"now{c}"))
+        met = met.join(now, f"c{c}", "left").withColumn(f"now{c}", F.coalesce(f"now{c}", f"c{c}"))
+    apart = met.where("nowa != nowb").select("fa", "ca", "fb", "cb")
+    for c in "ab":
+        own = known.select(F.col("node").alias(c), F.col("fp").alias(f"f{c}"), F.col("component").alias(f"c{c}"))
+        apart = apart.join(own, [f"f{c}", f"c{c}"])
+    return apart.select("a", "b")
 
 
 def drop_near(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document, that of the smallest doc_id, of each group of near copies; all columns kept.
 
     Documents are near copies if one of their search fingerprints differs in at most ``SEARCH_RADIUS`` bits and their
-    sets of ``width``-word shingles are estimated to have ``similarity`` or more; groups are the connected components.
-    First, documents with an equal fingerprint are held against the smallest of them, so that a large family of near
-    copies is one component before the search, which only looks for pairs of different components. Null and empty texts
-    form one group. Rows that share a doc_id stay or go together; rows with a null doc_id stay. An empty table gives no
-    rows.
+    sets of ``width``-word shingles are estimated to have ``similarity`` or more; groups are the connected components. First, documents
+    with an equal fingerprint are held against the smallest of them, so that a large family of near copies is one
+    component before the search. The search only looks for pairs of different components. It holds one document of each
+    fingerprint and component against another; where that leaves two components apart, all their documents with the
+    fingerprints that met are held against each other, so no pair of near copies stays in two groups. Null and empty
+    texts form one group. Rows that share a doc_id stay or go together; rows with a null doc_id stay. An empty table
+    gives no rows.
     """
     names = [f"f{i}" for i in range(SEARCH_PRINTS)]
     rows = written(sketches(docs, width).where("doc_id IS NOT NULL"), "sketches")
@@ -261,20 +281,26 @@ def drop_near(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataF
     twins = salted_lookup(rows.select("doc_id", whole), nodes.where("n > 1").select("whole", "node"), "whole", "doc_id", "inner")
     links = twins.where("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     nodes = nodes.select("node", "s.*")
-    searched = []
-    for name in names:
-        alike, standing = _heads(nodes.select("node", F.col(name).alias("fp"), "wide"), similarity)
-        links = links.unionByName(alike)
-        searched.append(standing)
+    prints = [nodes.select("node", F.col(name).alias("fp")) for name in names]
+    crowds = None
+    for own in prints:
+        crowds = _crowds(own) if crowds is None else crowds.unionByName(_crowds(own))
+    links = written(links.unionByName(_verified(crowds.distinct(), nodes, similarity)), "links")
     labels = written(components(links), "labels")
-    met = None
-    for standing in searched:
-        known = standing.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        pairs = _across(written(known, "standing"), SEARCH_RADIUS)
-        met = pairs if met is None else met.unionByName(pairs)
-    met = written(met.distinct(), "near")
-    left, right = (nodes.select(F.col("node").alias(c), F.col("wide").alias(f"w{c}")) for c in "ab")
-    more = _verified(met.join(left, "a").join(right, "b"), similarity).where("like").select("a", "b")
-    joined = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
+    found, first = [], None
+    for own in prints:
+        known = own.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        known = written(known, "known")
+        met = written(_across(known.groupBy("fp", "component").agg(F.min("node").alias("node")), SEARCH_RADIUS), "met")
+        found.append((known, met))
+        first = met.select("a", "b") if first is None else first.unionByName(met.select("a", "b"))
+    joined = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(
+        _verified(first.distinct(), nodes, similarity))
+    labels, rest = written(components(joined), "labels"), None
+    for known, met in found:
+        pairs = _members(met, known, labels)
+        rest = pairs if rest is None else rest.unionByName(pairs)
+    rest = written(rest.distinct(), "rest")
+    joined = joined.unionByName(_verified(rest, nodes, similarity))
     gone = components(joined).where("node != component").select(F.col("node").alias("_gone"))
     return without(docs, written(gone, "gone"))
