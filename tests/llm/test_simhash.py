@@ -153,3 +153,19 @@ def test_drop_near_through_other_members(spark):
     want = groups(range(60), pairs)
     kept = {r.doc_id - 100 for r in simhash.drop_near(docs).collect()}
     assert kept == {i for i in range(60) if want[i] == i} == set(range(0, 60, 3))
+
+
+def test_drop_near_is_exact_at_the_threshold(spark):
+    """Reordered copies just above and just below 0.8, with the same search fingerprints and more shingles than buckets."""
+    rng = random.Random(13)
+    texts = []
+    for f in range(40):
+        parts = [[f"v{rng.randrange(10**6)}" for _ in range(10)] for _ in range(120)]
+        cuts = 33 if f % 2 else 34  # passages that follow another than before: 132 or 136 shingles of 1,196 change
+        moved = parts[: 120 - cuts] + parts[: 119 - cuts : -1]
+        texts += [" ".join(w for p in q for w in p) for q in (parts, moved)]
+    like = [jaccard(texts[2 * f], texts[2 * f + 1]) for f in range(40)]
+    assert min(like) > 0.78 and max(like) < 0.82 and 10 < sum(j >= 0.8 for j in like) < 30
+    docs = spark.createDataFrame([(100 + i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    kept = {r.doc_id - 100 for r in simhash.drop_near(docs).collect()}
+    assert kept == {2 * f for f in range(40)} | {2 * f + 1 for f in range(40) if like[f] < 0.8}

@@ -164,8 +164,9 @@ def digest(docs: DataFrame, width: int = 3) -> DataFrame:
 SEARCH_PRINTS, SEARCH_RADIUS = 3, 4
 #: Shingles of a document are dealt into so many buckets, each of which keeps a byte of its smallest hash.
 BUCKETS = 256
-#: A similarity estimated this much below the threshold still counts.
-SLACK = 0.02
+#: Pairs whose estimated similarity is this much below the threshold are not held against each other exactly: six standard
+#: errors of the estimate.
+SLACK = 0.15
 
 
 def sketch(parts: set[bytes]) -> bytes:
@@ -200,36 +201,73 @@ def word_prints(words: list[bytes]) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, f0, f1, f2, wide): the search fingerprints, and the sketch of the set of ``width``-word shingles."""
+    """(doc_id, f0, f1, f2, wide, parts): the search fingerprints, the sketch of the set of ``width``-word shingles, and a
+    hash of that set."""
     names = [f"f{i}" for i in range(SEARCH_PRINTS)]
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             texts = [(t.as_py() or b"").lower().split() for t in batch.column("text")]
             prints = np.array([word_prints(w) for w in texts], np.int64).reshape(-1, SEARCH_PRINTS)
-            wide = pa.array([sketch(set(shingles(w, width))) for w in texts], pa.binary())
+            sets = [set(shingles(w, width)) for w in texts]
+            wide = pa.array([sketch(s) for s in sets], pa.binary())
+            parts = pa.array([xxhash.xxh64_intdigest(hashed(s).tobytes(), 3) - (1 << 63) for s in sets], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), *[pa.array(np.ascontiguousarray(c)) for c in prints.T], wide],
-                ["doc_id", *names, "wide"])
+                [batch.column("doc_id").cast(pa.int64()), *[pa.array(np.ascontiguousarray(c)) for c in prints.T], wide, parts],
+                ["doc_id", *names, "wide", "parts"])
 
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, " + ", ".join(f"{n} bigint" for n in names) + ", wide binary")
+    return rows.mapInArrow(run, "doc_id bigint, " + ", ".join(f"{n} bigint" for n in names) + ", wide binary, parts bigint")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) of ``nodes`` (node, wide) that are estimated to have ``similarity`` or more."""
+def hashed(parts: set[bytes]) -> np.ndarray:
+    """The hashes of a set of shingles, ascending."""
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(p, 1) for p in parts), np.uint64, len(parts)))
+
+
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Similarity of two sets, given as ascending arrays; 1 for two empty ones."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
+
+
+def shingle_sets(docs: DataFrame, ids: DataFrame, width: int, limit: int = 1_000_000) -> DataFrame:
+    """(node, parts) for the rows of ``docs`` whose doc_id is in ``ids`` (node): the hashes of the ``width``-word shingles."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            parts = [hashed(set(shingles((t.as_py() or b"").lower().split(), width))).view(np.int64) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(parts, pa.list_(pa.int64()))], ["node", "parts"])
+
+    if ids.count() <= limit:
+        ids = F.broadcast(ids)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("node"), F.col("text").cast("binary").alias("text"))
+    return rows.join(ids, "node", "left_semi").mapInArrow(run, "node bigint, parts array<bigint>")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) of ``nodes`` (node, wide) whose shingle sets have ``similarity`` or more, exactly. The
+    sketches only spare pairs that are far off the reading of their sets."""
 
     def loose(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BUCKETS) for c in ("wa", "wb"))
             yield batch.select(["a", "b"]).filter(pa.array(estimated(x, y) >= similarity - SLACK))
 
+    def exact(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            like = [jaccard(x.values.to_numpy(), y.values.to_numpy()) >= similarity for x, y in zip(batch.column("pa"), batch.column("pb"))]
+            yield batch.select(["a", "b"]).filter(pa.array(like, pa.bool_()))
+
     def sided(rows: DataFrame, table: DataFrame, value: str, short: str) -> DataFrame:
         for c in "ab":
             rows = rows.join(table.select(F.col("node").alias(c), F.col(value).alias(short + c)), c)
         return rows.select("a", "b", short + "a", short + "b")
 
-    return written(sided(pairs, nodes, "wide", "w").mapInArrow(loose, "a bigint, b bigint").distinct(), "alike")
+    close = written(sided(pairs, nodes, "wide", "w").mapInArrow(loose, "a bigint, b bigint").distinct(), "close")
+    ids = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = written(shingle_sets(docs, written(ids, "ids"), width), "sets")
+    return written(sided(close, sets, "parts", "p").mapInArrow(exact, "a bigint, b bigint").distinct(), "alike")
 
 
 def without(docs: DataFrame, gone: DataFrame, limit: int = 1_000_000) -> DataFrame:
@@ -265,7 +303,7 @@ def drop_near(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataF
     """``docs`` with one document, that of the smallest doc_id, of each group of near copies; all columns kept.
 
     Documents are near copies if one of their search fingerprints differs in at most ``SEARCH_RADIUS`` bits and their
-    sets of ``width``-word shingles are estimated to have ``similarity`` or more; groups are the connected components. First, documents
+    sets of ``width``-word shingles have ``similarity`` or more; groups are the connected components. First, documents
     with an equal fingerprint are held against the smallest of them, so that a large family of near copies is one
     component before the search. The search only looks for pairs of different components. It holds one document of each
     fingerprint and component against another; where that leaves two components apart, all their documents with the
@@ -275,7 +313,7 @@ def drop_near(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataF
     """
     names = [f"f{i}" for i in range(SEARCH_PRINTS)]
     rows = written(sketches(docs, width).where("doc_id IS NOT NULL"), "sketches")
-    whole = F.xxhash64(*names, "wide").alias("whole")
+    whole = F.xxhash64(*names, "parts").alias("whole")
     nodes = written(rows.groupBy(whole).agg(
         F.min_by(F.struct(*names, "wide"), "doc_id").alias("s"), F.min("doc_id").alias("node"), F.count("*").alias("n")), "nodes")
     twins = salted_lookup(rows.select("doc_id", whole), nodes.where("n > 1").select("whole", "node"), "whole", "doc_id", "inner")
@@ -285,7 +323,7 @@ def drop_near(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataF
     crowds = None
     for own in prints:
         crowds = _crowds(own) if crowds is None else crowds.unionByName(_crowds(own))
-    links = written(links.unionByName(_verified(crowds.distinct(), nodes, similarity)), "links")
+    links = written(links.unionByName(_verified(crowds.distinct(), nodes, docs, width, similarity)), "links")
     labels = written(components(links), "labels")
     found, first = [], None
     for own in prints:
@@ -295,12 +333,12 @@ def drop_near(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataF
         found.append((known, met))
         first = met.select("a", "b") if first is None else first.unionByName(met.select("a", "b"))
     joined = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(
-        _verified(first.distinct(), nodes, similarity))
+        _verified(first.distinct(), nodes, docs, width, similarity))
     labels, rest = written(components(joined), "labels"), None
     for known, met in found:
         pairs = _members(met, known, labels)
         rest = pairs if rest is None else rest.unionByName(pairs)
     rest = written(rest.distinct(), "rest")
-    joined = joined.unionByName(_verified(rest, nodes, similarity))
+    joined = joined.unionByName(_verified(rest, nodes, docs, width, similarity))
     gone = components(joined).where("node != component").select(F.col("node").alias("_gone"))
     return without(docs, written(gone, "gone"))
