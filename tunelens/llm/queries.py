@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tunelens.llm import (
-    bestfit, embedding, exact, idfile, langid, mixing, packing, ranked, simhash, substring, tokencount, toxicity)
+    bestfit, embedding, exact, idfile, langid, mixing, packing, prefixtrie, ranked, simhash, substring, tokencount,
+    toxicity)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +54,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), keep_ids=False).drop("token_ids")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.prefix_trie(_table(spark, sf_dir, "conversations")).drop("key")
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -64,8 +69,7 @@ def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES = (
     op1_toxicity, op2_token_counts, op3_language_id, op4_token_ids, op5_simhash, op6_embedding_dedup,
-    op7_substring_dedup, op8_exact_dedup, op9_mixing, op10_packing, op12_ranked_search,
-    op13_best_fit)
+    op7_substring_dedup, op8_exact_dedup, op9_mixing, op10_packing, op11_prefix_trie, op12_ranked_search, op13_best_fit)
 
 
 def queries():
@@ -73,4 +77,9 @@ def queries():
 
 
 def oracle_sql():
-    return {"op8_exact_dedup": exact.ORACLE, "op9_mixing": mixing.ORACLE, "op12_ranked_search": ranked.ORACLE}
+    return {
+        "op8_exact_dedup": exact.ORACLE,
+        "op9_mixing": mixing.ORACLE,
+        "op11_prefix_trie": prefixtrie.ORACLE,
+        "op12_ranked_search": ranked.ORACLE,
+    }
