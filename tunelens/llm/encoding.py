@@ -4,13 +4,18 @@ Both public vocabularies split a text at white space before they merge bytes, so
 in a row. ``byte`` vocabularies keep white space: a chunk is a word with the white space before it, and a single line
 break is a chunk of its own. ``word`` vocabularies drop it: a chunk is a word. A text with white space beyond ASCII,
 whose runs the two views might cut differently, is encoded in one piece.
+
+A text of plain characters alone is cut further, as the vocabulary cuts it, into pieces (letters, digits, marks), whose
+ids come from the vocabulary's merge model: there are fewer of them than chunks, and words with marks share them.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +29,29 @@ _BYTE = re.compile(rf"\n(?=[^{_S}])|[{_S}]*[^{_S}]+|[{_S}]+")
 _WORD = re.compile(rf"[^{_S}]+")
 _JOINABLE = re.compile(rf" ?[^{_S}]+\Z")
 
+
+def _plain_letters() -> str:
+    """Latin letters beyond ASCII that composition leaves alone and that have one lower-case letter."""
+    letters = map(chr, range(0xC0, 0x250))
+    return "".join(c for c in letters if c.isalpha() and len(c.lower()) == 1 and unicodedata.is_normalized("NFC", c))
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte vocabularies write for each byte: printable ones stand for themselves, the others for the
+    next free character from 256 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_BYTE_LETTERS = _byte_letters()
+_PLAIN = re.compile(f"[{_S}!-~{_plain_letters()}]*")
+_L = f"A-Za-z{_plain_letters()}"
+# How the two public vocabularies cut text into pieces, for plain characters.
+_ENDINGS = "'(?:s|t|re|ve|m|ll|d)"
+_WORD_PIECES = re.compile(rf"[{_L}]+|{_ENDINGS}|\d|[^\s\d{_L}]+")
+_BYTE_PIECES = re.compile(rf" ?[{_L}]+|{_ENDINGS}| ?\d+| ?[^\s\d{_L}]+|\s+(?!\S)|\s")
+
 #: Chunks a worker remembers before it starts anew; about 200 MB at the most.
 CACHE_CHUNKS = 1_000_000
 #: Documents, and characters of text, that are held in encoded form at a time.
@@ -56,6 +84,8 @@ class Encoder:
         self.joint = "\n" if self.keeps_space else " | "
         self.joint_id = self.tokenizer.encode(self.joint, add_special_tokens=False).ids[0]
         self.pattern = _BYTE if self.keeps_space else _WORD
+        self._pieces = (_BYTE_PIECES if self.keeps_space else _WORD_PIECES).findall
+        self._marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
 
     def clear(self) -> None:
@@ -83,7 +113,47 @@ class Encoder:
         self.size += 1
         self.used += n
 
+    def _add_all(self, chunks: list[str], lists: list[list[int]]) -> None:
+        counts = np.fromiter(map(len, lists), np.int32, len(lists))
+        n, total = len(chunks), int(counts.sum())
+        while self.size + n > len(self.begin):
+            self.begin, self.count = _twice(self.begin), _twice(self.count)
+        while self.used + total > len(self.pool):
+            self.pool = _twice(self.pool)
+        self.pool[self.used : self.used + total] = np.fromiter((i for ids in lists for i in ids), np.uint32, total)
+        self.count[self.size : self.size + n] = counts
+        self.begin[self.size : self.size + n] = self.used + np.cumsum(counts, dtype=np.int64) - counts
+        self.known.update(zip(chunks, range(self.size, self.size + n)))
+        self.size += n
+        self.used += total
+
+    def _learn_plain(self, chunks: list[str]) -> list[str]:
+        """Learn the chunks that can be cut into pieces here; returns the others."""
+        others, plain, lists = [], [], []
+        merge, cut, space = self.tokenizer.model.tokenize, self._pieces, _BYTE_LETTERS[ord(" ")]
+        for c in chunks:
+            if c.isascii() and c.isalpha():
+                lists.append([t.id for t in merge(c if self.keeps_space else c.lower())])
+            elif self.keeps_space and c[0] == " " and c.isascii() and c[1:].isalpha():
+                lists.append([t.id for t in merge(space + c[1:])])
+            elif self._is_plain(c):
+                ids = []
+                for piece in cut(c if self.keeps_space else c.lower()):
+                    ids += [t.id for t in merge(piece.encode().decode("latin-1").translate(_BYTE_LETTERS))]
+                lists.append(ids)
+            else:
+                others.append(c)
+                continue
+            plain.append(c)
+        self._add_all(plain, lists)
+        return others
+
+    def _is_plain(self, text: str) -> bool:
+        return _PLAIN.fullmatch(text) is not None and not ("<" in text and any(m in text for m in self._marks))
+
     def _learn(self, chunks: list[str]) -> None:
+        if not self.spans:
+            chunks = self._learn_plain(chunks)
         alone, joined = [], []
         for c in chunks:
             (joined if not self.spans and "|" not in c and _JOINABLE.match(c) else alone).append(c)
@@ -104,24 +174,26 @@ class Encoder:
                 self._add(c, e.ids, e.offsets if self.spans else None)
 
     def _chunks(self, text: str) -> list[str]:
-        if _ODD.search(text):
-            return [text]
-        return self.pattern.findall(text)
+        if not self.spans and self._is_plain(text):
+            return self._pieces(text if self.keeps_space else text.lower())
+        return [text] if _ODD.search(text) else self.pattern.findall(text)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None]:
         """(ids of all texts in a row, where each text's ids end, first character and end of each id in its text)."""
         if self.size > CACHE_CHUNKS:
             self.clear()
         parts = [self._chunks(t) for t in texts]
-        flat = [c for p in parts for c in p]
-        codes = list(map(self.known.get, flat))
-        if None in codes:
-            self._learn(list({c: None for c, k in zip(flat, codes) if k is None}))
-            codes = list(map(self.known.__getitem__, flat))
-        codes = np.array(codes, np.int64)
+        flat = list(chain.from_iterable(parts))
+        codes = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
+        new = np.flatnonzero(codes < 0)
+        if len(new):
+            missed = [flat[i] for i in new.tolist()]
+            self._learn(list(dict.fromkeys(missed)))
+            codes[new] = np.fromiter(map(self.known.__getitem__, missed), np.int64, len(missed))
         counts = self.count[codes].astype(np.int64)
         ends = np.cumsum(counts)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin[codes] - (ends - counts), counts)
+        at = np.repeat(self.begin[codes] - (ends - counts), counts)
+        at += np.arange(len(at))
         sizes = np.array([len(p) for p in parts], np.int64)
         ends = np.append(0, ends)
         text_ends = ends[np.cumsum(sizes)] if len(sizes) else np.zeros(0, np.int64)
