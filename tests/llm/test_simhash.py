@@ -101,9 +101,9 @@ def test_estimate():
         for keep in (1.0, 0.9, 0.5, 0.0):
             n = int(size * keep)
             other = base[:n] + [str(rng.random()).encode() for _ in range(size - n)]
-            pair = [np.frombuffer(simhash.sketch(set(x)), np.uint8)[None] for x in (base, other)]
+            pair = [np.frombuffer(simhash.sketch(simhash.hashed(set(x))), np.uint8)[None] for x in (base, other)]
             assert abs(float(simhash.estimated(*pair)[0]) - n / (2 * size - n)) < tolerance
-    empty = np.frombuffer(simhash.sketch(set()), np.uint8)[None]
+    empty = np.frombuffer(simhash.sketch(simhash.hashed(set())), np.uint8)[None]
     assert float(simhash.estimated(empty, empty)[0]) == 1.0
 
 

@@ -164,17 +164,17 @@ def digest(docs: DataFrame, width: int = 3) -> DataFrame:
 SEARCH_PRINTS, SEARCH_RADIUS = 3, 4
 #: Shingles of a document are dealt into so many buckets, each of which keeps a byte of its smallest hash.
 BUCKETS = 256
+#: Hashes of shingle sets that a task holds before it gives them away.
+SET_HASHES = 500_000
 #: Pairs whose estimated similarity is this much below the threshold are not held against each other exactly: six standard
 #: errors of the estimate.
 SLACK = 0.15
 
 
-def sketch(parts: set[bytes]) -> bytes:
-    """One byte per bucket: 0 if no shingle falls there, else 1 to 255 from the smallest hash."""
+def sketch(h: np.ndarray) -> bytes:
+    """One byte per bucket: 0 if none of the shingle hashes falls there, else 1 to 255 from the smallest."""
     least = np.full(BUCKETS, np.iinfo(np.uint64).max, np.uint64)
-    if parts:
-        h = np.array([xxhash.xxh64_intdigest(p, 1) for p in parts], np.uint64)
-        np.minimum.at(least, (h % BUCKETS).astype(np.int64), h // np.uint64(BUCKETS))
+    np.minimum.at(least, (h % np.uint64(BUCKETS)).astype(np.int64), h // np.uint64(BUCKETS))
     empty = least == np.iinfo(np.uint64).max
     return np.where(empty, 0, 1 + least % np.uint64(255)).astype(np.uint8).tobytes()
 
@@ -207,13 +207,16 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            texts = [(t.as_py() or b"").lower().split() for t in batch.column("text")]
-            prints = np.array([word_prints(w) for w in texts], np.int64).reshape(-1, SEARCH_PRINTS)
-            sets = [set(shingles(w, width)) for w in texts]
-            wide = pa.array([sketch(s) for s in sets], pa.binary())
-            parts = pa.array([xxhash.xxh64_intdigest(hashed(s).tobytes(), 3) - (1 << 63) for s in sets], pa.int64())
+            prints, wide, parts = np.zeros((len(batch), SEARCH_PRINTS), np.int64), [], []
+            for i, t in enumerate(batch.column("text")):  # the words and shingles of one text at a time
+                words = (t.as_py() or b"").lower().split()
+                prints[i] = word_prints(words)
+                own = hashed(set(shingles(words, width)))
+                wide.append(sketch(own))
+                parts.append(xxhash.xxh64_intdigest(own.tobytes(), 3) - (1 << 63))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), *[pa.array(np.ascontiguousarray(c)) for c in prints.T], wide, parts],
+                [batch.column("doc_id").cast(pa.int64()), *[pa.array(np.ascontiguousarray(c)) for c in prints.T],
+                 pa.array(wide, pa.binary()), pa.array(parts, pa.int64())],
                 ["doc_id", *names, "wide", "parts"])
 
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
@@ -236,8 +239,14 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, width: int, limit: int = 1_000
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            parts = [hashed(set(shingles((t.as_py() or b"").lower().split(), width))).view(np.int64) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(parts, pa.list_(pa.int64()))], ["node", "parts"])
+            texts, node, first, size, held = batch.column("text"), batch.column("node"), 0, 0, []
+            for i, t in enumerate(texts):
+                held.append(hashed(set(shingles((t.as_py() or b"").lower().split(), width))).view(np.int64))
+                size += len(held[-1])
+                if size >= SET_HASHES or i + 1 == len(texts):
+                    yield pa.RecordBatch.from_arrays(
+                        [node.slice(first, len(held)), pa.array(held, pa.list_(pa.int64()))], ["node", "parts"])
+                    first, size, held = i + 1, 0, []
 
     if ids.count() <= limit:
         ids = F.broadcast(ids)
