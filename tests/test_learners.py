@@ -281,7 +281,8 @@ def test_missing_values(spark, data):
     gaps = data.withColumn("label", F.lit(None).cast("int"))
     both = data.unionByName(gaps)
     whole, more = make_learner(), make_learner()
-    assert sorted(whole.step(data)) == sorted(more.step(both)) and whole.state() == more.state()
+    assert sorted(whole.step(data)) == sorted(more.step(both)) and whole.state()["trees"] == more.state()["trees"]
+    assert leaf_rows(spark, whole) == leaf_rows(spark, more)
     holes = data.withColumn("a", F.when(F.col("id") % 3 > 0, F.col("a")))
     filled = holes.fillna(0.0, ["a"])
     one, two = (LinearLearner(["a"], {"m": LinearOptions(1, 0.5)}) for _ in range(2))
@@ -289,8 +290,9 @@ def test_missing_values(spark, data):
     assert one.state() == two.state()
     make_learner().step(holes)
     model = StreamingKMeans(["a"], 2)
-    model.start(holes)
-    assert sum(n for _, n, *_ in model.step(holes)) == holes.where("a IS NOT NULL").count()
+    found = model.step(holes)
+    assert sum(n for j, n, *_ in found if j is not None) == holes.where("a IS NOT NULL").count()
+    assert sum(n for _, n, *_ in found) == holes.count()
 
 
 def test_poisson_rate():
@@ -326,7 +328,11 @@ def test_options_limit_growth(data):
     assert all(n.attr != 0 for n in learner.trees["without"].nodes)
 
 
-def test_state_survives_json(data):
+def leaf_rows(spark, learner):
+    return sorted((tuple(r) for r in learner.leaves(spark).drop("counts").collect()), key=lambda r: r[:2])
+
+
+def test_state_survives_json(spark, data):
     batches = [b for _, b in replay.replay_file(data, "id", 100, None)]
     make = lambda: TreeLearner(FEATURES, 2, {"t": TreeOptions(grace=40, confidence=0.1)})
     straight, restarted = make(), make()
@@ -336,7 +342,79 @@ def test_state_survives_json(data):
     again = make()
     again.load(json.loads(json.dumps(restarted.state())))
     assert sorted(straight.step(batches[2])) == sorted(again.step(batches[2]))
-    assert straight.state() == again.state()
+    assert straight.state()["trees"] == again.state()["trees"] and leaf_rows(spark, straight) == leaf_rows(spark, again)
+
+
+def test_driver_sees_counts_and_splits_only(spark, data, monkeypatch):
+    """What a batch brings to the driver does not grow with the leaves; the plan of large models gives the same trees."""
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    from tunelens.streaming import trees
+
+    seen = []
+    collect = Classic.collect
+    monkeypatch.setattr(Classic, "collect", lambda df: (lambda rows: seen.append(len(rows)) or rows)(collect(df)))
+    o = TreeOptions(grace=20, confidence=0.3, tie=0.5)
+    runs = {}
+    for limit in (trees.BROADCAST_LEAVES, 0):
+        monkeypatch.setattr(trees, "BROADCAST_LEAVES", limit)
+        learners = TreeLearner(FEATURES, 2, {"t": o}), Forest(FEATURES, 2, o, size=3)
+        out = []
+        for _, batch in replay.replay_file(data, "id", 80, None):
+            before = [sum(len(t.leaves()) for t in one.trees.values()) for one in learners]
+            del seen[:]
+            out.append([sorted(one.step(batch)) for one in learners])
+            grown = sum(len(t.leaves()) for one in learners for t in one.trees.values()) - sum(before)
+            assert sum(seen) <= 2 * 4 + grown
+        runs[limit] = out, [shape(t) for one in learners for t in one.trees.values()]
+    first, second = runs.values()
+    assert first == second and sum(before) > 8
+
+
+def test_moments_of_large_values(spark):
+    """Epoch milliseconds: moments of leaves, splits and outliers keep their digits."""
+    from tunelens.streaming import moments
+    from tunelens.streaming.outliers import flag_outliers
+    from tunelens.streaming.trees import leaf_statistics
+
+    rng = np.random.default_rng(3)
+    x = 1.7e12 + rng.normal(0, 5.0, 600)
+    y = (x > 1.7e12 + 1).astype(int)
+    df = spark.createDataFrame([(i, float(v), int(k)) for i, (v, k) in enumerate(zip(x, y))], "id bigint, x double, label int")
+    learner = TreeLearner([Feature("x")], 2, {"t": TreeOptions(grace=1000)})
+    for r in leaf_statistics(learner, df).collect():
+        own = x[y == r.y]
+        assert r["mean"] == pytest.approx(own.mean(), abs=1e-3) and r["m2"] / r["n"] == pytest.approx(own.var(), rel=1e-4)
+    for _, batch in replay.replay_file(df, "id", 100, None):
+        learner.step(batch)
+    sums = np.array(learner.leaves(spark).first()["sums"]).reshape(2, -1)
+    for k in (0, 1):
+        own = x[y == k]
+        assert sums[k, 1] == len(own) and sums[k, 3] / sums[k, 1] == pytest.approx(own.var(), rel=1e-4)
+    halves = [(float(len(h)), float(h.mean()), float(h.var() * len(h))) for h in (x[:200], x[200:])]
+    n, mean, m2 = moments.merge(*halves)
+    assert (n, mean) == (600, pytest.approx(x.mean(), abs=1e-3)) and m2 / n == pytest.approx(x.var(), rel=1e-4)
+    chunks = df.selectExpr("CAST(id div 100 AS BIGINT) AS chunk_id", "x", "id")
+    far = {r.id for r in flag_outliers(chunks, ["x"]).where("outlier").collect()}
+    want = set()
+    for b in range(1, 6):
+        past = x[: b * 100]
+        want |= {i for i in range(b * 100, b * 100 + 100) if abs(x[i] - past.mean()) / past.std() > 3}
+    assert far == want
+
+
+def test_tree_predicts_rows(data):
+    """Predictions of rows, by name and by vote, are those the next batch is counted by."""
+    o = TreeOptions(grace=40, confidence=0.1, tie=0.2)
+    for learner in (TreeLearner(FEATURES, 2, {"other": TreeOptions(growth=False), "t": o}), Forest(FEATURES, 2, o, size=3)):
+        parts = [b for _, b in replay.replay_file(data, "id", 100, None)]
+        for batch in parts[:3]:
+            learner.step(batch)
+        rows = learner.predict(parts[3], "t")
+        assert rows.columns == [*data.columns, "prediction"] and rows.count() == 100
+        want = {(r.label, r.prediction): r["count"] for r in rows.groupBy("label", "prediction").count().collect()}
+        name = "ensemble" if learner.votes else "t"
+        assert want == {(y, p): n for m, y, p, n in learner.step(parts[3]) if m == name}
 
 
 def test_poisson_weights(spark):
@@ -367,7 +445,7 @@ def test_forest_and_one_against_rest_learn(data):
     for _, batch in replay.replay_file(three, "id", 80, None):
         last = trees.step(batch)
     assert sum(n for _, y, p, n in last if y == p) > 60
-    assert set(LEARNERS) == {"sgd", "ht", "mc", "rf"}
+    assert set(LEARNERS) == {"sgd", "ht", "mc", "rf", "kmeans", "outliers"}
 
 
 def test_evaluators(spark):
@@ -402,7 +480,6 @@ def test_sampled_metrics_against_a_loop(spark, frequency, width):
 def test_kmeans_against_a_loop(spark, data):
     model = StreamingKMeans(["a", "b"], 3, decay=0.5)
     r = replay.replay_file(data, "id", 100, None)
-    model.start(r.batch(0))
     centres = [[x[1], x[2]] for x in rows()[:3]]
     weights = [0.0] * 3
     for i, batch in r:
@@ -456,7 +533,7 @@ def test_repeated_first_batch_and_lost_model(spark, data, tmp_path):
     assert store.metrics().collect() == once
     fresh = make_learner()
     again.load_model(fresh, 0)
-    assert fresh.state() == learner.state()
+    assert fresh.state() == learner.state() and leaf_rows(spark, fresh) == leaf_rows(spark, learner)
     with pytest.raises(FileNotFoundError):
         train_batch(store, learner, data, 7)
 

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tunelens.functions.text import tokens
 from tunelens.operators.ordering import bounded
 
 
-VOCABULARY_BROADCAST = 200_000
-
-
 def token_counts(docs: DataFrame, normal: str, batch: str = "chunk_id", text: str = "text", label: str = "class"):
     """(batch, token, normal_docs, other_docs): documents holding each token."""
     held = docs.select(
@@ -58,20 +55,44 @@ def adaptive_vocabulary(
     dense = steps.where(F.col("normal_docs") + F.col("other_docs") >= min_docs).select(
         "token", "normal_docs", "other_docs", F.explode(F.sequence("since", "until")).alias(batch)
     )
-    # Products instead of quotients: rate_other > ratio * rate_normal.
-    stands_out = F.col("other_docs") * F.col("normal_total") > F.lit(ratio) * F.col("normal_docs") * F.col("other_total")
-    return dense.join(totals, batch).where(stands_out).select((F.col(batch) + 1).alias(batch), "token")
+    return dense.join(totals, batch).where(stands_out(ratio, min_docs)).select((F.col(batch) + 1).alias(batch), "token")
 
 
-def adaptive_bow(
-    docs: DataFrame, normal: str, ratio: float = 2.0, min_docs: int = 10, batch: str = "chunk_id", key: str = "id"
+def listed_where_met(
+    docs: DataFrame, normal: str, ratio: float = 2.0, min_docs: int = 10, batch: str = "chunk_id"
 ) -> DataFrame:
-    """``docs`` with ``bow``: how many of its tokens are on the list in force."""
-    # The list is counted: up to VOCABULARY_BROADCAST entries, common words never gather on their key.
-    listed = bounded(adaptive_vocabulary(docs, normal, ratio, min_docs, batch), VOCABULARY_BROADCAST)
+    """The part of :func:`adaptive_vocabulary` that documents can meet: pairs whose token occurs in the batch.
+
+    A token's counts before a batch are the running sums over its earlier batches, so no row is made for a batch that
+    does not hold the token.
+    """
+    earlier = Window.partitionBy("token").orderBy(batch).rowsBetween(Window.unboundedPreceding, -1)
+    before = token_counts(docs, normal, batch).select(
+        batch, "token", F.sum("normal_docs").over(earlier).alias("normal_docs"),
+        F.sum("other_docs").over(earlier).alias("other_docs"))
+    totals = bounded(doc_counts(docs, normal, batch).withColumn(batch, F.col(batch) + 1))
+    return before.join(totals, batch).where(stands_out(ratio, min_docs)).select(batch, "token")
+
+
+def stands_out(ratio: float, min_docs: int) -> Column:
+    """Whether counts of a token put it on the list; products instead of quotients: rate_other > ratio * rate_normal."""
+    seen = F.col("normal_docs") + F.col("other_docs") >= min_docs
+    return seen & (F.col("other_docs") * F.col("normal_total") > F.lit(ratio) * F.col("normal_docs") * F.col("other_total"))
+
+
+def bow_counts(docs: DataFrame, listed: DataFrame, on: list[str], key: str = "id") -> DataFrame:
+    """``docs`` with ``bow``: how many of its tokens are ``listed``."""
     # Counting tokens inside each document first leaves one row per (document, token) to join.
-    held = docs.select(batch, key, F.explode(tokens(F.col("text"))).alias("token")).groupBy(batch, key, "token").agg(
+    held = docs.select(*on[:-1], key, F.explode(tokens(F.col("text"))).alias("token")).groupBy(*on[:-1], key, "token").agg(
         F.count("*").alias("n")
     )
-    hits = held.join(listed, [batch, "token"]).groupBy(key).agg(F.sum("n").alias("bow"))
+    hits = held.join(listed, on).groupBy(key).agg(F.sum("n").alias("bow"))
     return docs.join(hits, key, "left").withColumn("bow", F.coalesce("bow", F.lit(0)))
+
+
+def adaptive_bow(
+    docs: DataFrame, normal: str, ratio: float = 2.0, min_docs: int = 10, batch: str = "chunk_id", key: str = "id"
+) -> DataFrame:
+    """``docs`` with ``bow``: how many of its tokens are on the list in force. A word meets the list batch by batch, so
+    it gathers the documents of one batch at the most."""
+    return bow_counts(docs, listed_where_met(docs, normal, ratio, min_docs, batch), [batch, "token"], key)

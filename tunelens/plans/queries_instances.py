@@ -254,7 +254,7 @@ def _count_sql(text, pattern):
     return f"CAST(len(regexp_extract_all({text}, '{_q(pattern)}')) AS INTEGER)"
 
 
-def _text_sql(clean):
+def _text_sql(clean, digits=6):
     body = _clean_sql() if clean else "text"
     return f"""{_T}, q AS (SELECT *, {body} AS body FROM w),
         r AS (SELECT *, regexp_extract_all(body, '{SQL_WORD}') AS ws,
@@ -262,8 +262,8 @@ def _text_sql(clean):
         AS n_sent, length(regexp_replace(body, '[^\\p{{L}}]', '', 'g')) AS n_let FROM q)
         SELECT id, {_count_sql("text", SQL_HASHTAG)} AS numHashtags, {_count_sql("text", SQL_URL)} AS numUrls,
         CAST(len(list_filter(regexp_extract_all(text, '{SQL_WORD}'), lambda x: regexp_matches(x, '{SQL_UPPER_WORD}')))
-        AS INTEGER) AS numUpperCases, round(len(ws) / CAST(greatest(n_sent, 1) AS DOUBLE), 6) AS wordsPerSentence,
-        round(coalesce(n_let / CAST(nullif(len(ws), 0) AS DOUBLE), 0), 6) AS meanWordLength FROM r"""
+        AS INTEGER) AS numUpperCases, round(len(ws) / CAST(greatest(n_sent, 1) AS DOUBLE), {digits}) AS wordsPerSentence,
+        round(coalesce(n_let / CAST(nullif(len(ws), 0) AS DOUBLE), 0), {digits}) AS meanWordLength FROM r"""
 
 
 _TOKENS = f"regexp_extract_all(lower(text), '{SQL_WORD}')"

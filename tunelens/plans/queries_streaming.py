@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tunelens.operators import bow, profile
 from tunelens.operators import features as feats
-from tunelens.operators import profile
 from tunelens.plans import fixtures, grids
 from tunelens.plans.oracle_streaming import ORACLES  # noqa: F401
 from tunelens.session import scratch_path
-from tunelens.sources import replay
+from tunelens.sources import arff, replay, runs, tweets
 from tunelens.streaming import evaluate
-from tunelens.streaming.clustering import cluster_prequential
+from tunelens.streaming.clustering import StreamingKMeans
 from tunelens.streaming.linear import LinearLearner, LinearOptions
-from tunelens.streaming.outliers import outlier_counts
-from tunelens.streaming.prequential import prequential, sgd_grid, tree_grid
-from tunelens.streaming.stream import ModelStore, replay_stream, stream_prequential
+from tunelens.streaming.outliers import OutlierDetector, outlier_counts
+from tunelens.streaming.prequential import prequential, prequential_rows, sgd_grid, tree_grid
+from tunelens.streaming.stream import CsvSink, ModelStore, feed, replay_stream, run_paced, stream_prequential
 from tunelens.streaming.trees import (
     Feature,
     Forest,
@@ -25,6 +25,7 @@ from tunelens.streaming.trees import (
     leaf_statistics,
     split_scores,
 )
+from tunelens.streaming.tweets import TextLearner, TweetExtractor
 
 TREE_FEATURES = [
     Feature("f_value"), Feature("f_hour"), Feature("f_user"), Feature("f_k"), Feature("f_type", len(fixtures.EVENT_TYPES))
@@ -109,7 +110,8 @@ def _sgd_grid(spark, sf_dir):
 def _leaf_stats(spark, sf_dir):
     learner = TreeLearner(TREE_FEATURES, 2, {"root": TREE})
     stats = leaf_statistics(learner, _tree_rows(spark, sf_dir)).drop("member", "leaf")
-    return stats.withColumns({c: F.round(c, 4) for c in ("n", "sum", "sq")})
+    stats = stats.withColumn("variance", F.try_divide("m2", "n")).drop("m2")
+    return stats.withColumns({c: F.round(c, 4) for c in ("n", "mean", "variance")})
 
 
 def _split_scores(spark, sf_dir):
@@ -171,7 +173,7 @@ def _ablation(spark, sf_dir):
 
 def _kmeans(spark, sf_dir):
     rows = fixtures.instances(spark, sf_dir).select("id", "f_value", "f_k")
-    moved = cluster_prequential(_replay(rows), ["f_value", "f_k"], 3)
+    moved = prequential(spark, _replay(rows), StreamingKMeans(["f_value", "f_k"], 3))
     return moved.withColumns({c: F.round(c, 4) for c in ("sse", "f_value", "f_k")})
 
 
@@ -195,6 +197,71 @@ def _stream(spark, sf_dir):
     return store.metrics()
 
 
+def _paced(spark, rows, learner, fmt="parquet", reader=None, **options):
+    """One running query over a folder that holds the chunks in order, one chunk a micro-batch."""
+    folder, home = scratch_path(spark, "arrivals"), scratch_path(spark, "stream")
+    chunks = feed(rows, folder, fmt)
+    store = ModelStore(spark, f"{home}/store")
+    source = replay.dir_stream(spark, reader or rows.batch(0).schema, max_files=1).format(fmt).load(folder)
+    query = stream_prequential(source, learner, store, f"{home}/checkpoint", interval="0 seconds", **options)
+    run_paced(query, store, chunks)
+    return store
+
+
+def _stream_kmeans(spark, sf_dir):
+    rows = _replay(fixtures.instances(spark, sf_dir).select("id", "f_value", "f_k"))
+    moved = _paced(spark, rows, StreamingKMeans(["f_value", "f_k"], 3)).metrics()
+    return moved.withColumns({c: F.round(c, 4) for c in ("sse", "f_value", "f_k")})
+
+
+OUTLIER_FEATURES = ["f_value", "f_hour", "f_k"]
+
+
+def _stream_outliers(spark, sf_dir):
+    """Chunks of 500: many micro-batches in one run."""
+    rows = _replay(fixtures.instances(spark, sf_dir).select("id", *OUTLIER_FEATURES), 500)
+    return _paced(spark, rows, OutlierDetector(OUTLIER_FEATURES)).metrics()
+
+
+def _moa_sampled(spark, sf_dir):
+    """Metrics along the stream of a linear model that learns from it."""
+    options = LinearOptions(len(LINEAR_FEATURES), 0.5, "LogisticLoss", "L2Regularizer", 0.001)
+    learner = LinearLearner(LINEAR_FEATURES, {"LogisticLoss": options})
+    rows = prequential_rows(spark, _replay(_linear_rows(spark, sf_dir)), learner)
+    return evaluate.sampled_metrics(rows, ["member"], "id", 700, 1000).drop("sample")
+
+
+PIPELINE_CHUNK = 100
+
+
+def _tweet_head(spark, sf_dir, path):
+    """Write the head file of the labelled texts' features, the growing bag of words among them."""
+    labelled = fixtures.tweets(spark, sf_dir).where("class IS NOT NULL")
+    chunked = replay.replay_file(labelled, "id", PIPELINE_CHUNK).table()
+    rows = feats.text_features(bow.adaptive_bow(chunked, "normal"), preprocess=True)
+    rows = feats.lexicon_features(feats.user_features(rows), fixtures.lexicon(spark))
+    names = [n for group in feats.FEATURE_GROUPS.values() for n in group] + ["bow"]
+    relation = rows.select(*[F.col(n).cast("double").alias(n) for n in names], "class")
+    relation = arff.with_domains(relation, {"class": ["normal", "abusive", "spam"]})
+    arff.write_arff_head(profile.profile(relation), path)
+
+
+def _tweet_pipeline(spark, sf_dir):
+    """Texts arrive as JSON, features follow the head file, a linear model learns, metrics go to CSV and are read back."""
+    home = scratch_path(spark, "tweets")
+    _tweet_head(spark, sf_dir, f"{home}/head")
+    head = arff.read_arff_head(spark, f"{home}/head").collect()  # a row per attribute
+    extractor = TweetExtractor(
+        head, fixtures.lexicon(spark), normalize=2, preprocess=True, adaptive=True)
+    options = LinearOptions(len(extractor.features), 0.5, "LogisticLoss", "L2Regularizer", 0.001)
+    learner = TextLearner(extractor, LinearLearner(extractor.features, {"sgd": options}))
+    texts = replay.replay_file(fixtures.tweets(spark, sf_dir).where("class IS NOT NULL"), "id", PIPELINE_CHUNK)
+    sink = CsvSink(spark, f"{home}/s1/tweets_p1_n2_b1_a1")
+    _paced(spark, texts, learner, "json", tweets.TWEET_SCHEMA, sink=sink)
+    metrics = runs.read_metrics_csv(spark, sink.path)
+    return metrics.withColumns({c: F.round(c, 4) for c in ("accuracy", "recall", "precision", "f1")})
+
+
 QUERIES = {
     "eval_basic": _eval_basic,
     "eval_extended": _eval_extended,
@@ -216,4 +283,8 @@ QUERIES = {
     "kmeans_prequential": _kmeans,
     "outlier_prequential": _outliers,
     "stream_prequential": _stream,
+    "stream_kmeans": _stream_kmeans,
+    "stream_outliers": _stream_outliers,
+    "moa_sampled_metrics": _moa_sampled,
+    "tweet_pipeline_sgd": _tweet_pipeline,
 }

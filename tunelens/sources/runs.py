@@ -28,12 +28,12 @@ def run_key(path: Column) -> list[Column]:
     ]
 
 
-def read_metrics_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_metrics_csv(spark: SparkSession, path: str | list[str], header: bool = True) -> DataFrame:
     """(exp, hp, batch, instances, accuracy, recall, precision, f1) in percent; ``batch`` is the line number from 0."""
     raw = (
         spark.read.option("recursiveFileLookup", "true")
         .schema(METRICS_HEADER)
-        .csv(path, header=True, enforceSchema=True)
+        .csv(path, header=header, enforceSchema=True)
     )
     rows = raw.select(
         *run_key(F.col("_metadata.file_path")),
@@ -44,8 +44,8 @@ def read_metrics_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return number_rows(rows, ["exp", "hp"], ["ord"], "batch").withColumn("batch", F.col("batch") - 1).drop("ord")
 
 
-def write_metrics_csv(metrics: DataFrame, path: str) -> None:
-    """CSV files with a header in one folder per run, fractions as the learners emit them.
+def write_metrics_csv(metrics: DataFrame, path: str, header: bool = True) -> None:
+    """CSV files, with a header or without, in one folder per run, fractions as the learners emit them.
 
     Rows are cut by range: a long run spreads over several files whose names follow the batch order.
     """
@@ -54,7 +54,7 @@ def write_metrics_csv(metrics: DataFrame, path: str) -> None:
         .sortWithinPartitions("exp", "hp", "batch")
         .select("exp", "hp", F.col("batch").alias("batch_time"), "instances", "accuracy", "recall", "precision", "f1")
         .write.partitionBy("exp", "hp")
-        .csv(path, header=True)
+        .csv(path, header=header)
     )
 
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from math import gcd
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,33 +90,32 @@ def sampled_metrics(
 ) -> DataFrame:
     """Metrics at every ``frequency`` rows of each stream, over all rows so far and over the last ``width`` rows.
 
-    Rows shrink to counts per block first; the blocks divide both ``frequency`` and ``width``, so that no window
-    ever covers single rows. Columns of the running view end in ``_all``, of the sliding view in ``_last``.
+    Sample k looks at rows up to k * frequency. Row r counts from the first sample that has reached it, and leaves the
+    sliding view at the first sample that has passed it by ``width``; rows shrink to counts by these two numbers, a few
+    per sample whatever the two lengths are. The sliding view is what has come in less what has left. Columns of the
+    running view end in ``_all``, of the sliding view in ``_last``.
     """
-    block = gcd(frequency, width)
     rows = number_rows(df.select(*keys, order, "label", "prediction"), keys, [order])
-    blocks = (
-        rows.withColumn("block", F.floor((F.col("rn") - 1) / block))
-        .groupBy(*keys, "block", "label", "prediction")
+    counts = (
+        rows.withColumn("came", F.ceil(F.col("rn") / F.lit(frequency)))
+        .withColumn("left", F.ceil((F.col("rn") + width) / F.lit(frequency)))
+        .groupBy(*keys, "came", "left", "label", "prediction")
         .agg(F.count("*").alias("n"))
-    )
-    # Block b covers rows (b * block, (b + 1) * block]; sample k looks back from row k * frequency.
-    first_view = F.ceil((F.col("block") + 1) * block / F.lit(frequency))
-    last_view = F.floor((F.col("block") * block + width) / F.lit(frequency))
-    sliding = (
-        blocks.where(first_view <= last_view)
-        .select(*keys, F.explode(F.sequence(first_view, last_view)).alias("sample"), *CONFUSION)
-        .groupBy(*keys, "sample")
+        .groupBy(*keys, "came", "left")
         .agg(*_tallies(positive))
     )
-    per_sample = blocks.groupBy(*keys, first_view.alias("sample")).agg(*_tallies(positive))
-    running = running_sums(per_sample.withColumnsRenamed({c: f"own_{c}" for c in TALLIES}), keys, "sample", {
-        c: F.col(f"own_{c}") for c in TALLIES
-    })
+
+    def so_far(by: str) -> DataFrame:
+        own = counts.groupBy(*keys, F.col(by).alias("sample")).agg(*[F.sum(c).alias(f"own_{c}") for c in TALLIES])
+        return running_sums(own, keys, "sample", {c: F.col(f"own_{c}") for c in TALLIES}).select(*keys, "sample", *TALLIES)
+
     # A sample past the end of its stream has seen too few rows.
-    complete = running.where(F.col("t_n") == F.col("sample") * frequency)
+    running = so_far("came").where(F.col("t_n") == F.col("sample") * frequency)
+    gone = so_far("left").withColumnsRenamed({c: f"gone_{c}" for c in TALLIES})
+    both = running.join(gone, [*keys, "sample"], "left")
+    sliding = both.select(*keys, "sample", *[(F.col(c) - F.coalesce(f"gone_{c}", F.lit(0))).alias(c) for c in TALLIES])
     return (
-        _from_tallies(complete, keys, "_all")
+        _from_tallies(running, keys, "_all")
         .join(_from_tallies(sliding, keys, "_last"), [*keys, "sample"])
         .withColumn("rows", F.col("sample") * frequency)
     )
@@ -158,6 +154,10 @@ def _from_tallies(df: DataFrame, keys: list[str], suffix: str) -> DataFrame:
     )
 
 
-def counts_frame(spark, rows: Iterable[tuple], batches: str = "batch bigint") -> DataFrame:
-    """Confusion counts gathered by a learner: (member, batch, label, prediction, n), a few rows per batch."""
-    return spark.createDataFrame(list(rows), f"member string, {batches}, label int, prediction int, n bigint")
+class Classifier:
+    """Reports of learners whose steps return confusion counts: (member, label, prediction, n), a few rows per batch."""
+
+    row_schema = "member string, label int, prediction int, n bigint"
+
+    def report(self, rows: DataFrame, evaluator: str = "basic", **options) -> DataFrame:
+        return classification_metrics(rows, ["member", "batch"], evaluator, **options)

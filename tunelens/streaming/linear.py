@@ -5,9 +5,11 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tunelens.streaming.evaluate import Classifier
+
 LOSSES = ("LogisticLoss", "SquaredLoss", "HingeLoss", "PerceptronLoss")
 REGULARIZERS = ("ZeroRegularizer", "L1Regularizer", "L2Regularizer")
 
@@ -27,7 +29,7 @@ class LinearOptions:
             raise ValueError(f"unknown loss or regularizer: {self.loss}, {self.regularizer}")
 
 
-class LinearLearner:
+class LinearLearner(Classifier):
     """Named linear models over the same features and a label column of class indices.
 
     With ``classes`` each name becomes a one-against-rest set: a model per class, the highest score wins, ties to the
@@ -78,6 +80,28 @@ class LinearLearner:
     def predict(self, df: DataFrame, name: str) -> DataFrame:
         return self._scored(df, [name]).select(*df.columns, "prediction")
 
+    def versions(self, batch: int) -> list[tuple]:
+        """The models in force before ``batch``: (batch, member, w) with slopes and bias by class."""
+        return [(batch, n, [self.weights[n, c] for c in range(self.classes or 1)]) for n in self.options]
+
+    def predict_by_version(self, rows: DataFrame, versions: DataFrame, batch: str = "chunk_id") -> DataFrame:
+        """``rows`` with ``member`` and ``prediction``, each row judged by the models in force before its batch.
+
+        ``versions`` has a row per member and batch, or one for several batches on: the last one not after the row's
+        batch is in force. Models meet rows on their batch, so no model gathers the rows of many batches.
+        """
+        later = Window.partitionBy("member").orderBy("batch")
+        spans = versions.withColumn("until", F.lead("batch").over(later) - 1)
+        # Chunk numbers are few beside rows: each is given its version before rows meet versions.
+        numbers = rows.select(F.col(batch).alias("_at")).distinct()
+        in_force = (F.col("batch") <= F.col("_at")) & (F.coalesce("until", F.col("_at")) >= F.col("_at"))
+        dealt = numbers.join(spans, in_force).select(F.col("_at").alias(batch), "member", "w")
+        scores = ", ".join(self._score(c) for c in range(self.classes or 1))
+        guess = "scores[0] > 0" if self.classes is None else "array_position(scores, array_max(scores)) - 1"
+        filled = rows.fillna(0.0, self.features)
+        judged = filled.join(dealt, batch).withColumn("scores", F.expr(f"array({scores})"))
+        return judged.select(*rows.columns, "member", F.expr(f"CAST({guess} AS INT)").alias("prediction"))
+
     def step(self, batch: DataFrame) -> list[tuple[str, int, int, int]]:
         """Predict with the current weights, count (name, label, prediction, n), then train.
 

@@ -2,26 +2,89 @@
 
 from __future__ import annotations
 
+from typing import Any, Protocol
+
 from pyspark.sql import DataFrame, SparkSession
 
+from tunelens.session import scratch_path
 from tunelens.sources.replay import Replay
-from tunelens.streaming.evaluate import classification_metrics, counts_frame
+from tunelens.streaming.clustering import StreamingKMeans
 from tunelens.streaming.linear import LinearLearner, LinearOptions
+from tunelens.streaming.outliers import OutlierDetector
 from tunelens.streaming.trees import Forest, OneVsRestTrees, TreeLearner, TreeOptions
 
+
+class Learner(Protocol):
+    """What runs and streams need of a learner, whatever it learns."""
+
+    #: Columns of the rows that a step returns.
+    row_schema: str
+
+    def state(self) -> dict: ...
+
+    def load(self, state: dict) -> None: ...
+
+    def step(self, batch: DataFrame) -> list[tuple]:
+        """Judge a batch with the model as it is, then train it; a few rows of what was seen."""
+
+    def report(self, rows: DataFrame, **options: Any) -> DataFrame:
+        """Metrics of the rows of any number of steps, with their ``batch``."""
+
+
 # Learners by name; each is built from its feature list and keyword options.
-LEARNERS = {"sgd": LinearLearner, "ht": TreeLearner, "mc": OneVsRestTrees, "rf": Forest}
+LEARNERS = {
+    "sgd": LinearLearner, "ht": TreeLearner, "mc": OneVsRestTrees, "rf": Forest, "kmeans": StreamingKMeans,
+    "outliers": OutlierDetector,
+}
+
+#: Rows of steps that wait on the driver before they are written.
+PENDING_ROWS = 10_000
+
+
+class StepLog:
+    """Rows of steps by batch; all but the last few lie in a table."""
+
+    def __init__(self, spark: SparkSession, row_schema: str):
+        self.spark, self.schema = spark, f"batch bigint, {row_schema}"
+        self.path: str | None = None
+        self.pending: list[tuple] = []
+
+    def add(self, batch: int, rows: list[tuple]) -> None:
+        self.pending += [(batch, *r) for r in rows]
+        if len(self.pending) >= PENDING_ROWS:
+            self.path = self.path or scratch_path(self.spark, "steps")
+            self.spark.createDataFrame(self.pending, self.schema).coalesce(1).write.mode("append").parquet(self.path)
+            self.pending = []
+
+    def table(self) -> DataFrame:
+        rows = self.spark.createDataFrame(self.pending, self.schema)
+        return rows.unionByName(self.spark.read.schema(self.schema).parquet(self.path)) if self.path else rows
+
+
+def prequential(spark: SparkSession, replay: Replay, learner: Learner, evaluator: str | None = None, **options) -> DataFrame:
+    """Metrics of every batch: it is judged by the model before it, then trains it. ``options`` go to the report.
+
+    Only counts, and model sums or splits that won, reach the driver.
+    """
+    log = StepLog(spark, learner.row_schema)
+    for i, batch in replay:
+        log.add(i, learner.step(batch))
+    if evaluator:
+        options["evaluator"] = evaluator
+    return learner.report(log.table(), **options)
 
 
-def prequential(spark: SparkSession, replay: Replay, learner, evaluator: str = "basic", **options) -> DataFrame:
-    """Metrics per (member, batch): every batch is predicted with the model before it, then trains it.
+def prequential_rows(spark: SparkSession, replay: Replay, learner: LinearLearner) -> DataFrame:
+    """Every replayed row with the prediction of each model as it was before the row's batch.
 
-    One Spark job per batch; only counts and model sums reach the driver.
+    The models of all batches are a table; one pass over the rows judges them, and nothing about rows is kept while the
+    learner runs.
     """
-    counts = []
+    log = StepLog(spark, "member string, w array<array<double>>")
     for i, batch in replay:
-        counts += [(member, i, label, guess, n) for member, label, guess, n in learner.step(batch)]
-    return classification_metrics(counts_frame(spark, counts), ["member", "batch"], evaluator, **options)
+        log.add(i, [v[1:] for v in learner.versions(i)])
+        learner.step(batch)
+    return learner.predict_by_version(replay.table().where("label IS NOT NULL"), log.table())
 
 
 def sgd_grid(features: list[str], settings: list[dict]) -> LinearLearner:

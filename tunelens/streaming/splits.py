@@ -55,14 +55,14 @@ class Split:
     branches: np.ndarray
 
 
-def numeric_cuts(n, total, squares, low, high) -> tuple[np.ndarray, np.ndarray]:
-    """Ten equally spaced cuts inside (low, high) and the class mass on both sides of each, by the normal CDF."""
+def numeric_cuts(n, mean, m2, low, high) -> tuple[np.ndarray, np.ndarray]:
+    """Ten equally spaced cuts inside (low, high) and the class mass on both sides of each, by the normal CDF.
+
+    Each class has a count, a mean and squared deviations from it."""
     seen = n > 0
     lo, hi = low[seen].min(), high[seen].max()
     cuts = lo + (hi - lo) * np.arange(1, CUTS + 1) / (CUTS + 1)
-    mean = np.divide(total, n, out=np.zeros_like(total), where=seen)
-    variance = np.divide(squares, n, out=np.zeros_like(squares), where=seen) - mean * mean
-    sd = np.sqrt(np.maximum(variance, 0.0))
+    sd = np.sqrt(np.divide(m2, n, out=np.zeros_like(m2), where=seen))
     gap = cuts[:, None] - mean[None, :]
     z = np.divide(gap, sd[None, :], out=np.where(gap >= 0, np.inf, -np.inf), where=sd[None, :] > 0)
     below = n * np.where(np.isinf(z), (z > 0).astype(float), normal_cdf(np.where(np.isinf(z), 0.0, z)))
@@ -81,7 +81,7 @@ def best_split(attr: int, stats: dict, parent: np.ndarray, criterion: str, binar
         return Split(attr, "one", float(best), float(merits[best]), sides[best])
     if not (stats["n"] > 0).any():
         return None
-    cuts, sides = numeric_cuts(stats["n"], stats["sum"], stats["sq"], stats["min"], stats["max"])
+    cuts, sides = numeric_cuts(stats["n"], stats["mean"], stats["m2"], stats["min"], stats["max"])
     merits = merit(parent, sides, criterion)
     best = int(np.argmax(merits))
     return Split(attr, "numeric", float(cuts[best]), float(merits[best]), sides[best])

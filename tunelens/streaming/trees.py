@@ -1,21 +1,29 @@
 """Incremental decision trees, one-against-rest trees and bagged forests.
 
-The driver holds the trees and a few sums per leaf. Each batch is one Spark job: rows are routed by an expression
-built from the trees, predicted, counted and reduced to new leaf sums, for all trees at once.
+A tree is its tests, which the driver holds, and its leaves, which are rows of a table: class sums, centred moments and
+value counts, the leaf's own prediction, and what it remembers of earlier attempts. Each batch is one job: rows are routed
+by an expression built from the tests, meet the predictions of their leaves, and shrink to sums per leaf and class; these
+are merged into the leaf rows, which try their splits where they are. Only confusion counts and the splits that won reach
+the driver.
 """
 
 from __future__ import annotations
 
-import json
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tunelens.session import dropped, scratch_path
+from tunelens.streaming import moments
+from tunelens.streaming.evaluate import Classifier
 from tunelens.streaming.splits import CRITERIA, Split, best_split, hoeffding_bound
 
 BROADCAST_LEAVES = 20_000
+#: Leaves that one task merges and scores, at the least.
+LEAVES_PER_TASK = 16
 SD_FLOOR = 1e-9
 NO_CHANCE = -1e300
 
@@ -49,7 +57,7 @@ class TreeOptions:
 
 @dataclass
 class Node:
-    """A test with children, or a leaf with its sums."""
+    """A test with children, or a leaf. ``inherited`` are the class weights a leaf is born with."""
 
     depth: int
     attr: int = -1
@@ -57,42 +65,26 @@ class Node:
     value: float = 0.0
     children: list[int] = field(default_factory=list)
     inherited: list[float] = field(default_factory=list)
-    sums: dict | None = None
-    right_majority: float = 0.0
-    right_bayes: float = 0.0
-    tried_at: float = 0.0
-    poor: dict = field(default_factory=dict)
 
     @property
     def is_leaf(self) -> bool:
         return not self.children
 
 
+@dataclass
 class Tree:
-    """One incremental tree; ``allowed`` limits the attributes it may use, ``subset`` draws some of them per leaf."""
-
-    def __init__(self, features, classes, options, allowed=None, subset=None, seed=0):
-        self.features: list[Feature] = features
-        self.classes: int = classes
-        self.options: TreeOptions = options
-        self.allowed: list[int] = list(range(len(features))) if allowed is None else allowed
-        self.subset: int | None = subset
-        self.seed = seed
-        self.nodes = [Node(0, inherited=[0.0] * classes, sums=self._empty())]
-
-    def _empty(self) -> dict:
-        c = self.classes
-        sums = {"n": np.zeros(c)}
-        for i in self.allowed:
-            f = self.features[i]
-            if f.values:
-                sums[i] = {"values": np.zeros((f.values, c))}
-            else:
-                sums[i] = {
-                    "n": np.zeros(c), "sum": np.zeros(c), "sq": np.zeros(c),
-                    "min": np.full(c, np.inf), "max": np.full(c, -np.inf),
-                }
-        return sums
+    """The tests of one tree; ``allowed`` limits the attributes it may use, ``subset`` draws some of them per leaf."""
+
+    features: list[Feature]
+    classes: int
+    options: TreeOptions
+    allowed: list[int]
+    subset: int | None = None
+    seed: int = 0
+    nodes: list[Node] = field(default_factory=list)
+
+    def __post_init__(self):
+        self.nodes = self.nodes or [Node(0, inherited=[0.0] * self.classes)]
 
     def leaves(self) -> list[int]:
         return [i for i, n in enumerate(self.nodes) if n.is_leaf]
@@ -101,6 +93,21 @@ class Tree:
     def depth(self) -> int:
         return max(n.depth for n in self.nodes)
 
+    def split(self, at: int, attr: int, kind: str, value: float, branches: list[list[float]]) -> list[int]:
+        """Turn a leaf into a test; returns the new leaves."""
+        node, first = self.nodes[at], len(self.nodes)
+        self.nodes += [Node(node.depth + 1, inherited=[float(v) for v in b]) for b in branches]
+        node.attr, node.kind, node.value = attr, kind, value
+        node.children = list(range(first, len(self.nodes)))
+        return node.children
+
+    def drawn(self, at: int) -> list[int]:
+        """Attributes that the leaf may test."""
+        if self.subset is None or self.subset >= len(self.allowed):
+            return self.allowed
+        ranked = sorted(self.allowed, key=lambda i: (mix_int(at * 1009 + i, self.seed), i))
+        return sorted(ranked[: self.subset])
+
     # Routing -----------------------------------------------------------------------------------------------------
 
     def route(self) -> str:
@@ -130,155 +137,148 @@ class Tree:
             f"(node, level) -> IF({lit['kind']} = 0, node, {lit['first']} + {step}))"
         )
 
-    # Prediction --------------------------------------------------------------------------------------------------
-
-    def class_mass(self, at: int) -> np.ndarray:
-        """Class weights of a leaf, what it inherited at its birth included."""
-        node = self.nodes[at]
-        return np.asarray(node.inherited) + node.sums["n"]
-
-    def majority(self, at: int) -> int:
-        return int(np.argmax(self.class_mass(at)))
-
-    def share(self, at: int, cls: int) -> float:
-        mass = self.class_mass(at)
-        return float(mass[cls] / mass.sum()) if mass.sum() > 0 else 0.0
-
-    def uses_bayes(self, at: int) -> bool:
-        node, o = self.nodes[at], self.options
-        n = node.sums["n"].sum()
-        if o.leaf_kind == 0 or n <= o.nb_threshold or n == 0:
-            return False
-        return o.leaf_kind == 1 or node.right_bayes > node.right_majority
-
-    def bayes_model(self, at: int) -> dict | None:
-        """Log priors by class; per feature mean and deviation by class, or log shares by class and value."""
-        if not self.options.leaf_kind or self.nodes[at].sums["n"].sum() == 0:
-            return None
-        sums, c = self.nodes[at].sums, self.classes
-        n = sums["n"]
-        model = {
-            "trusted": self.uses_bayes(at),
-            "prior": [float(np.log(v / n.sum())) if v > 0 else NO_CHANCE for v in n],
-            "mean": [], "deviation": [], "share": [],
-        }
-        for i, f in enumerate(self.features):
-            s = sums.get(i)
-            mean, sd, shares = [0.0] * c, [0.0] * c, []
-            if s is not None and f.values:
-                smooth = np.log((s["values"] + 1.0) / (s["values"].sum(axis=0) + f.values))
-                shares = smooth.T.tolist()
-            elif s is not None:
-                count = np.maximum(s["n"], 1e-300)
-                centre = np.where(s["n"] > 0, s["sum"] / count, 0.0)
-                spread = np.where(s["n"] > 0, s["sq"] / count, 0.0) - centre * centre
-                mean = centre.tolist()
-                sd = np.maximum(np.sqrt(np.maximum(spread, 0.0)), SD_FLOOR).tolist()
-            model["mean"].append(mean)
-            model["deviation"].append(sd)
-            model["share"].append(shares)
-        return model
-
-    # Learning ----------------------------------------------------------------------------------------------------
-
-    def absorb(self, at: int, cls: int, row) -> None:
-        """Add the sums of one (leaf, class) group."""
-        sums = self.nodes[at].sums
-        sums["n"][cls] += row["w"]
-        for i in self.allowed:
-            f = self.features[i]
-            if f.values:
-                sums[i]["values"][:, cls] += row[f"v_{i}"]
-            elif row[f"n_{i}"]:
-                s = sums[i]
-                s["n"][cls] += row[f"n_{i}"]
-                s["sum"][cls] += row[f"s_{i}"]
-                s["sq"][cls] += row[f"q_{i}"]
-                s["min"][cls] = min(s["min"][cls], row[f"a_{i}"])
-                s["max"][cls] = max(s["max"][cls], row[f"b_{i}"])
-
-    def grow(self) -> None:
-        """Try to split every leaf that saw enough rows since its last attempt."""
-        if not self.options.growth:
-            return
-        for at in self.leaves():
-            node = self.nodes[at]
-            n = float(node.sums["n"].sum())
-            pure = (node.sums["n"] > 0).sum() < 2
-            if n - node.tried_at < self.options.grace or pure or node.depth >= self.options.max_depth:
-                continue
-            node.tried_at = n
-            split = self._decide(at, n)
-            if split is not None:
-                self._split(at, split)
-
-    def suggestions(self, at: int) -> list[Split]:
-        """Best test of each open attribute, best first; ties to the lower attribute."""
-        node, o = self.nodes[at], self.options
-        found = []
-        for i in self._drawn(at):
-            if node.poor.get(i, 0) < 2:
-                s = best_split(i, node.sums[i], node.sums["n"], o.criterion, o.binary_only)
-                if s is not None:
-                    found.append(s)
-        return sorted(found, key=lambda s: (-s.merit, s.attr))
-
-    def _drawn(self, at: int) -> list[int]:
-        if self.subset is None or self.subset >= len(self.allowed):
-            return self.allowed
-        ranked = sorted(self.allowed, key=lambda i: (mix_int(at * 1009 + i, self.seed), i))
-        return sorted(ranked[: self.subset])
-
-    def _decide(self, at: int, n: float) -> Split | None:
-        node, o = self.nodes[at], self.options
-        found = self.suggestions(at)
-        if not found:
-            return None
-        best, second = found[0], found[1].merit if len(found) > 1 else 0.0
-        bound = hoeffding_bound(n, self.classes, o.confidence, o.criterion)
-        if o.remove_poor:
-            for s in found:
-                node.poor[s.attr] = node.poor.get(s.attr, 0) + 1 if best.merit - s.merit > bound else 0
-        if not o.no_pre_prune and best.merit <= 0:
-            return None
-        return best if best.merit - second > bound or bound < o.tie else None
-
-    def _split(self, at: int, split: Split) -> None:
-        node = self.nodes[at]
-        first = len(self.nodes)
-        for branch in split.branches:
-            self.nodes.append(Node(node.depth + 1, inherited=[float(v) for v in branch], sums=self._empty()))
-        node.attr, node.kind, node.value = split.attr, split.kind, split.value
-        node.children = list(range(first, len(self.nodes)))
-        node.sums = None
-
-    # State -------------------------------------------------------------------------------------------------------
 
-    def state(self) -> list[dict]:
-        return [_plain(asdict(n)) for n in self.nodes]
+# Leaves --------------------------------------------------------------------------------------------------------------
 
-    def load(self, nodes: list[dict]) -> None:
-        self.nodes = []
-        for d in nodes:
-            sums = d.pop("sums")
-            poor = {int(k): v for k, v in d.pop("poor").items()}
-            self.nodes.append(Node(**d, poor=poor, sums=None if sums is None else _arrays(sums)))
+LEAF = """m int, leaf int, tried double, right_majority double, right_bayes double, poor array<int>, sums array<double>,
+    majority int, shares array<double>, model struct<trusted: boolean, prior: array<double>, mean: array<array<double>>,
+    deviation: array<array<double>>, share: array<array<array<double>>>>,
+    counts array<struct<label: int, prediction: int, n: bigint>>,
+    attr int, kind string, value double, branches array<array<double>>"""
 
 
-def _plain(value):
-    if isinstance(value, dict):
-        return {str(k): _plain(v) for k, v in value.items()}
-    if isinstance(value, (list, tuple)):
-        return [_plain(v) for v in value]
-    return value.tolist() if hasattr(value, "tolist") else value
+class Layout:
+    """Where a leaf's row of sums keeps what: per class its weight, then for a numeric feature count, mean, squared
+    deviations, least and largest value, and for a nominal one the weight of each value."""
 
+    def __init__(self, features: list[Feature], classes: int):
+        self.features, self.classes = features, classes
+        self.first, at = [], 1
+        for f in features:
+            self.first.append(at)
+            at += f.values or 5
+        self.width = at
+
+    def empty(self) -> np.ndarray:
+        row = np.zeros((self.classes, self.width))
+        for f, at in zip(self.features, self.first):
+            if not f.values:
+                row[:, at + 3 : at + 5] = np.inf, -np.inf
+        return row
+
+    def absorb(self, row: np.ndarray, part: np.ndarray, pivots: list[float]) -> None:
+        """Merge the sums of one batch, taken around ``pivots``, into a class's ``row``."""
+        row[0] += part[0]
+        for f, at, pivot in zip(self.features, self.first, pivots):
+            if f.values:
+                row[at : at + f.values] += part[at : at + f.values]
+            elif part[at]:
+                own = moments.from_sums(*part[at : at + 3], pivot)
+                row[at : at + 3] = moments.merge(tuple(row[at : at + 3]), own)
+                row[at + 3], row[at + 4] = min(row[at + 3], part[at + 3]), max(row[at + 4], part[at + 4])
+
+    def stats(self, sums: np.ndarray, i: int) -> dict:
+        """What a split merit reads of feature ``i``, by class."""
+        f, at = self.features[i], self.first[i]
+        if f.values:
+            return {"values": sums[:, at : at + f.values].T}
+        return dict(zip(("n", "mean", "m2", "min", "max"), sums[:, at : at + 5].T))
 
-def _arrays(sums: dict) -> dict:
-    out = {"n": np.array(sums["n"])}
-    for key, stats in sums.items():
-        if key != "n":
-            out[int(key)] = {name: np.array(v, dtype=float) for name, v in stats.items()}
-    return out
+    def columns(self, pivots: list[float]) -> Column:
+        """The sums of a group of rows with weight ``w``, in this order."""
+        out = ["sum(w)"]
+        for f, pivot in zip(self.features, pivots):
+            x = f"`{f.name}`"
+            if f.values:
+                out += [f"sum(IF({x} = {v}, w, 0.0D))" for v in range(f.values)]
+                continue
+            gap = f"({x} - ({pivot!r}D))"
+            out += [f"sum(IF({x} IS NULL, 0.0D, w))", f"coalesce(sum(w * {gap}), 0.0D)", f"coalesce(sum(w * {gap} * {gap}), 0.0D)"]
+            out += [f"coalesce(min(IF(w > 0, {x}, NULL)), double('inf'))", f"coalesce(max(IF(w > 0, {x}, NULL)), double('-inf'))"]
+        return F.expr(f"array({', '.join(out)})")
+
+
+def advance(leaf: dict, tree: Tree, layout: Layout, pivots: list[float]) -> dict:
+    """A leaf after a batch: ``parts`` are its sums by class and prediction. Tries to split it if it saw enough rows."""
+    sums = layout.empty() if leaf["sums"] is None else np.array(leaf["sums"]).reshape(layout.classes, layout.width)
+    right_majority, right_bayes = leaf["right_majority"], leaf["right_bayes"]
+    counts: dict[tuple[int, int], int] = {}
+    order = ("y", "label", "prediction", "majority", "bayes")
+    for p in sorted(leaf["parts"] or [], key=lambda p: tuple(-1 if p[k] is None else p[k] for k in order)):
+        key = (p["label"], p["prediction"])
+        counts[key] = counts.get(key, 0) + p["rows"]
+        part = np.array(p["part"])
+        if part[0] > 0:
+            right_majority += part[0] if p["majority"] == p["y"] else 0.0
+            right_bayes += part[0] if p["bayes"] == p["y"] else 0.0
+            layout.absorb(sums[p["y"]], part, pivots)
+    node, o = tree.nodes[leaf["leaf"]], tree.options
+    out = {
+        "m": leaf["m"], "leaf": leaf["leaf"], "tried": leaf["tried"], "right_majority": right_majority,
+        "right_bayes": right_bayes, "poor": leaf["poor"] or [0] * len(layout.features), "sums": sums.ravel().tolist(),
+        "counts": [{"label": y, "prediction": g, "n": n} for (y, g), n in counts.items()],
+    }
+    mass, seen = sums[:, 0], float(sums[:, 0].sum())
+    due = o.growth and seen - leaf["tried"] >= o.grace and (mass > 0).sum() > 1 and node.depth < o.max_depth
+    if due:
+        out["tried"] = seen
+        split = _decide(tree, leaf["leaf"], sums, layout, out["poor"])
+        if split is not None:
+            return out | {
+                "attr": split.attr, "kind": split.kind, "value": split.value, "branches": split.branches.tolist()}
+    return out | _prediction(node, o, sums, layout, right_majority, right_bayes)
+
+
+def _decide(tree: Tree, at: int, sums: np.ndarray, layout: Layout, poor: list[int]) -> Split | None:
+    """The split that wins at a leaf. Ties go to the lower attribute; ``poor`` counts attributes that fall behind."""
+    o, mass = tree.options, sums[:, 0]
+    found = []
+    for i in tree.drawn(at):
+        if poor[i] < 2:
+            s = best_split(i, layout.stats(sums, i), mass, o.criterion, o.binary_only)
+            if s is not None:
+                found.append(s)
+    if not found:
+        return None
+    found.sort(key=lambda s: (-s.merit, s.attr))
+    best, second = found[0], found[1].merit if len(found) > 1 else 0.0
+    bound = hoeffding_bound(float(mass.sum()), tree.classes, o.confidence, o.criterion)
+    if o.remove_poor:
+        for s in found:
+            poor[s.attr] = poor[s.attr] + 1 if best.merit - s.merit > bound else 0
+    if not o.no_pre_prune and best.merit <= 0:
+        return None
+    return best if best.merit - second > bound or bound < o.tie else None
+
+
+def _prediction(node: Node, o: TreeOptions, sums: np.ndarray, layout: Layout, right_majority: float, right_bayes: float) -> dict:
+    """What a leaf predicts: class shares, what it inherited at its birth included, and its naive Bayes model.
+
+    The model holds log priors by class; per feature mean and deviation by class, or log shares by class and value.
+    """
+    mass = np.asarray(node.inherited) + sums[:, 0]
+    shares = mass / mass.sum() if mass.sum() > 0 else np.zeros_like(mass)
+    out = {"majority": int(np.argmax(mass)), "shares": shares.tolist()}
+    n, seen = sums[:, 0], float(sums[:, 0].sum())
+    if not o.leaf_kind or not seen:
+        return out
+    trusted = seen > o.nb_threshold and (o.leaf_kind == 1 or right_bayes > right_majority)
+    means, deviations, value_shares = [], [], []
+    for i, f in enumerate(layout.features):
+        s = layout.stats(sums, i)
+        if f.values:
+            smooth = np.log((s["values"] + 1.0) / (s["values"].sum(axis=0) + f.values))
+            means.append([0.0] * layout.classes)
+            deviations.append([0.0] * layout.classes)
+            value_shares.append(smooth.T.tolist())
+        else:
+            means.append(s["mean"].tolist())
+            sd = np.sqrt(s["m2"] / np.maximum(s["n"], 1e-300))
+            deviations.append(np.maximum(sd, SD_FLOOR).tolist())
+            value_shares.append([])
+    prior = [float(np.log(v / seen)) if v > 0 else NO_CHANCE for v in n]
+    model = {"trusted": bool(trusted), "prior": prior, "mean": means, "deviation": deviations, "share": value_shares}
+    return out | {"model": model}
 
 
 # Row weights ---------------------------------------------------------------------------------------------------------
@@ -328,8 +328,12 @@ def poisson_sql(drawn: str, rate: float) -> str:
 # Ensembles -----------------------------------------------------------------------------------------------------------
 
 
-class TreeLearner:
-    """Named trees trained side by side, each predicting for itself: one tree, a grid of settings, or ablations."""
+class TreeLearner(Classifier):
+    """Named trees trained side by side, each predicting for itself: one tree, a grid of settings, or ablations.
+
+    ``home`` is the folder of the leaf tables, by default the shared scratch folder; a table is removed when the one
+    after its successor is written.
+    """
 
     votes = False
     key = None
@@ -342,21 +346,51 @@ class TreeLearner:
         without: dict[str, list[str]] | None = None,
     ):
         self.features, self.classes = features, classes
+        self.layout = Layout(features, classes)
+        self.home: str | None = None
+        self.pivots: list[float] | None = None
+        self.written: list[str] = []  # leaf tables, the last one in force
         self.trees: dict[str, Tree] = {}
         for name, o in options.items():
-            dropped = (without or {}).get(name, [])
-            allowed = [i for i, f in enumerate(features) if f.name not in dropped]
+            dropped_here = (without or {}).get(name, [])
+            allowed = [i for i, f in enumerate(features) if f.name not in dropped_here]
             self.trees[name] = Tree(features, classes, o, allowed)
+        self.fresh = [(m, 0) for m in range(len(self.trees))]  # leaves that are in no table yet
 
     def depths(self) -> dict[str, int]:
         return {name: t.depth for name, t in self.trees.items()}
 
     def state(self) -> dict:
-        return {name: t.state() for name, t in self.trees.items()}
+        """The tests, and where the leaves are; it does not hold the leaves themselves."""
+        return {
+            "trees": {name: [asdict(n) for n in t.nodes] for name, t in self.trees.items()},
+            "pivots": self.pivots, "leaves": self.written[-1] if self.written else None,
+            "fresh": [list(x) for x in self.fresh],
+        }
 
     def load(self, state: dict) -> None:
-        for name, nodes in state.items():
-            self.trees[name].load(nodes)
+        for name, nodes in state["trees"].items():
+            self.trees[name].nodes = [Node(**n) for n in nodes]
+        self.pivots = state["pivots"]
+        at = state["leaves"]
+        self.written = self.written[: self.written.index(at) + 1] if at in self.written else [at] if at else []
+        self.fresh = [tuple(x) for x in state["fresh"]]
+
+    def leaves(self, spark: SparkSession) -> DataFrame:
+        """One row per leaf of every tree: the table of the last batch without the leaves it split, and the new ones."""
+        trees = list(self.trees.values())
+        rows = []
+        for m, at in self.fresh:
+            mass = np.asarray(trees[m].nodes[at].inherited)
+            shares = (mass / mass.sum() if mass.sum() > 0 else mass).tolist()
+            rows.append((m, at, 0.0, 0.0, 0.0, None, None, int(np.argmax(mass)), shares, *[None] * 6))
+        fresh = spark.createDataFrame(rows, LEAF)
+        if not self.written:
+            return fresh
+        return spark.read.schema(LEAF).parquet(self.written[-1]).where("attr IS NULL").unionByName(fresh)
+
+    def _small(self) -> bool:
+        return sum(len(t.leaves()) for t in self.trees.values()) <= BROADCAST_LEAVES
 
     def _target(self) -> str:
         """SQL for the class a tree learns; ``m`` is the number of the tree."""
@@ -369,43 +403,42 @@ class TreeLearner:
         """SQL for the votes by class, from ``shares``: class shares by tree."""
         raise NotImplementedError
 
-    def _models(self, spark) -> DataFrame:
-        """One row per leaf: what it predicts. Built from one literal, sized by the model and never by the data."""
-        table = []
-        for m, t in enumerate(self.trees.values()):
-            for at in t.leaves():
-                table.append({"m": m, "leaf": at, "majority": t.majority(at), "model": t.bayes_model(at)})
-        schema = (
-            "array<struct<m: int, leaf: int, majority: int, model: struct<trusted: boolean, prior: array<double>, "
-            "mean: array<array<double>>, deviation: array<array<double>>, share: array<array<array<double>>>>>>"
-        )
-        models = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(table)), schema)))
-        return F.broadcast(models) if len(table) <= BROADCAST_LEAVES else models
-
-    def _shares(self) -> Column:
-        """Class shares of the leaves each row falls into, one array per tree."""
-        table = [
-            [[t.share(i, c) for c in range(t.classes)] if n.is_leaf else None for i, n in enumerate(t.nodes)]
-            for t in self.trees.values()
-        ]
-        known = F.from_json(F.lit(json.dumps(table)), "array<array<array<double>>>")
-        leaves = F.array(*[F.col(f"leaf_{k}") for k in range(len(self.trees))])
-        return F.transform(leaves, lambda leaf, k: known[k][leaf])
-
-    def _spread(self, batch: DataFrame) -> DataFrame:
-        """One row per (row, tree): its leaf, target and weight, and what the leaf predicts."""
-        kept = [f.name for f in self.features] + ["label"] + ([self.key] if self.key else [])
+    def _routed(self, batch: DataFrame, kept: list[str]) -> DataFrame:
+        """``kept`` columns, the leaf of every tree, and the class that ensembles vote for as ``vote``."""
         leaves = [f"leaf_{k}" for k in range(len(self.trees))]
         routed = batch.selectExpr(*kept, *[f"{t.route()} AS {c}" for c, t in zip(leaves, self.trees.values())])
-        if self.votes:
-            routed = routed.withColumn("shares", self._shares()).withColumn("votes", F.expr(self._vote()))
-            vote = "CAST(array_position(votes, array_max(votes)) - 1 AS INT) AS vote"
-            routed = routed.selectExpr(*kept, *leaves, vote)
+        if not self.votes:
+            return routed.selectExpr(*kept, *leaves, "CAST(NULL AS INT) AS vote")
+        table = self.leaves(batch.sparkSession).select("m", "leaf", "shares")
+        if self._small():
+            # One row with the shares by tree and by place among the tree's leaves.
+            by_tree = table.groupBy("m").agg(F.array_sort(F.collect_list(F.struct("leaf", "shares"))).alias("of"))
+            packed = by_tree.agg(F.array_sort(F.collect_list(F.struct("m", "of"))).alias("known")).withColumn("one", F.lit(1))
+            places = [
+                f"known[{k}].of[array({', '.join(map(str, _places(t)))})[leaf_{k}]].shares"
+                for k, t in enumerate(self.trees.values())
+            ]
+            rows = routed.withColumn("one", F.lit(1)).join(F.broadcast(packed), "one")
+            rows = rows.withColumn("shares", F.expr(f"array({', '.join(places)})"))
         else:
-            routed = routed.selectExpr(*kept, *leaves, "CAST(NULL AS INT) AS vote")
-        rows = routed.selectExpr(*kept, "vote", f"posexplode(array({', '.join(leaves)})) AS (m, leaf)")
-        rows = rows.withColumn("y", F.expr(f"CAST({self._target()} AS INT)"))
-        return self._weight(rows)
+            rows = routed.withColumn("row", F.monotonically_increasing_id())
+            each = rows.selectExpr("*", f"posexplode(array({', '.join(leaves)})) AS (m, leaf)").join(table, ["m", "leaf"])
+            same = Window.partitionBy("row")
+            gathered = F.array_sort(F.collect_list(F.struct("m", "shares")).over(same))  # one entry a tree
+            rows = each.withColumn("shares", F.transform(gathered, lambda s: s["shares"])).where("m = 0")
+        votes = rows.withColumn("votes", F.expr(self._vote()))
+        return votes.selectExpr(*kept, *leaves, "CAST(array_position(votes, array_max(votes)) - 1 AS INT) AS vote")
+
+    def _spread(self, batch: DataFrame, others: list[str]) -> DataFrame:
+        """One row per (row, tree): its leaf, and the vote of the ensemble. ``others`` are kept beside the features."""
+        kept = [f"`{f.name}`" for f in self.features] + others
+        leaves = ", ".join(f"leaf_{k}" for k in range(len(self.trees)))
+        return self._routed(batch, kept).selectExpr(*kept, "vote", f"posexplode(array({leaves})) AS (m, leaf)")
+
+    def _learning(self, batch: DataFrame) -> DataFrame:
+        """One row per (row, tree) with the target ``y`` and the weight ``w``."""
+        rows = self._spread(batch, ["label"] + ([self.key] if self.key else []))
+        return self._weight(rows.withColumn("y", F.expr(f"CAST({self._target()} AS INT)")))
 
     def _predicted(self, rows: DataFrame) -> DataFrame:
         """Add the majority and the naive Bayes prediction of each leaf (NULL where it has none), and the one used.
@@ -414,14 +447,13 @@ class TreeLearner:
         """
         if self.votes:
             return rows.selectExpr("*", "CAST(NULL AS INT) AS majority", "CAST(NULL AS INT) AS bayes", "vote AS prediction")
-        classes = range(next(iter(self.trees.values())).classes)
-        scores = f"array({', '.join(self._log_likelihood(c) for c in classes)})"
-        own = "IF(coalesce(model.trusted, false), bayes, majority)"
+        scores = f"array({', '.join(self._log_likelihood(c) for c in range(self.classes))})"
+        models = self.leaves(rows.sparkSession).select("m", "leaf", "majority", "model")
         return (
-            rows.join(self._models(rows.sparkSession), ["m", "leaf"])
+            rows.join(F.broadcast(models) if self._small() else models, ["m", "leaf"])
             .withColumn("scores", F.expr(f"IF(model IS NULL, NULL, {scores})"))
             .withColumn("bayes", F.expr("CAST(array_position(scores, array_max(scores)) - 1 AS INT)"))
-            .withColumn("prediction", F.expr(own))
+            .withColumn("prediction", F.expr("IF(coalesce(model.trusted, false), bayes, majority)"))
             .drop("model", "scores")
         )
 
@@ -438,53 +470,95 @@ class TreeLearner:
             terms.append(f"coalesce({term}, 0.0D)")
         return " + ".join(terms)
 
+    def predict(self, df: DataFrame, name: str | None = None) -> DataFrame:
+        """``df`` with the ``prediction`` of the named tree, or of the ensemble, as it is now."""
+        member = 0 if self.votes else list(self.trees).index(name or next(iter(self.trees)))
+        named = {f.name for f in self.features}
+        others = [f"`{c}`" for c in df.columns if c not in named]
+        rows = self._predicted(self._spread(df, others).where(F.col("m") == member))
+        return rows.select(*[f"`{c}`" for c in df.columns], "prediction")
+
     def step(self, batch: DataFrame) -> list[tuple[str, int, int, int]]:
         """Predict with the trees as they are, count (name, label, prediction, n), then train and try splits.
 
         Rows without a label are left out; a NULL feature takes the last branch and joins no sums.
         """
-        rows = self._predicted(self._spread(batch.where("label IS NOT NULL")))
+        spark = batch.sparkSession
+        batch = batch.where("label IS NOT NULL")
+        pivots = self._pivots(batch)
+        rows = self._predicted(self._learning(batch))
         groups = rows.groupBy("m", "leaf", "y", "label", "prediction", "majority", "bayes").agg(
-            F.count("*").alias("rows"), F.sum("w").alias("w"), *self._sums()
-        )
-        # Bounded by the model: leaves times class combinations.
-        return self._learn(groups.collect())
-
-    def _sums(self) -> list[Column]:
-        out = []
-        for i, f in enumerate(self.features):
-            x = f"`{f.name}`"
-            if f.values:
-                hits = ", ".join(f"sum(IF({x} = {v}, w, 0.0D))" for v in range(f.values))
-                out.append(f"array({hits}) AS v_{i}")
-            else:
-                out += [
-                    f"sum(IF({x} IS NULL, NULL, w)) AS n_{i}",
-                    f"sum(w * {x}) AS s_{i}",
-                    f"sum(w * {x} * {x}) AS q_{i}",
-                    f"min(IF(w > 0, {x}, NULL)) AS a_{i}",
-                    f"max(IF(w > 0, {x}, NULL)) AS b_{i}",
-                ]
-        return [F.expr(e) for e in out]
-
-    def _learn(self, groups) -> list[tuple[str, int, int, int]]:
-        counts: dict[tuple[str, int, int], int] = {}
+            F.count("*").alias("rows"), self.layout.columns(pivots).alias("part"))
+        parts = groups.groupBy("m", "leaf").agg(  # class combinations of one leaf
+            F.collect_list(F.struct("y", "label", "prediction", "majority", "bayes", "rows", "part")).alias("parts"))
+        known = self.leaves(spark).select("m", "leaf", "tried", "right_majority", "right_bayes", "poor", "sums")
+        n_leaves = sum(len(t.leaves()) for t in self.trees.values())
+        tasks = max(1, min(spark.sparkContext.defaultParallelism, n_leaves // LEAVES_PER_TASK))
+        touched = known.join(parts, ["m", "leaf"], "left").repartition(tasks, "m", "leaf")
+        path = scratch_path(spark, "leaves", self.home)
+        touched.mapInArrow(_advance_all(list(self.trees.values()), self.layout, pivots), LEAF).write.parquet(path)
+        self.written.append(path)
+        for old in self.written[:-2]:
+            dropped(spark, old)
+        self.written = self.written[-2:]
+        return self._learned(spark.read.schema(LEAF).parquet(path))
+
+    def _pivots(self, batch: DataFrame) -> list[float]:
+        """A value near the middle of each feature, around which sums of squares keep their digits: its mean over the
+        first batch that has rows."""
+        if self.pivots is not None:
+            return self.pivots
+        numeric = [f.name for f in self.features if not f.values]
+        means = batch.agg(F.count("*").alias("n"), *[F.avg(F.col(f"`{n}`")).alias(f"a{i}") for i, n in enumerate(numeric)]).first()
+        by_name = {n: means[f"a{i}"] or 0.0 for i, n in enumerate(numeric)}
+        pivots = [0.0 if f.values else float(by_name[f.name]) for f in self.features]
+        if means["n"]:
+            self.pivots = pivots
+        return pivots
+
+    def _learned(self, table: DataFrame) -> list[tuple[str, int, int, int]]:
+        """Grow the tests by the splits that won; returns the confusion counts."""
         names = list(self.trees)
-        order = ("m", "leaf", "y", "label", "prediction", "majority", "bayes")
-        for g in sorted(groups, key=lambda g: tuple(-1 if g[k] is None else g[k] for k in order)):
-            tree, at = self.trees[names[g["m"]]], g["leaf"]
-            if not self.votes or g["m"] == 0:
-                name = "ensemble" if self.votes else names[g["m"]]
-                key = (name, g["label"], g["prediction"])
-                counts[key] = counts.get(key, 0) + g["rows"]
-            if g["w"] > 0:
-                node = tree.nodes[at]
-                node.right_majority += g["w"] if g["majority"] == g["y"] else 0.0
-                node.right_bayes += g["w"] if g["bayes"] == g["y"] else 0.0
-                tree.absorb(at, g["y"], g)
-        for tree in self.trees.values():
-            tree.grow()
-        return [(*key, n) for key, n in counts.items()]
+        counts = table.select("m", F.inline("counts")).groupBy("m", "label", "prediction").agg(F.sum("n").alias("n"))
+        if self.votes:
+            counts = counts.where("m = 0")
+        # At most members * classes^2 rows, and one row per split that won.
+        rows = sorted(tuple(r) for r in counts.collect())
+        splits = table.where("attr IS NOT NULL").select("m", "leaf", "attr", "kind", "value", "branches").collect()
+        self.fresh = []
+        for m, leaf, *split in sorted(tuple(r) for r in splits):
+            self.fresh += [(m, child) for child in self.trees[names[m]].split(leaf, *split)]
+        return [("ensemble" if self.votes else names[m], label, guess, n) for m, label, guess, n in rows]
+
+
+def _places(tree: Tree) -> list[int]:
+    """For each node its place among the leaves."""
+    places, n = [], 0
+    for node in tree.nodes:
+        places.append(n if node.is_leaf else -1)
+        n += node.is_leaf
+    return places
+
+
+def _advance_all(trees: list[Tree], layout: Layout, pivots: list[float]):
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        floats = pa.list_(pa.float64())
+        nested = pa.list_(floats)
+        model = pa.struct([
+            ("trusted", pa.bool_()), ("prior", floats), ("mean", nested), ("deviation", nested), ("share", pa.list_(nested))])
+        count = pa.struct([("label", pa.int32()), ("prediction", pa.int32()), ("n", pa.int64())])
+        schema = pa.schema([
+            ("m", pa.int32()), ("leaf", pa.int32()), ("tried", pa.float64()), ("right_majority", pa.float64()),
+            ("right_bayes", pa.float64()), ("poor", pa.list_(pa.int32())), ("sums", floats), ("majority", pa.int32()),
+            ("shares", floats), ("model", model), ("counts", pa.list_(count)), ("attr", pa.int32()), ("kind", pa.string()),
+            ("value", pa.float64()), ("branches", nested)])
+        for batch in batches:
+            rows = [advance(leaf, trees[leaf["m"]], layout, pivots) for leaf in batch.to_pylist()]
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return run
 
 
 class OneVsRestTrees(TreeLearner):
@@ -541,31 +615,31 @@ class Forest(TreeLearner):
 
 
 def leaf_statistics(learner: TreeLearner, batch: DataFrame) -> DataFrame:
-    """Sums of one batch in long form: (member, leaf, y, attr, name, value, n, sum, sq, min, max).
+    """Sums of one batch in long form: (member, leaf, y, attr, name, value, n, mean, m2, min, max).
 
-    A numeric attribute has one row per leaf and class, a nominal one a row per value.
+    A numeric attribute has one row per leaf and class, a nominal one a row per value; ``m2`` are the squared
+    deviations from the mean.
     """
-    groups = learner._spread(batch).groupBy("m", "leaf", "y").agg(F.sum("w").alias("w"), *learner._sums())
+    batch = batch.where("label IS NOT NULL")
+    pivots = learner._pivots(batch)
+    groups = learner._learning(batch).groupBy("m", "leaf", "y").agg(learner.layout.columns(pivots).alias("part"))
     none = F.lit(None).cast("double")
     cells = []
-    for i, f in enumerate(learner.features):
+    for i, (f, at) in enumerate(zip(learner.features, learner.layout.first)):
         head = [F.lit(i).alias("attr"), F.lit(f.name).alias("name")]
         if f.values:
             for v in range(f.values):
                 cells.append(
                     F.struct(
-                        *head, F.lit(v).alias("value"), F.col(f"v_{i}")[v].alias("n"),
-                        none.alias("sum"), none.alias("sq"), none.alias("min"), none.alias("max"),
+                        *head, F.lit(v).alias("value"), F.col("part")[at + v].alias("n"),
+                        *[none.alias(c) for c in ("mean", "m2", "min", "max")],
                     )
                 )
         else:
-            cells.append(
-                F.struct(
-                    *head, F.lit(None).cast("int").alias("value"), F.col(f"n_{i}").alias("n"),
-                    F.col(f"s_{i}").alias("sum"), F.col(f"q_{i}").alias("sq"),
-                    F.col(f"a_{i}").alias("min"), F.col(f"b_{i}").alias("max"),
-                )
-            )
+            n, s, q, low, high = (F.col("part")[at + k] for k in range(5))
+            mean, m2 = moments.centred(n, s, q, F.lit(pivots[i]))
+            seen = [F.when(n > 0, c).alias(a) for c, a in ((mean, "mean"), (m2, "m2"), (low, "min"), (high, "max"))]
+            cells.append(F.struct(*head, F.lit(None).cast("int").alias("value"), n.alias("n"), *seen))
     member = F.element_at(F.array(*map(F.lit, learner.trees)), F.col("m") + 1).alias("member")
     return groups.select(member, "leaf", "y", F.inline(F.array(*cells)))
 
@@ -588,8 +662,8 @@ def split_scores(stats: DataFrame, classes: int, options: TreeOptions) -> DataFr
                 mass = table.sum(axis=0)
             else:
                 s = {"min": np.full(classes, np.inf), "max": np.full(classes, -np.inf)}
-                s |= {k: np.zeros(classes) for k in ("n", "sum", "sq")}
-                for r in rows.itertuples():
+                s |= {k: np.zeros(classes) for k in ("n", "mean", "m2")}
+                for r in rows[rows["n"] > 0].itertuples():
                     for k in s:
                         s[k][r.y] = getattr(r, k)
                 by_attr[attr] = s
