@@ -1,6 +1,6 @@
 """Aggregates over the event-log tables.
 
-Where several aggregates are wanted, build the task table once (``tunelens.session.stored``) and pass it as ``tasks``.
+Where several aggregates are wanted, give them one ``EventTables`` of the log, which builds each table once.
 """
 
 from __future__ import annotations
@@ -16,11 +16,11 @@ def _run():
     return run_time_ms(F.col("launch_ms"), F.col("finish_ms"))
 
 
-def _tasks(log: DataFrame, tasks: DataFrame | None) -> DataFrame:
-    return tables.tasks(log) if tasks is None else tasks
+def _tasks(log: DataFrame | tables.EventTables, tasks: DataFrame | None) -> DataFrame:
+    return tables.of(log).tasks if tasks is None else tasks
 
 
-def task_summary(log: DataFrame, tasks: DataFrame | None = None) -> DataFrame:
+def task_summary(log: DataFrame | tables.EventTables, tasks: DataFrame | None = None) -> DataFrame:
     """Task counts, and run-time statistics over successful tasks. Anything but ``Success`` is a failure."""
     success = F.coalesce(F.col("end_reason") == "Success", F.lit(False))
     good = F.when(success, _run())
@@ -35,7 +35,7 @@ def task_summary(log: DataFrame, tasks: DataFrame | None = None) -> DataFrame:
     )
 
 
-def executor_summary(log: DataFrame, tasks: DataFrame | None = None) -> DataFrame:
+def executor_summary(log: DataFrame | tables.EventTables, tasks: DataFrame | None = None) -> DataFrame:
     """Per executor: block managers, tasks and run-time statistics over every finished task."""
     task_stats = _tasks(log, tasks).groupBy("app_id", "executor_id").agg(
         F.count("*").alias("tasks"),
@@ -45,14 +45,14 @@ def executor_summary(log: DataFrame, tasks: DataFrame | None = None) -> DataFram
         F.max(_run()).alias("max_ms"),
     )
     managers = (
-        tables.block_managers(log)
+        tables.of(log).block_managers
         .where(F.col("executor_id") != "driver")
         .groupBy("app_id", "executor_id")
         .agg(F.count("*").alias("block_managers"))
     )
     key = ["app_id", "executor_id"]
     return (
-        tables.executors(log)
+        tables.of(log).executors
         .join(managers, key, "left")
         .join(task_stats, key, "left")
         .select(
@@ -72,10 +72,10 @@ def executor_summary(log: DataFrame, tasks: DataFrame | None = None) -> DataFram
     )
 
 
-def job_summary(log: DataFrame) -> DataFrame:
-    listed = tables.job_stages(log).groupBy("app_id", "job_id").agg(F.count("*").alias("stages"))
+def job_summary(log: DataFrame | tables.EventTables) -> DataFrame:
+    listed = tables.of(log).job_stages.groupBy("app_id", "job_id").agg(F.count("*").alias("stages"))
     return (
-        tables.jobs(log)
+        tables.of(log).jobs
         .join(listed, ["app_id", "job_id"], "left")
         .select(
             "app_id",
@@ -88,17 +88,17 @@ def job_summary(log: DataFrame) -> DataFrame:
     )
 
 
-def _tasks_by_stage(log: DataFrame, tasks: DataFrame | None = None) -> DataFrame:
+def _tasks_by_stage(log: DataFrame | tables.EventTables, tasks: DataFrame | None = None) -> DataFrame:
     # Tasks are reduced to one row per stage before they meet the jobs that list the stage.
     return _tasks(log, tasks).groupBy("app_id", "stage_id").agg(
         F.count("*").alias("stage_tasks"), F.sum(_run()).alias("stage_task_ms")
     )
 
 
-def stage_summary(log: DataFrame, tasks: DataFrame | None = None) -> DataFrame:
+def stage_summary(log: DataFrame | tables.EventTables, tasks: DataFrame | None = None) -> DataFrame:
     """Declared and executed tasks of every (job, stage); a stage listed by several jobs counts for each."""
     return (
-        tables.job_stages(log)
+        tables.of(log).job_stages
         .join(_tasks_by_stage(log, tasks), ["app_id", "stage_id"], "left")
         .select(
             "app_id",
@@ -112,13 +112,13 @@ def stage_summary(log: DataFrame, tasks: DataFrame | None = None) -> DataFrame:
     )
 
 
-def entity_counts(log: DataFrame, tasks: DataFrame | None = None) -> DataFrame:
+def entity_counts(log: DataFrame | tables.EventTables, tasks: DataFrame | None = None) -> DataFrame:
     """Jobs, tasks, executors and block managers of each application."""
     parts = [
-        tables.jobs(log).select("app_id", F.lit("jobs").alias("entity")),
+        tables.of(log).jobs.select("app_id", F.lit("jobs").alias("entity")),
         _tasks(log, tasks).select("app_id", F.lit("tasks").alias("entity")),
-        tables.executors(log).select("app_id", F.lit("executors").alias("entity")),
-        tables.block_managers(log).select("app_id", F.lit("block_managers").alias("entity")),
+        tables.of(log).executors.select("app_id", F.lit("executors").alias("entity")),
+        tables.of(log).block_managers.select("app_id", F.lit("block_managers").alias("entity")),
     ]
     stacked = parts[0]
     for part in parts[1:]:
@@ -127,9 +127,9 @@ def entity_counts(log: DataFrame, tasks: DataFrame | None = None) -> DataFrame:
     return stacked.groupBy("app_id").agg(*[F.count_if(F.col("entity") == n).alias(n) for n in names])
 
 
-def avg_times(log: DataFrame, tasks: DataFrame | None = None) -> DataFrame:
+def avg_times(log: DataFrame | tables.EventTables, tasks: DataFrame | None = None) -> DataFrame:
     """Single-node view: mean run time of all jobs, mean run time of successful tasks to 2 decimals."""
-    job_ms = tables.jobs(log).groupBy("app_id").agg(
+    job_ms = tables.of(log).jobs.groupBy("app_id").agg(
         F.round(F.avg(run_time_ms(F.col("submission_ms"), F.col("end_ms"))), 6).alias("avg_job_ms")
     )
     good = F.when(F.col("end_reason") == "Success", _run())
@@ -137,21 +137,21 @@ def avg_times(log: DataFrame, tasks: DataFrame | None = None) -> DataFrame:
     return job_ms.join(task_ms, "app_id", "left")
 
 
-def _ignored_starts(log: DataFrame) -> DataFrame:
+def _ignored_starts(log: DataFrame | tables.EventTables) -> DataFrame:
     receiver = "exists(s.`RDD Info`, r -> startswith(r.Name, 'Receiver'))"
-    return tables.job_starts(log).where(F.expr(f"exists(stages, s -> s.`Number of Tasks` = 0 OR {receiver})"))
+    return tables.of(log).job_starts.where(F.expr(f"exists(stages, s -> s.`Number of Tasks` = 0 OR {receiver})"))
 
 
-def ignored_jobs(log: DataFrame) -> DataFrame:
+def ignored_jobs(log: DataFrame | tables.EventTables) -> DataFrame:
     """Jobs with a stage of zero tasks, or with an RDD whose name begins with ``Receiver``."""
     return _ignored_starts(log).select("app_id", "job_id")
 
 
-def drop_receiver_and_empty_jobs(log: DataFrame) -> DataFrame:
-    return tables.jobs(log).join(ignored_jobs(log), ["app_id", "job_id"], "left_anti")
+def drop_receiver_and_empty_jobs(log: DataFrame | tables.EventTables) -> DataFrame:
+    return tables.of(log).jobs.join(ignored_jobs(log), ["app_id", "job_id"], "left_anti")
 
 
-def experiment_times(log: DataFrame) -> DataFrame:
+def experiment_times(log: DataFrame | tables.EventTables) -> DataFrame:
     """Cluster view by (exp, hp), for logs kept as ``s<k>/<hp>``: ready to join with the metrics of the runs."""
     times = cluster_times(log)
     return times.select(
@@ -164,7 +164,7 @@ def experiment_times(log: DataFrame) -> DataFrame:
     )
 
 
-def cluster_times(log: DataFrame, tasks: DataFrame | None = None) -> DataFrame:
+def cluster_times(log: DataFrame | tables.EventTables, tasks: DataFrame | None = None) -> DataFrame:
     """Cluster view: counts and summed times over kept jobs, and over tasks outside the stages of ignored jobs."""
     job_side = (
         drop_receiver_and_empty_jobs(log)

@@ -6,12 +6,59 @@ end event meet in a single aggregation on the entity key instead of a join: one
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tunelens.session import stored
 from tunelens.sources.eventlog import parsed
 
 
+class EventTables:
+    """The entity tables of one log. With ``keep`` each is built once, when it is first asked for, and written; the log is
+    then read once per table, however many results are made of it."""
+
+    def __init__(self, log: DataFrame, keep: bool = True):
+        self.log, self.keep = log, keep
+
+    def _built(self, name: str, table: DataFrame) -> DataFrame:
+        return stored(table, name) if self.keep else table
+
+    @cached_property
+    def applications(self) -> DataFrame:
+        return self._built("applications", applications(self.log))
+
+    @cached_property
+    def jobs(self) -> DataFrame:
+        return self._built("jobs", jobs(self.log))
+
+    @cached_property
+    def job_starts(self) -> DataFrame:
+        return self._built("job-starts", job_starts(self.log))
+
+    @cached_property
+    def job_stages(self) -> DataFrame:
+        return self._built("job-stages", job_stages(self.log, self.job_starts))
+
+    @cached_property
+    def tasks(self) -> DataFrame:
+        return self._built("tasks", tasks(self.log))
+
+    @cached_property
+    def executors(self) -> DataFrame:
+        return self._built("executors", executors(self.log))
+
+    @cached_property
+    def block_managers(self) -> DataFrame:
+        return self._built("block-managers", block_managers(self.log))
+
+
+def of(log: DataFrame | EventTables) -> EventTables:
+    """The tables of a log that is given with or without them."""
+    return log if isinstance(log, EventTables) else EventTables(log, keep=False)
+
+
 def _of(kind: str, value):
     return F.when(F.col("kind") == kind, value)
 
@@ -78,14 +125,14 @@ def job_starts(log: DataFrame) -> DataFrame:
     )
 
 
-def _listed_stages(log: DataFrame) -> DataFrame:
+def _listed_stages(starts: DataFrame) -> DataFrame:
     """Stages as listed by the first start of each job, with their position in the list."""
-    return job_starts(log).select(
+    return starts.select(
         "app_id", "job_id", "start_ord", F.posexplode("stages").alias("stage_pos", "s")
     ).select("app_id", "job_id", "start_ord", "stage_pos", F.col("s.`Stage ID`").alias("stage_id"), "s")
 
 
-def job_stages(log: DataFrame) -> DataFrame:
+def job_stages(log: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """Stages of every job with the times of the last completion that followed the job's start."""
     done = (
         parsed(log, "StageCompleted")
@@ -104,7 +151,7 @@ def job_stages(log: DataFrame) -> DataFrame:
     )
     counts = F.col("done_ord") > F.col("start_ord")
     return (
-        _listed_stages(log)
+        _listed_stages(job_starts(log) if starts is None else starts)
         .join(done, ["app_id", "stage_id"], "left")
         .select(
             "app_id",
@@ -120,9 +167,9 @@ def job_stages(log: DataFrame) -> DataFrame:
     )
 
 
-def stage_rdds(log: DataFrame) -> DataFrame:
+def stage_rdds(log: DataFrame | EventTables) -> DataFrame:
     return (
-        _listed_stages(log)
+        _listed_stages(of(log).job_starts)
         .select("app_id", "job_id", "stage_id", "stage_pos", F.posexplode("s.`RDD Info`").alias("rdd_pos", "r"))
         .select(
             "app_id",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tunelens.functions.scalars import inverse_minmax, minmax
 from tunelens.operators.ordering import bounded, in_order, quartiles, running_sums
 from tunelens.plans.grids import BASELINE_CONFIG
+from tunelens.session import stored
 
 RUN = ["exp", "hp_idx"]
 METRICS = ["accuracy", "recall", "precision", "f1"]
@@ -157,6 +158,57 @@ def pareto_front(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.join(front, (df[x] == front["_x"]) & (df[y] == front["_best"]), "left_semi")
 
 
+#: Survivors of so many tasks meet in one task of the next round.
+FRONT_FAN_IN = 8
+
+
+def pareto_front_3(df: DataFrame, x: str, y: str, z: str) -> DataFrame:
+    """Rows no other row beats on three measures: none is as good in all and better in one (larger is better).
+
+    Points are reduced where they are, then survivors of a few tasks at a time, until one task has the front: points that
+    meet have survived every smaller round. Equal rows stay together; a row without one of the measures is left out.
+    """
+    measures = [x, y, z]
+    schema = "x double, y double, z double"
+    spark = df.sparkSession
+    points = df.select(*[F.col(m).cast("double").alias(c) for m, c in zip(measures, "xyz")]).dropna().distinct()
+    points = stored(points.mapInArrow(_front_of_3, schema), "front")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    while tasks > 1:
+        tasks = -(-tasks // FRONT_FAN_IN)
+        points = stored(points.repartition(tasks).mapInArrow(_front_of_3, schema), "front")
+    same = [F.col(m).cast("double") == F.col(f"_{c}") for m, c in zip(measures, "xyz")]
+    return df.join(points.toDF("_x", "_y", "_z"), same, "left_semi")
+
+
+def _front_of_3(batches):
+    """The points of a task that no other of its points beats.
+
+    Points are taken by falling x. Those kept so far form a staircase, z falling as y rises; the first step at or right of
+    a point's y has the largest z a rival can have.
+    """
+    from bisect import bisect_left, insort
+
+    import pyarrow as pa
+
+    points = sorted((p for b in batches for p in zip(*[c.to_pylist() for c in b.columns])), reverse=True)
+    kept, steps = [], []  # steps: (y, z)
+    for p in points:
+        _, y, z = p
+        at = bisect_left(steps, (y,))
+        if at < len(steps) and steps[at][1] >= z:
+            continue
+        kept.append(p)
+        while at and steps[at - 1][1] <= z:
+            at -= 1
+            del steps[at]
+        while at < len(steps) and steps[at][0] == y:
+            del steps[at]
+        insort(steps, (y, z))
+    columns = [pa.array(c, pa.float64()) for c in zip(*kept)] if kept else [pa.array([], pa.float64())] * 3
+    yield pa.RecordBatch.from_arrays(columns, ["x", "y", "z"])
+
+
 def best_by(df: DataFrame, keys: list[str], measure: str, order: list[str], smallest: bool = False) -> DataFrame:
     """Arg-max (or arg-min) row per key; ties go to the lowest ``order`` columns.
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tunelens.functions.scalars import ms_to_ts, sizeof_fmt
 from tunelens.operators import eventstats
 from tunelens.operators import eventtables as tables
-from tunelens.session import stored
 
 SORT_KEYS = ["app_id", "section", "item", "stage_pos", "rdd_pos", "line"]
 
@@ -45,14 +44,15 @@ def _lines(df: DataFrame, section: int, item: Column, lines: list[Column], stage
     )
 
 
-def event_report(log: DataFrame) -> DataFrame:
+def event_report(log: DataFrame | tables.EventTables) -> DataFrame:
     """Report rows (app_id, section, item, stage_pos, rdd_pos, line, text); sections: 0 application, 1 jobs,
     2 tasks, 3 executors, 4 block managers. Sorting by those keys gives the text of each application."""
     # The wording of the report lines.
     c = F.col
-    tasks = stored(tables.tasks(log), "tasks")  # read by four of the sections
+    log = log if isinstance(log, tables.EventTables) else tables.EventTables(log)  # most tables serve several sections
+    tasks = log.tasks
     heads = (
-        tables.applications(log)
+        log.applications
         .join(eventstats.entity_counts(log, tasks), "app_id", "left")
         .join(eventstats.task_summary(log, tasks).drop("tasks"), "app_id", "left")
     )
@@ -93,7 +93,7 @@ def event_report(log: DataFrame) -> DataFrame:
         )
     )
     stages = eventstats.stage_summary(log, tasks).join(
-        tables.job_stages(log).select("app_id", "job_id", "stage_id", "stage_pos"), ["app_id", "job_id", "stage_id"]
+        log.job_stages.select("app_id", "job_id", "stage_id", "stage_pos"), ["app_id", "job_id", "stage_id"]
     )
     rows = rows.unionByName(
         _lines(
@@ -211,7 +211,7 @@ def event_report(log: DataFrame) -> DataFrame:
     )
     return rows.unionByName(
         _lines(
-            tables.block_managers(log),
+            log.block_managers,
             4,
             F.coalesce(c("executor_id").try_cast("bigint"), F.lit(1 << 40)),
             [

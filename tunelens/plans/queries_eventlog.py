@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from tunelens.functions.scalars import ms_to_ts, sizeof_fmt
 from tunelens.operators import eventstats, eventtables
 from tunelens.operators.report import event_report
-from tunelens.plans.fixtures import event_store
+from tunelens.plans.fixtures import event_log, event_store, table
 from tunelens.plans.oracle_report import REPORT
 from tunelens.plans.oracle_views import EVENTS
 from tunelens.session import scratch_path
-from tunelens.sources.eventlog import latest_event_log, read_event_log, route_events
+from tunelens.sources.eventlog import (
+    latest_event_log, newest_log, open_event_store, read_event_log, route_events, store_events)
 
 
 def _on_log(operator):
@@ -44,7 +45,7 @@ def _event_counts(log):
 
 def _write_log(spark, sf_dir):
     path = scratch_path(spark, "eventlog")
-    log = event_store(spark, sf_dir)
+    log = event_log(spark, sf_dir)
     # By range: the files of an application follow the line order by name, and a long log spreads over several.
     ordered = log.repartitionByRange("app_id", "ord").sortWithinPartitions("app_id", "ord")
     ordered.select("app_id", "value").write.partitionBy("app_id").text(path)
@@ -52,8 +53,10 @@ def _write_log(spark, sf_dir):
 
 
 def _times_from_files(spark, sf_dir):
-    """The cluster view of every application, read back from text files."""
-    return eventstats.cluster_times(read_event_log(spark, _write_log(spark, sf_dir)))
+    """The cluster view of every application: its text files are read and decoded once."""
+    path = scratch_path(spark, "events")
+    store_events(read_event_log(spark, _write_log(spark, sf_dir)), path)
+    return eventstats.cluster_times(eventtables.EventTables(open_event_store(spark, path)))
 
 
 def _from_files(spark, sf_dir):
@@ -62,6 +65,13 @@ def _from_files(spark, sf_dir):
     return log.groupBy("event").agg(F.count("*").alias("events"))
 
 
+def _latest_listed(spark, sf_dir):
+    """The newest log of a listing: a log per user of the events, changed at the user's last event."""
+    files = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("modified"))
+    files = files.selectExpr("concat('hdfs://logs/', if(user_id % 3 = 0, 'other', 'app'), '-', user_id, '.zstd') AS path", "modified")
+    return newest_log(files).withColumn("modified", F.date_format("modified", "yyyy-MM-dd HH:mm:ss"))
+
+
 def _latest(spark, sf_dir):
     return latest_event_log(spark, _write_log(spark, sf_dir))
 
@@ -88,6 +98,7 @@ QUERIES = {
     "evlog_sizes": _on_log(_sizes),
     "evlog_report": _on_log(event_report),
     "evlog_latest_log": _latest,
+    "evlog_latest_of_listing": _latest_listed,
 }
 
 _W = f"WITH {EVENTS}"
@@ -169,5 +180,8 @@ ORACLES = {
         SELECT *, CASE WHEN max_memory < 1048576 THEN printf('%3.1fKiB', max_memory / 1024.0)
         ELSE printf('%3.1fMiB', max_memory / 1048576.0) END AS size FROM m""",
 }
+ORACLES["evlog_latest_of_listing"] = """SELECT 'app-' || arg_max(user_id, (modified, 'app-' || user_id)) || '.zstd' AS log,
+    strftime(max(modified), '%Y-%m-%d %H:%M:%S') AS modified
+    FROM (SELECT user_id, max(ts) AS modified FROM events WHERE user_id % 3 <> 0 GROUP BY 1)"""
 ORACLES["evlog_report"] = REPORT
 ORACLES["evlog_files_cluster_times"] = ORACLES["evlog_cluster_times"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tunelens.operators import experiments as x
@@ -228,6 +229,21 @@ def _front(spark, sf_dir):
     return x.pareto_front(cube, "accuracy", "throughput").select("exp", "hp_idx", "accuracy", "throughput")
 
 
+def _front_3(spark, sf_dir):
+    """Trade-offs of accuracy, throughput and latency, of which less is better."""
+    cube = stored(_norm_cube(spark, sf_dir), "cube")
+    return x.pareto_front_3(cube, "norm_accuracy", "norm_throughput", "norm_latency").select(
+        "exp", "hp_idx", "accuracy", "throughput", "latency")
+
+
+def _ordered_configs(spark, sf_dir):
+    """Runs in the order of their configurations, by number: s10 follows s9."""
+    names = fixtures.table(spark, sf_dir, "orders").selectExpr("concat('run/s', 1 + o_custkey % 12) AS name")
+    counted = names.groupBy("name").agg(F.count("*").alias("runs"))
+    place = F.row_number().over(Window.orderBy(grids.config_order(F.col("name"))))  # a row per configuration
+    return counted.select("name", "runs", place.alias("place"))
+
+
 def _best(operator):
     """Best runs by last-half and by overall accuracy."""
 
@@ -327,6 +343,8 @@ QUERIES = {
     "score_weighted": _scores,
     "score_pareto_distance": _distances,
     "pareto_front": _front,
+    "pareto_front_3": _front_3,
+    "configs_in_order": _ordered_configs,
     "best_conf_per_hp": _best(x.best_conf_per_hp),
     "best_hp_per_conf": _best(x.best_hp_per_conf),
     "best_overall": _best(x.best_overall),
@@ -454,6 +472,11 @@ ORACLES = {
     "pareto_front": f"""{_CUBE} SELECT exp, hp_idx, accuracy, throughput FROM c WHERE NOT EXISTS (SELECT 1 FROM c d
         WHERE d.accuracy >= c.accuracy AND d.throughput >= c.throughput
         AND (d.accuracy > c.accuracy OR d.throughput > c.throughput))""",
+    "pareto_front_3": f"""{_NORM} SELECT exp, hp_idx, accuracy, throughput, latency FROM n c WHERE NOT EXISTS (SELECT 1 FROM n d
+        WHERE d.accuracy >= c.accuracy AND d.throughput >= c.throughput AND d.latency <= c.latency
+        AND (d.accuracy > c.accuracy OR d.throughput > c.throughput OR d.latency < c.latency))""",
+    "configs_in_order": """SELECT 'run/s' || k AS name, count(*) AS runs, CAST(row_number() OVER (ORDER BY k) AS INTEGER) AS place
+        FROM (SELECT 1 + o_custkey % 12 AS k FROM orders) GROUP BY k""",
     "best_conf_per_hp": _best_sql("hp_idx", "exp"),
     "best_hp_per_conf": _best_sql("exp", "hp_idx"),
     "best_overall": _best_sql("", "hp_idx, exp"),

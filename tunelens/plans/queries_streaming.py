@@ -166,11 +166,47 @@ def _ablation(spark, sf_dir):
     options = TreeOptions(confidence=0.01, grace=50)
     learner = TreeLearner([Feature(n) for n in names], 2, {m: options for m in without}, without)
     rows = replay.replay_file(_tweet_features(spark, sf_dir), "id", TEXT_CHUNK)
-    metrics = prequential(spark, rows, learner)
+    return _with_all(prequential(spark, rows, learner))
+
+
+def _one_split(spark, sf_dir):
+    """A tree of one test, found on executors after the first batch."""
+    stump = TreeOptions(max_depth=1, tie=2.0, grace=1, leaf_kind=0)
+    learner = TreeLearner(TREE_FEATURES[:4], 2, {"stump": stump})
+    return prequential(spark, _replay(_tree_rows(spark, sf_dir)), learner)
+
+
+def _bayes_leaves(spark, sf_dir):
+    """One leaf of each kind that never splits."""
+    kinds = {"majority": 0, "bayes": 1, "adaptive": 2}
+    learner = TreeLearner(TREE_FEATURES, 2, {m: TreeOptions(growth=False, leaf_kind=k) for m, k in kinds.items()})
+    return prequential(spark, _replay(_tree_rows(spark, sf_dir)), learner)
+
+
+def _rf_frozen(spark, sf_dir):
+    learner = Forest(TREE_FEATURES, 2, TreeOptions(growth=False, leaf_kind=0), size=10)
+    return prequential(spark, _replay(_tree_rows(spark, sf_dir)), learner)
+
+
+def _mc_frozen(spark, sf_dir):
+    learner = OneVsRestTrees(TREE_FEATURES, 3, TreeOptions(growth=False))
+    return prequential(spark, _replay(_tree_rows(spark, sf_dir, True)), learner, "extended")
+
+
+def _with_all(metrics):
+    """Metrics of variants beside those of the variant with all features."""
     base = metrics.where("member = 'all'").select("batch", F.col("f1").alias("f1_all"))
     return metrics.join(base, "batch").withColumn("f1_change", F.round(F.col("f1") - F.col("f1_all"), 6))
 
 
+def _ablation_bayes(spark, sf_dir):
+    """A naive Bayes leaf with all features and without each, side by side."""
+    without = {"all": [], **{f"no_{f.name}": [f.name] for f in TREE_FEATURES}}
+    options = TreeOptions(growth=False, leaf_kind=1)
+    learner = TreeLearner(TREE_FEATURES, 2, {m: options for m in without}, without)
+    return _with_all(prequential(spark, _replay(_tree_rows(spark, sf_dir)), learner))
+
+
 def _kmeans(spark, sf_dir):
     rows = fixtures.instances(spark, sf_dir).select("id", "f_value", "f_k")
     moved = prequential(spark, _replay(rows), StreamingKMeans(["f_value", "f_k"], 3))
@@ -280,6 +316,11 @@ QUERIES = {
     "mc_trees_prequential": _mc_trees,
     "rf_prequential": _rf,
     "feature_ablation": _ablation,
+    "feature_ablation_bayes": _ablation_bayes,
+    "ht_one_split": _one_split,
+    "ht_bayes_prequential": _bayes_leaves,
+    "rf_frozen_prequential": _rf_frozen,
+    "mc_trees_frozen": _mc_frozen,
     "kmeans_prequential": _kmeans,
     "outlier_prequential": _outliers,
     "stream_prequential": _stream,

@@ -65,10 +65,20 @@ EVENT_SCHEMAS: dict[str, dict[str, str]] = {
 IGNORED_EVENTS = ("StageSubmitted", "BlockManagerRemoved")
 
 
+# All keys that are read, of whatever kind; a key has one type in all kinds.
+_ALL_FIELDS = {name: type_ for fields in EVENT_SCHEMAS.values() for name, type_ in fields.items()}
+_EVENT_SCHEMA = ", ".join(f"`{name}` {type_}" for name, type_ in _ALL_FIELDS.items())
+
+
 def tag_events(lines: DataFrame) -> DataFrame:
-    """Add the event kind to (app_id, ord, value) lines; a malformed line fails the job."""
-    parsed = F.from_json("value", "`Event` string", {"mode": "FAILFAST"})["Event"]
-    return lines.select("app_id", "ord", parsed.alias("event"), "value")
+    """Add the event kind to (app_id, ord, value) lines.
+
+    A line that opens with its kind is not decoded for it; any other line is, and a malformed one fails the job. A line
+    of a kind that is read fails later if the rest of it is malformed; the rest of other kinds is never decoded.
+    """
+    opening = F.regexp_extract("value", r'^\{"Event":"([^"\\]+)"[,}]', 1)
+    whole = F.from_json("value", "`Event` string", {"mode": "FAILFAST"})["Event"]
+    return lines.select("app_id", "ord", F.when(opening != "", opening).otherwise(whole).alias("event"), "value")
 
 
 def app_of(path: Column) -> Column:
@@ -108,9 +118,14 @@ def read_event_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def latest_event_log(spark: SparkSession, path: str) -> DataFrame:
     """Newest ``app*`` log under ``path`` by modification time, ties to the later name. Reads no file contents."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return newest_log(files.select("path", F.col("modificationTime").alias("modified")))
+
+
+def newest_log(files: DataFrame) -> DataFrame:
+    """(log, modified): the newest ``app*`` log of a listing (path, modified), ties to the later name."""
     log = F.regexp_extract("path", r"(?:^|[/=])(app[^/]*)(?:/[^/]*)?$", 1)
     return (
-        files.select(log.alias("log"), F.col("modificationTime").alias("modified"))
+        files.select(log.alias("log"), "modified")
         .where(F.col("log") != "")
         .agg(F.max_by("log", F.struct("modified", "log")).alias("log"), F.max("modified").alias("modified"))
     )
@@ -121,13 +136,17 @@ def is_kind(*kinds: str) -> Column:
 
 
 def parsed(log: DataFrame, *kinds: str) -> DataFrame:
-    """(app_id, ord, kind, e) for the wanted kinds, parsing only the keys those kinds carry."""
+    """(app_id, ord, kind, e) for the wanted kinds: of decoded events as they are, of lines by decoding only the keys those
+    kinds carry."""
+    kind = F.substring("event", len(PREFIX) + 1, 100).alias("kind")
+    if "e" in log.columns:
+        return log.where(is_kind(*kinds)).select("app_id", "ord", kind, "e")
     fields = {name: type_ for kind in kinds for name, type_ in EVENT_SCHEMAS[kind].items()}
     schema = ", ".join(f"`{name}` {type_}" for name, type_ in fields.items())
     return log.where(is_kind(*kinds)).select(
         "app_id",
         "ord",
-        F.substring("event", len(PREFIX) + 1, 100).alias("kind"),
+        kind,
         F.from_json("value", schema, {"mode": "FAILFAST"}).alias("e"),
     )
 
@@ -139,14 +158,22 @@ def route_events(log: DataFrame) -> dict[str, DataFrame]:
         if kind in IGNORED_EVENTS:
             routed[kind] = log.where(is_kind(kind)).select("app_id", "ord")
         else:
-            routed[kind] = parsed(log, kind).select("app_id", "ord", "e.*")
+            fields = [F.col(f"e.`{name}`") for name in EVENT_SCHEMAS[kind]]
+            routed[kind] = parsed(log, kind).select("app_id", "ord", *fields)
     return routed
 
 
+def decoded(log: DataFrame) -> DataFrame:
+    """(app_id, ord, event, e): the lines of all known kinds, each decoded once; other kinds fall away undecoded."""
+    e = F.from_json("value", _EVENT_SCHEMA, {"mode": "FAILFAST"}).alias("e")
+    return log.where(is_kind(*EVENT_SCHEMAS)).select("app_id", "ord", "event", e)
+
+
 def store_events(log: DataFrame, path: str) -> None:
-    """Lay a log out by event kind, so that each later table reads only the partitions it needs."""
-    log.write.mode("error").partitionBy("event").parquet(path)
+    """Lay the decoded events of a log out by kind, in one pass over its lines: each later table reads only its kinds, and
+    of these only the keys it uses."""
+    decoded(log).write.mode("error").partitionBy("event").parquet(path)
 
 
 def open_event_store(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).select("app_id", "ord", "event", "value")
+    return spark.read.parquet(path).select("app_id", "ord", "event", "e")

@@ -226,7 +226,7 @@ def advance(leaf: dict, tree: Tree, layout: Layout, pivots: list[float]) -> dict
         if split is not None:
             return out | {
                 "attr": split.attr, "kind": split.kind, "value": split.value, "branches": split.branches.tolist()}
-    return out | _prediction(node, o, sums, layout, right_majority, right_bayes)
+    return out | _prediction(tree, node, sums, layout, right_majority, right_bayes)
 
 
 def _decide(tree: Tree, at: int, sums: np.ndarray, layout: Layout, poor: list[int]) -> Split | None:
@@ -251,11 +251,13 @@ def _decide(tree: Tree, at: int, sums: np.ndarray, layout: Layout, poor: list[in
     return best if best.merit - second > bound or bound < o.tie else None
 
 
-def _prediction(node: Node, o: TreeOptions, sums: np.ndarray, layout: Layout, right_majority: float, right_bayes: float) -> dict:
+def _prediction(tree: Tree, node: Node, sums: np.ndarray, layout: Layout, right_majority: float, right_bayes: float) -> dict:
     """What a leaf predicts: class shares, what it inherited at its birth included, and its naive Bayes model.
 
-    The model holds log priors by class; per feature mean and deviation by class, or log shares by class and value.
+    The model holds log priors by class; per feature mean and deviation by class, or log shares by class and value. A
+    feature the tree may not use has neither.
     """
+    o = tree.options
     mass = np.asarray(node.inherited) + sums[:, 0]
     shares = mass / mass.sum() if mass.sum() > 0 else np.zeros_like(mass)
     out = {"majority": int(np.argmax(mass)), "shares": shares.tolist()}
@@ -266,7 +268,11 @@ def _prediction(node: Node, o: TreeOptions, sums: np.ndarray, layout: Layout, ri
     means, deviations, value_shares = [], [], []
     for i, f in enumerate(layout.features):
         s = layout.stats(sums, i)
-        if f.values:
+        if i not in tree.allowed:
+            means.append([0.0] * layout.classes)
+            deviations.append([0.0] * layout.classes)
+            value_shares.append([])
+        elif f.values:
             smooth = np.log((s["values"] + 1.0) / (s["values"].sum(axis=0) + f.values))
             means.append([0.0] * layout.classes)
             deviations.append([0.0] * layout.classes)
