@@ -45,7 +45,7 @@ HEADLINE = [
 
 def main() -> None:
     from tunelens.plans import fixtures, registry
-    from tunelens.session import local_session
+    from tunelens.session import local_session, scratch_scope
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = local_session(int(os.environ.get("BENCH_CPUS", "8")), "bench")
@@ -60,7 +60,8 @@ def main() -> None:
     # The log the event-log queries read is laid out once; its cost is a line of its own.
     timed("evlog_store", lambda: fixtures.event_store(spark, sf_dir).limit(1).collect())
     for name in HEADLINE:
-        timed(name, lambda: queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save())
+        with scratch_scope(spark):
+            timed(name, lambda: queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save())
     spark.stop()
     total = round(sum(seconds.values()), 3)
     sf = os.path.basename(os.path.normpath(sf_dir)).removeprefix("sf")

@@ -13,7 +13,10 @@ SAMPLE = [
     "arff_head_read", "instances_norm2", "tweet_text_features_clean", "replay_chunks", "eval_extended",
     "sgd_prequential_logistic", "ht_split_scores", "outlier_prequential", "tweet_read", "tweet_lexicon_features",
     "tweet_adaptive_bow", "results_read_sgd", "results_read_cluster", "compare_runs_files", "best_report", "hp_decode",
-    "kmeans_prequential", "dir_partitions",
+    "kmeans_prequential", "dir_partitions", "tweet_pipeline_sgd", "moa_sampled_metrics", "eval_sampled_window", "stream_outliers",
+    "ht_leaf_stats", "ht_one_split", "ht_bayes_prequential", "rf_frozen_prequential", "mc_trees_frozen",
+    "feature_ablation_bayes", "evlog_files_cluster_times", "evlog_report", "evlog_latest_of_listing", "pareto_front_3",
+    "configs_in_order", "arff_read",
 ]
 
 

@@ -36,11 +36,47 @@ def test_read(relation):
     assert relation.schema["colour"].metadata["domain"] == ["red", "green", "blue"]
 
 
-def test_first_header_counts(spark, tmp_path):
+def test_one_header_for_all_files(spark, tmp_path):
+    """Files without a header are rows, a repeated header is checked, another one fails."""
     (tmp_path / "a.arff").write_text(RELATION)
-    (tmp_path / "b.arff").write_text("@attribute other numeric\n@data\n9,blue,yes\n")
+    (tmp_path / "b.arff").write_text("9,blue,yes\n")
+    (tmp_path / "c.arff").write_text(RELATION.replace("%", "@relation again\n%", 1).replace("-2,green,no\n", ""))
     df = arff.read_arff(spark, str(tmp_path))
-    assert df.columns == ["width", "colour", "class"] and df.count() == 4
+    assert df.columns == ["width", "colour", "class"] and df.count() == 6
+    (tmp_path / "d.arff").write_text(RELATION.replace("blue", "pink"))
+    with pytest.raises(ValueError, match="declare different attributes"):
+        arff.read_arff(spark, str(tmp_path))
+    (tmp_path / "e").mkdir()
+    (tmp_path / "e" / "x.arff").write_text("1,2\n")
+    with pytest.raises(ValueError, match="no @data"):
+        arff.read_arff(spark, str(tmp_path / "e"))
+
+
+def test_lookup_with_frequent_keys(spark):
+    from tunelens.operators.ordering import lookup
+
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i % 9}") for i in range(300)], "id int, token string")
+    table = spark.createDataFrame([("hot", 1), ("hot", 2), ("k0", 3)], "token string, score int")
+    want = sorted(map(tuple, rows.join(table, "token").collect()))
+    for limit in (10, 0):
+        assert sorted(map(tuple, lookup(rows, table, "token", "id", limit).collect())) == want
+
+
+def test_scratch_tables_have_an_owner(spark, tmp_path):
+    import os
+
+    from tunelens.session import scratch_scope, shared_dir, stored
+
+    root = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    with pytest.raises(RuntimeError), scratch_scope(spark):
+        outer = stored(spark.range(3), "outer")
+        with scratch_scope(spark):
+            inner = stored(spark.range(4), "inner")
+            assert inner.count() == 4
+        assert {n.split("-")[0] for n in set(os.listdir(root)) - before} == {"outer"} and outer.count() == 3
+        raise RuntimeError
+    assert set(os.listdir(root)) == before
 
 
 def test_bad_number_fails(spark, tmp_path):

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tunelens.functions import text as t
-from tunelens.operators.ordering import bounded
+from tunelens.operators.ordering import lookup
 
 # The text feature groups.
 FEATURE_GROUPS = {
@@ -115,10 +115,11 @@ def lexicon_features(df: DataFrame, lexicon: DataFrame, key: str = "id", text: s
     """Tag counts and sentiment sums of each text against a (token, tag, score) lexicon.
 
     A token listed twice counts under each of its entries; a NULL text has none. Tokens are counted inside each document
-    before they meet the lexicon, which is broadcast if its counted rows are few and joined by shuffle otherwise.
+    before they meet the lexicon, which is broadcast if its counted rows are few; else frequent tokens are spread over
+    several tasks.
     """
     held = df.select(key, F.explode(t.tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
-    found = held.join(bounded(lexicon.select("token", "tag", "score"), LEXICON_BROADCAST), "token")
+    found = lookup(held, lexicon.select("token", "tag", "score"), "token", key, LEXICON_BROADCAST)
     hits = found.groupBy(key).agg(
         *[F.sum(F.when(F.col("tag") == tag, F.col("n"))).alias(name) for name, tag in LEXICON_COUNTS.items()],
         F.sum(F.when(F.col("score") > 0, F.col("score") * F.col("n"))).alias("sentimentScorePos"),

@@ -127,11 +127,27 @@ def running_sums(
 
 
 def bounded(df: DataFrame, limit: int = 10_000) -> DataFrame:
-    """``df`` ready to be broadcast if it has at most ``limit`` rows, else ``df`` itself, to be joined by shuffle."""
-    rows = df.take(limit + 1)
-    if len(rows) > limit:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    """``df`` ready to be broadcast if it has at most ``limit`` rows, else to be joined by shuffle. It is computed once and
+    written; its rows are counted where they lie."""
+    table = stored(df, "bounded")
+    return F.broadcast(table) if table.count() <= limit else table
+
+
+SALTS = 8
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, by: str, limit: int) -> DataFrame:
+    """``rows`` joined with a smaller ``table`` on ``key``, however often a key occurs in ``rows``.
+
+    A table of at most ``limit`` rows, counted, is broadcast. Beyond, its rows go to ``SALTS`` partitions each and every
+    one of ``rows`` to one of them, by its value of ``by``, so that no key gathers in one task.
+    """
+    table = stored(table, "lookup")
+    if table.count() <= limit:
+        return rows.join(F.broadcast(table), key)
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    return salted.join(copies, [key, "_salt"]).drop("_salt")
 
 
 def quartiles(df: DataFrame, keys: list[str], value: str) -> DataFrame:

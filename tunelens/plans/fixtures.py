@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunelens.session import scratch_path
+from tunelens.session import scratch_path, shared_dir
 from tunelens.sources.eventlog import open_event_store, store_events, tag_events
 
 
@@ -24,7 +24,7 @@ def event_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event log laid out by event kind, written once per application and table folder."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STORED:
-        path = scratch_path(spark, "events")
+        path = scratch_path(spark, "events", shared_dir(spark))  # kept for all queries of the application
         store_events(event_log(spark, sf_dir), path)
         _STORED[key] = path
     return open_event_store(spark, _STORED[key])
@@ -139,6 +139,14 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
             "ExecutorRemoved",
             "'Timestamp', start + 60000, 'Executor ID', '7', 'Removed Reason', 'lost'",
         ),
+        # Ends of what never started.
+        line("(app + 1) * 500000 - 2501", "JobEnd", "'Job ID', -1 - app, 'Completion Time', last"),
+        line("(app + 1) * 500000 - 2503", "TaskEnd", "'Stage ID', 0, 'Task Info', named_struct('Task ID', -1 - app)"),
+        line("(app + 1) * 500000 - 2505", "ExecutorRemoved", "'Timestamp', last, 'Executor ID', 'never added'"),
+        line(
+            "(app + 1) * 500000 - 2507", "StageCompleted",
+            "'Stage Info', named_struct('Stage ID', -1 - app, 'Completion Time', last)",
+        ),
     )
     executor_lines = spread(
         head.selectExpr("app", "base", "start", "explode(sequence(0, 7)) AS x"),
@@ -152,7 +160,7 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
             "base + 30 + x",
             "BlockManagerAdded",
             """'Block Manager ID', named_struct('Executor ID', CAST(x AS STRING), 'Host', concat('h', x)),
-            'Maximum Memory', 100000000 * CAST(x + 1 AS BIGINT), 'Timestamp', start""",
+            'Maximum Memory', 100000000 * CAST(x + 1 AS BIGINT) * if(x = 5, 1000, 1), 'Timestamp', start""",
         ),
     )
     lines = task_lines

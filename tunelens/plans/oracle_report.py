@@ -41,7 +41,7 @@ _STATS = f"""hd AS (SELECT 'app-' || app AS app_id, app, start, CASE WHEN app =
     count(task_id) AS n, avg({_RUN}) AS mean, stddev_pop({_RUN}) AS sd, min({_RUN}) AS lo, max({_RUN}) AS hi
     FROM ex LEFT JOIN tk USING (app_id, executor_id) GROUP BY ALL),
     bm AS (SELECT app_id, executor_id, CAST(executor_id AS BIGINT) AS item,
-    100000000 * (CAST(executor_id AS BIGINT) + 1) AS mem, start_ms FROM ex
+    100000000 * (CAST(executor_id AS BIGINT) + 1) * CASE WHEN executor_id = '5' THEN 1000 ELSE 1 END AS mem, start_ms FROM ex
     UNION ALL SELECT app_id, 'driver', {1 << 40}, 50000000, start FROM hd)"""
 
 
@@ -122,7 +122,8 @@ _PARTS = [
         "bm", 4, "item",
         [
             "'Block manager'", _say(" Executor ID: {}", "executor_id"), _stamp(" Time added: ", "start_ms"),
-            "' Maximum memory: ' || printf('%3.1fMiB', mem / 1048576.0)",
+            "' Maximum memory: ' || CASE WHEN mem < 1073741824 THEN printf('%3.1fMiB', mem / 1048576.0) "
+            "ELSE printf('%3.1fGiB', mem / 1073741824.0) END",
         ],
     ),
 ]

@@ -105,17 +105,17 @@ _W = f"WITH {EVENTS}"
 _RUN = "finish_ms - launch_ms"
 _KINDS = f"""{_W}, kinds AS (
   SELECT 'TaskStart' AS kind, count(*) AS events FROM ev
-  UNION ALL SELECT 'TaskEnd', count(*) FROM ev WHERE event_id % 97 <> 0
+  UNION ALL SELECT 'TaskEnd', count(*) + (SELECT count(*) FROM ap) FROM ev WHERE event_id % 97 <> 0
   UNION ALL SELECT 'JobStart', count(*) + count(*) FILTER (job % 19 = 0) FROM jb
-  UNION ALL SELECT 'JobEnd', count(*) FROM jb
-  UNION ALL SELECT 'StageCompleted', count(*) + count(*) FILTER (job % 23 = 0) FROM st
+  UNION ALL SELECT 'JobEnd', count(*) + (SELECT count(*) FROM ap) FROM jb
+  UNION ALL SELECT 'StageCompleted', count(*) + count(*) FILTER (job % 23 = 0) + (SELECT count(*) FROM ap) FROM st
   UNION ALL SELECT 'LogStart', count(*) FROM ap
   UNION ALL SELECT 'EnvironmentUpdate', count(*) FROM ap
   UNION ALL SELECT 'ApplicationStart', count(*) FROM ap
   UNION ALL SELECT 'ApplicationEnd', count(*) FROM ap WHERE app > 0
   UNION ALL SELECT 'ExecutorAdded', 8 * count(*) FROM ap
   UNION ALL SELECT 'BlockManagerAdded', 9 * count(*) FROM ap
-  UNION ALL SELECT 'ExecutorRemoved', count(*) FROM ap)"""
+  UNION ALL SELECT 'ExecutorRemoved', 2 * count(*) FROM ap)"""
 _IGNORED_JOBS = "job_id % 11 = 0 OR job_id % 13 = 0"
 
 ORACLES = {
@@ -142,7 +142,7 @@ ORACLES = {
         CAST(10 * k AS BIGINT) AS result_size FROM tk""",
     "evlog_executors": f"{_W} SELECT * FROM ex",
     "evlog_block_managers": f"""{_W} SELECT app_id, executor_id, 100000000 * (CAST(executor_id AS BIGINT) + 1)
-        AS max_memory, start_ms AS add_ms, host, cores FROM ex""",
+        * CASE WHEN executor_id = '5' THEN 1000 ELSE 1 END AS max_memory, start_ms AS add_ms, host, cores FROM ex""",
     "evlog_route": f"{_KINDS} SELECT * FROM kinds WHERE events > 0",
     "evlog_read_files": f"{_KINDS} SELECT 'SparkListener' || kind AS event, events FROM kinds WHERE events > 0",
     "evlog_task_summary": f"""{_W} SELECT app_id, count(*) AS tasks, count(*) FILTER (end_reason = 'Success') AS successes,
@@ -176,9 +176,10 @@ ORACLES = {
         WHERE stage_id NOT IN (SELECT stage_id FROM js WHERE {_IGNORED_JOBS}) GROUP BY app_id)
         SELECT * FROM a FULL JOIN b USING (app_id)""",
     "evlog_sizes": f"""{_W}, m AS (SELECT app_id, executor_id, 100000000 * (CAST(executor_id AS BIGINT) + 1)
-        AS max_memory FROM ex UNION ALL SELECT 'app-' || app, 'driver', 50000000 FROM ap)
+        * CASE WHEN executor_id = '5' THEN 1000 ELSE 1 END AS max_memory FROM ex UNION ALL SELECT 'app-' || app, 'driver', 50000000 FROM ap)
         SELECT *, CASE WHEN max_memory < 1048576 THEN printf('%3.1fKiB', max_memory / 1024.0)
-        ELSE printf('%3.1fMiB', max_memory / 1048576.0) END AS size FROM m""",
+        WHEN max_memory < 1073741824 THEN printf('%3.1fMiB', max_memory / 1048576.0)
+        ELSE printf('%3.1fGiB', max_memory / 1073741824.0) END AS size FROM m""",
 }
 ORACLES["evlog_latest_of_listing"] = """SELECT 'app-' || arg_max(user_id, (modified, 'app-' || user_id)) || '.zstd' AS log,
     strftime(max(modified), '%Y-%m-%d %H:%M:%S') AS modified

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,9 +37,32 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch").rstrip("/")
 
 
+#: Paths of the scratch folder by the scopes that own them, the innermost last.
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Own all tables that are written to the shared folder from here on, and remove them at the end.
+
+    Results made inside must be consumed, or written to a path of the caller's, before the scope ends.
+    """
+    own: list[str] = []
+    _SCOPES.append(own)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(own)
+        for path in own:
+            dropped(spark, path)
+
+
 def scratch_path(spark: SparkSession, name: str, home: str | None = None) -> str:
-    """A new path in ``home``, by default the shared folder."""
-    return f"{home or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in ``home``, by default the shared folder, where it belongs to the innermost scope."""
+    path = f"{home or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _SCOPES and home is None:
+        _SCOPES[-1].append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:

@@ -37,17 +37,28 @@ def parse_attribute(line: str) -> Attribute:
 
 
 def read_arff_header(spark: SparkSession, path: str | list[str]) -> list[Attribute]:
-    """Attributes of the first file: only lines with a mark reach the driver, no more than a relation may have columns.
+    """Attributes of a relation that lies in one file or in many.
 
-    A file without a data mark in its first block is an error.
+    Files without marked lines hold rows only; all others must declare the same attributes in the same order, and end
+    their header with a data mark in their first block. Headers are compared where they are: two of them at most reach the
+    driver, with no more lines than a relation may have columns.
     """
-    first = min(spark.read.text(path).inputFiles())
-    lines = spark.read.text(first).where(F.col("_metadata.file_block_start") == 0)
-    head = [r["value"] for r in lines.where(F.ltrim("value").startswith("@")).take(MAX_COLUMNS + 2)]
+    lines = spark.read.text(path).where(F.col("_metadata.file_block_start") == 0).select(
+        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"), F.trim("value").alias("value"))
+    marked = lines.where(F.col("value").startswith("@"))
+    heads = marked.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("row", "value")))["value"].alias("lines"))
+    declared = F.filter("lines", lambda v: v.contains(DATA_MARK) | v.contains(ATTRIBUTE_MARK))
+    found = heads.select("file", declared.alias("lines")).groupBy("lines").agg(F.min("file").alias("file"))
+    found = found.orderBy("file").take(2)
+    if len(found) > 1:
+        raise ValueError(f"{found[0]['file']} and {found[1]['file']} declare different attributes")
+    head = list(found[0]["lines"]) if found else []
     end = next((i for i, line in enumerate(head) if DATA_MARK in line), None)
     if end is None:
-        raise ValueError(f"no {DATA_MARK} among the first lines of {first}")
-    return [parse_attribute(line) for line in head[:end] if ATTRIBUTE_MARK in line]
+        raise ValueError(f"no {DATA_MARK} among the first lines of {found[0]['file'] if found else path}")
+    if end > MAX_COLUMNS:
+        raise ValueError(f"{found[0]['file']} declares {end} attributes, more than {MAX_COLUMNS}")
+    return [parse_attribute(line) for line in head[:end]]
 
 
 def is_data_line(value: Column) -> Column:
@@ -55,7 +66,7 @@ def is_data_line(value: Column) -> Column:
 
 
 def read_arff(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Rows typed by the first file's header; the domain of a nominal column is kept in its field metadata.
+    """Rows typed by the header that all files share; the domain of a nominal column is kept in its field metadata.
 
     A cell that does not fit its declared type fails the job, and so does a row with too few or too many cells.
     """
