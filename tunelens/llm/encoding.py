@@ -52,10 +52,10 @@ _ENDINGS = "'(?:s|t|re|ve|m|ll|d)"
 _WORD_PIECES = re.compile(rf"[{_L}]+|{_ENDINGS}|\d|[^\s\d{_L}]+")
 _BYTE_PIECES = re.compile(rf" ?[{_L}]+|{_ENDINGS}| ?\d+| ?[^\s\d{_L}]+|\s+(?!\S)|\s")
 
-#: Chunks a worker remembers before it starts anew; about 200 MB at the most.
-CACHE_CHUNKS = 1_000_000
+#: Chunks a worker remembers before it starts anew; about 150 MB at the most.
+CACHE_CHUNKS = 700_000
 #: Documents, and characters of text, that are held in encoded form at a time.
-BATCH_ROWS, BATCH_CHARS = 512, 4_000_000
+BATCH_ROWS, BATCH_CHARS = 512, 1_000_000
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tunelens.llm.components import components
-from tunelens.llm.tables import salted_lookup, written
+from tunelens.llm.tables import give_back, salted_lookup, written
 
 SEED = 42
 RADIUS = 2
@@ -218,6 +218,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                 [batch.column("doc_id").cast(pa.int64()), *[pa.array(np.ascontiguousarray(c)) for c in prints.T],
                  pa.array(wide, pa.binary()), pa.array(parts, pa.int64())],
                 ["doc_id", *names, "wide", "parts"])
+        give_back()
 
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, " + ", ".join(f"{n} bigint" for n in names) + ", wide binary, parts bigint")
@@ -247,6 +248,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, width: int, limit: int = 1_000
                     yield pa.RecordBatch.from_arrays(
                         [node.slice(first, len(held)), pa.array(held, pa.list_(pa.int64()))], ["node", "parts"])
                     first, size, held = i + 1, 0, []
+        give_back()
 
     if ids.count() <= limit:
         ids = F.broadcast(ids)

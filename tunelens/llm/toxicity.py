@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tunelens.llm.tables import learning_row, written
+from tunelens.llm.tables import give_back, learning_row, written
 
 #: Labelled rows of each class that become examples; a bound of the fitting sample only.
 PER_CLASS = 3_000
@@ -254,6 +254,8 @@ def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[np.ndarray,
                 total[-1] += 1
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["term", "n"])
+        del own
+        give_back()
 
     out = np.zeros(len(terms) + 1, np.int64)
     counted = docs.select("text").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
@@ -312,6 +314,8 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                  pa.array([int(f[0] >= REJECT) for f in found], pa.int32()),
                  pa.array([f[1] for f in found], pa.list_(pa.int64())), pa.array([f[2] for f in found], pa.list_(pa.float64()))],
                 ["doc_id", "held_out", "score", "predicted", "evidence", "similarity"])
+        del terms
+        give_back()
 
     held = F.coalesce(~learning_row(F.col("doc_id"), 3, 1), F.lit(False))
     return docs.select("doc_id", "text", held.alias("held_out")).mapInArrow(run, SCHEMA)
@@ -326,5 +330,7 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
         for batch in rows:
             keep = [shared.value.score(t.as_py(), terms)[0] < REJECT for t in batch.column("text")]
             yield batch.filter(pa.array(keep, pa.bool_()))
+        del terms
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
