@@ -18,7 +18,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from tunelens.llm.encoding import batches, encoder
-from tunelens.llm.tables import give_back
 
 WINDOW = 2048
 OPEN = 4096
@@ -129,7 +128,6 @@ def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", window: int = W
     """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back()
         coder = encoder(vocabulary)
         packer = SumOfSquares(window, TaskContext.get().partitionId() << SEQUENCE_BITS)
         for batch, texts in batches(rows):

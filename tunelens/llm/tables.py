@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,15 +31,6 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def give_back() -> None:
-    """Return memory that a task no longer uses to the system: the worker lives on, and so would its size."""
-    gc.collect()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (OSError, AttributeError):  # another C library frees memory in its own way
-        pass
-
-
 def learning_row(doc_id: Column, parts: int, held: int) -> Column:
     """True for rows a model may learn from: crc32 of the id as text, modulo ``parts``, is not ``held``."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(parts)) != held
