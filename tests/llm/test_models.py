@@ -16,16 +16,21 @@ def held_out(doc_id, parts, held):
     return zlib.crc32(str(doc_id).encode()) % parts == held
 
 
-def test_nearest_is_exact():
+@pytest.mark.parametrize(("terms", "rows"), [(40, 40), (40, 7), (400, 0), (400, 9)])
+def test_nearest_is_exact(monkeypatch, terms, rows):
+    """With all terms common, some, or none."""
+    monkeypatch.setattr(toxicity, "COMMON", 900)
+    monkeypatch.setattr(toxicity, "MOST_COMMON", rows)
     rng = np.random.default_rng(2)
     vectors = []
     for _ in range(900):
-        at = np.sort(rng.choice(40, int(rng.integers(1, 6)), replace=False))
+        at = np.sort(rng.choice(terms, int(rng.integers(1, 6)), replace=False))
         x = rng.random(len(at))
         vectors.append((at, x / np.linalg.norm(x)))
     vectors += vectors[:50]
-    index = toxicity.BlockMaxIndex.of(vectors, 40)
-    dense = np.zeros((len(vectors), 40))
+    index = toxicity.BlockMaxIndex.of(vectors, terms)
+    assert len(index.rows) == rows
+    dense = np.zeros((len(vectors), terms))
     for i, (at, x) in enumerate(vectors):
         dense[i, at] = x
     for i in range(0, 900, 7):

@@ -12,7 +12,6 @@ to leave-one-out votes makes the vote a probability. The neighbours are returned
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,7 +39,12 @@ FIRST = 4
 #: Added to a neighbour's distance, and weight of the prior in a vote.
 SOFTEN, PRIOR = 0.05, 1.0
 REJECT = 0.7
+#: Texts scored together.
+TOGETHER = 64
+#: Terms that more than one in so many examples holds are common; the commonest, so many at most (the others have lists).
+COMMON, MOST_COMMON = 16, 1_024
 _WORDS = re.compile(r"[^\W\d_]+")
+_LETTERS = "".join(chr(i) if chr(i).isalpha() else " " for i in range(128))  # what an ASCII character is to words
 _CACHE = 500_000
 
 
@@ -50,7 +54,11 @@ def word_terms(word: str) -> list[str]:
 
 
 def words(text: str | None) -> list[str]:
-    return _WORDS.findall(text.lower()) if text else []
+    if not text:
+        return []
+    if text.isascii():
+        return text.lower().translate(_LETTERS).split()
+    return _WORDS.findall(text.lower())
 
 
 class Terms:
@@ -58,28 +66,58 @@ class Terms:
 
     def __init__(self, terms: list[str]):
         self.number = {t: i for i, t in enumerate(terms)}
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """(numbers, counts) of the terms of the text, ascending."""
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget the words seen so far: their numbers, and where each one's terms lie in a row of all."""
+        self.known: dict[str, int] = {}
+        self.begin = self.size = np.zeros(0, np.int64)
+        self.row = np.zeros(0, np.int64)
+
+    def _learn(self, new: list[str]) -> None:
+        found = [[self.number[t] for t in word_terms(w) if t in self.number] for w in new]
+        sizes = np.array([len(f) for f in found], np.int64)
+        self.known.update(zip(new, range(len(self.size), len(self.size) + len(new))))
+        self.begin = np.append(self.begin, len(self.row) + np.cumsum(sizes) - sizes)
+        self.size = np.append(self.size, sizes)
+        self.row = np.append(self.row, np.array([t for f in found for t in f], np.int64))
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Learn the words of many texts at once."""
         if len(self.known) > _CACHE:
-            self.known.clear()
-        found: list[int] = []
-        times: list[int] = []
-        for w, n in Counter(words(text)).items():
-            at = self.known.get(w)
-            if at is None:
-                at = self.known[w] = tuple(self.number[t] for t in word_terms(w) if t in self.number)
-            found += at
-            times += [n] * len(at)
-        at, back = np.unique(np.array(found, np.int64), return_inverse=True)
-        return at, np.bincount(back, weights=times, minlength=len(at))
-
-    def vector(self, text: str | None, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            self.clear()
+        new = {w for t in texts for w in t if w not in self.known}
+        if new:
+            self._learn(sorted(new))
+
+    def counts(self, text: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers, counts) of the terms of a text, given as its words, which were learned; ascending."""
+        codes = np.fromiter(map(self.known.__getitem__, text), np.int64, len(text))
+        codes, times = np.unique(codes, return_counts=True)
+        n = self.size[codes]
+        found = self.row[_ranges(self.begin[codes], n)]
+        at, back = np.unique(found, return_inverse=True)
+        return at, np.bincount(back, weights=np.repeat(times, n), minlength=len(at))
+
+    def vector(self, text: list[str], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at, counts = self.counts(text)
         x = (1 + np.log(counts)) * weight[at]
         return at, x / max(float(np.sqrt(x @ x)), 1e-12)
 
+    def batches(self, texts: Iterator[str | None]) -> Iterator[list[list[str]]]:
+        """The words of the texts, some texts at a time, learned."""
+        held: list[list[str]] = []
+        size = 0
+        for t in texts:
+            held.append(words(t))
+            size += len(held[-1])
+            if len(held) == TOGETHER or size > 1_000_000:
+                self.learn(held)
+                yield held
+                held, size = [], 0
+        self.learn(held)
+        yield held
+
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The numbers of all ranges (start, size), one after the other."""
@@ -89,36 +127,64 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 @dataclass
 class BlockMaxIndex:
-    """Postings (example, weight) by term, cut at multiples of ``BLOCK`` examples, with each cut's largest weight."""
+    """Postings (example, weight) by term, cut at multiples of ``BLOCK`` examples, with each cut's largest weight.
+
+    Terms that many examples hold have a row with a place for every example instead of a list. Their share of all
+    cosines is added up first, for many texts at once; a block is then bounded by its largest share and the
+    largest weights of the other terms.
+    """
 
     size: int
     examples: np.ndarray  # of the postings, by term
     weights: np.ndarray
-    begins: np.ndarray  # first cut of each term, and the end
+    begins: np.ndarray  # first cut of each term, and the end; common terms have none
     blocks: np.ndarray  # of the cuts
     cuts: np.ndarray  # first posting of each cut, and the end
     largest: np.ndarray
+    common: np.ndarray  # row of each term among the common ones, or -1
+    rows: np.ndarray  # weight by common term and example; as many examples as blocks hold
 
     @staticmethod
     def of(vectors: list[tuple[np.ndarray, np.ndarray]], terms: int) -> BlockMaxIndex:
         sizes = [len(at) for at, _ in vectors]
         term = np.concatenate([at for at, _ in vectors]) if vectors else np.zeros(0, np.int64)
         weight = np.concatenate([x for _, x in vectors]) if vectors else np.zeros(0)
-        example = np.repeat(np.arange(len(vectors), dtype=np.int32), sizes)
+        example = np.repeat(np.arange(len(vectors), dtype=np.int64), sizes)
+        holders = np.bincount(term, minlength=terms)
+        often = np.sort(np.argsort(-holders, kind="stable")[: min(MOST_COMMON, int((holders * COMMON > len(vectors)).sum()))])
+        common = np.full(terms, -1)
+        common[often] = np.arange(len(often))
+        rows = np.zeros((len(often), -(-len(vectors) // BLOCK) * BLOCK))
+        own = common[term]
+        rows[own[own >= 0], example[own >= 0]] = weight[own >= 0]
+        term, example, weight = term[own < 0], example[own < 0], weight[own < 0]
         order = np.argsort(term, kind="stable")
         term, example, weight = term[order], example[order], weight[order]
         block = example // BLOCK
         first = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
         return BlockMaxIndex(
             len(vectors), example, weight, np.searchsorted(term[first], np.arange(terms + 1)), block[first],
-            np.append(first, len(term)), np.maximum.reduceat(weight, first) if len(first) else np.zeros(0))
-
-    def nearest(self, at: np.ndarray, x: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the ``k`` nearest with a cosine above 0, nearest first, equal ones by number."""
+            np.append(first, len(term)), np.maximum.reduceat(weight, first) if len(first) else np.zeros(0), common, rows)
+
+    def shares(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the common terms add to the cosine of each vector with each example."""
+        x = np.zeros((len(vectors), len(self.rows)))
+        for i, (at, v) in enumerate(vectors):
+            own = self.common[at]
+            x[i, own[own >= 0]] = v[own >= 0]
+        return x @ self.rows
+
+    def nearest(self, at: np.ndarray, x: np.ndarray, k: int, without: int = -1,
+                share: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, cosines) of the ``k`` nearest with a cosine above 0, nearest first, equal ones by number.
+        ``share``: the vector's row of ``shares``."""
+        if share is None:
+            share = self.shares([(at, x)])[0]
         sizes = self.begins[at + 1] - self.begins[at]
         cut, q = _ranges(self.begins[at], sizes), np.repeat(x, sizes)
         block = self.blocks[cut]
-        bound = np.bincount(block, q * self.largest[cut], (self.size + BLOCK - 1) // BLOCK)
+        shares = share.reshape(-1, BLOCK)
+        bound = shares.max(1) + np.bincount(block, q * self.largest[cut], len(shares))
         order = np.argsort(-bound, kind="stable")
         found_at, found = np.zeros(0, np.int64), np.zeros(0)
         least, seen = 0.0, 0
@@ -135,10 +201,12 @@ class BlockMaxIndex:
             starts = self.cuts[cut[own]]
             n = self.cuts[cut[own] + 1] - starts
             posting = _ranges(starts, n)
-            score = np.bincount(self.examples[posting], np.repeat(q[own], n) * self.weights[posting], self.size)
+            score = share + np.bincount(self.examples[posting], np.repeat(q[own], n) * self.weights[posting], len(share))
+            if len(visited) < len(bound):
+                score.reshape(-1, BLOCK)[~chosen] = 0
             if without >= 0:
                 score[without] = 0
-            hit = np.flatnonzero(score > 0)
+            hit = np.flatnonzero(score > max(0.0, least - 1e-9))
             if len(hit) > 4 * k:  # those that may be among the nearest, ties included
                 hit = hit[score[hit] >= np.partition(score[hit], -k)[-k] - 1e-9]
             found_at, found = np.append(found_at, hit), np.append(found, score[hit])
@@ -161,18 +229,23 @@ class Model:
     offset: float
     unknown: float  # score of a text that shares no term with any example
 
-    def vote(self, at: np.ndarray, x: np.ndarray, without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        near, cos = self.index.nearest(at, x, NEIGHBOURS, without)
+    def vote(self, at: np.ndarray, x: np.ndarray, without: int = -1,
+             share: np.ndarray | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+        near, cos = self.index.nearest(at, x, NEIGHBOURS, without, share)
         w = 1 / (SOFTEN + 1 - np.minimum(cos, 1))
-        share = (w @ self.labels[near] + PRIOR * self.prior) / (w.sum() + PRIOR)
-        return float(np.log(share / (1 - share))), near, cos
+        toxic = (w @ self.labels[near] + PRIOR * self.prior) / (w.sum() + PRIOR)
+        return float(np.log(toxic / (1 - toxic))), near, cos
 
-    def score(self, text: str | None, terms: Terms) -> tuple[float, list[int], list[float]]:
-        at, x = terms.vector(text, self.weight)
-        if not len(at):
-            return self.unknown, [], []
-        v, near, cos = self.vote(at, x)
-        return float(1 / (1 + np.exp(-(self.slope * v + self.offset)))), self.ids[near].tolist(), cos.round(6).tolist()
+    def scores(self, texts: Iterator[str | None], terms: Terms) -> Iterator[tuple[float, list[int], list[float]]]:
+        """(score, evidence, similarity) of every text, in order."""
+        for batch in terms.batches(texts):
+            vectors = [terms.vector(t, self.weight) for t in batch]
+            for (at, x), share in zip(vectors, self.index.shares(vectors)):
+                if not len(at):
+                    yield self.unknown, [], []
+                    continue
+                v, near, cos = self.vote(at, x, share=share)
+                yield float(1 / (1 + np.exp(-(self.slope * v + self.offset)))), self.ids[near].tolist(), cos.round(6).tolist()
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -249,9 +322,10 @@ def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[np.ndarray,
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, total = Terms(shared.value), np.zeros(len(shared.value) + 1, np.int64)
         for batch in rows:
-            for t in batch.column("text"):
-                total[own.counts(t.as_py())[0]] += 1
-                total[-1] += 1
+            total[-1] += batch.num_rows
+            for texts in own.batches(t.as_py() for t in batch.column("text")):
+                for t in texts:
+                    total[own.counts(t)[0]] += 1
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["term", "n"])
 
@@ -270,7 +344,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     own = Terms(terms)
     held, bare = [], {0: 0, 1: 0}
     for r in rows.toLocalIterator():  # at most about two times PER_CLASS rows
-        at, x = own.vector(r["text"], weigh)
+        text = words(r["text"])
+        own.learn([text])
+        at, x = own.vector(text, weigh)
         if len(at):
             held.append((r["doc_id"], r["toxic"], at, x))
         else:
@@ -305,7 +381,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms(shared.value.terms)
         for batch in rows:
-            found = [shared.value.score(t.as_py(), terms) for t in batch.column("text")]
+            found = list(shared.value.scores((t.as_py() for t in batch.column("text")), terms))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), batch.column("held_out"),
                  pa.array([f[0] for f in found], pa.float64()),
@@ -324,7 +400,7 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms(shared.value.terms)
         for batch in rows:
-            keep = [shared.value.score(t.as_py(), terms)[0] < REJECT for t in batch.column("text")]
+            keep = [f[0] < REJECT for f in shared.value.scores((t.as_py() for t in batch.column("text")), terms)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
