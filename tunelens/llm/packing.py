@@ -28,7 +28,7 @@ SCHEMA = (
     "offset bigint, token_ids binary")
 
 
-@dataclass
+@dataclass(slots=True)
 class Piece:
     doc: int | None
     start: int
@@ -141,7 +141,8 @@ def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", window: int = W
                 for start in range(0, n - window + 1, window):
                     done.append([Piece(doc, start, own[start : start + window], n)])
                 if rest := n % window:
-                    done += packer.place(Piece(doc, n - rest, own[n - rest :], n))
+                    # A copy: the rest of a long document must not hold on to all of it.
+                    done += packer.place(Piece(doc, n - rest, own[n - rest :].copy(), n))
             yield _record(done, packer, keep_ids)
         yield _record(packer.pour(True), packer, keep_ids)
 
