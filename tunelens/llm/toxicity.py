@@ -12,8 +12,10 @@ to leave-one-out votes makes the vote a probability. The neighbours are returned
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -82,41 +84,45 @@ class Terms:
         self.size = np.append(self.size, sizes)
         self.row = np.append(self.row, np.array([t for f in found for t in f], np.int64))
 
-    def learn(self, texts: list[list[str]]) -> None:
-        """Learn the words of many texts at once."""
+    def counts(self, texts: list[Counter[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term, times) of the terms of the texts, given as their words; by text, then by term."""
         if len(self.known) > _CACHE:
             self.clear()
-        new = {w for t in texts for w in t if w not in self.known}
-        if new:
-            self._learn(sorted(new))
-
-    def counts(self, text: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(numbers, counts) of the terms of a text, given as its words, which were learned; ascending."""
-        codes = np.fromiter(map(self.known.__getitem__, text), np.int64, len(text))
-        codes, times = np.unique(codes, return_counts=True)
+        sizes, flat = list(map(len, texts)), list(chain.from_iterable(texts))
+        codes = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
+        new = np.flatnonzero(codes < 0)
+        if len(new):
+            missed = [flat[i] for i in new.tolist()]
+            self._learn(list(dict.fromkeys(missed)))
+            codes[new] = np.fromiter(map(self.known.__getitem__, missed), np.int64, len(missed))
+        times = np.fromiter(chain.from_iterable(t.values() for t in texts), np.int64, len(codes))
         n = self.size[codes]
         found = self.row[_ranges(self.begin[codes], n)]
-        at, back = np.unique(found, return_inverse=True)
-        return at, np.bincount(back, weights=np.repeat(times, n), minlength=len(at))
-
-    def vector(self, text: list[str], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at, counts = self.counts(text)
-        x = (1 + np.log(counts)) * weight[at]
-        return at, x / max(float(np.sqrt(x @ x)), 1e-12)
-
-    def batches(self, texts: Iterator[str | None]) -> Iterator[list[list[str]]]:
-        """The words of the texts, some texts at a time, learned."""
-        held: list[list[str]] = []
+        terms = max(1, len(self.number))
+        key, back = np.unique(np.repeat(np.repeat(np.arange(len(texts)), sizes), n) * terms + found, return_inverse=True)
+        return key // terms, key % terms, np.bincount(back, weights=np.repeat(times, n), minlength=len(key))
+
+    def vectors(self, texts: list[Counter[str]], weight: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(terms, weights) of each text, of length 1."""
+        text, at, times = self.counts(texts)
+        x = (1 + np.log(times)) * weight[at]
+        length = np.sqrt(np.bincount(text, x * x, len(texts)))
+        x = x / np.maximum(length, 1e-12)[text]
+        ends = np.searchsorted(text, np.arange(1, len(texts) + 1)).tolist()
+        return [(at[i:j], x[i:j]) for i, j in zip([0, *ends], ends)]
+
+    def batches(self, texts: Iterator[str | None]) -> Iterator[list[Counter[str]]]:
+        """The words of the texts, some texts at a time."""
+        held: list[Counter[str]] = []
         size = 0
         for t in texts:
-            held.append(words(t))
+            held.append(Counter(words(t)))
             size += len(held[-1])
-            if len(held) == TOGETHER or size > 1_000_000:
-                self.learn(held)
+            if len(held) == TOGETHER or size > 500_000:
                 yield held
                 held, size = [], 0
-        self.learn(held)
-        yield held
+        if held:
+            yield held
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -239,7 +245,7 @@ class Model:
     def scores(self, texts: Iterator[str | None], terms: Terms) -> Iterator[tuple[float, list[int], list[float]]]:
         """(score, evidence, similarity) of every text, in order."""
         for batch in terms.batches(texts):
-            vectors = [terms.vector(t, self.weight) for t in batch]
+            vectors = terms.vectors(batch, self.weight)
             for (at, x), share in zip(vectors, self.index.shares(vectors)):
                 if not len(at):
                     yield self.unknown, [], []
@@ -324,8 +330,7 @@ def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[np.ndarray,
         for batch in rows:
             total[-1] += batch.num_rows
             for texts in own.batches(t.as_py() for t in batch.column("text")):
-                for t in texts:
-                    total[own.counts(t)[0]] += 1
+                total[:-1] += np.bincount(own.counts(texts)[1], minlength=len(total) - 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["term", "n"])
 
@@ -344,9 +349,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     own = Terms(terms)
     held, bare = [], {0: 0, 1: 0}
     for r in rows.toLocalIterator():  # at most about two times PER_CLASS rows
-        text = words(r["text"])
-        own.learn([text])
-        at, x = own.vector(text, weigh)
+        at, x = own.vectors([Counter(words(r["text"]))], weigh)[0]
         if len(at):
             held.append((r["doc_id"], r["toxic"], at, x))
         else:
