@@ -46,8 +46,8 @@ def test_run(spark):
 def test_registered():
     queries, sql = entry.queries(), entry.oracle_sql()
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries if n.startswith("op") and n[2].isdigit())
-    assert numbers == list(range(1, 11)) and "pipeline" in queries and corpus_pipeline.ORACLE_SQL is None
-    assert {"op8_exact_dedup", "op9_mixing"} <= set(sql)
+    assert numbers == list(range(1, 14)) and "pipeline" in queries and corpus_pipeline.ORACLE_SQL is None
+    assert {"op8_exact_dedup", "op9_mixing", "op11_prefix_trie", "op12_ranked_search"} <= set(sql)
 
 
 @pytest.mark.parametrize("name", ["op8_exact_dedup", "op9_mixing"])

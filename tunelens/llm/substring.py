@@ -1,10 +1,9 @@
-"""Removal of repeated passages by relative Lempel-Ziv parsing against an index of the whole corpus.
+"""Removal of repeated passages by an index of the whole corpus, with the factors of a relative Lempel-Ziv parse as output.
 
 The reference of a document is the corpus itself. Its index is dealt in blocks over the cluster by phrase hash: a phrase
-is a run of ``window`` words, its entry names two places where the phrase starts. A document is factored greedily from
-left to right: a factor starts at a phrase that also starts elsewhere and is extended as long as the next phrase of the
-document is the next phrase of the source; there the factor ends and the phrase across its border is looked up itself,
-so that nothing between two factors is missed. Words covered by factors are removed.
+is a run of ``window`` words, its entry names two places where the phrase starts. All phrases that may repeat are joined
+with the index; the hits alone decide which words go. Hits in a row with places in a row are then joined to factors,
+each with its source; they describe the result and decide nothing.
 
 Only phrases that may repeat are indexed. Every phrase picks an anchor, the smallest hash of ``GRAM`` consecutive words
 in it. Equal phrases pick equal anchors, so a phrase whose anchor starts at one place only is unique. Anchors are about
