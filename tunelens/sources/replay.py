@@ -33,8 +33,12 @@ class Replay:
 
     def table(self) -> DataFrame:
         """All replayed rows with their chunk number."""
-        rows = self.ordered.numbered("rn").where(F.col("rn") <= self.rows)
-        return rows.withColumn("chunk_id", F.floor((F.col("rn") - 1) / self.chunk)).drop("rn")
+        return self.numbered("rn", "chunk_id").drop("rn")
+
+    def numbered(self, row: str, chunk: str) -> DataFrame:
+        """All replayed rows with their number, from 1, and their chunk number."""
+        rows = self.ordered.numbered(row).where(F.col(row) <= self.rows)
+        return rows.withColumn(chunk, F.floor((F.col(row) - 1) / self.chunk))
 
 
 def replay_file(df: DataFrame, order: str, chunk: int = CHUNK_SIZE, limit: int | None = None) -> Replay:

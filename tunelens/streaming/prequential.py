@@ -11,6 +11,7 @@ from tunelens.sources.replay import Replay
 from tunelens.streaming.clustering import StreamingKMeans
 from tunelens.streaming.linear import LinearLearner, LinearOptions
 from tunelens.streaming.outliers import OutlierDetector
+from tunelens.streaming.treereplay import in_blocks, run_replay
 from tunelens.streaming.trees import Forest, OneVsRestTrees, TreeLearner, TreeOptions
 
 
@@ -64,13 +65,15 @@ class StepLog:
 def prequential(spark: SparkSession, replay: Replay, learner: Learner, evaluator: str | None = None, **options) -> DataFrame:
     """Metrics of every batch: it is judged by the model before it, then trains it. ``options`` go to the report.
 
-    Only counts, and model sums or splits that won, reach the driver.
+    Only counts, and model sums or splits that won, reach the driver. Trees take many batches in one job.
     """
+    if evaluator:
+        options["evaluator"] = evaluator
+    if in_blocks(learner):
+        return learner.report(run_replay(learner, replay), **options)
     log = StepLog(spark, learner.row_schema)
     for i, batch in replay:
         log.add(i, learner.step(batch))
-    if evaluator:
-        options["evaluator"] = evaluator
     return learner.report(log.table(), **options)
 
 

@@ -198,8 +198,9 @@ class Layout:
         return F.expr(f"array({', '.join(out)})")
 
 
-def advance(leaf: dict, tree: Tree, layout: Layout, pivots: list[float]) -> dict:
-    """A leaf after a batch: ``parts`` are its sums by class and prediction. Tries to split it if it saw enough rows."""
+def advance(leaf: dict, tree: Tree, layout: Layout, pivots: list[float], tries: bool = True) -> dict:
+    """A leaf after a batch: ``parts`` are its sums by class and prediction. Tries to split it if it saw enough rows, unless
+    ``tries`` is off."""
     sums = layout.empty() if leaf["sums"] is None else np.array(leaf["sums"]).reshape(layout.classes, layout.width)
     right_majority, right_bayes = leaf["right_majority"], leaf["right_bayes"]
     counts: dict[tuple[int, int], int] = {}
@@ -220,7 +221,7 @@ def advance(leaf: dict, tree: Tree, layout: Layout, pivots: list[float]) -> dict
     }
     mass, seen = sums[:, 0], float(sums[:, 0].sum())
     due = o.growth and seen - leaf["tried"] >= o.grace and (mass > 0).sum() > 1 and node.depth < o.max_depth
-    if due:
+    if due and tries:
         out["tried"] = seen
         split = _decide(tree, leaf["leaf"], sums, layout, out["poor"])
         if split is not None:
@@ -301,6 +302,13 @@ def mix_int(value: int, salt: int) -> int:
     return (a * 22695477 + 1) % _SPAN
 
 
+def mix_array(low: np.ndarray, high: np.ndarray, salt: int) -> np.ndarray:
+    """:func:`mix_int` of many row numbers, given by their two parts below 2^31."""
+    a = (low.astype(np.int64) * 1103515245 + high.astype(np.int64) * 69069 + (salt + 1) * 12345) % _SPAN
+    a = ((a ^ (a >> 15)) * 1664525 + (salt + 1) * 1013904223) % _SPAN
+    return ((a ^ (a >> 13)) * 22695477 + 1) % _SPAN
+
+
 def mix_sql(value: str, salt: str) -> str:
     """SQL for a repeatable integer mix of a row number, below 2^31."""
     first = (
@@ -409,6 +417,24 @@ class TreeLearner(Classifier):
         """SQL for the votes by class, from ``shares``: class shares by tree."""
         raise NotImplementedError
 
+    # The same three for the Arrow batches of a whole replay.
+
+    def targets(self, label: np.ndarray, m: int) -> np.ndarray:
+        if len(label) and not (label.min() >= 0 and label.max() < self.classes):
+            raise ValueError(f"a label is not one of {self.classes} classes")
+        return label
+
+    def weights_of(self, table, m: int) -> np.ndarray:
+        return np.ones(table.num_rows)
+
+    def votes_of(self, shares: list[np.ndarray]) -> np.ndarray:
+        """Votes by row and class, from the class shares by row of every tree."""
+        raise NotImplementedError
+
+    def drawing(self) -> list[Column]:
+        """Columns that the weights are drawn by."""
+        return []
+
     def _routed(self, batch: DataFrame, kept: list[str]) -> DataFrame:
         """``kept`` columns, the leaf of every tree, and the class that ensembles vote for as ``vote``."""
         leaves = [f"leaf_{k}" for k in range(len(self.trees))]
@@ -546,7 +572,7 @@ def _places(tree: Tree) -> list[int]:
     return places
 
 
-def _advance_all(trees: list[Tree], layout: Layout, pivots: list[float]):
+def _advance_all(trees: list[Tree], layout: Layout, pivots: list[float], tries: bool = True):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -561,7 +587,7 @@ def _advance_all(trees: list[Tree], layout: Layout, pivots: list[float]):
             ("shares", floats), ("model", model), ("counts", pa.list_(count)), ("attr", pa.int32()), ("kind", pa.string()),
             ("value", pa.float64()), ("branches", nested)])
         for batch in batches:
-            rows = [advance(leaf, trees[leaf["m"]], layout, pivots) for leaf in batch.to_pylist()]
+            rows = [advance(leaf, trees[leaf["m"]], layout, pivots, tries) for leaf in batch.to_pylist()]
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     return run
@@ -581,6 +607,12 @@ class OneVsRestTrees(TreeLearner):
     def _vote(self) -> str:
         return "transform(shares, s -> s[1])"
 
+    def targets(self, label: np.ndarray, m: int) -> np.ndarray:
+        return (label == m).astype(np.int64)
+
+    def votes_of(self, shares: list[np.ndarray]) -> np.ndarray:
+        return np.column_stack([s[:, 1] for s in shares])
+
 
 class Forest(TreeLearner):
     """Online bagging: each tree weighs each row by a Poisson draw and tests a few attributes per leaf.
@@ -616,6 +648,24 @@ class Forest(TreeLearner):
         none = f"array_repeat(0.0D, {self.classes})"
         return f"aggregate(shares, {none}, (total, s) -> zip_with(total, s, (a, b) -> a + b))"
 
+    def drawing(self) -> list[Column]:
+        key = f"`{self.key}`"
+        low, high = f"pmod({key}, {_SPAN}L)", f"pmod({key} div {_SPAN}L, {_SPAN}L)"
+        return [F.expr(f"CAST({low} AS BIGINT)").alias("low"), F.expr(f"CAST({high} AS BIGINT)").alias("high")]
+
+    def weights_of(self, table, m: int) -> np.ndarray:
+        low, high = (table.column(c) for c in ("low", "high"))
+        drawn = mix_array(low.fill_null(0).to_numpy(), high.fill_null(0).to_numpy(), m)
+        steps = poisson_steps(self.rate)
+        w = np.searchsorted(steps, drawn, side="right").astype(float)
+        return np.where(low.is_null().to_numpy(zero_copy_only=False), float(len(steps)), w)
+
+    def votes_of(self, shares: list[np.ndarray]) -> np.ndarray:
+        total = np.zeros((len(shares[0]), self.classes))
+        for s in shares:
+            total = total + s
+        return total
+
 
 # Statistics as tables ------------------------------------------------------------------------------------------------
 
