@@ -278,3 +278,29 @@ def test_forest_votes_alike_for_small_and_large_models(spark, data, monkeypatch)
         forest = Forest(features, 2, TreeOptions(grace=20, confidence=0.3, tie=0.5), size=3)
         runs_of.append(rows_of(prequential(spark, replay.replay_file(data, "id", 90), forest)))
     assert runs_of[0] == runs_of[1]
+
+
+def test_chunks_and_models_are_laid_down_without_a_job_each(spark, data, tmp_path):
+    """Feeding takes as many jobs for many chunks as for few, and storing a model or metrics takes none."""
+
+    def jobs(group, act):
+        spark.sparkContext.setJobGroup(group, group)
+        act()
+        spark.sparkContext.setJobGroup("", "")
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    few, many = (replay.replay_file(data, "id", size) for size in (200, 10))
+    n = [jobs(f"feed-{k}", lambda: feed(parts, str(tmp_path / f"to-{k}"))) for k, parts in enumerate((few, many))]
+    assert n[0] == n[1] <= 4  # 2 chunks, and 40
+    assert [len(list((tmp_path / f"to-{k}").glob("chunk-*.parquet"))) for k in (0, 1)] == [len(few), len(many)]
+    last = spark.read.parquet(str(tmp_path / "to-1" / f"chunk-{len(many) - 1:09d}.parquet"))
+    assert rows_of(last) == rows_of(many.batch(len(many) - 1)) and last.columns == data.columns
+
+    store, learner = ModelStore(spark, str(tmp_path / "store")), outliers()
+    learner.step(few.batch(0))
+
+    def keep():
+        store.save_model(learner, 0)
+        store.load_model(learner, 0)
+
+    assert jobs("models", keep) == 0
