@@ -78,6 +78,22 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def configured(spark: SparkSession, options: dict) -> Iterator[None]:
+    """Run what is inside with these SQL options, and put back what was set before."""
+    before = {key: spark.conf.get(key, None) for key in options}
+    for key, value in options.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
 def dropped(spark: SparkSession, path: str) -> None:
     """Remove a table of the scratch folder that nothing reads any more."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tunelens.session import configured
+
 PREFIX = "SparkListener"
+#: Bytes of events that an open file of a store holds before it writes them.
+ROW_GROUP_BYTES = 32 << 20
 
 # The keys read from each event kind, as they appear in the log.
 _RDD_INFO = (
@@ -171,8 +175,14 @@ def decoded(log: DataFrame) -> DataFrame:
 
 def store_events(log: DataFrame, path: str) -> None:
     """Lay the decoded events of a log out by kind, in one pass over its lines: each later table reads only its kinds, and
-    of these only the keys it uses."""
-    decoded(log).write.mode("error").partitionBy("event").parquet(path)
+    of these only the keys it uses.
+
+    A task keeps a file open for each of the few kinds and writes every event as it comes. Without that it would first sort
+    all its events by kind, in memory that grows with its share of the log.
+    """
+    with configured(log.sparkSession, {"spark.sql.maxConcurrentOutputFileWriters": len(EVENT_SCHEMAS)}):
+        writer = decoded(log).write.mode("error").partitionBy("event")
+        writer.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
 
 
 def open_event_store(spark: SparkSession, path: str) -> DataFrame:
