@@ -90,7 +90,8 @@ def job_summary(log: DataFrame | tables.EventTables) -> DataFrame:
 
 def _tasks_by_stage(log: DataFrame | tables.EventTables, tasks: DataFrame | None = None) -> DataFrame:
     # Tasks are reduced to one row per stage before they meet the jobs that list the stage.
-    return _tasks(log, tasks).groupBy("app_id", "stage_id").agg(
+    times = tables.of(log).task_times if tasks is None else tasks
+    return times.groupBy("app_id", "stage_id").agg(
         F.count("*").alias("stage_tasks"), F.sum(_run()).alias("stage_task_ms")
     )
 

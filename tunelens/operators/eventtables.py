@@ -45,6 +45,11 @@ class EventTables:
     def tasks(self) -> DataFrame:
         return self._built("tasks", tasks(self.log))
 
+    @property
+    def task_times(self) -> DataFrame:
+        """Of the tasks if they have been built, else by an aggregation that carries nothing but the times."""
+        return self.tasks if "tasks" in self.__dict__ else task_times(self.log)
+
     @cached_property
     def executors(self) -> DataFrame:
         return self._built("executors", executors(self.log))
@@ -187,39 +192,40 @@ def stage_rdds(log: DataFrame | EventTables) -> DataFrame:
     )
 
 
-def tasks(log: DataFrame) -> DataFrame:
-    """Last start of a task id wins and forgets ends before it; unfinished tasks keep NULL end columns."""
+# Columns of a task as expressions over its start and end events.
+_INFO, _METRICS = "e.`Task Info`", "e.`Task Metrics`"
+_STARTED = {
+    "stage_id": "e.`Stage ID`",
+    "executor_id": f"{_INFO}.`Executor ID`",
+    "launch_ms": f"{_INFO}.`Launch Time`",
+    "locality": f"{_INFO}.`Locality`",
+    "speculative": f"{_INFO}.`Speculative`",
+}
+_FINISHED = {
+    "finish_ms": f"{_INFO}.`Finish Time`",
+    "end_reason": "e.`Task End Reason`.`Reason`",
+    "failed": f"{_INFO}.`Failed`",
+    "getting_result_ms": f"{_INFO}.`Getting Result Time`",
+    "index": f"{_INFO}.`Index`",
+    "type": "e.`Task Type`",
+    "metrics": f"""CASE WHEN {_METRICS} IS NOT NULL THEN struct(
+        {_METRICS}.`Disk Bytes Spilled` AS disk_spilled_bytes,
+        {_METRICS}.`Memory Bytes Spilled` AS memory_spilled_bytes,
+        {_METRICS}.`Executor Deserialize Time` AS executor_deserialize_ms,
+        {_METRICS}.`Executor Run Time` AS executor_run_ms,
+        {_METRICS}.`JVM GC Time` AS jvm_gc_ms,
+        {_METRICS}.`Result Serialization Time` AS result_serialize_ms,
+        {_METRICS}.`Result Size` AS result_size) END""",
+}
+
+
+def _task_rows(log: DataFrame, started: dict, finished: dict) -> DataFrame:
+    """Tasks with these columns of their last start, and of the last end if it follows that start."""
     events = parsed(log, "TaskStart", "TaskEnd").select(
-        "app_id", "ord", "kind", F.col("e.`Task Info`.`Task ID`").alias("task_id"), "e"
-    )
-    info, metrics = "e.`Task Info`", "e.`Task Metrics`"
-    start = F.struct(
-        F.col("e.`Stage ID`").alias("stage_id"),
-        F.col(f"{info}.`Executor ID`").alias("executor_id"),
-        F.col(f"{info}.`Launch Time`").alias("launch_ms"),
-        F.col(f"{info}.`Locality`").alias("locality"),
-        F.col(f"{info}.`Speculative`").alias("speculative"),
-    )
-    end = F.struct(
-        F.col(f"{info}.`Finish Time`").alias("finish_ms"),
-        F.col("e.`Task End Reason`.`Reason`").alias("end_reason"),
-        F.col(f"{info}.`Failed`").alias("failed"),
-        F.col(f"{info}.`Getting Result Time`").alias("getting_result_ms"),
-        F.col(f"{info}.`Index`").alias("index"),
-        F.col("e.`Task Type`").alias("type"),
-        F.when(
-            F.col(metrics).isNotNull(),
-            F.struct(
-                F.col(f"{metrics}.`Disk Bytes Spilled`").alias("disk_spilled_bytes"),
-                F.col(f"{metrics}.`Memory Bytes Spilled`").alias("memory_spilled_bytes"),
-                F.col(f"{metrics}.`Executor Deserialize Time`").alias("executor_deserialize_ms"),
-                F.col(f"{metrics}.`Executor Run Time`").alias("executor_run_ms"),
-                F.col(f"{metrics}.`JVM GC Time`").alias("jvm_gc_ms"),
-                F.col(f"{metrics}.`Result Serialization Time`").alias("result_serialize_ms"),
-                F.col(f"{metrics}.`Result Size`").alias("result_size"),
-            ),
-        ).alias("metrics"),
+        "app_id", "ord", "kind", F.col(f"{_INFO}.`Task ID`").alias("task_id"), "e"
     )
+    start = F.struct(*[F.expr(c).alias(name) for name, c in started.items()])
+    end = F.struct(*[F.expr(c).alias(name) for name, c in finished.items()])
     slim = events.select(
         "app_id", "ord", "kind", "task_id", _of("TaskStart", start).alias("s"), _of("TaskEnd", end).alias("f")
     )
@@ -230,26 +236,19 @@ def tasks(log: DataFrame) -> DataFrame:
         _last("TaskEnd", F.col("f"), "f"),
     )
     finish = F.when(F.col("end_ord") > F.col("start_ord"), F.col("f"))
-    return (
-        rows.where(F.col("start_ord").isNotNull())
-        .select("app_id", "task_id", "s.*", finish.alias("f"))
-        .select(
-            "app_id",
-            "task_id",
-            "stage_id",
-            "executor_id",
-            "launch_ms",
-            "locality",
-            "speculative",
-            F.col("f.finish_ms").alias("finish_ms"),
-            F.col("f.end_reason").alias("end_reason"),
-            F.coalesce("f.failed", F.lit(False)).alias("failed"),
-            F.col("f.getting_result_ms").alias("getting_result_ms"),
-            F.col("f.index").alias("index"),
-            F.col("f.type").alias("type"),
-            F.col("f.metrics").alias("metrics"),
-        )
-    )
+    kept = rows.where(F.col("start_ord").isNotNull()).select("app_id", "task_id", "s.*", finish.alias("f"))
+    return kept.select("app_id", "task_id", *started, *[F.col(f"f.{name}").alias(name) for name in finished])
+
+
+def tasks(log: DataFrame) -> DataFrame:
+    """Last start of a task id wins and forgets ends before it; unfinished tasks keep NULL end columns."""
+    return _task_rows(log, _STARTED, _FINISHED).withColumn("failed", F.coalesce("failed", F.lit(False)))
+
+
+def task_times(log: DataFrame) -> DataFrame:
+    """(app_id, task_id, stage_id, launch_ms, finish_ms) of :func:`tasks`; nothing else of a task is carried along."""
+    started = {name: _STARTED[name] for name in ("stage_id", "launch_ms")}
+    return _task_rows(log, started, {"finish_ms": _FINISHED["finish_ms"]})
 
 
 def executors(log: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from tunelens.operators.report import event_report
 from tunelens.plans.fixtures import event_log, event_store, table
 from tunelens.plans.oracle_report import REPORT
 from tunelens.plans.oracle_views import EVENTS
-from tunelens.session import scratch_path
+from tunelens.session import scratch_path, stored
 from tunelens.sources.eventlog import (
     latest_event_log, newest_log, open_event_store, read_event_log, route_events, store_events)
 
@@ -45,7 +45,8 @@ def _event_counts(log):
 
 def _write_log(spark, sf_dir):
     path = scratch_path(spark, "eventlog")
-    log = event_log(spark, sf_dir)
+    # Written once before the range sort, which reads its input twice.
+    log = stored(event_log(spark, sf_dir).select("app_id", "ord", "value"), "lines")
     # By range: the files of an application follow the line order by name, and a long log spreads over several.
     ordered = log.repartitionByRange("app_id", "ord").sortWithinPartitions("app_id", "ord")
     ordered.select("app_id", "value").write.partitionBy("app_id").text(path)
