@@ -34,23 +34,27 @@ class Ordered:
 
     def slice(self, first: int, end: int) -> DataFrame:
         """Rows [first, end) as a range filter that reaches the Parquet scan."""
-        low, high = self.pos_id(first), self.pos_id(end)
+        return self._between(first, end).drop("pos_id")
+
+    def _between(self, first: int, end: int | None) -> DataFrame:
+        low, high = self.pos_id(first), None if end is None else self.pos_id(end)
         rows = self.table
         if low is None:
-            return rows.where(F.lit(False)).drop("pos_id")
+            return rows.where(F.lit(False))
         rows = rows.where(F.col("pos_id") >= low)
         if high is not None:
             rows = rows.where(F.col("pos_id") < high)
-        return rows.drop("pos_id")
+        return rows
 
-    def numbered(self, name: str = "rn") -> DataFrame:
-        """The table with its global row number, starting at 1."""
+    def numbered(self, name: str = "rn", first: int = 0, end: int | None = None) -> DataFrame:
+        """The table, or its rows [first, end), with the global row number, starting at 1."""
         spark = self.table.sparkSession
         # One row per sorted partition: bounded by the number of shuffle partitions.
         starts = spark.createDataFrame([s[:2] for s in self.starts], "part bigint, before bigint")
         part = F.shiftright("pos_id", _POSITION_BITS)
         row = F.col("pos_id") - F.shiftleft(F.col("part"), _POSITION_BITS)
-        rows = self.table.withColumn("part", part).join(F.broadcast(starts), "part")
+        taken = self.table if not first and end is None else self._between(first, end)
+        rows = taken.withColumn("part", part).join(F.broadcast(starts), "part")
         return rows.withColumn(name, F.col("before") + row + 1).drop("part", "before", "pos_id")
 
 

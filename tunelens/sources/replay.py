@@ -35,9 +35,10 @@ class Replay:
         """All replayed rows with their chunk number."""
         return self.numbered("rn", "chunk_id").drop("rn")
 
-    def numbered(self, row: str, chunk: str) -> DataFrame:
-        """All replayed rows with their number, from 1, and their chunk number."""
-        rows = self.ordered.numbered(row).where(F.col(row) <= self.rows)
+    def numbered(self, row: str, chunk: str, first: int = 0, end: int | None = None) -> DataFrame:
+        """The replayed rows, of the chunks [first, end) or of all, with their number, from 1, and their chunk number."""
+        last = None if end is None else min(end * self.chunk, self.rows)
+        rows = self.ordered.numbered(row, first * self.chunk, last).where(F.col(row) <= self.rows)
         return rows.withColumn(chunk, F.floor((F.col(row) - 1) / self.chunk))
 
 

@@ -137,7 +137,7 @@ class LinearLearner(Classifier):
                 counts[r["member"], r["label"], r["prediction"]] = r["n"]
         for key, n in seen.items():
             if n:
-                self.weights[key] = _descend(self.weights[key], [g / n for g in gradient[key]], self.options[key[0]])
+                self.weights[key] = descend(self.weights[key], [g / n for g in gradient[key]], self.options[key[0]])
         return [(*key, n) for key, n in counts.items()]
 
 
@@ -148,7 +148,7 @@ SLOPE = """CASE loss WHEN 'LogisticLoss' THEN 1.0D / (1.0D + exp(-s)) - y
     ELSE IF((2 * y - 1) * s <= 0, 1 - 2 * y, 0.0D) END"""
 
 
-def _descend(weights: list[float], gradient: list[float], o: LinearOptions) -> list[float]:
+def descend(weights: list[float], gradient: list[float], o: LinearOptions) -> list[float]:
     *slopes, bias = weights
     penalty = {
         "ZeroRegularizer": lambda w: 0.0,

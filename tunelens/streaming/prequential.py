@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tunelens.session import scratch_path
 from tunelens.sources.replay import Replay
+from tunelens.streaming import linearreplay
 from tunelens.streaming.clustering import StreamingKMeans
 from tunelens.streaming.linear import LinearLearner, LinearOptions
 from tunelens.streaming.outliers import OutlierDetector
@@ -65,12 +66,14 @@ class StepLog:
 def prequential(spark: SparkSession, replay: Replay, learner: Learner, evaluator: str | None = None, **options) -> DataFrame:
     """Metrics of every batch: it is judged by the model before it, then trains it. ``options`` go to the report.
 
-    Only counts, and model sums or splits that won, reach the driver. Trees take many batches in one job.
+    Only counts, and model sums or splits that won, reach the driver. Trees and linear models take many batches in one job.
     """
     if evaluator:
         options["evaluator"] = evaluator
     if in_blocks(learner):
         return learner.report(run_replay(learner, replay), **options)
+    if linearreplay.in_blocks(learner, replay):
+        return learner.report(linearreplay.confusion_of(linearreplay.walked(learner, replay)), **options)
     log = StepLog(spark, learner.row_schema)
     for i, batch in replay:
         log.add(i, learner.step(batch))
@@ -83,11 +86,14 @@ def prequential_rows(spark: SparkSession, replay: Replay, learner: LinearLearner
     The models of all batches are a table; one pass over the rows judges them, and nothing about rows is kept while the
     learner runs.
     """
+    rows = replay.table().where("label IS NOT NULL")
+    if linearreplay.in_blocks(learner, replay):
+        return learner.predict_by_version(rows, linearreplay.walked(learner, replay).select("batch", "member", "w"))
     log = StepLog(spark, "member string, w array<array<double>>")
     for i, batch in replay:
         log.add(i, [v[1:] for v in learner.versions(i)])
         learner.step(batch)
-    return learner.predict_by_version(replay.table().where("label IS NOT NULL"), log.table())
+    return learner.predict_by_version(rows, log.table())
 
 
 def sgd_grid(features: list[str], settings: list[dict]) -> LinearLearner:
