@@ -1,6 +1,7 @@
 """Toxicity and language models: exactness of the search, calibration, and accuracy on held-out rows."""
 
 import os
+import pickle
 import zlib
 
 import numpy as np
@@ -153,3 +154,24 @@ def test_language_odd(odd_docs, no_docs):
     assert {r.lang_pred for r in rows.values()} <= {"und", "en", "de"}
     assert langid.language_id(no_docs).count() == 0
     assert {r.lang_pred for r in langid.identify(odd_docs, langid.train(no_docs)).collect()} == {"und"}
+
+
+def test_terms_keep_nothing_of_the_texts():
+    """Words and their beginnings are counted as one by one, and a worker's table does not grow with the words it meets."""
+    from collections import Counter
+
+    known = toxicity.Terms(["idiot", "idio~", "idiots~", "a", "street", "stre~"])
+    size = lambda: len(pickle.dumps(known))
+    before, rng = size(), np.random.default_rng(4)
+    vocabulary = ["idiot", "idiots", "idiotic", "a", "street", "streets", "strong", *[f"w{chr(97 + i % 26)}{i}" for i in range(5_000)]]
+    texts = [Counter(rng.choice(vocabulary, int(rng.integers(0, 400))).tolist()) for _ in range(40)] + [Counter(["idiots", "idiot"])]
+    text, term, times = known.counts(texts)
+    want = {}
+    for i, words in enumerate(texts):
+        for word, n in words.items():
+            for t in toxicity.word_terms(word):
+                if t in known.number:
+                    want[i, known.number[t]] = want.get((i, known.number[t]), 0) + n
+    assert list(zip(text.tolist(), term.tolist())) == sorted(want)
+    assert dict(zip(zip(text.tolist(), term.tolist()), times.tolist())) == want
+    assert size() == before

@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import chain, repeat
 
 import numpy as np
@@ -47,7 +47,6 @@ TOGETHER = 64
 COMMON, MOST_COMMON = 16, 1_024
 _WORDS = re.compile(r"[^\W\d_]+")
 _LETTERS = "".join(chr(i) if chr(i).isalpha() else " " for i in range(128))  # what an ASCII character is to words
-_CACHE = 500_000
 
 
 def word_terms(word: str) -> list[str]:
@@ -64,43 +63,37 @@ def words(text: str | None) -> list[str]:
 
 
 class Terms:
-    """Terms of texts as vectors."""
+    """Terms of texts as vectors. It holds what the terms say about words, nothing about the texts seen."""
 
     def __init__(self, terms: list[str]):
         self.number = {t: i for i, t in enumerate(terms)}
-        self.clear()
-
-    def clear(self) -> None:
-        """Forget the words seen so far: their numbers, and where each one's terms lie in a row of all."""
-        self.known: dict[str, int] = {}
-        self.begin = self.size = np.zeros(0, np.int64)
-        self.row = np.zeros(0, np.int64)
-
-    def _learn(self, new: list[str]) -> None:
-        found = [[self.number[t] for t in word_terms(w) if t in self.number] for w in new]
-        sizes = np.array([len(f) for f in found], np.int64)
-        self.known.update(zip(new, range(len(self.size), len(self.size) + len(new))))
-        self.begin = np.append(self.begin, len(self.row) + np.cumsum(sizes) - sizes)
-        self.size = np.append(self.size, sizes)
-        self.row = np.append(self.row, np.array([t for f in found for t in f], np.int64))
+        self.marks = {t[:-1]: i for i, t in enumerate(terms) if t.endswith("~")}
+        # The marks that each term begins with, if it is a word, and where they lie in a row of all.
+        found = [self._begin(t) if not t.endswith("~") else [] for t in terms]
+        self.size = np.fromiter(map(len, found), np.int64, len(found))
+        self.begin = np.cumsum(self.size) - self.size
+        self.row = np.fromiter(chain.from_iterable(found), np.int64, int(self.size.sum()))
+
+    def _begin(self, word: str) -> list[int]:
+        """The terms that are beginnings of the word."""
+        return [self.marks[b] for n in PREFIXES if len(word) >= n and (b := word[:n]) in self.marks]
 
     def counts(self, texts: list[Counter[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, term, times) of the terms of the texts, given as their words; by text, then by term."""
-        if len(self.known) > _CACHE:
-            self.clear()
         sizes, flat = list(map(len, texts)), list(chain.from_iterable(texts))
-        codes = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
-        new = np.flatnonzero(codes < 0)
-        if len(new):
-            missed = [flat[i] for i in new.tolist()]
-            self._learn(list(dict.fromkeys(missed)))
-            codes[new] = np.fromiter(map(self.known.__getitem__, missed), np.int64, len(missed))
+        codes = np.fromiter(map(self.number.get, flat, repeat(-1)), np.int64, len(flat))
+        words_at, new = np.flatnonzero(codes >= 0), np.flatnonzero(codes < 0)
+        own = codes[words_at]
+        n = self.size[own]
+        # Words are terms, words of the examples have known marks, and other words may begin with one.
+        begun = [(i, self._begin(flat[i])) for i in new.tolist()] if self.marks else []
+        begun = [(i, t) for i, found in begun for t in found]
+        at = np.concatenate([words_at, np.repeat(words_at, n), np.array([i for i, _ in begun], np.int64)])
+        found = np.concatenate([own, self.row[_ranges(self.begin[own], n)], np.array([t for _, t in begun], np.int64)])
         times = np.fromiter(chain.from_iterable(t.values() for t in texts), np.int64, len(codes))
-        n = self.size[codes]
-        found = self.row[_ranges(self.begin[codes], n)]
         terms = max(1, len(self.number))
-        key, back = np.unique(np.repeat(np.repeat(np.arange(len(texts)), sizes), n) * terms + found, return_inverse=True)
-        return key // terms, key % terms, np.bincount(back, weights=np.repeat(times, n), minlength=len(key))
+        key, back = np.unique(np.repeat(np.arange(len(texts)), sizes)[at] * terms + found, return_inverse=True)
+        return key // terms, key % terms, np.bincount(back, weights=times[at], minlength=len(key))
 
     def vectors(self, texts: list[Counter[str]], weight: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """(terms, weights) of each text, of length 1."""
@@ -321,12 +314,13 @@ def example_terms(rows: DataFrame) -> tuple[list[str], np.ndarray]:
     return chosen.column("term").to_pylist(), LEAST + np.abs(odds) * z2 / (z2 + DOUBT)
 
 
-def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[np.ndarray, int]:
+def document_frequencies(docs: DataFrame, terms: Terms) -> tuple[np.ndarray, int]:
     """Documents that hold each term, and documents in all, over the whole of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
+    shared = docs.sparkSession.sparkContext.broadcast(terms)  # bounded by PER_CLASS
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, total = Terms(shared.value), np.zeros(len(shared.value) + 1, np.int64)
+        own = shared.value
+        total = np.zeros(len(own.number) + 1, np.int64)
         for batch in rows:
             total[-1] += batch.num_rows
             for texts in own.batches(t.as_py() for t in batch.column("text")):
@@ -334,7 +328,7 @@ def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[np.ndarray,
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["term", "n"])
 
-    out = np.zeros(len(terms) + 1, np.int64)
+    out = np.zeros(len(terms.number) + 1, np.int64)
     counted = docs.select("text").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     out[counted.column("term").to_numpy()] = counted.column("n").to_numpy()  # one row per term of the examples
     return out[:-1], int(out[-1])
@@ -344,9 +338,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """The model from documents and labels: labels of held-out rows are not read."""
     rows, stands_for = examples(docs, labels)
     terms, relevance = example_terms(rows)
-    frequencies, n = document_frequencies(docs, terms)
-    weigh = (np.log((1 + n) / (1 + frequencies)) + 1) * relevance
     own = Terms(terms)
+    frequencies, n = document_frequencies(docs, own)
+    weigh = (np.log((1 + n) / (1 + frequencies)) + 1) * relevance
     held, bare = [], {0: 0, 1: 0}
     for r in rows.toLocalIterator():  # at most about two times PER_CLASS rows
         at, x = own.vectors([Counter(words(r["text"]))], weigh)[0]
@@ -379,12 +373,12 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     drawn to that of all examples, as its score and no evidence. Rows that repeat a doc_id are scored one by one; a null doc_id stays null and is not held out. Without any
     example every score is 0.5. Columns other than doc_id and text are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by PER_CLASS
+    shared = docs.sparkSession.sparkContext.broadcast((replace(model, terms=[]), Terms(model.terms)))  # bounded by PER_CLASS
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms(shared.value.terms)
+        known, terms = shared.value
         for batch in rows:
-            found = list(shared.value.scores((t.as_py() for t in batch.column("text")), terms))
+            found = list(known.scores((t.as_py() for t in batch.column("text")), terms))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), batch.column("held_out"),
                  pa.array([f[0] for f in found], pa.float64()),
@@ -398,12 +392,12 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` without the rows whose text scores ``REJECT`` or more; all columns kept, whatever their names."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((replace(model, terms=[]), Terms(model.terms)))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms(shared.value.terms)
+        known, terms = shared.value
         for batch in rows:
-            keep = [f[0] < REJECT for f in shared.value.scores((t.as_py() for t in batch.column("text")), terms)]
+            keep = [f[0] < REJECT for f in known.scores((t.as_py() for t in batch.column("text")), terms)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
