@@ -124,3 +124,16 @@ def test_packing_is_tight(spark):
         fills[r.sequence_id] = fills.get(r.sequence_id, 0) + r.length
     padding = sum(2048 - n for n in fills.values() if n & (n - 1))
     assert padding == 0
+
+
+def test_stages_send_few_texts_to_python_together(spark):
+    """A batch of 10,000 texts takes tens of MB, several times over, in an executor and its workers."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for name, set_to, want in (("near_dedup", "10000", corpus_pipeline.BATCH_ROWS), ("near_dedup", "0", corpus_pipeline.BATCH_ROWS), ("packing", "100", 100)):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", set_to)
+            docs = spark.createDataFrame([(i, f"text number {i} of some") for i in range(5)], "doc_id bigint, text string")
+            dict(corpus_pipeline.STAGES)[name](spark, docs, "")
+            assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
