@@ -7,6 +7,7 @@ import pytest
 from tunelens.sources import replay
 from tunelens.streaming import treereplay
 from tunelens.streaming.prequential import prequential
+from tunelens.streaming.splits import best_tests
 from tunelens.streaming.trees import Feature, Forest, OneVsRestTrees, TreeLearner, TreeOptions
 
 FEATURES = [Feature("a"), Feature("b"), Feature("c", 3)]
@@ -77,3 +78,57 @@ def test_jobs_do_not_grow_with_batches(spark, rows):
         return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
 
     assert jobs(15) <= jobs(150) + 3 < 60
+
+
+def test_trees_alike_grow_once(spark, rows, monkeypatch):
+    """Trees that differ only in their greatest depth are grown once for all, until one of them may go no deeper."""
+    options = {"9": 9, "never": 0, "2": 2, "30": 30, "other": 30}
+    kinds = {k: TreeOptions(max_depth=d, **GROWING | {"tie": 0.3 + 0.1 * (k == "other")}) for k, d in options.items()}
+    stepped, whole = TreeLearner(FEATURES, 2, kinds), TreeLearner(FEATURES, 2, kinds)
+    parts = replay.replay_file(rows, "id", 60)
+    grown: dict[int, int] = {}
+
+    def seen(_, path):
+        for r in spark.read.schema(treereplay._GROWN).parquet(path).where("what = 0").groupBy("m").count().collect():
+            grown[r["m"]] = grown.get(r["m"], 0) + r["count"]
+
+    monkeypatch.setattr(treereplay, "dropped", seen)
+    got = told(treereplay.run_replay(whole, parts).select("batch", "member", "label", "prediction", "n"))
+    want = [(i, *r) for i, batch in parts for r in stepped.step(batch)]
+    assert got == sorted(want, key=str)
+    assert 2 < whole.depths()["30"] < 9 and whole.depths() == stepped.depths()
+    assert sorted(grown) == [1, 2, 3, 4]  # the first tree is the fourth one all the way
+    for name in options:
+        assert told(stepped.predict(rows, name)) == told(whole.predict(rows, name))
+    more = rows.limit(200).cache()
+    assert sorted(stepped.step(more), key=str) == sorted(whole.step(more), key=str)
+
+
+def test_leaves_walk_together(spark, rows, monkeypatch):
+    """A batch's split merits are taken for all due leaves of a task at once, in pieces of rows too."""
+    import numpy as np
+
+    learner = TreeLearner(FEATURES, 2, {str(i): TreeOptions(grace=20, confidence=0.2, tie=0.01 * i) for i in range(40)})
+    rng, width = np.random.default_rng(1), learner.layout.width
+    calls = []
+    monkeypatch.setattr(treereplay, "best_tests", lambda *a: calls.append(len(a[1])) or best_tests(*a))
+
+    def table(keys):
+        import pyarrow as pa
+
+        part = rng.integers(1, 9, (len(keys), width)).astype(float)
+        part[:, 0] = 30.0
+        columns = [pa.array([k[i] for k in keys], t) for i, t in ((0, pa.int32()), (1, pa.int32()), (2, pa.int64()), (3, pa.int32()))]
+        return pa.RecordBatch.from_arrays([*columns, treereplay._lists(part)], names=["m", "leaf", "batch", "y", "part"])
+
+    tables = [table([(m, 0, b, y) for b in range(5) for y in (0, 1)]) for m in range(40)]
+
+    def walked():
+        calls.clear()
+        out = [r for b in treereplay._walk_leaves(learner, [0.5, 0.0, 0.0])(iter(tables)) for r in b.to_pylist()]
+        return sorted(map(str, out)), len(calls)
+
+    whole, few = walked()
+    assert few <= 5 * len(FEATURES)
+    monkeypatch.setattr(treereplay, "WALKED", 7 * width)
+    assert walked()[0] == whole

@@ -6,6 +6,7 @@ like epoch times, and two groups merge by the distance of their means alone.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +28,18 @@ def merge(a: Moments, b: Moments) -> Moments:
     return n, a[1] + gap * b[0] / n, a[2] + b[2] + gap * gap * a[0] * b[0] / n
 
 
+def from_sums_all(n: np.ndarray, s: np.ndarray, q: np.ndarray, pivot: float) -> tuple[np.ndarray, ...]:
+    """:func:`from_sums` of many groups, none of them empty."""
+    return n, pivot + s / n, np.maximum(q - s * s / n, 0.0)
+
+
+def merge_all(a, b) -> tuple[np.ndarray, ...]:
+    """:func:`merge` of many groups, none of ``b`` empty."""
+    n, gap, had = a[0] + b[0], b[1] - a[1], a[0] != 0
+    mean, m2 = a[1] + gap * b[0] / n, a[2] + b[2] + gap * gap * a[0] * b[0] / n
+    return np.where(had, n, b[0]), np.where(had, mean, b[1]), np.where(had, m2, b[2])
+
+
 def centred(n: Column, s: Column, q: Column, pivot: Column) -> tuple[Column, Column]:
     """(mean, m2) of sums around ``pivot``; NULL without values."""
     share = F.try_divide(s, n)

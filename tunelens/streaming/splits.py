@@ -38,7 +38,7 @@ def impurity(counts: np.ndarray, criterion: str) -> np.ndarray:
 
 
 def merit(parent: np.ndarray, branches: np.ndarray, criterion: str) -> np.ndarray:
-    """Impurity drop of splitting ``parent`` (C) into ``branches`` (..., B, C)."""
+    """Impurity drop of splitting ``parent`` (..., C) into ``branches`` (..., B, C)."""
     sizes = branches.sum(axis=-1)
     share = sizes / np.maximum(sizes.sum(axis=-1, keepdims=True), 1e-300)
     return impurity(parent, criterion) - (share * impurity(branches, criterion)).sum(axis=-1)
@@ -56,35 +56,45 @@ class Split:
 
 
 def numeric_cuts(n, mean, m2, low, high) -> tuple[np.ndarray, np.ndarray]:
-    """Ten equally spaced cuts inside (low, high) and the class mass on both sides of each, by the normal CDF.
+    """Ten equally spaced cuts inside (low, high), and the class mass on both sides of each, by the normal CDF.
 
-    Each class has a count, a mean and squared deviations from it."""
+    Each class, the last axis, has a count, a mean and squared deviations from it; some class was seen."""
     seen = n > 0
-    lo, hi = low[seen].min(), high[seen].max()
-    cuts = lo + (hi - lo) * np.arange(1, CUTS + 1) / (CUTS + 1)
-    sd = np.sqrt(np.divide(m2, n, out=np.zeros_like(m2), where=seen))
-    gap = cuts[:, None] - mean[None, :]
-    z = np.divide(gap, sd[None, :], out=np.where(gap >= 0, np.inf, -np.inf), where=sd[None, :] > 0)
+    lo, hi = np.where(seen, low, np.inf).min(axis=-1), np.where(seen, high, -np.inf).max(axis=-1)
+    cuts = lo[..., None] + (hi - lo)[..., None] * np.arange(1, CUTS + 1) / (CUTS + 1)
+    sd = np.sqrt(np.divide(m2, n, out=np.zeros_like(m2), where=seen))[..., None, :]
+    gap = cuts[..., None] - mean[..., None, :]
+    z = np.divide(gap, sd, out=np.where(gap >= 0, np.inf, -np.inf), where=sd > 0)
+    n = n[..., None, :]
     below = n * np.where(np.isinf(z), (z > 0).astype(float), normal_cdf(np.where(np.isinf(z), 0.0, z)))
-    return cuts, np.stack([below, n - below], axis=1)
+    return cuts, np.stack([below, n - below], axis=-2)
 
 
-def best_split(attr: int, stats: dict, parent: np.ndarray, criterion: str, binary_only: bool) -> Split | None:
-    """Best test of one attribute; ties go to the first cut or value. ``stats`` holds arrays over the classes."""
+def best_tests(stats: dict, parent: np.ndarray, criterion: str, binary_only: bool):
+    """The best test of one attribute at each of many leaves, the first axis: its kind, values, merits and branches. Ties
+    go to the first cut or value. ``stats`` holds arrays over leaves and classes."""
     if "values" in stats:
         table = stats["values"]
         if not binary_only:
-            return Split(attr, "many", 0.0, float(merit(parent, table, criterion)), table)
-        sides = np.stack([table, parent[None, :] - table], axis=1)
-        merits = merit(parent, sides, criterion)
-        best = int(np.argmax(merits))
-        return Split(attr, "one", float(best), float(merits[best]), sides[best])
-    if not (stats["n"] > 0).any():
+            return "many", np.zeros(len(table)), merit(parent, table, criterion), table
+        sides = np.stack([table, parent[:, None, :] - table], axis=-2)
+        values = np.broadcast_to(np.arange(table.shape[1], dtype=float), sides.shape[:2])
+        kind = "one"
+    else:
+        values, sides = numeric_cuts(stats["n"], stats["mean"], stats["m2"], stats["min"], stats["max"])
+        kind = "numeric"
+    merits = merit(parent[:, None, :], sides, criterion)
+    best = np.arange(len(merits)), np.argmax(merits, axis=1)
+    return kind, values[best], merits[best], sides[best]
+
+
+def best_split(attr: int, stats: dict, parent: np.ndarray, criterion: str, binary_only: bool) -> Split | None:
+    """Best test of one attribute at one leaf. ``stats`` holds arrays over the classes."""
+    if "values" not in stats and not (stats["n"] > 0).any():
         return None
-    cuts, sides = numeric_cuts(stats["n"], stats["mean"], stats["m2"], stats["min"], stats["max"])
-    merits = merit(parent, sides, criterion)
-    best = int(np.argmax(merits))
-    return Split(attr, "numeric", float(cuts[best]), float(merits[best]), sides[best])
+    one = {k: np.asarray(v)[None] for k, v in stats.items()}
+    kind, value, merits, branches = best_tests(one, parent[None], criterion, binary_only)
+    return Split(attr, kind, float(value[0]), float(merits[0]), branches[0])
 
 
 def hoeffding_bound(n: float, classes: int, confidence: float, criterion: str) -> float:

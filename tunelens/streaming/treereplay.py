@@ -16,26 +16,28 @@ or leaves reaches the driver but the splits that won.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tunelens.session import dropped, scratch_path, stored
 from tunelens.sources.replay import Replay
 from tunelens.streaming import trees as T
+from tunelens.streaming.splits import best_tests
 
 #: Batches of the first block.
 FIRST_BLOCK = 4
-#: Rows of a file of the replayed table, and notes that one Arrow batch takes.
+#: Rows of a file of the replayed table.
 ROWS_PER_FILE = 250_000
-NOTES = 2_000
 NEVER = np.iinfo(np.int64).max
 
 _PART = "m int, leaf int, batch bigint, at bigint, y int, part array<double>"
 _GROWN = """what int, m int, leaf int, batch bigint, majority int, sure boolean, may boolean, shares array<double>,
     model array<double>, part array<double>, attr int, kind string, value double, branches array<double>"""
 _NOTE, _STATE, _SPLIT = range(3)
+_HEAD = "m", "leaf", "CAST(-1 AS BIGINT) AS batch", "CAST(-1 AS BIGINT) AS at", "-1 AS y"
 
 
 class Routes:
@@ -109,8 +111,9 @@ def _sums(layout: T.Layout, x: np.ndarray, null: np.ndarray, w: np.ndarray, star
     return out
 
 
-def _partial_sums(learner: T.TreeLearner, routes: list[Routes], wanted: list[np.ndarray] | None, pivots):
-    """Sums by (tree, leaf, batch, class) of the rows that fall into ``wanted`` leaves, all leaves without it."""
+def _partial_sums(learner: T.TreeLearner, routes: list[Routes | None], wanted: list[np.ndarray] | None, pivots):
+    """Sums by (tree, leaf, batch, class) of the rows that fall into ``wanted`` leaves, all leaves without it. Trees
+    without a route are left out."""
     layout, n_features = learner.layout, len(learner.features)
 
     def run(batches: Iterator) -> Iterator:
@@ -122,6 +125,8 @@ def _partial_sums(learner: T.TreeLearner, routes: list[Routes], wanted: list[np.
             x, null = _matrix(table, n_features)
             batch, at, label = _ints(table, "batch"), int(_ints(table, "row").min()), _ints(table, "label")
             for m, route in enumerate(routes):
+                if route is None:
+                    continue
                 leaf = route.leaf(x, batch)
                 kept = np.arange(len(leaf)) if wanted is None else np.flatnonzero(wanted[m][leaf])
                 if not len(kept):
@@ -145,110 +150,227 @@ def _partial_sums(learner: T.TreeLearner, routes: list[Routes], wanted: list[np.
     return run
 
 
-def _flat_model(tree: T.Tree, sums: np.ndarray, layout: T.Layout) -> np.ndarray:
-    """The naive Bayes model of a leaf, a row per class: log prior, then per feature mean and deviation, or log shares of
-    its values. A feature the tree may not use holds zeros."""
-    n = sums[:, 0]
+def _models(layout: T.Layout, sums: np.ndarray, allowed: np.ndarray) -> np.ndarray:
+    """The naive Bayes models of leaves (first axis), by class: log prior, then per feature mean and deviation, or log
+    shares of its values. A feature the tree may not use holds zeros."""
+    n = sums[:, :, 0]
     with np.errstate(divide="ignore"):
-        columns = [np.where(n > 0, np.log(n / n.sum()), T.NO_CHANCE)[:, None]]
+        columns = [np.where(n > 0, np.log(n / n.sum(axis=1, keepdims=True)), T.NO_CHANCE)[:, :, None]]
     for i, f in enumerate(layout.features):
         s = layout.stats(sums, i)
-        if i not in tree.allowed:
-            columns.append(np.zeros((layout.classes, f.values or 2)))
-        elif f.values:
-            columns.append(np.log((s["values"] + 1.0) / (s["values"].sum(axis=0) + f.values)).T)
+        if f.values:
+            values = s["values"].swapaxes(1, 2)
+            own = np.log((values + 1.0) / (values.sum(axis=2, keepdims=True) + f.values))
         else:
             sd = np.sqrt(s["m2"] / np.maximum(s["n"], 1e-300))
-            columns.append(np.column_stack([s["mean"], np.maximum(sd, T.SD_FLOOR)]))
-    return np.hstack(columns)
+            own = np.stack([s["mean"], np.maximum(sd, T.SD_FLOOR)], axis=2)
+        columns.append(np.where(allowed[:, i, None, None], own, 0.0))
+    return np.concatenate(columns, axis=2)
 
 
-class _Leaf:
-    """A leaf on its way through the batches of a block."""
+class _Leaves:
+    """Leaves on their way through the batches of a block, each with its own rows, all one batch further at a time."""
 
-    def __init__(self, learner: T.TreeLearner, m: int, at: int):
+    def __init__(self, learner: T.TreeLearner, m: np.ndarray, at: np.ndarray):
         self.layout, self.votes, self.m, self.at = learner.layout, learner.votes, m, at
-        self.tree = list(learner.trees.values())[m]
-        self.node, self.options = self.tree.nodes[at], self.tree.options
-        self.sums, self.tried, self.poor = self.layout.empty(), 0.0, [0] * len(self.layout.features)
-        self.split: T.Split | None = None
-
-    def load(self, part: np.ndarray) -> None:
-        n = len(self.poor)
-        self.tried, self.poor = float(part[0]), [int(p) for p in part[1 : n + 1]]
-        self.sums = part[n + 1 :].reshape(self.layout.classes, self.layout.width).copy()
-
-    def state(self) -> dict:
-        return self._row(_STATE, -1) | {"part": np.concatenate([[self.tried], self.poor, self.sums.ravel()])}
-
-    def _row(self, what: int, batch: int) -> dict:
-        return {"what": what, "m": self.m, "leaf": self.at, "batch": batch}
-
-    def note(self, batch: int) -> dict:
-        """What the leaf predicts as it is. An adaptive leaf ``may`` trust its Bayes model, if that was right more often."""
-        mass = np.asarray(self.node.inherited) + self.sums[:, 0]
-        out = self._row(_NOTE, batch)
+        trees = list(learner.trees.values())
+        self.trees = [trees[k] for k in m]
+        nodes = [t.nodes[k] for t, k in zip(self.trees, at)]
+        options, n = [t.options for t in self.trees], len(self.layout.features)
+        self.inherited = np.array([x.inherited for x in nodes], dtype=float)
+        self.depth, self.max_depth = (np.array(x) for x in ([x.depth for x in nodes], [o.max_depth for o in options]))
+        self.kind, self.enough = (np.array([getattr(o, k) for o in options]) for k in ("leaf_kind", "nb_threshold"))
+        self.grace, self.growth = (np.array([getattr(o, k) for o in options]) for k in ("grace", "growth"))
+        self.allowed = np.zeros((len(m), n), dtype=bool)
+        self.drawn = np.zeros((len(m), n), dtype=bool)
+        for row, drawn, t, k in zip(self.allowed, self.drawn, self.trees, at.tolist()):
+            row[t.allowed], drawn[t.drawn(k)] = True, True
+        self.sums = np.tile(self.layout.empty(), (len(m), 1, 1))
+        self.tried, self.poor = np.zeros(len(m)), np.zeros((len(m), n), dtype=np.int64)
+        self.split = np.zeros(len(m), dtype=bool)
+
+    def load(self, own: np.ndarray, part: np.ndarray) -> None:
+        n = self.poor.shape[1]
+        self.tried[own], self.poor[own] = part[:, 0], part[:, 1 : n + 1]
+        self.sums[own] = part[:, n + 1 :].reshape(len(own), *self.sums.shape[1:])
+
+    def states(self, own: np.ndarray) -> dict:
+        part = np.column_stack([self.tried[own], self.poor[own], self.sums[own].reshape(len(own), -1)])
+        return self._rows(_STATE, own, np.full(len(own), -1)) | {"part": part}
+
+    def _rows(self, what: int, own: np.ndarray, batch: np.ndarray) -> dict:
+        return {"what": np.full(len(own), what), "m": self.m[own], "leaf": self.at[own], "batch": batch}
+
+    def notes(self, own: np.ndarray, batch: np.ndarray) -> dict:
+        """What leaves predict as they are. An adaptive leaf ``may`` trust its Bayes model, if that was right more often."""
+        n = self.sums[own, :, 0]
+        mass, seen = self.inherited[own] + n, n.sum(axis=1)
+        out = self._rows(_NOTE, own, batch)
         if self.votes:
-            return out | {"shares": mass / mass.sum() if mass.sum() > 0 else np.zeros_like(mass)}
-        seen, o = float(self.sums[:, 0].sum()), self.options
-        enough = bool(seen > 0 and seen > o.nb_threshold)
-        out |= {"majority": int(np.argmax(mass)), "sure": enough and o.leaf_kind == 1, "may": enough and o.leaf_kind == 2}
-        if o.leaf_kind and seen:
-            out["model"] = _flat_model(self.tree, self.sums, self.layout).ravel()
+            total = mass.sum(axis=1, keepdims=True)
+            return out | {"shares": np.divide(mass, total, out=np.zeros_like(mass), where=total > 0)}
+        enough, kind = (seen > 0) & (seen > self.enough[own]), self.kind[own]
+        out |= {"majority": np.argmax(mass, axis=1), "sure": enough & (kind == 1), "may": enough & (kind == 2)}
+        has = (kind != 0) & (seen != 0)
+        if has.any():
+            known = _models(self.layout, self.sums[own[has]], self.allowed[own[has]]).reshape(has.sum(), -1)
+            out["model"], out["has_model"] = np.zeros((len(own), known.shape[1])), has
+            out["model"][has] = known
+        return out
+
+    def close(self, own: np.ndarray, batch: np.ndarray) -> list[dict]:
+        """After a batch: the splits that won at the leaves that are due."""
+        mass = self.sums[own, :, 0]
+        seen = mass.sum(axis=1)
+        due = self.growth[own] & (seen - self.tried[own] >= self.grace[own]) & ((mass > 0).sum(axis=1) > 1)
+        due &= self.depth[own] < self.max_depth[own]
+        own, batch, seen = own[due], batch[due], seen[due]
+        self.tried[own] = seen
+        kinds = [(o.criterion, o.binary_only) for o in (self.trees[k].options for k in own)]
+        out = []
+        for criterion, binary_only in sorted(set(kinds)):
+            same = np.array([kinds[i] == (criterion, binary_only) for i in range(len(own))])
+            out += self._decide(own[same], batch[same], seen[same], criterion, binary_only)
+        return out
+
+    def _decide(self, own: np.ndarray, batch: np.ndarray, seen: np.ndarray, criterion: str, binary_only: bool) -> list[dict]:
+        """What :func:`trees._decide` states, for leaves with one criterion."""
+        sums, n = self.sums[own], self.poor.shape[1]
+        usable = self.drawn[own] & (self.poor[own] < 2)
+        merits, tests = np.full((len(own), n), -np.inf), []
+        for i in range(n):
+            stats = self.layout.stats(sums, i)
+            if "values" not in stats:
+                usable[:, i] &= (stats["n"] > 0).any(axis=1)
+            at = np.flatnonzero(usable[:, i])
+            test = best_tests({k: v[at] for k, v in stats.items()}, sums[at, :, 0], criterion, binary_only)
+            merits[at, i] = test[2]
+            place = np.full(len(own), -1)
+            place[at] = np.arange(len(at))
+            tests.append((place, *test))
+        out = []
+        best = np.argmax(merits, axis=1)
+        top = merits[np.arange(len(own)), best]
+        rest = merits.copy()
+        rest[np.arange(len(own)), best] = -np.inf
+        second = np.where(usable.sum(axis=1) > 1, rest.max(axis=1), 0.0)
+        for j in np.flatnonzero(usable.any(axis=1)).tolist():
+            k, tree = own[j], self.trees[own[j]]
+            o = tree.options
+            if np.isnan(merits[j]).any():  # no order: as a leaf alone would take them
+                poor = self.poor[k].tolist()
+                s = T._decide(tree, int(self.at[k]), sums[j], self.layout, poor)
+                self.poor[k] = poor
+                if s is not None:
+                    out.append(self._split(k, batch[j], s.attr, s.kind, s.value, s.branches))
+                continue
+            bound = T.hoeffding_bound(seen[j], tree.classes, o.confidence, o.criterion)
+            if o.remove_poor:
+                behind = np.where(top[j] - merits[j] > bound, self.poor[k] + 1, 0)
+                self.poor[k] = np.where(usable[j], behind, self.poor[k])
+            if (o.no_pre_prune or top[j] > 0) and (top[j] - second[j] > bound or bound < o.tie):
+                i = int(best[j])
+                place, kind, value, _, branches = tests[i]
+                out.append(self._split(k, batch[j], i, kind, value[place[j]], branches[place[j]]))
         return out
 
-    def close(self, batch: int) -> dict | None:
-        """After a batch: the split that won, if the leaf is due and one did."""
-        mass, o = self.sums[:, 0], self.options
-        seen = float(mass.sum())
-        if not (o.growth and seen - self.tried >= o.grace and (mass > 0).sum() > 1 and self.node.depth < o.max_depth):
-            return None
-        self.tried = seen
-        self.split = s = T._decide(self.tree, self.at, self.sums, self.layout, self.poor)
-        if s is None:
-            return None
-        found = {"attr": s.attr, "kind": s.kind, "value": float(s.value), "branches": np.asarray(s.branches, float).ravel()}
-        return self._row(_SPLIT, batch) | found
+    def _split(self, k: int, batch: int, attr: int, kind: str, value: float, branches: np.ndarray) -> dict:
+        self.split[k] = True
+        found = {"attr": attr, "kind": kind, "value": float(value), "branches": np.asarray(branches, float).ravel()}
+        return {"what": _SPLIT, "m": self.m[k], "leaf": self.at[k], "batch": batch} | found
 
 
-def _walk_leaves(learner: T.TreeLearner, pivots):
-    """Leaves through their batches. Rows come sorted by leaf, batch and class, a leaf's state first."""
+#: Numbers of the sums that one task walks through together, 16 MB.
+WALKED = 2_000_000
 
-    def rows(batches: Iterator) -> Iterator[dict]:
-        leaf: _Leaf | None = None
-        open_batch = None
 
-        def ended():
-            out = leaf.close(open_batch) if open_batch is not None else None
-            return out if out is not None else leaf.state()
+def _walk_leaves(learner: T.TreeLearner, pivots):
+    """Leaves through their batches. Rows come sorted by leaf, batch and class, a leaf's state first."""
+    width = learner.layout.width
+
+    def read(table) -> tuple[np.ndarray, ...]:
+        """(m, leaf, batch, y, sums of the other rows, state by row number), sums in rows of one width."""
+        m, at, batch, y = (_ints(table, c) for c in ("m", "leaf", "batch", "y"))
+        part = table.column("part")
+        values, offsets = part.flatten().to_numpy(), part.offsets.to_numpy() - part.offsets[0].as_py()
+        state, sums = y < 0, np.zeros((len(y), width))
+        sums[~state] = values[np.repeat(~state, np.diff(offsets))].reshape(-1, width)
+        held = values[np.repeat(state, np.diff(offsets))].reshape(state.sum(), -1) if state.any() else None
+        return m, at, batch, y, sums, held
+
+    def walk(m, at, batch, y, sums, held, carried: _Leaves | None, ended: bool):
+        """The columns made of rows of whole batches. A leaf that may have more rows than these is returned, too."""
+        new = np.r_[True, (m[1:] != m[:-1]) | (at[1:] != at[:-1])]
+        leaf = np.cumsum(new) - 1
+        leaves = _Leaves(learner, m[new], at[new])
+        if carried is not None:  # the first leaf goes on
+            for k in ("sums", "tried", "poor", "split"):
+                getattr(leaves, k)[0] = getattr(carried, k)[-1]
+        state = y < 0
+        if state.any():
+            leaves.load(leaf[state], held)
+        rows = np.flatnonzero(~state)
+        leaf, batch, y, sums = leaf[rows], batch[rows], y[rows], sums[rows]
+        made: list[dict] = []
+        if len(rows):
+            # Visits: a leaf in a batch. The k-th visits of all leaves are taken together, and the j-th rows of these.
+            opens = np.r_[True, (leaf[1:] != leaf[:-1]) | (batch[1:] != batch[:-1])]
+            first = np.flatnonzero(opens)
+            size = np.diff(np.r_[first, len(leaf)])
+            of, number = leaf[first], batch[first]
+            turn = np.arange(len(first)) - np.searchsorted(of, of)
+            for k in range(int(turn.max()) + 1):
+                now = np.flatnonzero(turn == k)
+                now = now[~leaves.split[of[now]]]
+                if not len(now):
+                    break
+                made.append(leaves.notes(of[now], number[now]))
+                for j in range(int(size[now].max())):
+                    row = first[now][size[now] > j] + j
+                    row = row[sums[row, 0] > 0]
+                    learner.layout.absorb_all(leaves.sums, (leaf[row], y[row]), sums[row], pivots)
+                made += leaves.close(of[now], number[now])
+        done = ~leaves.split
+        done[-1] &= ended
+        if done.any():
+            made.append(leaves.states(np.flatnonzero(done)))
+        return made, None if ended else leaves
+
+    def chunks(batches: Iterator) -> Iterator[list[dict]]:
+        carried, waiting, size = None, [], 0
+
+        def take(last: bool):
+            """Rows that wait, but for those of a batch that may go on; and what is left of them."""
+            nonlocal carried
+            m, at, batch, y, sums = (np.concatenate(c) for c in list(zip(*waiting))[:5])
+            held = [w[5] for w in waiting if w[5] is not None]
+            held = np.concatenate(held) if held else None
+            cut = len(m)
+            if not last:
+                cut = int(np.flatnonzero((m == m[-1]) & (at == at[-1]) & (batch == batch[-1]))[0])
+            if not cut:
+                return None, [(m, at, batch, y, sums, held)]
+            own = int((y[:cut] < 0).sum())
+            same = carried is not None and (carried.m[-1], carried.at[-1]) == (m[0], at[0])
+            ended = last or (m[cut - 1], at[cut - 1]) != (m[cut], at[cut])
+            made, carried = walk(
+                m[:cut], at[:cut], batch[:cut], y[:cut], sums[:cut], held[:own] if own else None, carried if same else None, ended)
+            rest = [] if last else [(m[cut:], at[cut:], batch[cut:], y[cut:], sums[cut:], held[own:] if held is not None and own < len(held) else None)]
+            return made, rest
 
         for table in batches:
-            m, at, batch, y = (_ints(table, c) for c in ("m", "leaf", "batch", "y"))
-            part = table.column("part")
-            values, offsets = part.flatten().to_numpy(), part.offsets.to_numpy() - part.offsets[0].as_py()
-            for i in range(table.num_rows):
-                if leaf is None or leaf.m != m[i] or leaf.at != at[i]:
-                    if leaf is not None and leaf.split is None:
-                        yield ended()
-                    leaf, open_batch = _Leaf(learner, int(m[i]), int(at[i])), None
-                if leaf.split is not None:
-                    continue
-                sums = values[offsets[i] : offsets[i + 1]]
-                if y[i] < 0:
-                    leaf.load(sums)
-                    continue
-                if open_batch != batch[i]:
-                    if open_batch is not None:
-                        out = leaf.close(open_batch)
-                        if out is not None:
-                            yield out
-                            continue
-                    open_batch = int(batch[i])
-                    yield leaf.note(open_batch)
-                if sums[0] > 0:
-                    leaf.layout.absorb(leaf.sums[y[i]], sums, pivots)
-        if leaf is not None and leaf.split is None:
-            yield ended()
+            if not table.num_rows:
+                continue
+            waiting.append(read(table))
+            size += table.num_rows * width
+            if size >= WALKED:
+                made, waiting = take(False)
+                size = sum(len(w[0]) for w in waiting) * width
+                if made:
+                    yield made
+        if waiting:
+            made, waiting = take(True)
+            yield made
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -259,23 +381,31 @@ def _walk_leaves(learner: T.TreeLearner, pivots):
             ("sure", pa.bool_()), ("may", pa.bool_()), ("shares", floats), ("model", floats), ("part", floats),
             ("attr", pa.int32()), ("kind", pa.string()), ("value", pa.float64()), ("branches", floats)])
 
-        def packed(waiting):
-            return pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in waiting], f.type) for f in schema], schema=schema)
-
-        waiting = []
-        for row in rows(batches):
-            waiting.append(row)
-            if len(waiting) == NOTES:
-                yield packed(waiting)
-                waiting = []
-        if waiting:
-            yield packed(waiting)
+        def column(rows: dict, f, n: int):
+            v = rows.get(f.name)
+            if v is None:
+                return pa.nulls(n, f.type)
+            if f.type != floats:
+                return pa.array(v).cast(f.type)
+            has = rows.get("has_" + f.name, np.ones(n, dtype=bool))
+            ends = np.cumsum(np.where(has, v.shape[1], 0))
+            offsets = pa.array(np.r_[0, ends].astype(np.int32), mask=np.r_[~has, False])
+            return pa.ListArray.from_arrays(offsets, pa.array(v[has].ravel()))
+
+        for made in chunks(batches):
+            won = [r for r in made if r.get("attr") is not None]
+            if won:
+                yield pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in won], f.type) for f in schema], schema=schema)
+            for rows in made:
+                if rows.get("attr") is None:
+                    yield pa.RecordBatch.from_arrays([column(rows, f, len(rows["m"])) for f in schema], schema=schema)
 
     return run
 
 
-def _judge(learner: T.TreeLearner, routes: list[Routes]):
-    """Rows of one batch against the notes of its leaves: counts by label and prediction."""
+def _judge(learner: T.TreeLearner, routes: list[Routes | None], since: list[int]):
+    """Rows of one batch against the notes of its leaves: counts by label and prediction. A tree is judged from its batch
+    ``since`` on."""
     features, layout, votes = learner.features, learner.layout, learner.votes
     classes = layout.classes
 
@@ -339,6 +469,8 @@ def _judge(learner: T.TreeLearner, routes: list[Routes]):
         sure, may = _ints(notes, "sure"), _ints(notes, "may")
         out = []
         for m, route in enumerate(routes):
+            if route is None or number < since[m]:
+                continue
             at = found(notes, m, len(route.until))[route.leaf(x, batch)]
             bayes = np.full(len(x), -1)
             if has[at].any():
@@ -365,6 +497,65 @@ def in_blocks(learner) -> bool:
     return isinstance(learner, T.TreeLearner) and all(t.options.grace > 0 or not t.options.growth for t in learner.trees.values())
 
 
+def _copied(nodes: list[T.Node]) -> list[T.Node]:
+    return [replace(n, children=list(n.children), inherited=list(n.inherited)) for n in nodes]
+
+
+def _leaders(learner: T.TreeLearner) -> list[int]:
+    """By tree, the number of the tree that grows for it. Trees that have not learnt yet and differ in their greatest depth
+    alone are the same until one of their leaves is as deep as one of them may be; the one that may grow deepest leads."""
+    members = list(learner.trees.values())
+    if learner.votes or learner.written or any(not t.nodes[0].is_leaf for t in members):
+        return list(range(len(members)))
+    alike: dict[tuple, list[int]] = {}
+    for m, t in enumerate(members):
+        alike.setdefault((replace(t.options, max_depth=0), tuple(t.allowed), t.subset, t.seed), []).append(m)
+    leader = [0] * len(members)
+    for own in alike.values():
+        best = max(own, key=lambda m: members[m].options.max_depth)
+        for m in own:
+            leader[m] = best
+    return leader
+
+
+def _grow(learner: T.TreeLearner, rows: DataFrame, chosen: list[int], split_at: list[dict[int, int]], states: DataFrame,
+          done: int, end: int, pivots, parallel: int) -> list[str]:
+    """The tables that the chosen trees leave behind, grown over the batches [done, end) from the ``states`` of leaves."""
+    spark, members = rows.sparkSession, list(learner.trees.values())
+    grows = any(members[m].options.growth for m in chosen)
+    start, pending, block = done, None, []
+    while True:
+        routes = [Routes(t, s) if m in chosen else None for m, (t, s) in enumerate(zip(members, split_at))]
+        wanted = None
+        if pending is not None:
+            wanted = [np.zeros(len(t.nodes), dtype=bool) for t in members]
+            for m, at in pending:
+                wanted[m][at] = True
+        leaves = sum(len(members[m].leaves()) for m in chosen) if pending is None else len(pending)
+        taken = rows.where((F.col("batch") >= start) & (F.col("batch") < end))
+        parts = taken.mapInArrow(_partial_sums(learner, routes, wanted, pivots), _PART)
+        if pending is None:
+            parts = parts.unionByName(states)
+        dealt = parts.repartition(max(1, min(2 * parallel, leaves)), "m", "leaf")
+        path = scratch_path(spark, "grown", learner.home)
+        in_turn = dealt.sortWithinPartitions("m", "leaf", "batch", "at", "y")
+        in_turn.mapInArrow(_walk_leaves(learner, pivots), _GROWN).write.parquet(path)
+        block.append(path)
+        if not grows:
+            return block
+        won = spark.read.schema(_GROWN).parquet(path).where(F.col("what") == _SPLIT)
+        # One row per split that won.
+        splits = sorted(tuple(r) for r in won.select("m", "leaf", "batch", "attr", "kind", "value", "branches").collect())
+        pending = []
+        for m, leaf, batch, attr, kind, value, branches in splits:
+            split_at[m][leaf] = batch
+            children = np.reshape(branches, (-1, learner.layout.classes)).tolist()
+            pending += [(m, child) for child in members[m].split(leaf, attr, kind, value, children)]
+        start = min((s[2] for s in splits), default=end) + 1
+        if not pending or start >= end:
+            return block
+
+
 def run_replay(learner: T.TreeLearner, replay: Replay) -> DataFrame:
     """(batch, member, label, prediction, n) of every batch; the learner ends as if it had stepped through them."""
     spark = replay.ordered.table.sparkSession
@@ -383,63 +574,56 @@ def run_replay(learner: T.TreeLearner, replay: Replay) -> DataFrame:
 
     before = learner.leaves(spark)
     split_at: list[dict[int, int]] = [{} for _ in members]
-    head = "m", "leaf", F.lit(-1).cast("bigint").alias("batch"), F.lit(-1).cast("bigint").alias("at"), F.lit(-1).alias("y")
+    leader = _leaders(learner)  # by tree; one that leads itself grows and is judged from its batch ``since`` on
+    since = [first] * len(members)
     states = before.where("sums IS NOT NULL").select(
-        *head, F.concat(F.array("tried"), F.col("poor").cast("array<double>"), "sums").alias("part"))
+        *map(F.expr, _HEAD), F.concat(F.array("tried"), F.col("poor").cast("array<double>"), "sums").alias("part"))
     paths: list[str] = []
+    forks: list[tuple[int, int, int]] = []  # (leader, tree, batch it left its leader at)
     grows = any(t.options.growth for t in members)
     draws = any(t.options.growth and t.subset is not None and t.subset < len(t.allowed) for t in members)
     done, end = first, first
     while done < len(replay):
         length = 1 if draws else max(FIRST_BLOCK, 2 * (done - first)) if grows else len(replay)
         end = min(len(replay), done + length)
-        start, pending, block = done, None, []
-        while True:
-            routes = [Routes(t, s) for t, s in zip(members, split_at)]
-            wanted = None
-            if pending is not None:
-                wanted = [np.zeros(len(t.nodes), dtype=bool) for t in members]
-                for m, at in pending:
-                    wanted[m][at] = True
-            leaves = sum(len(t.leaves()) for t in members) if pending is None else len(pending)
-            taken = rows.where((F.col("batch") >= start) & (F.col("batch") < end))
-            parts = taken.mapInArrow(_partial_sums(learner, routes, wanted, pivots), _PART)
-            if pending is None:
-                parts = parts.unionByName(states)
-            dealt = parts.repartition(max(1, min(2 * parallel, leaves)), "m", "leaf")
-            path = scratch_path(spark, "grown", learner.home)
-            in_turn = dealt.sortWithinPartitions("m", "leaf", "batch", "at", "y")
-            in_turn.mapInArrow(_walk_leaves(learner, pivots), _GROWN).write.parquet(path)
-            block.append(path)
-            if not grows:
-                break
-            won = spark.read.schema(_GROWN).parquet(path).where(F.col("what") == _SPLIT)
-            # One row per split that won.
-            splits = sorted(tuple(r) for r in won.select("m", "leaf", "batch", "attr", "kind", "value", "branches").collect())
-            pending = []
-            for m, leaf, batch, attr, kind, value, branches in splits:
-                tree = members[m]
-                split_at[m][leaf] = batch
-                children = np.reshape(branches, (-1, learner.layout.classes)).tolist()
-                pending += [(m, child) for child in tree.split(leaf, attr, kind, value, children)]
-            start = min((s[2] for s in splits), default=end) + 1
-            if not pending or start >= end:
-                break
+        led = sorted({m for k, m in enumerate(leader) if k != m})
+        held = {m: (_copied(members[m].nodes), dict(split_at[m])) for m in led}
+        block = _grow(learner, rows, [m for m, k in enumerate(leader) if k == m], split_at, states, done, end, pivots, parallel)
+        # A tree that may not test where its leader might have goes its own way, from this block on.
+        apart = [m for m, k in enumerate(leader) if k != m and members[k].depth >= members[m].options.max_depth]
+        if apart:
+            for m in apart:
+                nodes, splits = held[leader[m]]
+                members[m].nodes, split_at[m], since[m] = _copied(nodes), dict(splits), done
+            own = F.array(*[F.array(*[F.lit(m) for m in apart if leader[m] == k] or [F.lit(-1)]) for k in range(len(members))])
+            known = states.withColumn("m", F.explode(own[F.col("m")])).where("m >= 0")
+            block += _grow(learner, rows, apart, split_at, known, done, end, pivots, parallel)
+            for m in apart:
+                forks.append((leader[m], m, done))
+                leader[m] = m
         paths += block
         kept = spark.read.schema(_GROWN).parquet(*block).where(F.col("what") == _STATE)
-        states = kept.select(*head, "part")
+        states = kept.selectExpr(*_HEAD, "part")
         done = end
 
     notes = spark.read.schema(_GROWN).parquet(*paths).where(F.col("what") == _NOTE)
-    routes = [Routes(t, s) for t, s in zip(members, split_at)]
+    routes = [Routes(t, s) if leader[m] == m else None for m, (t, s) in enumerate(zip(members, split_at))]
     # One constant number of partitions for both sides: batches meet without another shuffle, and are not packed together.
     judged = (
         rows.repartition(files, "batch").groupBy("batch")
         .cogroup(notes.drop("what", "part", "attr", "kind", "value", "branches").repartition(files, "batch").groupBy("batch"))
-        .applyInArrow(_judge(learner, routes), _JUDGED)
+        .applyInArrow(_judge(learner, routes, since), _JUDGED)
     )
     judged = stored(judged, "judged")
-    _keep_leaves(learner, spark, states, judged, before)
+    if forks:
+        lots = F.broadcast(spark.createDataFrame(forks, "m int, own int, until bigint"))
+        earlier_rows = judged.join(lots, "m").where("batch < until").withColumn("m", F.col("own"))
+        judged = judged.unionByName(earlier_rows.select(judged.columns))
+    for m, k in enumerate(leader):
+        if k != m:
+            members[m].nodes = _copied(members[k].nodes)
+    every = F.array(*[F.array(*[F.lit(m) for m, own in enumerate(leader) if own == k] or [F.lit(k)]) for k in range(len(members))])
+    _keep_leaves(learner, spark, states, judged, before, [m for m, k in enumerate(leader) if k == m], every)
     for path in paths:
         dropped(spark, path)
     if learner.votes:
@@ -452,19 +636,23 @@ def run_replay(learner: T.TreeLearner, replay: Replay) -> DataFrame:
     better = right["bayes"] + base[0] > right["majority"] + base[1]
     rows = rows.withColumn("trusted", F.col("sure") | (F.col("may") & better))
     rows = rows.withColumn("prediction", F.when(F.col("trusted"), F.col("bayes")).otherwise(F.col("majority")))
+    counts = rows.groupBy("batch", "m", "label", "prediction").agg(F.sum("n").alias("n"))
     member = F.element_at(F.array(*map(F.lit, names)), F.col("m") + 1).alias("member")
-    return rows.groupBy("batch", member, "label", "prediction").agg(F.sum("n").alias("n"))
+    return counts.withColumn("m", F.explode(every[F.col("m")])).select("batch", member, "label", "prediction", "n")
 
 
 def _right(kind: str):
     return F.when(F.col(kind) == F.col("label"), F.col("n")).otherwise(F.lit(0))
 
 
-def _keep_leaves(learner: T.TreeLearner, spark, states: DataFrame, judged: DataFrame, before: DataFrame) -> None:
-    """Write the leaves as they are after the last batch, for predictions and further steps."""
+def _keep_leaves(
+    learner: T.TreeLearner, spark, states: DataFrame, judged: DataFrame, before: DataFrame, grown: list[int], every: Column
+) -> None:
+    """Write the leaves as they are after the last batch, for predictions and further steps. ``every``: by number of a tree
+    that was ``grown``, the numbers of all trees that are the same."""
     members = list(learner.trees.values())
     # The driver holds the tests of all trees, so also the numbers of their leaves.
-    numbers = spark.createDataFrame([(m, at) for m, t in enumerate(members) for at in t.leaves()], "m int, leaf int")
+    numbers = spark.createDataFrame([(m, at) for m in grown for at in members[m].leaves()], "m int, leaf int")
     right = before.select("m", "leaf", F.col("right_majority").alias("a"), F.col("right_bayes").alias("b"))
     if not learner.votes:
         own = judged.select("m", "leaf", *[_right(k).cast("double").alias(c) for k, c in (("majority", "a"), ("bayes", "b"))])
@@ -480,5 +668,6 @@ def _keep_leaves(learner: T.TreeLearner, spark, states: DataFrame, judged: DataF
         F.slice("part", width + 2, learner.layout.classes * learner.layout.width).alias("sums"), F.lit(None).cast("array<int>").alias("parts"))
     path = scratch_path(spark, "leaves", learner.home)
     as_they_are = T._advance_all(members, learner.layout, learner.pivots, tries=False)
-    rows.repartition(tasks, "m", "leaf").mapInArrow(as_they_are, T.LEAF).write.parquet(path)
+    leaves = rows.repartition(tasks, "m", "leaf").mapInArrow(as_they_are, T.LEAF)
+    leaves.withColumn("m", F.explode(every[F.col("m")])).write.parquet(path)
     learner.written, learner.fresh = [*learner.written[-1:], path], []

@@ -177,12 +177,28 @@ class Layout:
                 row[at : at + 3] = moments.merge(tuple(row[at : at + 3]), own)
                 row[at + 3], row[at + 4] = min(row[at + 3], part[at + 3]), max(row[at + 4], part[at + 4])
 
+    def absorb_all(self, sums: np.ndarray, own: tuple[np.ndarray, np.ndarray], parts: np.ndarray, pivots: list[float]) -> None:
+        """What :meth:`absorb` does, for the (leaf, class) rows ``own`` of ``sums``, all different, and their ``parts``."""
+        rows = sums[own]
+        rows[:, 0] += parts[:, 0]
+        for f, at, pivot in zip(self.features, self.first, pivots):
+            if f.values:
+                rows[:, at : at + f.values] += parts[:, at : at + f.values]
+                continue
+            new = np.flatnonzero(parts[:, at])
+            row, part = rows[new, at : at + 5].T, parts[new, at : at + 5].T
+            merged = moments.merge_all(row[:3], moments.from_sums_all(*part[:3], pivot))
+            low, high = np.where(part[3] < row[3], part[3], row[3]), np.where(part[4] > row[4], part[4], row[4])
+            rows[new, at : at + 5] = np.column_stack([*merged, low, high])
+        sums[own] = rows
+
     def stats(self, sums: np.ndarray, i: int) -> dict:
-        """What a split merit reads of feature ``i``, by class."""
+        """What a split merit reads of feature ``i``, by class; ``sums`` are those of a leaf or, with an axis more in
+        front, of many."""
         f, at = self.features[i], self.first[i]
         if f.values:
-            return {"values": sums[:, at : at + f.values].T}
-        return dict(zip(("n", "mean", "m2", "min", "max"), sums[:, at : at + 5].T))
+            return {"values": sums[..., at : at + f.values].swapaxes(-1, -2)}
+        return {k: sums[..., at + j] for j, k in enumerate(("n", "mean", "m2", "min", "max"))}
 
     def columns(self, pivots: list[float]) -> Column:
         """The sums of a group of rows with weight ``w``, in this order."""
