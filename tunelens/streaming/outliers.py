@@ -79,5 +79,23 @@ class OutlierDetector:
             self.past[f] = moments.merge(self.past[f], own)
         return [(row["n"], row["far"])] if row["n"] else []
 
+    def walk(self, rows: DataFrame, chunk: str, row: str) -> list[tuple]:
+        """The steps of many batches in two jobs: the moments of every batch, and its flags by those of all before it."""
+        own = rows.groupBy(F.col(chunk).cast("bigint").alias("_batch")).agg(*_own_moments(self.features))
+        before = []
+        for r in sorted(own.collect(), key=lambda r: r["_batch"]):  # a row per batch
+            before.append((r["_batch"], *[v for f in self.features for v in self.past[f]]))
+            for f in self.features:
+                self.past[f] = moments.merge(self.past[f], (r[f"{f}_n"], r[f"{f}_mean"] or 0.0, r[f"{f}_m2"] or 0.0))
+        names = [f"_{k}{i}" for i in range(len(self.features)) for k in ("n", "mean", "m2")]
+        known = rows.sparkSession.createDataFrame(before, f"_batch bigint, {', '.join(f'{n} double' for n in names)}")
+        joined = rows.withColumn("_batch", F.col(chunk).cast("bigint")).join(F.broadcast(known), "_batch")
+        far = F.lit(False)
+        for i, f in enumerate(self.features):
+            stands_out = _far(f, F.col(f"_mean{i}"), F.col(f"_m2{i}"), F.col(f"_n{i}"), self.limit)
+            far = far | ((F.col(f"_n{i}") != 0) & stands_out)
+        counts = joined.groupBy("_batch").agg(F.count("*").alias("n"), F.count_if(far).alias("far"))
+        return sorted(tuple(r) for r in counts.collect())
+
     def report(self, rows: DataFrame) -> DataFrame:
         return rows.select(F.col("batch").alias("chunk_id"), "instances", "outliers")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tunelens.session import scratch_path
 from tunelens.sources.replay import Replay
-from tunelens.streaming import linearreplay
+from tunelens.streaming import linearreplay, walks
 from tunelens.streaming.clustering import StreamingKMeans
 from tunelens.streaming.linear import LinearLearner, LinearOptions
 from tunelens.streaming.outliers import OutlierDetector
@@ -29,6 +29,8 @@ class Learner(Protocol):
     def step(self, batch: DataFrame) -> list[tuple]:
         """Judge a batch with the model as it is, then train it; a few rows of what was seen."""
 
+    # A learner may have ``walk``, too: see :mod:`tunelens.streaming.walks`.
+
     def report(self, rows: DataFrame, **options: Any) -> DataFrame:
         """Metrics of the rows of any number of steps, with their ``batch``."""
 
@@ -52,7 +54,11 @@ class StepLog:
         self.pending: list[tuple] = []
 
     def add(self, batch: int, rows: list[tuple]) -> None:
-        self.pending += [(batch, *r) for r in rows]
+        self.extend([(batch, *r) for r in rows])
+
+    def extend(self, rows: list[tuple]) -> None:
+        """Rows of any batches, the number of the batch in front."""
+        self.pending += rows
         if len(self.pending) >= PENDING_ROWS:
             self.path = self.path or scratch_path(self.spark, "steps")
             self.spark.createDataFrame(self.pending, self.schema).coalesce(1).write.mode("append").parquet(self.path)
@@ -66,7 +72,7 @@ class StepLog:
 def prequential(spark: SparkSession, replay: Replay, learner: Learner, evaluator: str | None = None, **options) -> DataFrame:
     """Metrics of every batch: it is judged by the model before it, then trains it. ``options`` go to the report.
 
-    Only counts, and model sums or splits that won, reach the driver. Trees and linear models take many batches in one job.
+    Only counts, and model sums or splits that won, reach the driver. Learners that can take many batches in one job do so.
     """
     if evaluator:
         options["evaluator"] = evaluator
@@ -75,8 +81,12 @@ def prequential(spark: SparkSession, replay: Replay, learner: Learner, evaluator
     if linearreplay.in_blocks(learner, replay):
         return learner.report(linearreplay.confusion_of(linearreplay.walked(learner, replay)), **options)
     log = StepLog(spark, learner.row_schema)
-    for i, batch in replay:
-        log.add(i, learner.step(batch))
+    if walks.in_blocks(learner, replay):
+        for rows in walks.walked(learner, replay):
+            log.extend(rows)
+    else:
+        for i, batch in replay:
+            log.add(i, learner.step(batch))
     return learner.report(log.table(), **options)
 
 
