@@ -74,6 +74,20 @@ def listed_where_met(
     return before.join(totals, batch).where(stands_out(ratio, min_docs)).select(batch, "token")
 
 
+def listed_after(
+    docs: DataFrame, normal: str, counts: DataFrame, totals: DataFrame, ratio: float = 2.0, min_docs: int = 10,
+    batch: str = "chunk_id", label: str = "class",
+) -> DataFrame:
+    """:func:`listed_where_met` for batches that come after others: ``counts`` are those of the tokens seen before ``docs``,
+    ``totals`` the documents by class before each batch."""
+    earlier = Window.partitionBy("token").orderBy(batch).rowsBetween(Window.unboundedPreceding, -1)
+    own = token_counts(docs, normal, batch, label=label).select(
+        batch, "token", F.sum("normal_docs").over(earlier).alias("n"), F.sum("other_docs").over(earlier).alias("o"))
+    sums = {c: F.coalesce(k, F.lit(0)) + F.coalesce(c, F.lit(0)) for c, k in (("normal_docs", "n"), ("other_docs", "o"))}
+    rows = own.join(counts, "token", "left").withColumns(sums)
+    return rows.join(F.broadcast(totals), batch).where(stands_out(ratio, min_docs)).select(batch, "token")
+
+
 def stands_out(ratio: float, min_docs: int) -> Column:
     """Whether counts of a token put it on the list; products instead of quotients: rate_other > ratio * rate_normal."""
     seen = F.col("normal_docs") + F.col("other_docs") >= min_docs
@@ -82,11 +96,19 @@ def stands_out(ratio: float, min_docs: int) -> Column:
 
 def bow_counts(docs: DataFrame, listed: DataFrame, on: list[str], key: str = "id") -> DataFrame:
     """``docs`` with ``bow``: how many of its tokens are ``listed``."""
+    return with_hits(docs, bow_hits(docs, listed, on, key), key)
+
+
+def bow_hits(docs: DataFrame, listed: DataFrame, on: list[str], key: str = "id") -> DataFrame:
+    """(key, bow) of the documents that hold ``listed`` tokens."""
     # Counting tokens inside each document first leaves one row per (document, token) to join.
     held = docs.select(*on[:-1], key, F.explode(tokens(F.col("text"))).alias("token")).groupBy(*on[:-1], key, "token").agg(
         F.count("*").alias("n")
     )
-    hits = held.join(listed, on).groupBy(key).agg(F.sum("n").alias("bow"))
+    return held.join(listed, on).groupBy(key).agg(F.sum("n").alias("bow"))
+
+
+def with_hits(docs: DataFrame, hits: DataFrame, key: str = "id") -> DataFrame:
     return docs.join(hits, key, "left").withColumn("bow", F.coalesce("bow", F.lit(0)))
 
 

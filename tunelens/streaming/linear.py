@@ -125,6 +125,12 @@ class LinearLearner(Classifier):
         )
         return self._learn(sums.collect())  # at most members * classes^3 rows
 
+    def walk(self, rows: DataFrame, chunk: str, row: str) -> list[tuple]:
+        """The steps of many batches, models dealt to tasks."""
+        from tunelens.streaming import linearreplay
+
+        return linearreplay.walk(self, rows, chunk, row)
+
     def _learn(self, rows) -> list[tuple[str, int, int, int]]:
         seen = {key: 0 for key in self.weights}
         gradient = {key: [0.0] * len(w) for key, w in self.weights.items()}

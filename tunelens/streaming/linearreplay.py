@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tunelens.session import scratch_path
+from tunelens.session import dropped, scratch_path
 from tunelens.sources.replay import Replay
 from tunelens.streaming.linear import LinearLearner, descend
 
@@ -135,34 +135,51 @@ def _walk(learner: LinearLearner, groups: list[list[str]], end: int):
     return run
 
 
+def _learn_block(learner: LinearLearner, rows: DataFrame, end: int, path: str) -> None:
+    """Write what the models note of the batches of a block; the learner has their weights after it. ``rows`` hold batch, row,
+    label and features."""
+    spark, names = rows.sparkSession, list(learner.options)
+    n_groups = min(len(names), spark.sparkContext.defaultParallelism)
+    groups = [names[i::n_groups] for i in range(n_groups)]
+    features = [F.col(f"`{f}`").cast("double").alias(f"f{i}") for i, f in enumerate(learner.features)]
+    rows = rows.where("label IS NOT NULL").fillna(0.0, learner.features)
+    rows = rows.select("batch", "row", F.col("label").cast("int").alias("label"), *features)
+    dealt = rows.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
+    in_turn = dealt.repartitionByRange(n_groups, "g").sortWithinPartitions("g", "batch", "row")
+    in_turn.mapInArrow(_walk(learner, groups, end), _WALKED).write.parquet(path)
+    after = spark.read.schema(_WALKED).parquet(path).where(F.size("labels") == 0)
+    for r in after.select("member", "w").collect():  # a row per model
+        for c, w in enumerate(r["w"]):
+            learner.weights[r["member"], c] = list(w)
+
+
 def walked(learner: LinearLearner, replay: Replay) -> DataFrame:
     """(batch, member, w, labels, predictions, ns): of every batch with labelled rows each model's weights before it, and
     its counts. The learner ends as if it had stepped through the batches."""
     spark = replay.ordered.table.sparkSession
-    names = list(learner.options)
-    n_groups = min(len(names), spark.sparkContext.defaultParallelism)
-    groups = [names[i::n_groups] for i in range(n_groups)]
-    features = [F.col(f"`{f}`").cast("double").alias(f"f{i}") for i, f in enumerate(learner.features)]
     length = BLOCK_ROWS // replay.chunk
     path = scratch_path(spark, "walked")
     for start in range(0, len(replay), length):
         end = min(len(replay), start + length)
-        rows = replay.numbered("row", "batch", start, end).where("label IS NOT NULL").fillna(0.0, learner.features)
-        rows = rows.select("batch", "row", F.col("label").cast("int").alias("label"), *features)
-        dealt = rows.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
-        in_turn = dealt.repartitionByRange(n_groups, "g").sortWithinPartitions("g", "row")
-        block = f"{path}/{start}"
-        in_turn.mapInArrow(_walk(learner, groups, end), _WALKED).write.parquet(block)
-        after = spark.read.schema(_WALKED).parquet(block).where(F.size("labels") == 0)
-        for r in after.select("member", "w").collect():  # a row per model
-            for c, w in enumerate(r["w"]):
-                learner.weights[r["member"], c] = list(w)
+        _learn_block(learner, replay.numbered("row", "batch", start, end), end, f"{path}/{start}")
     if not len(replay):
         return spark.createDataFrame([], _WALKED)
     blocks = [f"{path}/{start}" for start in range(0, len(replay), length)]
     return spark.read.schema(_WALKED).parquet(*blocks).where(F.size("labels") > 0)
 
 
+def walk(learner: LinearLearner, rows: DataFrame, chunk: str, row: str) -> list[tuple]:
+    """(batch, member, label, prediction, n) of the chunks of ``rows``, which are learnt."""
+    spark = rows.sparkSession
+    path = scratch_path(spark, "walked")
+    named = rows.select(F.col(chunk).cast("bigint").alias("batch"), F.col(row).alias("row"), "label", *[f"`{f}`" for f in learner.features])
+    _learn_block(learner, named, -1, path)
+    noted = spark.read.schema(_WALKED).parquet(path).where(F.size("labels") > 0)
+    seen = [tuple(r) for r in confusion_of(noted).collect()]  # members * classes^2 rows a batch at the most
+    dropped(spark, path)
+    return seen
+
+
 def confusion_of(rows: DataFrame) -> DataFrame:
     """(batch, member, label, prediction, n) of walked batches."""
     counts = F.inline(F.arrays_zip("labels", "predictions", "ns")).alias("label", "prediction", "n")

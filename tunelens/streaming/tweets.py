@@ -7,6 +7,7 @@ from typing import Any
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from tunelens.operators import bow
 from tunelens.operators import features as feats
 from tunelens.streaming.vocabulary import Vocabulary
 
@@ -38,8 +39,20 @@ class TweetExtractor:
         rows = feats.lexicon_features(feats.user_features(rows), self.lexicon)
         if self.vocabulary:
             rows = self.vocabulary.mark(rows)
-        label = (feats.to_binary(F.col("class"), self.normal) != self.normal).cast("int").alias("label")
-        return rows.select("id", *[F.col(n).cast("double").alias(n) for n in self.features], label)
+        return rows.select("id", *[F.col(n).cast("double").alias(n) for n in self.features], self._label())
+
+    def chunk_rows(self, texts: DataFrame, chunk: str, row: str) -> DataFrame:
+        """:meth:`rows` of many chunks, with the chunk and the place of each row. An id belongs to its chunk."""
+        known = texts.where("class IS NOT NULL").withColumn("_key", F.when(F.col("id").isNotNull(), F.struct(chunk, "id")))
+        rows = feats.text_features(known, self.preprocess)
+        rows = feats.lexicon_features(feats.user_features(rows), self.lexicon, "_key")
+        if self.vocabulary:
+            rows = bow.with_hits(rows, self.vocabulary.chunk_hits(known, chunk, "_key"), "_key")
+        rows = rows.select(chunk, row, "id", *[F.col(n).cast("double").alias(n) for n in self.features], self._label())
+        return feats.normalize_features(rows, self.head, self.normalize)
+
+    def _label(self):
+        return (feats.to_binary(F.col("class"), self.normal) != self.normal).cast("int").alias("label")
 
     def rows(self, texts: DataFrame) -> DataFrame:
         return feats.normalize_features(self.raw(texts), self.head, self.normalize)
@@ -63,13 +76,22 @@ class TextLearner:
             self.extractor.vocabulary.load(state["words"])
 
     def step(self, batch: DataFrame) -> list[tuple]:
-        words = self.extractor.vocabulary
-        for part in (self.learner, words):
+        self._settle()
+        return self._with_words(batch, self.learner.step(self.extractor.rows(batch)))
+
+    def walk(self, rows: DataFrame, chunk: str, row: str) -> list[tuple]:
+        """The steps of many batches: their features are taken together, each by the words before it."""
+        self._settle()
+        return self._with_words(rows, self.learner.walk(self.extractor.chunk_rows(rows, chunk, row), chunk, row))
+
+    def _settle(self) -> None:
+        for part in (self.learner, self.extractor.vocabulary):
             if getattr(part, "home", "") is None:
                 part.home = self.home
-        seen = self.learner.step(self.extractor.rows(batch))
-        if words:
-            words.learn(batch)
+
+    def _with_words(self, texts: DataFrame, seen: list[tuple]) -> list[tuple]:
+        if self.extractor.vocabulary:
+            self.extractor.vocabulary.learn(texts)
         return seen
 
     def report(self, rows: DataFrame, **options: Any) -> DataFrame:

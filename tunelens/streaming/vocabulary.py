@@ -52,6 +52,21 @@ class Vocabulary:
         """``docs`` with ``bow``, by the list in force."""
         return bow.bow_counts(docs, self.listed(docs.sparkSession), ["token"], key)
 
+    def chunk_hits(self, docs: DataFrame, chunk: str, key: str) -> DataFrame:
+        """(key, bow) of documents of many chunks that hold words of the list in force before their chunk, all chunks before
+        it learnt."""
+        spark = docs.sparkSession
+        known = docs.where(F.col(self.label).isNotNull())
+        is_normal = F.col(self.label) == self.normal
+        seen = known.groupBy(chunk).agg(F.count_if(is_normal), F.count_if(~is_normal)).collect()  # a row per chunk
+        totals, before = list(self.totals), []
+        for number, n, o in sorted(tuple(r) for r in seen):
+            before.append((number, *totals))
+            totals = [totals[0] + n, totals[1] + o]
+        totals = spark.createDataFrame(before, f"`{chunk}` bigint, normal_total bigint, other_total bigint")
+        listed = bow.listed_after(known, self.normal, self.counts(spark), totals, self.ratio, self.min_docs, chunk, self.label)
+        return bow.bow_hits(docs, listed, [chunk, "token"], key)
+
     def learn(self, docs: DataFrame) -> None:
         """Add the counts of a batch of labelled documents."""
         spark = docs.sparkSession
