@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tunelens.session import scratch_path
 from tunelens.sources.replay import Replay
-from tunelens.streaming import linearreplay, walks
+from tunelens.streaming import linearreplay, treewalk, walks
 from tunelens.streaming.clustering import StreamingKMeans
 from tunelens.streaming.linear import LinearLearner, LinearOptions
 from tunelens.streaming.outliers import OutlierDetector
@@ -76,6 +76,8 @@ def prequential(spark: SparkSession, replay: Replay, learner: Learner, evaluator
     """
     if evaluator:
         options["evaluator"] = evaluator
+    if treewalk.in_tasks(learner, replay):
+        return learner.report(treewalk.run(learner, replay), **options)
     if in_blocks(learner):
         return learner.report(run_replay(learner, replay), **options)
     if linearreplay.in_blocks(learner, replay):

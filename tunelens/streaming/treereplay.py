@@ -7,7 +7,8 @@ rounds as a path grows in it. A block is twice as long as all before it, so a re
 has, and its batches, splits and predictions are those of :meth:`TreeLearner.step` taken batch by batch.
 
 A tree that draws attributes by the number of a leaf has to number its leaves batch by batch: with such a tree a block is
-one batch, learnt in one job, and only the judging is done at once.
+one batch, learnt in one job, and only the judging is done at once. :mod:`tunelens.streaming.treewalk` takes such trees, and
+many trees, whose chunks a task can hold.
 
 A leaf notes what it predicts before each batch that has rows for it. Rows meet these notes by batch; nothing about rows
 or leaves reaches the driver but the splits that won.
@@ -16,6 +17,7 @@ or leaves reaches the driver but the splits that won.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from copy import copy
 from dataclasses import replace
 
 import numpy as np
@@ -189,6 +191,15 @@ class _Leaves:
         self.tried, self.poor = np.zeros(len(m)), np.zeros((len(m), n), dtype=np.int64)
         self.split = np.zeros(len(m), dtype=bool)
 
+    def joined(self, kept: np.ndarray, others: _Leaves) -> _Leaves:
+        """Some of these leaves, and others."""
+        out = copy(self)
+        for k, v in vars(self).items():
+            if isinstance(v, np.ndarray):
+                setattr(out, k, np.concatenate([v[kept], getattr(others, k)]))
+        out.trees = [t for t, k in zip(self.trees, kept) if k] + others.trees
+        return out
+
     def load(self, own: np.ndarray, part: np.ndarray) -> None:
         n = self.poor.shape[1]
         self.tried[own], self.poor[own] = part[:, 0], part[:, 1 : n + 1]
@@ -403,11 +414,47 @@ def _walk_leaves(learner: T.TreeLearner, pivots):
     return run
 
 
+class Judge:
+    """Rows against the naive Bayes models of their leaves."""
+
+    def __init__(self, learner: T.TreeLearner):
+        self.features, self.classes = learner.features, learner.layout.classes
+
+    def log_likelihood(self, model: np.ndarray, x: np.ndarray, null: np.ndarray) -> np.ndarray:
+        scores, at = model[:, :, 0].copy(), 1
+        for i, f in enumerate(self.features):
+            v = x[:, i]
+            if f.values:
+                known = (v >= 0) & (v < f.values)
+                value = np.where(known, v, 0).astype(np.int64)
+                term = np.take_along_axis(model[:, :, at : at + f.values], value[:, None, None], axis=2)[:, :, 0]
+                scores += np.where(known[:, None], term, 0.0)
+                at += f.values
+                continue
+            mean, sd = model[:, :, at], model[:, :, at + 1]
+            used = ~(sd <= 0)
+            safe, gap = np.where(used, sd, 1.0), v[:, None] - mean
+            scores += np.where(used & ~null[:, i, None], -np.log(safe) - gap * gap / (2 * safe * safe), 0.0)
+            at += 2
+        return scores
+
+    def bayes(self, models: np.ndarray | None, has: np.ndarray | None, at: np.ndarray, x: np.ndarray, null: np.ndarray) -> np.ndarray:
+        """The class that the model of each row's leaf holds likeliest, -1 where it has none. ``at``: the place of the leaf
+        of each row in ``models`` and ``has``."""
+        out = np.full(len(x), -1)
+        if models is None or not has[at].any():
+            return out
+        scored = np.flatnonzero(has[at])
+        by_class = models.reshape(len(models), self.classes, -1)
+        out[scored] = np.argmax(self.log_likelihood(by_class[at[scored]], x[scored], null[scored]), axis=1)
+        return out
+
+
 def _judge(learner: T.TreeLearner, routes: list[Routes | None], since: list[int]):
     """Rows of one batch against the notes of its leaves: counts by label and prediction. A tree is judged from its batch
     ``since`` on."""
-    features, layout, votes = learner.features, learner.layout, learner.votes
-    classes = layout.classes
+    features, votes, judge = learner.features, learner.votes, Judge(learner)
+    classes = learner.layout.classes
 
     def found(notes, m: int, size: int) -> np.ndarray:
         """For each node of a tree the row of its note."""
@@ -426,24 +473,6 @@ def _judge(learner: T.TreeLearner, routes: list[Routes | None], since: list[int]
             out[has] = flat.reshape(has.sum(), -1)
         return out, has
 
-    def log_likelihood(model: np.ndarray, x: np.ndarray, null: np.ndarray) -> np.ndarray:
-        scores, at = model[:, :, 0].copy(), 1
-        for i, f in enumerate(features):
-            v = x[:, i]
-            if f.values:
-                known = (v >= 0) & (v < f.values)
-                value = np.where(known, v, 0).astype(np.int64)
-                term = np.take_along_axis(model[:, :, at : at + f.values], value[:, None, None], axis=2)[:, :, 0]
-                scores += np.where(known[:, None], term, 0.0)
-                at += f.values
-                continue
-            mean, sd = model[:, :, at], model[:, :, at + 1]
-            used = ~(sd <= 0)
-            safe, gap = np.where(used, sd, 1.0), v[:, None] - mean
-            scores += np.where(used & ~null[:, i, None], -np.log(safe) - gap * gap / (2 * safe * safe), 0.0)
-            at += 2
-        return scores
-
     def run(key, rows, notes):
         import pyarrow as pa
 
@@ -464,7 +493,7 @@ def _judge(learner: T.TreeLearner, routes: list[Routes | None], since: list[int]
             columns = [[0] * n, [0] * n, [number] * n, keys[:, 0], keys[:, 1], none, none, none, counts]
             return pa.table([pa.array(c, t) for c, t in zip(columns, types)], schema=schema)
         flat, has = wide(notes.column("model"), n_notes)
-        models = flat.reshape(n_notes, classes, -1) if has.any() else None
+        models = flat if has.any() else None
         leaf_no, majority = _ints(notes, "leaf"), _ints(notes, "majority")
         sure, may = _ints(notes, "sure"), _ints(notes, "may")
         out = []
@@ -472,10 +501,7 @@ def _judge(learner: T.TreeLearner, routes: list[Routes | None], since: list[int]
             if route is None or number < since[m]:
                 continue
             at = found(notes, m, len(route.until))[route.leaf(x, batch)]
-            bayes = np.full(len(x), -1)
-            if has[at].any():
-                scored = np.flatnonzero(has[at])
-                bayes[scored] = np.argmax(log_likelihood(models[at[scored]], x[scored], null[scored]), axis=1)
+            bayes = judge.bayes(models, has, at, x, null)
             keys, counts = np.unique((at * classes + label) * (classes + 1) + bayes + 1, return_counts=True)
             guess, rest = keys % (classes + 1) - 1, keys // (classes + 1)
             note, y = rest // classes, rest % classes
